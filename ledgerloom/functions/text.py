@@ -1,107 +1,117 @@
-"""Text helpers as native column expressions."""
+"""Text helpers as Spark SQL expressions.
 
-from __future__ import annotations
+Each function takes and returns SQL text, for `F.expr` or `selectExpr`. A long
+expression then reaches the JVM in one call and is parsed there.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
 
 from ledgerloom.functions import patterns as P
 
+Sql = str
 
-def _in_class(chars: str) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
+def quote(value: str | None) -> Sql:
+    """A string literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def string_array(values: Iterable[str | None]) -> Sql:
+    items = ", ".join(quote(v) for v in values)
+    return f"array({items})" if items else "CAST(array() AS ARRAY<STRING>)"
 
-_BLANK = _in_class(P.BLANKS)
-_BREAK = _in_class(P.LINE_BREAKS)
-# One run of white space that holds at least one line break. The look-behind and
-# the possessive quantifiers keep the scan linear on long runs of spaces.
-_BETWEEN_LINES = f"(?<![{_BLANK}])[{_BLANK}]*+[{_BREAK}][{_BLANK}{_BREAK}]*+"
 
+def let(name: str, value: Sql, body: Sql) -> Sql:
+    """`body` with `name` standing for `value`, which is computed once per row and only if needed."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` computed once per row, and only if the result is needed."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def missing(c: Sql) -> Sql:
+    return f"({c} IS NULL OR {c} = '')"
 
-def missing(c: Column) -> Column:
-    return c.isNull() | (c == "")
 
+def none_if_empty(c: Sql) -> Sql:
+    return f"nullif({c}, '')"
 
-def none_if_empty(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
 
+def strip(c: Sql) -> Sql:
+    return f"trim(BOTH {quote(P.BLANKS + P.LINE_BREAKS)} FROM {c})"
 
-def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(P.BLANKS + P.LINE_BREAKS))
+
+def _in_class(chars: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+
+
+_BLANK = _in_class(P.BLANKS)
+_BREAK = _in_class(P.LINE_BREAKS)
+# One run of white space that holds at least one line break. The look-behind and
+# the possessive quantifiers keep the scan linear on long runs of spaces.
+_BETWEEN_LINES = f"(?<![{_BLANK}])[{_BLANK}]*+[{_BREAK}][{_BLANK}{_BREAK}]*+"
 
 
-def lines(text: Column) -> Column:
+def lines(text: Sql) -> Sql:
     """The stripped, non-blank lines of a text, in order."""
-    return F.filter(F.split(strip(text), _BETWEEN_LINES), lambda ln: ln != "")
+    return f"filter(split({strip(text)}, {quote(_BETWEEN_LINES)}), ln -> ln <> '')"
 
 
-def slug(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+def slug(c: Sql) -> Sql:
+    return f"trim(BOTH '-' FROM regexp_replace(lower({c}), '[^a-z0-9]+', '-'))"
 
 
-def amount_from_text(c: Column) -> Column:
+def amount_from_text(c: Sql) -> Sql:
     """`1,234.50` -> 1234.5; only commas and spaces are dropped, anything else odd gives NULL."""
-    return F.translate(c, ", ", "").try_cast("double")
+    return f"try_cast(translate({c}, ', ', '') AS DOUBLE)"
 
 
-def money(c: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("$"), F.format_number(c, 2)), F.lit(""))
+def money(c: Sql) -> Sql:
+    return f"coalesce(concat('$', format_number({c}, 2)), '')"
 
 
-def fixed2(c: Column) -> Column:
+def fixed2(c: Sql) -> Sql:
     """Two decimals, no thousands marks, ties to even as in Python's `%.2f`."""
-    return F.call_function("format_number", c.cast("double"), F.lit("0.00"))
+    return f"format_number(CAST({c} AS DOUBLE), '0.00')"
 
 
-def week_label(day: Column) -> Column:
+def week_label(day: Sql) -> Sql:
     """`%Y-W%U`: weeks start on Sunday, days before the first Sunday are week 00."""
-    week = F.floor((F.dayofyear(day) + 7 - F.dayofweek(day)) / 7)
-    return F.concat(F.lpad(F.year(day).cast("string"), 4, "0"), F.lit("-W"),
-                    F.lpad(week.cast("string"), 2, "0"))
+    week = f"CAST(floor((dayofyear({day}) + 7 - dayofweek({day})) / 7) AS STRING)"
+    return f"concat(lpad(CAST(year({day}) AS STRING), 4, '0'), '-W', lpad({week}, 2, '0'))"
 
 
-def month_key(date: Column) -> Column:
-    return F.when(F.length(date) >= 7, F.substring(date, 1, 7)).otherwise(F.lit("Unknown"))
+def month_key(date: Sql) -> Sql:
+    return f"CASE WHEN length({date}) >= 7 THEN substring({date}, 1, 7) ELSE 'Unknown' END"
 
 
-def month_caption(key: Column) -> Column:
+def month_caption(key: Sql) -> Sql:
     """`2025-10` -> `October 2025`; a key that is no month stays as it is."""
-    first_day = F.when(key.rlike("^[0-9]{4}-[0-9]{2}$"),
-                       F.concat(key, F.lit("-01")).try_cast("date"))
-    named = F.concat(F.date_format(first_day, "MMMM"), F.lit(" "), F.substring(key, 1, 4))
-    return F.coalesce(named, key)
+    day = f"CASE WHEN {key} RLIKE '^[0-9]{{4}}-[0-9]{{2}}$' THEN try_cast(concat({key}, '-01') AS DATE) END"
+    return f"coalesce(concat(date_format({day}, 'MMMM'), ' ', substring({key}, 1, 4)), {key})"
 
 
-def fingerprint(date: Column, vendor: Column, amount: Column) -> Column:
+def fingerprint(date: Sql, vendor: Sql, amount: Sql) -> Sql:
     """Identity of a receipt: SHA-256 of date, lower-case vendor and amount."""
-    parts = [
-        F.coalesce(date, F.lit("")),
-        F.lower(strip(F.coalesce(vendor, F.lit("")))),
-        F.coalesce(fixed2(amount), F.lit("")),
-    ]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    name = f"lower({strip(f'coalesce({vendor}, {quote('')})')})"
+    amount_text = f"coalesce({fixed2(amount)}, '')"
+    return f"sha2(concat_ws('|', coalesce({date}, ''), {name}, {amount_text}), 256)"
 
 
-def extension(name: Column) -> Column:
+def extension(name: Sql) -> Sql:
     """Suffix with its dot as in pathlib: a leading or a final dot starts none."""
-    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
+    return f"regexp_extract({name}, {quote(r'(?s)^.+(\.[^.]+)$')}, 1)"
 
 
-def stem(name: Column) -> Column:
-    return F.substring(name, F.lit(1), F.length(name) - F.length(extension(name)))
+def stem(name: Sql) -> Sql:
+    return f"substring({name}, 1, length({name}) - length({extension(name)}))"
 
 
-def is_document(name: Column) -> Column:
-    return F.lower(extension(name)).isin(P.IMAGE_EXTENSIONS + P.PDF_EXTENSIONS)
+def is_document(name: Sql) -> Sql:
+    listed = ", ".join(quote(e) for e in P.IMAGE_EXTENSIONS + P.PDF_EXTENSIONS)
+    return f"lower({extension(name)}) IN ({listed})"
 
 
-def source_file(name: Column) -> Column:
-    return F.concat(stem(name), F.lit(".pdf"))
+def source_file(name: Sql) -> Sql:
+    return f"concat({stem(name)}, '.pdf')"

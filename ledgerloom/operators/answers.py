@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import patterns as P
-from ledgerloom.functions.text import let, missing, none_if_empty, strip
+from ledgerloom.functions.text import Sql, fixed2, let, missing, none_if_empty, quote, string_array, strip
 from ledgerloom.operators import extract
 from ledgerloom.operators.keyed import keep_first, keep_latest
 from ledgerloom.operators.lookup import cache_lookup, cache_misses
@@ -37,9 +37,9 @@ _ANSWER_FIELDS = ["vendor", "date", "category", "confidence", "reasoning"]
 
 # --- requests ---------------------------------------------------------------
 
-def prompt_of(text: Column, rules: Rules) -> Column:
-    head = F.lit(PROMPT_HEAD + ", ".join(rules.categories) + PROMPT_TAIL)
-    return F.concat(head, F.substring(text, 1, P.PROMPT_CHARS))
+def prompt_of(text: Sql, rules: Rules) -> Sql:
+    head = quote(PROMPT_HEAD + ", ".join(rules.categories) + PROMPT_TAIL)
+    return f"concat({head}, substring({text}, 1, {P.PROMPT_CHARS}))"
 
 
 def requests(docs: DataFrame, cache: DataFrame, rules: Rules) -> DataFrame:
@@ -48,7 +48,7 @@ def requests(docs: DataFrame, cache: DataFrame, rules: Rules) -> DataFrame:
     Copies of one file share a hash, so they share one request. Only the prompt
     crosses to Python: the text is cut in the scan stage.
     """
-    rows = docs.select("sha1", prompt_of(F.col("text"), rules).alias("prompt"))
+    rows = docs.selectExpr("sha1", f"{prompt_of('text', rules)} AS prompt")
     once = keep_first(cache_misses(rows, cache), ["sha1"], ["prompt"])
     return once.select(F.col("sha1").alias("file_hash"), "prompt")
 
@@ -77,93 +77,91 @@ def infer(requests_df: DataFrame, make_provider: Callable[[], Provider],
 
 # --- raw answers to structs -------------------------------------------------
 
-def strip_fences(response: Column) -> Column:
-    """An answer that opens with a code fence keeps only what stands inside fences."""
-    pieces = F.split(response, "(?:^|\n)```[^\n]*")
-    inside = F.array_join(F.filter(pieces, lambda _, i: i % 2 == 1), "")
-    return F.when(F.startswith(response, F.lit("```")), F.substring(inside, 2, 2**31 - 1)).otherwise(
-        response)
+def strip_fences(response: Sql) -> Sql:
+    """An answer that opens with a code fence keeps only what stands inside fences.
+
+    The fence lines split the answer; every second piece is inside, and each of its
+    lines still has the line feed in front.
+    """
+    pieces = f"split({response}, '(?:^|\\n)```[^\\n]*')"
+    inside = f"array_join(filter({pieces}, (piece, i) -> i % 2 = 1), '')"
+    return f"CASE WHEN startswith({response}, '```') THEN substring({inside}, 2) ELSE {response} END"
 
 
-def canonical_category(category: Column, rules: Rules) -> Column:
+def canonical_category(category: Sql, rules: Rules) -> Sql:
     """The listed category itself, else the first that differs in case only."""
-    listed = F.array(*map(F.lit, rules.categories)) if rules.categories else F.array().cast("array<string>")
-    same = F.filter(listed, lambda c: F.lower(c) == F.lower(category))
-    return F.when(F.array_contains(listed, category), category).otherwise(
-        F.coalesce(F.get(same, F.lit(0)), F.lit(UNCATEGORIZED)))
+    listed = string_array(rules.categories)
+    same = f"get(filter({listed}, c -> lower(c) = lower({category})), 0)"
+    return (f"CASE WHEN array_contains({listed}, {category}) THEN {category} "
+            f"ELSE coalesce({same}, {quote(UNCATEGORIZED)}) END")
 
 
-def _kind(value: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+def _parsed(response: Sql) -> Sql:
+    return f"try_parse_json({strip_fences(strip(response))})"
 
 
-def parse_error(response: Column) -> Column:
-    """Why an answer cannot be used, or NULL when it can."""
-    def check(v: Column) -> Column:
-        def not_text(name: str) -> Column:
-            return F.coalesce(_kind(v, f"$.{name}") != "STRING", F.lit(False))
-
-        confidence = F.try_variant_get(v, "$.confidence", "double")
-        given = _kind(v, "$.confidence").isNotNull()
-        return (
-            F.when(v.isNull(), F.lit("not JSON"))
-            .when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit("not an object"))
-            .when(not_text("vendor"), F.lit("vendor is not text"))
-            .when(not_text("date"), F.lit("date is not text"))
-            .when(not_text("category"), F.lit("category is not text"))
-            .when(given & confidence.isNull(), F.lit("confidence is not a number"))
-        )
+def _kind(value: Sql, path: str) -> Sql:
+    return f"schema_of_variant(try_variant_get({value}, '$.{path}', 'variant'))"
 
-    return let(F.try_parse_json(strip_fences(strip(response))), check)
 
+def _error(v: Sql) -> Sql:
+    not_text = " ".join(f"WHEN {_kind(v, name)} <> 'STRING' THEN '{name} is not text'"
+                        for name in ("vendor", "date", "category"))
+    return (
+        f"CASE WHEN {v} IS NULL THEN 'not JSON' "
+        f"WHEN NOT startswith(schema_of_variant({v}), 'OBJECT') THEN 'not an object' {not_text} "
+        f"WHEN {_kind(v, 'confidence')} IS NOT NULL AND try_variant_get({v}, '$.confidence', 'double') IS NULL "
+        "THEN 'confidence is not a number' END"
+    )
 
-def parse_answer(response: Column, rules: Rules) -> Column:
-    """Answer struct of one raw response; an unusable one becomes a zero-confidence answer."""
-    def read(v: Column) -> Column:
-        def text(name: str) -> Column:
-            return strip(F.try_variant_get(v, f"$.{name}", "string"))
-
-        reasoning = F.when(_kind(v, "$.reasoning").isNull(), F.lit("")).otherwise(
-            F.try_variant_get(v, "$.reasoning", "string"))
-        return F.struct(
-            none_if_empty(text("vendor")).alias("vendor"),
-            none_if_empty(text("date")).alias("date"),
-            canonical_category(F.coalesce(text("category"), F.lit(UNCATEGORIZED)), rules).alias("category"),
-            F.coalesce(F.try_variant_get(v, "$.confidence", "double"),
-                       F.lit(P.DEFAULT_CONFIDENCE)).alias("confidence"),
-            reasoning.alias("reasoning"),
-            F.lit(False).alias("cached"),
-        )
 
-    good = let(F.try_parse_json(strip_fences(strip(response))), read)
-    return let(parse_error(response), lambda e: F.when(e.isNull(), good).otherwise(
-        no_answer(F.concat(F.lit("no usable answer: "), e))))
+def parse_error(response: Sql) -> Sql:
+    """Why an answer cannot be used, or NULL when it can."""
+    return let("v", _parsed(response), _error("v"))
 
 
-def no_answer(reason: Column) -> Column:
-    return F.struct(
-        F.lit(None).cast("string").alias("vendor"), F.lit(None).cast("string").alias("date"),
-        F.lit(UNCATEGORIZED).alias("category"), F.lit(0.0).alias("confidence"),
-        reason.alias("reasoning"), F.lit(False).alias("cached"),
+def parse_answer(response: Sql, rules: Rules) -> Sql:
+    """Answer struct of one raw response; an unusable one becomes a zero-confidence answer."""
+    def text(name: str) -> Sql:
+        return strip(f"try_variant_get(v, '$.{name}', 'string')")
+
+    category = let("written", f"coalesce({text('category')}, {quote(UNCATEGORIZED)})",
+                   canonical_category("written", rules))
+    good = answer_struct(
+        vendor=none_if_empty(text("vendor")), date=none_if_empty(text("date")), category=category,
+        confidence=f"coalesce(try_variant_get(v, '$.confidence', 'double'), {P.DEFAULT_CONFIDENCE}D)",
+        reasoning=f"IF({_kind('v', 'reasoning')} IS NULL, '', try_variant_get(v, '$.reasoning', 'string'))",
     )
+    bad = no_answer("concat('no usable answer: ', error)")
+    return let("v", _parsed(response), let(
+        "error", _error("v"), f"CASE WHEN error IS NULL THEN {good} ELSE {bad} END"))
+
+
+def answer_struct(vendor: Sql, date: Sql, category: Sql, confidence: Sql, reasoning: Sql) -> Sql:
+    return (f"named_struct('vendor', {vendor}, 'date', {date}, 'category', {category}, "
+            f"'confidence', {confidence}, 'reasoning', {reasoning}, 'cached', false)")
+
 
+def no_answer(reason: Sql) -> Sql:
+    return answer_struct("CAST(NULL AS STRING)", "CAST(NULL AS STRING)", quote(UNCATEGORIZED), "0D", reason)
 
-def disabled_answer() -> Column:
-    return no_answer(F.lit("LLM disabled"))
+
+def disabled_answer() -> Sql:
+    return no_answer("'LLM disabled'")
 
 
 def split_rejects(answers: DataFrame, response: str = "response") -> tuple[DataFrame, DataFrame]:
     """(usable rows, rejected rows); both carry `error`, NULL on the usable ones."""
-    checked = answers.withColumn("error", parse_error(F.col(response)))
-    return checked.filter(F.col("error").isNull()), checked.filter(F.col("error").isNotNull())
+    checked = answers.withColumn("error", F.expr(parse_error(response)))
+    return checked.filter("error IS NULL"), checked.filter("error IS NOT NULL")
 
 
 # --- cache ------------------------------------------------------------------
 
 def cache_rows(answers: DataFrame, cache_all: bool = False) -> DataFrame:
     """Cache rows of new answers; weak ones are left out, as they would only block a retry."""
-    new = answers.filter(~F.col("answer.cached"))
-    kept = new if cache_all else new.filter(F.col("answer.confidence") >= P.CONFIDENCE_FLOOR)
+    new = answers.filter("NOT answer.cached")
+    kept = new if cache_all else new.filter(f"answer.confidence >= {P.CONFIDENCE_FLOOR}D")
     return kept.select("file_hash", "answer.vendor", "answer.date", "answer.category",
                        "answer.confidence", "answer.reasoning")
 
@@ -180,14 +178,12 @@ def with_answers(docs: DataFrame, cache: DataFrame, new_answers: DataFrame | Non
         fresh = new_answers.select("file_hash", *[f"answer.{c}" for c in _ANSWER_FIELDS],
                                    F.lit(False).alias("cached"))
         known = keep_latest(known.unionByName(fresh), ["file_hash"], ["cached"])
-    return cache_lookup(docs, known).withColumn("answer", F.coalesce("answer", disabled_answer()))
+    return cache_lookup(docs, known).withColumn("answer", F.expr(f"coalesce(answer, {disabled_answer()})"))
 
 
-def answer_label(answer: Column) -> Column:
-    cached = F.when(F.coalesce(answer["cached"], F.lit(False)), F.lit(" [cached]")).otherwise(F.lit(""))
-    return F.concat(F.lit("LLM (confidence: "),
-                    F.call_function("format_number", F.coalesce(answer["confidence"], F.lit(0.0)), F.lit("0.00")),
-                    F.lit(")"), cached)
+def answer_label(answer: Sql) -> Sql:
+    shown = fixed2(f"coalesce({answer}.confidence, 0D)")
+    return f"concat('LLM (confidence: ', {shown}, ')', IF({answer}.cached, ' [cached]', ''))"
 
 
 def resolve(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -197,36 +193,28 @@ def resolve(docs: DataFrame, rules: Rules) -> DataFrame:
     back to the text, dropping the answer's date. A hint found in the text always
     wins. The amount always comes from the text.
     """
-    text, answer = F.col("text"), F.col("answer")
-    weak = missing(answer["vendor"]) | (F.coalesce(answer["confidence"], F.lit(0.0)) < P.CONFIDENCE_FLOOR)
-    staged = docs.withColumns({
-        "__weak": weak,
-        "__hint": extract.hint_vendor(text, rules),
-    }).withColumn("__found", none_if_empty(F.when(
-        F.col("__weak") & F.col("__hint").isNull(), extract.unhinted_vendor(text, rules))))
-    by_rule = F.col("__hint").isNotNull() | F.col("__found").isNotNull()
-    staged = staged.withColumn(
-        "vendor", F.coalesce("__hint", "__found", none_if_empty(answer["vendor"]))
-    ).withColumn(
-        "__verdict", F.when(by_rule, extract.categorize(F.col("vendor"), text, rules)))
-    label = F.when(F.col("__hint").isNotNull(), F.lit("Manual hint")).otherwise(F.lit("Regex fallback"))
-    staged = staged.withColumns({
-        "category": F.when(by_rule, F.col("__verdict.category")).otherwise(
-            F.coalesce(answer["category"], F.lit(UNCATEGORIZED))),
-        "matcher": F.when(by_rule, F.coalesce(none_if_empty(F.col("__verdict.matcher")), label))
-        .otherwise(answer_label(answer)),
-        "__model_date": F.when(~F.col("__weak"), none_if_empty(answer["date"])),
-        "amount": extract.amount_of(text),
-    }).withColumn(
-        "date", F.coalesce("__model_date", extract.date_of(text))
-    ).withColumn(
-        "date_source", F.when(F.col("__model_date").isNotNull(), F.lit("model"))
-        .when(F.col("date").isNotNull(), F.lit("regex")))
-    return staged.drop("__weak", "__hint", "__found", "__verdict", "__model_date", "answer")
-
-
-__all__ = [
-    "answer_label", "cache_rows", "canonical_category", "disabled_answer", "infer",
-    "parse_answer", "parse_error", "prompt_of", "requests", "resolve", "split_rejects",
-    "strip_fences", "with_answers",
-]
+    kept = [f"`{c}`" for c in docs.columns if c != "answer"]
+    weak = f"{missing('answer.vendor')} OR coalesce(answer.confidence, 0D) < {P.CONFIDENCE_FLOOR}D"
+    found = let("hit", extract.unhinted_vendor("text", rules), none_if_empty("hit"))
+    model_date = f"CASE WHEN NOT __weak THEN {none_if_empty('answer.date')} END"
+    by_rule = "(__hint IS NOT NULL OR __found IS NOT NULL)"
+    return (
+        docs.selectExpr("*", f"({weak}) AS __weak", f"{extract.hint_vendor('text', rules)} AS __hint")
+        .selectExpr("*", f"CASE WHEN __weak AND __hint IS NULL THEN {found} END AS __found")
+        .selectExpr("*", f"coalesce(__hint, __found, {none_if_empty('answer.vendor')}) AS vendor")
+        .selectExpr(
+            "*",
+            f"CASE WHEN {by_rule} THEN {extract.categorize('vendor', 'text', rules)} END AS __verdict",
+            f"{model_date} AS __model_date",
+            f"coalesce({model_date}, {extract.date_of('text')}) AS date",
+        )
+        .selectExpr(
+            *kept, "date", "vendor", f"{extract.amount_of('text')} AS amount",
+            f"CASE WHEN {by_rule} THEN __verdict.category "
+            f"ELSE coalesce(answer.category, {quote(UNCATEGORIZED)}) END AS category",
+            f"CASE WHEN {by_rule} THEN coalesce({none_if_empty('__verdict.matcher')}, "
+            f"IF(__hint IS NOT NULL, 'Manual hint', 'Regex fallback')) "
+            f"ELSE {answer_label('answer')} END AS matcher",
+            "CASE WHEN __model_date IS NOT NULL THEN 'model' WHEN date IS NOT NULL THEN 'regex' END AS date_source",
+        )
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import fingerprint
+from ledgerloom.functions.text import Sql, fingerprint
 from ledgerloom.operators.keyed import keep_latest
 from ledgerloom.operators.ordered import ROWS_PER_TASK, Ordering, with_previous
 
@@ -17,11 +17,11 @@ _ORIGINAL = ["week_id", "date", "vendor", "amount", "source_file"]
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
-    return df.withColumn("fingerprint", fingerprint(F.col("date"), F.col("vendor"), F.col("amount")))
+    return df.withColumn("fingerprint", F.expr(fingerprint("date", "vendor", "amount")))
 
 
 def _all_missing() -> Column:
-    return F.col("fingerprint") == F.sha2(F.lit("||"), 256)
+    return F.expr("fingerprint = sha2('||', 256)")
 
 
 def in_batch(batch: DataFrame, order: list[str], rows_per_task: int = ROWS_PER_TASK,
@@ -34,19 +34,10 @@ def in_batch(batch: DataFrame, order: list[str], rows_per_task: int = ROWS_PER_T
     rows = batch.filter(~_all_missing()) if ignore_empty else batch
     by = Ordering(("week_id", "fingerprint"), tuple(order), rows_per_task)
     seen = with_previous(rows, by, ["sha1", "source_file"], "__previous")
-    return (
-        seen.filter(~F.col("__previous.sha1").eqNullSafe(F.col("sha1"))
-                    & F.col("__previous").isNotNull())
-        .select(
-            *batch.columns,
-            F.col("week_id").alias("original_week"),
-            F.col("date").alias("original_date"),
-            F.col("vendor").alias("original_vendor"),
-            F.col("amount").alias("original_amount"),
-            F.col("__previous.source_file").alias("original_file"),
-            F.lit("batch").alias("kind"),
-        )
-    )
+    other_file = seen.filter("__previous IS NOT NULL AND NOT __previous.sha1 <=> sha1")
+    return other_file.selectExpr(
+        *batch.columns, "week_id AS original_week", "date AS original_date", "vendor AS original_vendor",
+        "amount AS original_amount", "__previous.source_file AS original_file", "'batch' AS kind")
 
 
 def last_registered(registry: DataFrame, order: list[str]) -> DataFrame:
@@ -54,8 +45,8 @@ def last_registered(registry: DataFrame, order: list[str]) -> DataFrame:
     return keep_latest(registry, ["fingerprint"], order)
 
 
-def _originals(rows: DataFrame) -> Column:
-    return F.struct(F.col("file_hash"), *[F.col(c) for c in _ORIGINAL])
+def _originals() -> Column:
+    return F.struct("file_hash", *_ORIGINAL)
 
 
 def across_weeks(batch: DataFrame, registry: DataFrame, order: list[str],
@@ -69,38 +60,32 @@ def across_weeks(batch: DataFrame, registry: DataFrame, order: list[str],
     rows = batch.filter(~_all_missing()) if ignore_empty else batch
     if match == "last":
         known = last_registered(registry, order).select(
-            "fingerprint", F.array(_originals(registry)).alias("__known"))
+            "fingerprint", F.array(_originals()).alias("__known"))
     elif match == "any":
         newest = Window.partitionBy("fingerprint").orderBy(*[F.col(c).desc() for c in order])
         known = (
             registry.withColumn("__rank", F.row_number().over(newest)).filter("__rank <= 2")
             .groupBy("fingerprint")
             .agg(F.sort_array(F.collect_list(
-                F.struct("__rank", _originals(registry).alias("row")))).alias("__ranked"))
+                F.struct("__rank", _originals().alias("row")))).alias("__ranked"))
             .select("fingerprint", F.transform("__ranked", lambda r: r["row"]).alias("__known"))
         )
     else:
         raise ValueError("match is 'last' or 'any'")
-    other = F.get(F.filter("__known", lambda k: ~k["file_hash"].eqNullSafe(F.col("sha1"))), F.lit(0))
+    other = F.expr("get(filter(__known, known -> NOT known.file_hash <=> sha1), 0)")
     return (
         rows.join(known, "fingerprint")
         .withColumn("__original", other)
-        .filter(F.col("__original").isNotNull())
-        .select(
-            *[F.col(c) for c in batch.columns],
-            F.col("__original.week_id").alias("original_week"),
-            F.col("__original.date").alias("original_date"),
-            F.col("__original.vendor").alias("original_vendor"),
-            F.col("__original.amount").alias("original_amount"),
-            F.col("__original.source_file").alias("original_file"),
-            F.lit("registry").alias("kind"),
-        )
+        .filter("__original IS NOT NULL")
+        .selectExpr(
+            *batch.columns, "__original.week_id AS original_week", "__original.date AS original_date",
+            "__original.vendor AS original_vendor", "__original.amount AS original_amount",
+            "__original.source_file AS original_file", "'registry' AS kind")
     )
 
 
-def week_note(current: Column, original: Column) -> Column:
-    return F.when(original.eqNullSafe(current), F.lit("same week")).otherwise(
-        F.concat(F.lit("week "), original))
+def week_note(current: Sql, original: Sql) -> Sql:
+    return f"IF({original} <=> {current}, 'same week', concat('week ', {original}))"
 
 
 def report(batch: DataFrame, registry: DataFrame, batch_order: list[str],
@@ -109,4 +94,4 @@ def report(batch: DataFrame, registry: DataFrame, batch_order: list[str],
     """Both kinds of duplicate; a row may appear once in each."""
     found = in_batch(batch, batch_order, rows_per_task, ignore_empty).unionByName(
         across_weeks(batch, registry, registry_order, match, ignore_empty))
-    return found.withColumn("seen_in", week_note(F.col("week_id"), F.col("original_week")))
+    return found.withColumn("seen_in", F.expr(week_note("week_id", "original_week")))

@@ -1,19 +1,13 @@
 """Date, amount, vendor and category from a text column.
 
-Everything here is a column expression: it runs as one narrow stage next to the
-scan, with no Python worker and no shuffle.
+Everything here is a Spark SQL expression: it runs as one narrow stage next to the
+scan, with no Python worker and no shuffle. Functions take and return SQL text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_, or_
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ledgerloom.functions import patterns as P
-from ledgerloom.functions.text import amount_from_text, let, lines
+from ledgerloom.functions.text import Sql, amount_from_text, let, lines, quote, string_array
 from ledgerloom.rules import Condition, Matcher, Rules
 from ledgerloom.schemas import UNCATEGORIZED
 
@@ -21,211 +15,177 @@ IGNORE_CASE = "(?idU)"
 EVERY_LINE = "(?imdU)"
 AS_WRITTEN = "(?dU)"
 
+NO_TEXT = "CAST(NULL AS STRING)"
+
 
 # --- date -------------------------------------------------------------------
 
-def _iso_date(y: Column, m: Column, d: Column) -> Column:
+def _iso_date(y: Sql, m: Sql, d: Sql) -> Sql:
     """ISO text of a calendar day, NULL when there is no such day (years start at 1)."""
-    iso = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"),
-                      F.lpad(d.cast("string"), 2, "0"))
-    return F.when((y >= 1) & iso.try_cast("date").isNotNull(), iso)
-
-
-def _numbers(match: Column) -> Column:
-    return F.transform(F.split(match, "[-/]"), lambda part: part.cast("int"))
+    parts = ", ".join(f"lpad(CAST({part} AS STRING), {width}, '0')"
+                      for part, width in ((y, 4), (m, 2), (d, 2)))
+    return let("iso", f"concat_ws('-', {parts})",
+               f"CASE WHEN {y} >= 1 AND try_cast(iso AS DATE) IS NOT NULL THEN iso END")
 
 
-def _year_first(match: Column) -> Column:
-    return let(_numbers(match), lambda n: _iso_date(n[0], n[1], n[2]))
+def _numbers(match: Sql) -> Sql:
+    return f"transform(split({match}, '[-/]'), p -> CAST(p AS INT))"
 
 
-def _year_last(match: Column) -> Column:
-    def read(n: Column) -> Column:
-        first, second = n[0], n[1]
-        day_first = (first > 12) & (second <= 12)
-        year = F.when(n[2] < 100, n[2] + 2000).otherwise(n[2])
-        return _iso_date(year, F.when(day_first, second).otherwise(first),
-                         F.when(day_first, first).otherwise(second))
+_YEAR_FIRST = let("n", _numbers("m"), _iso_date("n[0]", "n[1]", "n[2]"))
 
-    return let(_numbers(match), read)
+_YEAR_LAST = let("n", _numbers("m"), _iso_date(
+    "CASE WHEN n[2] < 100 THEN n[2] + 2000 ELSE n[2] END",
+    "CASE WHEN n[0] > 12 AND n[1] <= 12 THEN n[1] ELSE n[0] END",
+    "CASE WHEN n[0] > 12 AND n[1] <= 12 THEN n[0] ELSE n[1] END",
+))
 
+_MONTH_NAME = let("n", f"split(m, {quote('(?U)[\\s,]+')})", _iso_date(
+    "CAST(n[2] AS INT)",
+    f"array_position({string_array(P.MONTHS)}, lower(substring(n[0], 1, 3)))",
+    "CAST(n[1] AS INT)",
+))
 
-def _month_name(match: Column) -> Column:
-    def read(p: Column) -> Column:
-        month = F.array_position(F.array(*map(F.lit, P.MONTHS)), F.lower(F.substring(p[0], 1, 3)))
-        return _iso_date(p[2].cast("int"), month, p[1].cast("int"))
 
-    return let(F.split(match, r"(?U)[\s,]+"), read)
-
-
-def date_of(text: Column) -> Column:
+def date_of(text: Sql) -> Sql:
     """First valid date: year-first forms, then year-last forms, then month names."""
-    def first_valid(pattern: str, reader) -> Column:
-        found = F.regexp_extract_all(text, F.lit(IGNORE_CASE + pattern), F.lit(0))
-        return F.get(F.filter(F.transform(found, reader), lambda iso: iso.isNotNull()), F.lit(0))
-
-    return F.coalesce(
-        first_valid(P.DATE_YEAR_FIRST, _year_first),
-        first_valid(P.DATE_YEAR_LAST, _year_last),
-        first_valid(P.DATE_MONTH_NAME, _month_name),
+    def first_valid(pattern: str, reader: Sql) -> Sql:
+        found = f"regexp_extract_all({text}, {quote(IGNORE_CASE + pattern)}, 0)"
+        return f"get(filter(transform({found}, m -> {reader}), iso -> iso IS NOT NULL), 0)"
+
+    return "coalesce({}, {}, {})".format(
+        first_valid(P.DATE_YEAR_FIRST, _YEAR_FIRST),
+        first_valid(P.DATE_YEAR_LAST, _YEAR_LAST),
+        first_valid(P.DATE_MONTH_NAME, _MONTH_NAME),
     )
 
 
 # --- amount -----------------------------------------------------------------
 
-def amount_of(text: Column, candidate_limit: int = P.AMOUNT_CANDIDATES) -> Column:
+def amount_of(text: Sql, candidate_limit: int = P.AMOUNT_CANDIDATES) -> Sql:
     """Largest of the first candidates, labelled amounts coming first."""
-    found = F.concat(*[
-        F.regexp_extract_all(text, F.lit(EVERY_LINE + p), F.lit(1)) for p in P.AMOUNT_PATTERNS
-    ])
-    positive = F.filter(F.transform(found, amount_from_text), lambda v: v > 0)
-    return F.array_max(F.slice(positive, 1, candidate_limit))
+    found = ", ".join(
+        f"regexp_extract_all({text}, {quote(EVERY_LINE + p)}, 1)" for p in P.AMOUNT_PATTERNS)
+    values = f"transform(concat({found}), a -> {amount_from_text('a')})"
+    return f"array_max(slice(filter({values}, v -> v > 0), 1, {int(candidate_limit)}))"
 
 
 # --- vendor -----------------------------------------------------------------
 
-def hint_vendor(text: Column, rules: Rules) -> Column:
+def hint_vendor(text: Sql, rules: Rules) -> Sql:
     """Vendor of the first hint that occurs in the text, ignoring case."""
     if not rules.hints:
-        return F.lit(None).cast("string")
-
-    def look_up(low: Column) -> Column:
-        return F.coalesce(*[F.when(F.contains(low, F.lit(key.lower())), F.lit(vendor))
-                            for key, vendor in rules.hints])
-
-    return let(F.lower(text), look_up)
+        return NO_TEXT
+    tests = " ".join(f"WHEN contains(low, {quote(key.lower())}) THEN {quote(vendor)}"
+                     for key, vendor in rules.hints)
+    return let("low", f"lower({text})", f"CASE {tests} END")
 
 
-def blacklisted(c: Column, rules: Rules) -> Column:
-    if not rules.blacklist:
-        return F.lit(False)
-    return reduce(or_, [F.contains(F.lower(c), F.lit(b.lower())) for b in rules.blacklist])
+def blacklisted(c: Sql, rules: Rules) -> Sql:
+    tests = [f"contains(lower({c}), {quote(b.lower())})" for b in rules.blacklist]
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
 
 
-def pattern_vendor(text: Column, rules: Rules) -> Column:
+def pattern_vendor(text: Sql, rules: Rules) -> Sql:
     """Whole match of the first matcher pattern whose match is not blacklisted."""
-    patterns = [p for m in rules.matchers for p in m.vendor_extract]
-    if not patterns:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[
-        let(F.regexp_substr(text, F.lit(AS_WRITTEN + p)),
-            lambda found: F.when(~blacklisted(found, rules), found))
-        for p in patterns
-    ])
+    found = [
+        let("hit", f"regexp_substr({text}, {quote(AS_WRITTEN + p)})",
+            f"CASE WHEN NOT {blacklisted('hit', rules)} THEN hit END")
+        for m in rules.matchers for p in m.vendor_extract
+    ]
+    return f"coalesce({', '.join(found)})" if found else NO_TEXT
 
 
-def _is_skipped(line: Column) -> Column:
-    return line.rlike(IGNORE_CASE + "|".join(f"(?:{p})" for p in P.SKIP_LINE_PATTERNS))
+def _is_skipped(line: Sql) -> Sql:
+    pattern = IGNORE_CASE + "|".join(f"(?:{p})" for p in P.SKIP_LINE_PATTERNS)
+    return f"{line} RLIKE {quote(pattern)}"
 
 
-def _count(line: Column, kept: str) -> Column:
-    return F.length(F.regexp_replace(line, f"[^{kept}]", ""))
+def _count(line: Sql, kept: str) -> Sql:
+    return f"length(regexp_replace({line}, {quote(f'[^{kept}]')}, ''))"
 
 
-def _scored(line: Column, position: Column, rules: Rules) -> Column:
-    """(score, -position, line) of a line that may name the vendor, else NULL."""
-    size = F.length(line)
-    letters = _count(line, r"\p{L}")
-    digits = _count(line, r"\p{Nd}" + P.DIGIT_SIGNS)
-    spaces = _count(line, " ")
-
-    def bonus(condition: Column, points: int) -> Column:
-        return F.when(condition, F.lit(points)).otherwise(F.lit(0))
-
+def _scored(line: Sql, position: Sql, rules: Rules) -> Sql:
+    """(score, earlier, line) of a line that may name the vendor, else NULL."""
+    counts = (f"named_struct('size', length({line}), 'letters', {_count(line, r'\p{L}')}, "
+              f"'digits', {_count(line, r'\p{Nd}' + P.DIGIT_SIGNS)}, 'spaces', {_count(line, ' ')})")
     score = (
-        100 - position * 3
-        + bonus((F.upper(line) == line) & size.between(3, 40), 50)
-        + bonus(size.between(5, 30), 20)
-        + bonus(size > 50, -30)
-        + bonus(spaces > 2, -15)
-    )
-    eligible = (
-        size.between(3, 80) & ~_is_skipped(line) & ~blacklisted(line, rules)
-        & (letters >= 3) & (digits < F.greatest(F.lit(2), F.floor(letters / 3))) & (spaces < 5)
+        f"100 - 3 * {position}"
+        f" + IF(upper({line}) = {line} AND c.size BETWEEN 3 AND 40, 50, 0)"
+        " + IF(c.size BETWEEN 5 AND 30, 20, 0)"
+        " - IF(c.size > 50, 30, 0)"
+        " - IF(c.spaces > 2, 15, 0)"
     )
-    return F.when(eligible, F.struct(score.alias("score"), (-position).alias("earlier"),
-                                     line.alias("line")))
+    eligible = "c.letters >= 3 AND c.digits < greatest(2, c.letters DIV 3) AND c.spaces < 5"
+    judged = let("c", counts, f"CASE WHEN {eligible} THEN "
+                 f"named_struct('score', {score}, 'earlier', -{position}, 'line', {line}) END")
+    return (f"CASE WHEN length({line}) BETWEEN 3 AND 80 AND NOT {_is_skipped(line)} "
+            f"AND NOT {blacklisted(line, rules)} THEN {judged} END")
 
 
-def best_line(text_lines: Column, rules: Rules) -> Column:
+def best_line(text_lines: Sql, rules: Rules) -> Sql:
     """Struct (score, earlier, line) of the best line near the top; ties go to the earlier one."""
-    top = F.slice(text_lines, 1, P.VENDOR_LINES)
-    return F.array_max(F.transform(top, lambda ln, i: _scored(ln, i, rules)))
+    top = f"slice({text_lines}, 1, {P.VENDOR_LINES})"
+    return f"array_max(transform({top}, (ln, i) -> {_scored('ln', 'i', rules)}))"
 
 
-def last_resort_line(text_lines: Column, rules: Rules) -> Column:
+def last_resort_line(text_lines: Sql, rules: Rules) -> Sql:
     """First usable line near the top, else simply the first line."""
-    usable = F.filter(
-        F.slice(text_lines, 1, P.LAST_RESORT_LINES),
-        lambda ln: (F.length(ln) >= 3) & ~blacklisted(ln, rules) & ~_is_skipped(ln),
-    )
-    return F.coalesce(F.get(usable, F.lit(0)), F.get(text_lines, F.lit(0)))
+    usable = f"length(ln) >= 3 AND NOT {blacklisted('ln', rules)} AND NOT {_is_skipped('ln')}"
+    top = f"slice({text_lines}, 1, {P.LAST_RESORT_LINES})"
+    return f"coalesce(get(filter({top}, ln -> {usable}), 0), get({text_lines}, 0))"
 
 
-def line_vendor(text: Column, rules: Rules) -> Column:
-    return let(lines(text), lambda ls: F.coalesce(best_line(ls, rules)["line"],
-                                                  last_resort_line(ls, rules)))
+def line_vendor(text: Sql, rules: Rules) -> Sql:
+    return let("ls", lines(text),
+               f"coalesce({best_line('ls', rules)}.line, {last_resort_line('ls', rules)})")
 
 
-def vendor_of(text: Column, rules: Rules) -> Column:
-    return F.coalesce(hint_vendor(text, rules), unhinted_vendor(text, rules))
+def unhinted_vendor(text: Sql, rules: Rules) -> Sql:
+    return f"coalesce({pattern_vendor(text, rules)}, {line_vendor(text, rules)})"
 
 
-def unhinted_vendor(text: Column, rules: Rules) -> Column:
-    return F.coalesce(pattern_vendor(text, rules), line_vendor(text, rules))
+def vendor_of(text: Sql, rules: Rules) -> Sql:
+    return f"coalesce({hint_vendor(text, rules)}, {unhinted_vendor(text, rules)})"
 
 
 # --- category ---------------------------------------------------------------
 
 def _alternation(patterns: list[str]) -> list[str]:
     """One pattern in place of several, unless numbered back references forbid it."""
-    if len(patterns) < 2 or any("\\%d" % n in p for p in patterns for n in range(1, 10)):
+    if len(patterns) < 2 or any(f"\\{n}" in p for p in patterns for n in range(1, 10)):
         return patterns
     return ["|".join(f"(?:{p})" for p in patterns)]
 
 
-def _hits(c: Column, patterns: list[str]) -> list[Column]:
-    return [c.rlike(IGNORE_CASE + p) for p in _alternation(patterns)]
+def _occurs(c: Sql, pattern: str) -> Sql:
+    return f"coalesce({c}, '') RLIKE {quote(IGNORE_CASE + pattern)}"
+
 
+def _any_of(vendor: Sql, text: Sql, conditions: tuple[Condition, ...]) -> Sql:
+    tests = [_occurs(vendor, p) for p in _alternation([c.vendor_re for c in conditions if c.vendor_re])]
+    tests += [_occurs(text, p) for p in _alternation([c.text_re for c in conditions if c.text_re])]
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
 
-def _matches(m: Matcher, vendor: Column, text: Column) -> Column:
-    tests: list[Column] = []
-    if m.any:
-        hits = _hits(vendor, [c.vendor_re for c in m.any if c.vendor_re])
-        hits += _hits(text, [c.text_re for c in m.any if c.text_re])
-        tests.append(reduce(or_, hits) if hits else F.lit(False))
+
+def _matches(m: Matcher, vendor: Sql, text: Sql) -> Sql:
+    tests = [_any_of(vendor, text, m.any)] if m.any else []
     for c in m.all:
-        tests += [col.rlike(IGNORE_CASE + p)
-                  for col, p in ((vendor, c.vendor_re), (text, c.text_re)) if p]
-    return reduce(and_, tests) if tests else F.lit(True)
+        tests += [_occurs(col, p) for col, p in ((vendor, c.vendor_re), (text, c.text_re)) if p]
+    return " AND ".join(tests) if tests else "true"
 
 
-def categorize(vendor: Column, text: Column, rules: Rules) -> Column:
+def categorize(vendor: Sql, text: Sql, rules: Rules) -> Sql:
     """struct(category, matcher) of the first matcher that applies."""
-    v, t = F.coalesce(vendor, F.lit("")), F.coalesce(text, F.lit(""))
-
-    def verdict(category: str, matcher: str | None) -> Column:
-        return F.struct(F.lit(category).alias("category"),
-                        F.lit(matcher).cast("string").alias("matcher"))
+    def verdict(category: str, matcher: str | None) -> Sql:
+        return f"named_struct('category', {quote(category)}, 'matcher', {quote(matcher)})"
 
-    chain = None
-    for m in rules.matchers:
-        test, value = _matches(m, v, t), verdict(m.category, m.name)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
     fallback = verdict(UNCATEGORIZED, None)
-    return fallback if chain is None else chain.otherwise(fallback)
+    tests = " ".join(f"WHEN {_matches(m, vendor, text)} THEN {verdict(m.category, m.name)}"
+                     for m in rules.matchers)
+    return f"CASE {tests} ELSE {fallback} END" if tests else fallback
 
 
-def condition_hits(vendor: Column, text: Column, condition: Condition) -> Column:
+def condition_hits(vendor: Sql, text: Sql, condition: Condition) -> Sql:
     """Whether either pattern of one condition occurs; used to report on rules."""
-    tests = [col.rlike(IGNORE_CASE + p) for col, p in
-             ((F.coalesce(vendor, F.lit("")), condition.vendor_re),
-              (F.coalesce(text, F.lit("")), condition.text_re)) if p]
-    return reduce(or_, tests) if tests else F.lit(False)
-
-
-__all__ = [
-    "amount_of", "best_line", "blacklisted", "categorize", "condition_hits", "date_of",
-    "hint_vendor", "last_resort_line", "line_vendor", "pattern_vendor",
-    "unhinted_vendor", "vendor_of",
-]
+    return _any_of(vendor, text, (condition,))

@@ -6,11 +6,11 @@ Missing dates and vendors sort as empty text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import patterns as P
-from ledgerloom.functions.text import money, month_caption, month_key
+from ledgerloom.functions.text import Sql, money, month_caption, month_key
 from ledgerloom.operators.keyed import keep_first
 from ledgerloom.operators.ordered import (
     ROWS_PER_TASK, Ordering, with_row_number, with_running_sum,
@@ -20,35 +20,30 @@ _SORT = ("__date", "__vendor", "seq")
 
 
 def _sortable(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({
-        "__date": F.coalesce("date", F.lit("")),
-        "__vendor": F.coalesce("vendor", F.lit("")),
-    })
+    return rows.selectExpr("*", "coalesce(date, '') AS __date", "coalesce(vendor, '') AS __vendor")
 
 
-def list_page_of(row: Column) -> Column:
+def list_page_of(row: Sql) -> Sql:
     """Page inside its month (from 0) of the n-th line item."""
-    return F.when(row <= P.FIRST_PAGE_ROWS, F.lit(0)).otherwise(
-        1 + F.floor((row - (P.FIRST_PAGE_ROWS + 1)) / P.NEXT_PAGE_ROWS)).cast("long")
+    return (f"IF({row} <= {P.FIRST_PAGE_ROWS}, 0L, "
+            f"1 + ({row} - {P.FIRST_PAGE_ROWS + 1}) DIV {P.NEXT_PAGE_ROWS})")
 
 
-def pages_of_month(n: Column) -> Column:
+def pages_of_month(n: Sql) -> Sql:
     """Pages of a month with n items; a page break follows a full page even if nothing comes after."""
-    return (1 + F.when(n >= P.FIRST_PAGE_ROWS,
-                       1 + F.floor((n - P.FIRST_PAGE_ROWS) / P.NEXT_PAGE_ROWS)).otherwise(F.lit(0))).cast("long")
+    return (f"IF({n} >= {P.FIRST_PAGE_ROWS}, "
+            f"2 + ({n} - {P.FIRST_PAGE_ROWS}) DIV {P.NEXT_PAGE_ROWS}, 1L)")
 
 
 def line_items(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Line items with their position and page inside the month of their week's list."""
-    keyed = _sortable(rows).withColumn("month", month_key(F.col("date")))
+    keyed = _sortable(rows).withColumn("month", F.expr(month_key("date")))
     numbered = with_row_number(keyed, Ordering(("week_id", "month"), _SORT, rows_per_task), "item")
-    return numbered.select(
-        "week_id", "month", "item", list_page_of(F.col("item")).alias("page_in_month"),
-        F.col("__date").alias("date"),
-        F.substring("__vendor", 1, 28).alias("shown_vendor"),
-        F.substring(F.coalesce("category", F.lit("")), 1, 18).alias("shown_category"),
-        money(F.col("amount")).alias("shown_amount"),
-        "source_file", "seq",
+    return numbered.selectExpr(
+        "week_id", "month", "item", f"{list_page_of('item')} AS page_in_month", "__date AS date",
+        "substring(__vendor, 1, 28) AS shown_vendor",
+        "substring(coalesce(category, ''), 1, 18) AS shown_category",
+        f"{money('amount')} AS shown_amount", "source_file", "seq",
     )
 
 
@@ -57,21 +52,20 @@ def list_pages(rows: DataFrame, title_pages: int = 1) -> DataFrame:
 
     One row per month remains after the count, so the running sum is small.
     """
-    counts = rows.groupBy("week_id", month_key(F.col("date")).alias("month")).agg(
-        F.count(F.lit(1)).alias("n_items"))
-    before = (Window.partitionBy("week_id").orderBy("month")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("pages", pages_of_month(F.col("n_items"))).select(
-        "week_id", "month", month_caption(F.col("month")).alias("caption"), "n_items", "pages",
-        (F.lit(title_pages) + F.coalesce(F.sum("pages").over(before), F.lit(0))).cast("long")
-        .alias("first_page"),
+    counts = rows.selectExpr("week_id", f"{month_key('date')} AS month").groupBy("week_id", "month").agg(
+        F.expr("count(1) AS n_items"))
+    before = ("sum(pages) OVER (PARTITION BY week_id ORDER BY month "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    return counts.selectExpr("*", f"{pages_of_month('n_items')} AS pages").selectExpr(
+        "week_id", "month", f"{month_caption('month')} AS caption", "n_items", "pages",
+        f"{int(title_pages)} + coalesce({before}, 0L) AS first_page",
     )
 
 
 def summary_pages(rows: DataFrame, title_pages: int = 1) -> DataFrame:
     """Number of pages of each week's summary."""
     return list_pages(rows, title_pages).groupBy("week_id").agg(
-        (F.lit(title_pages) + F.sum("pages")).alias("summary_pages"))
+        F.expr(f"{int(title_pages)} + sum(pages) AS summary_pages"))
 
 
 def package_manifest(rows: DataFrame, file_pages: DataFrame, title_pages: int = 1,
@@ -85,11 +79,11 @@ def package_manifest(rows: DataFrame, file_pages: DataFrame, title_pages: int =
         "week_id", "source_file", "pages")
     placed = _sortable(rows).join(files, ["week_id", "source_file"])
     summed = with_running_sum(placed, Ordering(("week_id",), _SORT, rows_per_task),
-                              F.col("pages"), "__before", inclusive=False)
+                              "pages", "__before", inclusive=False)
     return (
         summed.join(summary_pages(rows, title_pages), "week_id")
-        .select("week_id", "source_file", "seq", "date", "vendor", F.col("pages").cast("long").alias("pages"),
-                (F.col("summary_pages") + F.col("__before")).cast("long").alias("start_page"))
+        .selectExpr("week_id", "source_file", "seq", "date", "vendor", "CAST(pages AS BIGINT) AS pages",
+                    "summary_pages + __before AS start_page")
     )
 
 
@@ -102,6 +96,6 @@ def link_table(items: DataFrame, months: DataFrame, manifest: DataFrame) -> Data
     return (
         items.join(months.select("week_id", "month", "first_page"), ["week_id", "month"])
         .join(targets, ["week_id", "source_file"])
-        .select("week_id", "month", "item", "source_file",
-                (F.col("first_page") + F.col("page_in_month")).alias("list_page"), "target_page")
+        .selectExpr("week_id", "month", "item", "source_file",
+                    "first_page + page_in_month AS list_page", "target_page")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import let
+from ledgerloom.functions.text import let, quote
 
 # A hint table up to this many rows is compiled into one expression; a larger one
 # is joined.
@@ -46,17 +46,13 @@ def first_hint(texts: DataFrame, hints: DataFrame, key: str, text: str = "text",
 
 
 def _first_hint_inline(texts: DataFrame, hints: list, key: str, text: str) -> DataFrame:
-    kind = "struct<pos:bigint,vendor:string>"
-    if not hints:
-        found = F.lit(None).cast(kind)
-    else:
-        found = let(F.lower(F.col(text)), lambda low: F.coalesce(*[
-            F.when(F.contains(low, F.lit(h["pattern"].lower())),
-                   F.struct(F.lit(h["pos"]).cast("bigint").alias("pos"),
-                            F.lit(h["vendor"]).alias("vendor")))
-            for h in hints
-        ]))
-    return texts.select(key, found.alias("__hint")).select(key, "__hint.pos", "__hint.vendor")
+    found = "CAST(NULL AS STRUCT<pos: BIGINT, vendor: STRING>)"
+    if hints:
+        tests = " ".join(
+            f"WHEN contains(low, {quote(h['pattern'].lower())}) "
+            f"THEN named_struct('pos', {int(h['pos'])}L, 'vendor', {quote(h['vendor'])})" for h in hints)
+        found = let("low", f"lower({text})", f"CASE {tests} END")
+    return texts.selectExpr(key, f"{found} AS __hint").select(key, "__hint.pos", "__hint.vendor")
 
 
 def _first_hint_joined(texts: DataFrame, hints: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,23 +66,19 @@ def _first_hint_joined(texts: DataFrame, hints: DataFrame, key: str, text: str)
     width = min(ANCHOR_CHARS, shortest or 0)
     if not width:
         raise ValueError("an empty hint in a large hint table would match every text")
-    low = texts.select(key, F.lower(F.col(text)).alias("__low"))
-    starts = F.sequence(F.lit(1), F.length("__low") - width + 1)
-    anchors = (
-        low.filter(F.length("__low") >= width)
-        .select(key, F.explode(F.array_distinct(F.transform(
-            starts, lambda i: F.substring(F.col("__low"), i, F.lit(width))))).alias("anchor"))
-    )
+    low = texts.selectExpr(key, f"lower({text}) AS __low")
+    pieces = f"transform(sequence(1, length(__low) - {width - 1}), i -> substring(__low, i, {width}))"
+    anchors = low.filter(f"length(__low) >= {width}").selectExpr(
+        key, f"explode(array_distinct({pieces})) AS anchor")
     keyed = needles.withColumn("anchor", F.substring("needle", 1, width))
     candidates = anchors.join(keyed, "anchor").select(key, "pos", "needle", "vendor")
     found = (
         candidates.join(low, key)
-        .filter(F.contains(F.col("__low"), F.col("needle")))
+        .filter("contains(__low, needle)")
         .groupBy(key)
         .agg(F.min(F.struct("pos", "vendor")).alias("__hint"))
     )
     return (
         texts.select(key).join(found, key, "left")
-        .select(key, F.col("__hint.pos").cast("bigint").alias("pos"),
-                F.col("__hint.vendor").alias("vendor"))
+        .selectExpr(key, "CAST(__hint.pos AS BIGINT) AS pos", "__hint.vendor AS vendor")
     )

@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import let
+from ledgerloom.functions.text import Sql, let
 
 ROWS_PER_TASK = 4_000_000
-# No more slices than this over all large groups: bounds what is sampled,
+# No more slices than about this over all large groups: bounds what is sampled,
 # collected and broadcast.
 MAX_SLICES = 20_000
 SAMPLE_PER_SLICE = 20
@@ -37,81 +37,71 @@ class Ordering:
     order: tuple[str, ...]
     rows_per_task: int = ROWS_PER_TASK
 
+    @property
+    def position(self) -> Sql:
+        return f"struct({', '.join(self.order)})"
 
-def _order_struct(order: tuple[str, ...]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
+    @property
+    def keys(self) -> list[str]:
+        return [_KEY + c for c in self.groups]
+
+    @property
+    def same_group(self) -> Sql:
+        return " AND ".join(f"{c} <=> {_KEY}{c}" for c in self.groups)
+
+    def over(self, *more_keys: str, frame: str = "") -> Sql:
+        keys, order = ", ".join(self.groups + more_keys), ", ".join(self.order)
+        return f"OVER (PARTITION BY {keys} ORDER BY {order} {frame})"
+
+    def over_slices(self, frame: str = "") -> Sql:
+        return f"OVER (PARTITION BY {', '.join(self.keys)} ORDER BY {_SLICE} {frame})"
 
 
 def large_groups(df: DataFrame, by: Ordering) -> tuple[DataFrame, int] | None:
-    """(group keys with their row counts, number of slices) of the large groups, or None.
+    """(keys of the large groups with rows and slices of each, number of slices), or None.
 
     At most MAX_SLICES rows, the largest groups first, reach the driver; the
     threshold is raised where needed to keep the number of slices near that too.
     """
-    counts = df.groupBy(*by.groups).agg(F.count(F.lit(1)).alias("__n"))
-    over = counts.filter(F.col("__n") > by.rows_per_task)
-    largest = over.orderBy(F.col("__n").desc()).limit(MAX_SLICES).collect()
+    counts = df.groupBy(*by.groups).agg(F.expr("count(1) AS __n"))
+    over = counts.filter(f"__n > {by.rows_per_task}")
+    largest = over.orderBy(F.desc("__n")).limit(MAX_SLICES).collect()
     if not largest:
         return None
     limit = max(by.rows_per_task, -(-sum(r["__n"] for r in largest) // MAX_SLICES))
     rows = [r for r in largest if r["__n"] > limit]
     if not rows:
         return None
-    slices = sum(-(-r["__n"] // limit) for r in rows)
-    keyed = df.sparkSession.createDataFrame(rows, over.schema).withColumn(
-        "__slices", F.ceil(F.col("__n") / F.lit(limit)).cast("int"))
-    return keyed, slices
-
-
-def _same_group(by: Ordering) -> Column:
-    condition = F.lit(True)
-    for c in by.groups:
-        condition = condition & F.col(c).eqNullSafe(F.col(_KEY + c))
-    return condition
-
-
-def _renamed_keys(keys: DataFrame, by: Ordering) -> DataFrame:
-    for c in by.groups:
-        keys = keys.withColumnRenamed(c, _KEY + c)
-    return keys
+    keyed = df.sparkSession.createDataFrame(rows, over.schema).selectExpr(
+        *[f"{c} AS {_KEY}{c}" for c in by.groups], "__n", f"CAST(ceil(__n / {limit}) AS INT) AS __slices")
+    return keyed, sum(-(-r["__n"] // limit) for r in rows)
 
 
 def _cut_points(df: DataFrame, by: Ordering, keyed: DataFrame, slices: int) -> DataFrame:
     """Large group -> sorted array of order structs at which a new slice starts."""
-    keys = _renamed_keys(keyed, by)
     total = keyed.agg(F.sum("__n")).first()[0]
-    fraction = min(1.0, SAMPLE_PER_SLICE * slices / total)
-    rows = (
+    sampled = (
         df.select(*dict.fromkeys(by.groups + by.order))
-        .join(F.broadcast(keys), _same_group(by), "inner")
-        .sample(fraction=fraction, seed=11)
-        .groupBy(*[_KEY + c for c in by.groups], "__slices")
-        .agg(F.sort_array(F.collect_list(_order_struct(by.order))).alias("__sample"))
-    )
-    step = F.size("__sample") / F.col("__slices")
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("__slices") - 1, F.lit(1))),
-        lambda i: F.get("__sample", F.floor(i * step).cast("int")),
+        .join(F.broadcast(keyed), F.expr(by.same_group), "inner")
+        .sample(fraction=min(1.0, SAMPLE_PER_SLICE * slices / total), seed=11)
+        .groupBy(*by.keys, "__slices")
+        .agg(F.expr(f"sort_array(collect_list({by.position})) AS s"))
     )
-    picked = rows.select(*[_KEY + c for c in by.groups],
-                         F.filter(cuts, lambda c: c.isNotNull()).alias(_CUTS))
+    cuts = ("transform(sequence(1, greatest(__slices - 1, 1)), "
+            "i -> get(s, CAST(floor(i * size(s) / __slices) AS INT)))")
+    picked = sampled.selectExpr(*by.keys, f"filter({cuts}, cut -> cut IS NOT NULL) AS {_CUTS}")
     return df.sparkSession.createDataFrame(picked.collect(), picked.schema)
 
 
-def _slice_of(position: Column) -> Column:
+def _slice_of(position: Sql) -> Sql:
     """Number of cut points at or below the position, found by bisection."""
-    def halve(bounds: Column, _step: Column) -> Column:
-        middle = F.floor((bounds["lo"] + bounds["hi"]) / 2).cast("int")
-        right = F.get(F.col(_CUTS), middle) <= position
-        open_ = bounds["lo"] < bounds["hi"]
-        return F.struct(
-            F.when(open_ & right, middle + 1).otherwise(bounds["lo"]).alias("lo"),
-            F.when(open_ & ~right, middle).otherwise(bounds["hi"]).alias("hi"),
-        )
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(_CUTS).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_SLICES.bit_length() + 1)), start, halve)
-    return F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(let(found, lambda b: b["lo"]))
+    middle = "CAST(floor((b.lo + b.hi) / 2) AS INT)"
+    right = f"get({_CUTS}, {middle}) <= {position}"
+    halve = (f"named_struct('lo', IF(b.lo < b.hi AND {right}, {middle} + 1, b.lo), "
+             f"'hi', IF(b.lo < b.hi AND NOT {right}, {middle}, b.hi))")
+    rounds = f"sequence(1, {MAX_SLICES.bit_length() + 1})"
+    found = f"aggregate({rounds}, named_struct('lo', 0, 'hi', size({_CUTS})), (b, step) -> {halve})"
+    return f"IF({_CUTS} IS NULL, 0, {let('at', found, 'at.lo')})"
 
 
 def sliced(df: DataFrame, by: Ordering) -> DataFrame | None:
@@ -121,70 +111,49 @@ def sliced(df: DataFrame, by: Ordering) -> DataFrame | None:
         return None
     cuts = _cut_points(df, by, *large)
     return (
-        df.join(F.broadcast(cuts), _same_group(by), "left")
-        .withColumn(_SLICE, _slice_of(_order_struct(by.order)))
+        df.join(F.broadcast(cuts), F.expr(by.same_group), "left")
+        .withColumn(_SLICE, F.expr(_slice_of(by.position)))
     )
 
 
-def _per_slice(parts: DataFrame, by: Ordering, summary: Column) -> DataFrame:
-    """One row per slice of the large groups, with the summary of its rows."""
-    return (
-        parts.filter(F.col(_CUTS).isNotNull())
-        .groupBy(*[_KEY + c for c in by.groups], _SLICE)
-        .agg(summary.alias("__summary"))
-    )
-
-
-def _by_slice(by: Ordering):
-    return Window.partitionBy(*[_KEY + c for c in by.groups]).orderBy(_SLICE)
+def _earlier(parts: DataFrame, by: Ordering, summary: Sql, of_earlier: Sql) -> DataFrame:
+    """What the slices before each slice contribute; at most about MAX_SLICES rows."""
+    per_slice = parts.filter(f"{_CUTS} IS NOT NULL").groupBy(*by.keys, _SLICE).agg(
+        F.expr(f"{summary} AS __summary"))
+    return per_slice.selectExpr(*by.keys, f"{_SLICE} AS __right_slice", f"{of_earlier} AS __before")
 
 
 def _attach(parts: DataFrame, by: Ordering, earlier: DataFrame) -> DataFrame:
-    """Join the contribution of earlier slices; `earlier` has at most MAX_SLICES rows."""
-    names = [c for c in parts.columns if not c.startswith(_KEY) and c != _CUTS]
-    right = earlier.withColumnRenamed(_SLICE, "__right_slice")
-    return parts.select(*names).join(
-        F.broadcast(right), _same_group(by) & (F.col(_SLICE) == F.col("__right_slice")), "left")
+    return parts.drop(*by.keys, _CUTS).join(
+        F.broadcast(earlier), F.expr(f"{by.same_group} AND {_SLICE} = __right_slice"), "left")
 
 
-def with_running_sum(df: DataFrame, by: Ordering, value: Column, name: str,
+def with_running_sum(df: DataFrame, by: Ordering, value: Sql, name: str,
                      inclusive: bool = True) -> DataFrame:
     """Sum of an integer `value` over the rows up to this one (or up to the one before)."""
-    last = Window.currentRow if inclusive else -1
-    order = [F.col(c) for c in by.order]
-
-    def window(*keys: str):
-        return (Window.partitionBy(*keys).orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, last))
-
+    frame = f"ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if inclusive else '1 PRECEDING'}"
     parts = sliced(df, by)
     if parts is None:
-        total = F.sum(value).over(window(*by.groups))
-        return df.withColumn(name, F.coalesce(total, F.lit(0)).cast("long"))
-    earlier = _per_slice(parts, by, F.sum(value)).withColumn(
-        "__before", F.sum("__summary").over(
-            _by_slice(by).rowsBetween(Window.unboundedPreceding, -1)))
-    local = F.sum(value).over(window(*by.groups, _SLICE))
-    joined = _attach(parts.withColumn("__local", local), by, earlier)
-    total = F.coalesce("__local", F.lit(0)) + F.coalesce("__before", F.lit(0))
-    return joined.select(*df.columns, total.cast("long").alias(name))
+        return df.withColumn(name, F.expr(f"coalesce(sum({value}) {by.over(frame=frame)}, 0L)"))
+    earlier = _earlier(
+        parts, by, f"sum({value})",
+        f"sum(__summary) {by.over_slices('ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}")
+    local = parts.withColumn("__local", F.expr(f"sum({value}) {by.over(_SLICE, frame=frame)}"))
+    return _attach(local, by, earlier).selectExpr(
+        *df.columns, f"coalesce(__local, 0L) + coalesce(__before, 0L) AS {name}")
 
 
 def with_row_number(df: DataFrame, by: Ordering, name: str) -> DataFrame:
     """1, 2, 3, ... inside each group."""
-    return with_running_sum(df, by, F.lit(1), name)
+    return with_running_sum(df, by, "1L", name)
 
 
 def with_previous(df: DataFrame, by: Ordering, columns: list[str], name: str) -> DataFrame:
     """Struct of `columns` of the row before this one in its group, NULL on the first row."""
-    order = [F.col(c) for c in by.order]
-    kept = F.struct(*[F.col(c) for c in columns])
+    kept = f"struct({', '.join(columns)})"
     parts = sliced(df, by)
     if parts is None:
-        return df.withColumn(name, F.lag(kept).over(
-            Window.partitionBy(*by.groups).orderBy(*order)))
-    earlier = _per_slice(parts, by, F.max_by(kept, _order_struct(by.order))).withColumn(
-        "__before", F.lag("__summary").over(_by_slice(by)))
-    local = F.lag(kept).over(Window.partitionBy(*by.groups, _SLICE).orderBy(*order))
-    joined = _attach(parts.withColumn("__local", local), by, earlier)
-    return joined.select(*df.columns, F.coalesce("__local", "__before").alias(name))
+        return df.withColumn(name, F.expr(f"lag({kept}) {by.over()}"))
+    earlier = _earlier(parts, by, f"max_by({kept}, {by.position})", f"lag(__summary) {by.over_slices()}")
+    local = parts.withColumn("__local", F.expr(f"lag({kept}) {by.over(_SLICE)}"))
+    return _attach(local, by, earlier).selectExpr(*df.columns, f"coalesce(__local, __before) AS {name}")

@@ -5,10 +5,10 @@ The plans are tables; nothing is moved here.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import extension, is_document, slug, stem
+from ledgerloom.functions.text import Sql, extension, is_document, slug, stem
 from ledgerloom.operators.ordered import ROWS_PER_TASK, Ordering, with_row_number
 
 
@@ -16,13 +16,12 @@ def union_origins(incoming: DataFrame, processed: DataFrame) -> DataFrame:
     """Documents of both folders, marked with where they came from."""
     both = incoming.withColumn("origin", F.lit("incoming")).unionByName(
         processed.withColumn("origin", F.lit("processed")), allowMissingColumns=True)
-    return both.filter(is_document(F.col("file_name")))
+    return both.filter(is_document("file_name"))
 
 
-def position(file_name: Column, origin: Column, path: Column) -> Column:
+def position(file_name: Sql, origin: Sql, path: Sql) -> Sql:
     """Sortable processing position: by name, incoming files before processed ones."""
-    rank = F.when(origin == "incoming", F.lit("0")).otherwise(F.lit("1"))
-    return F.concat_ws("\x00", file_name, rank, path)
+    return f"concat_ws('\\0', {file_name}, IF({origin} = 'incoming', '0', '1'), {path})"
 
 
 def processing_order(files: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -36,8 +35,8 @@ def _claims(arriving: DataFrame, present: DataFrame, place: list[str]) -> DataFr
     One table, so that the files need a single join, which the skew join can split
     when many files share a name.
     """
-    rows = arriving.select(*place, "seq", F.lit(False).alias("lies_there")).unionByName(
-        present.select(*place, F.lit(None).cast("string").alias("seq"), F.lit(True).alias("lies_there")))
+    rows = arriving.selectExpr(*place, "seq", "false AS lies_there").unionByName(
+        present.selectExpr(*place, "CAST(NULL AS STRING) AS seq", "true AS lies_there"))
     return rows.groupBy(*place).agg(F.min("seq").alias("__first"),
                                     F.bool_or("lies_there").alias("__taken"))
 
@@ -51,24 +50,19 @@ def routing_plan(files: DataFrame, occupied: DataFrame | None = None) -> DataFra
     (week_id, category_slug, file_name); the others get a piece of their hash. A
     file already in its folder stays.
     """
-    target = files.withColumn("category_slug", slug(F.col("category")))
-    stays = F.coalesce((F.col("origin") == "processed") & (F.col("folder") == F.col("category_slug")),
-                       F.lit(False))
-    target = target.withColumn("action", F.when(stays, F.lit("stay"))
-                               .when(F.col("origin") == "processed", F.lit("reroute"))
-                               .otherwise(F.lit("move")))
+    target = files.selectExpr("*", f"{slug('category')} AS category_slug").selectExpr(
+        "*", "CASE WHEN origin = 'processed' THEN IF(folder = category_slug, 'stay', 'reroute') "
+        "ELSE 'move' END AS action")
     place = ["week_id", "category_slug", "file_name"]
-    present = files.filter(F.col("origin") == "processed").select(
-        "week_id", F.col("folder").alias("category_slug"), "file_name")
+    present = files.filter("origin = 'processed'").selectExpr(
+        "week_id", "folder AS category_slug", "file_name")
     if occupied is not None:
         present = present.unionByName(occupied.select(*place))
-    placed = target.join(_claims(target.filter(F.col("action") != "stay"), present, place),
-                         place, "left")
-    clash = (F.col("action") != "stay") & (F.col("__taken") | (F.col("seq") != F.col("__first")))
-    suffixed = F.concat(stem(F.col("file_name")), F.lit("_"), F.substring("sha1", 1, 8),
-                        extension(F.col("file_name")))
-    return placed.select("week_id", "category_slug", "file_name", "seq", "action",
-                         F.when(clash, suffixed).otherwise(F.col("file_name")).alias("target_name"))
+    placed = target.join(_claims(target.filter("action <> 'stay'"), present, place), place, "left")
+    clash = "action <> 'stay' AND (__taken OR seq <> __first)"
+    suffixed = f"concat({stem('file_name')}, '_', substring(sha1, 1, 8), {extension('file_name')})"
+    return placed.selectExpr("week_id", "category_slug", "file_name", "seq", "action",
+                             f"IF({clash}, {suffixed}, file_name) AS target_name")
 
 
 def undo_plan(processed: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -77,8 +71,7 @@ def undo_plan(processed: DataFrame, incoming: DataFrame) -> DataFrame:
     A file is skipped when its name already lies in incoming, or when an earlier
     file of the same name takes that place.
     """
-    documents = processed.filter(is_document(F.col("file_name")))
+    documents = processed.filter(is_document("file_name"))
     names = ["week_id", "file_name"]
-    moves = ~F.col("__taken") & (F.col("seq") == F.col("__first"))
-    return documents.join(_claims(documents, incoming, names), names).select(
-        *names, "seq", F.when(moves, F.lit("move")).otherwise(F.lit("skip")).alias("action"))
+    return documents.join(_claims(documents, incoming, names), names).selectExpr(
+        *names, "seq", "IF(NOT __taken AND seq = __first, 'move', 'skip') AS action")

@@ -8,22 +8,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import missing, money, month_caption, month_key, none_if_empty
+from ledgerloom.functions.text import (
+    missing, money, month_caption, month_key, none_if_empty, quote,
+)
 from ledgerloom.schemas import UNCATEGORIZED
 
 
-def _category() -> Column:
-    return F.coalesce(none_if_empty(F.col("category")), F.lit(UNCATEGORIZED))
+_CATEGORY = f"coalesce({none_if_empty('category')}, {quote(UNCATEGORIZED)}) AS category"
+_MONTH = f"{month_key('date')} AS month"
 
 
 def _sum_amount() -> Column:
-    return F.sum(F.coalesce(F.col("amount"), F.lit(0.0)).cast("decimal(18,2)"))
+    return F.expr("CAST(sum(CAST(coalesce(amount, 0D) AS DECIMAL(18, 2))) AS DOUBLE) AS total")
+
+
+def _count() -> Column:
+    return F.expr("count(1) AS n_rows")
 
 
 def category_totals(rows: DataFrame) -> DataFrame:
     return (
-        rows.groupBy(_category().alias("category"))
-        .agg(_sum_amount().cast("double").alias("total"), F.count(F.lit(1)).alias("n_rows"))
+        rows.selectExpr(_CATEGORY, "amount").groupBy("category")
+        .agg(_sum_amount(), _count())
         .orderBy("category")
     )
 
@@ -31,28 +37,20 @@ def category_totals(rows: DataFrame) -> DataFrame:
 def month_totals(rows: DataFrame) -> DataFrame:
     """Totals by month in calendar order; `Unknown` sorts last."""
     return (
-        rows.groupBy(month_key(F.col("date")).alias("month"))
-        .agg(_sum_amount().cast("double").alias("total"), F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("caption", month_caption(F.col("month")))
-        .withColumn("shown", money(F.col("total")))
+        rows.selectExpr(_MONTH, "amount").groupBy("month")
+        .agg(_sum_amount(), _count())
+        .selectExpr("*", f"{month_caption('month')} AS caption", f"{money('total')} AS shown")
         .orderBy("month")
     )
 
 
 def summary(rows: DataFrame) -> DataFrame:
     """Category and month totals together from one pass over the rows."""
-    keyed = rows.select(_category().alias("category"), month_key(F.col("date")).alias("month"), "amount")
-    both = keyed.groupingSets([["category"], ["month"]], "category", "month").agg(
-        F.grouping("category").alias("__by_month"),
-        _sum_amount().cast("double").alias("total"),
-        F.count(F.lit(1)).alias("n_rows"),
-    )
-    by_month = F.col("__by_month") == 1
-    return both.select(
-        F.when(by_month, F.lit("month")).otherwise(F.lit("category")).alias("kind"),
-        F.when(by_month, F.col("month")).otherwise(F.col("category")).alias("name"),
-        "total", "n_rows",
-    )
+    both = rows.selectExpr(_CATEGORY, _MONTH, "amount").groupingSets(
+        [["category"], ["month"]], "category", "month").agg(
+        F.expr("grouping(category) = 1 AS by_month"), _sum_amount(), _count())
+    return both.selectExpr("IF(by_month, 'month', 'category') AS kind",
+                           "IF(by_month, month, category) AS name", "total", "n_rows")
 
 
 def origin_counts(files: DataFrame) -> DataFrame:
@@ -61,11 +59,12 @@ def origin_counts(files: DataFrame) -> DataFrame:
 
 def quality(rows: DataFrame) -> DataFrame:
     """What the extraction missed, per week and source of the date."""
-    return rows.groupBy("week_id", F.coalesce("date_source", F.lit("none")).alias("date_source")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("date").isNull()).alias("no_date"),
-        F.count_if(missing(F.col("vendor"))).alias("no_vendor"),
-        F.count_if(F.coalesce(F.col("amount"), F.lit(0.0)) == 0).alias("no_amount"),
+    return (
+        rows.withColumn("date_source", F.expr("coalesce(date_source, 'none')"))
+        .groupBy("week_id", "date_source")
+        .agg(_count(), F.expr("count_if(date IS NULL) AS no_date"),
+             F.expr(f"count_if({missing('vendor')}) AS no_vendor"),
+             F.expr("count_if(coalesce(amount, 0D) = 0) AS no_amount"))
     )
 
 

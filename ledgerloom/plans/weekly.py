@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import source_file
+from ledgerloom.functions.text import quote, source_file
 from ledgerloom.operators import answers as A
 from ledgerloom.operators import dedup, listing, totals
 from ledgerloom.operators.answers import resolve
@@ -21,14 +21,14 @@ from ledgerloom.sources.csv import write_csv
 
 def extract(docs: DataFrame, rules: Rules) -> DataFrame:
     """Resolve documents from their text alone, without any model."""
-    return resolve(docs.withColumn("answer", A.disabled_answer()), rules)
+    return resolve(docs.withColumn("answer", F.expr(A.disabled_answer())), rules)
 
 
 def canonical_rows(resolved: DataFrame, notes: str = "") -> DataFrame:
     """The ledger columns, plus week, position and date source. Needs `file_name`."""
-    return resolved.withColumns({
-        "notes": F.lit(notes), "source_file": source_file(F.col("file_name")),
-    }).select(*RECEIPT_COLUMNS, "week_id", "seq", "date_source")
+    return resolved.selectExpr(
+        "*", f"{quote(notes)} AS notes", f"{source_file('file_name')} AS source_file",
+    ).select(*RECEIPT_COLUMNS, "week_id", "seq", "date_source")
 
 
 @dataclass
@@ -59,10 +59,10 @@ class WeeklyLedger:
 
     def _answered(self, docs: DataFrame, batch_id: str) -> DataFrame:
         if self.make_provider is None:
-            return docs.withColumn("answer", A.disabled_answer())
+            return docs.withColumn("answer", F.expr(A.disabled_answer()))
         cache = self.cache.read()
         raw = A.infer(A.requests(docs, cache, self.rules), self.make_provider)
-        new = raw.select("file_hash", A.parse_answer(F.col("response"), self.rules).alias("answer"))
+        new = raw.selectExpr("file_hash", f"{A.parse_answer('response', self.rules)} AS answer")
         answered = A.with_answers(docs, cache, new)
         stamped = A.cache_rows(new, self.cache_all).withColumn("cached_at", F.current_timestamp())
         self.cache.upsert(stamped, batch_id)

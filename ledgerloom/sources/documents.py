@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import is_document, strip
+from ledgerloom.functions.text import Sql, is_document, quote, strip
 from ledgerloom.operators.routing import position, union_origins
 
 
@@ -32,19 +32,18 @@ def scan_folders(spark: SparkSession, week_id: str, incoming: str,
         sorted_files = _files(spark, f"{processed.rstrip('/')}/*/*", False).withColumn(
             "folder", F.element_at(F.split("path", "/"), -2))
         both = union_origins(files, sorted_files)
-    return both.select(
-        F.lit(week_id).alias("week_id"), "path", "file_name", "origin", "folder", "content",
-        content_hash(F.col("content")).alias("sha1"),
-        position(F.col("file_name"), F.col("origin"), F.col("path")).alias("seq"),
+    return both.selectExpr(
+        f"{quote(week_id)} AS week_id", "path", "file_name", "origin", "folder", "content",
+        f"{content_hash('content')} AS sha1", f"{position('file_name', 'origin', 'path')} AS seq",
     )
 
 
-def content_hash(content: Column) -> Column:
-    return F.sha1(content)
+def content_hash(content: Sql) -> Sql:
+    return f"sha1({content})"
 
 
 def keep_documents(files: DataFrame) -> DataFrame:
-    return files.filter(is_document(F.col("file_name")))
+    return files.filter(is_document("file_name"))
 
 
 def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str) -> DataFrame:
@@ -59,4 +58,4 @@ def assemble_pages(pages: DataFrame, doc: str, page_no: str, text: str) -> DataF
 def has_text_layer(pages: DataFrame, doc: str, text: str) -> DataFrame:
     """Whether any page of a document holds text that is not blank."""
     return pages.groupBy(doc).agg(
-        F.coalesce(F.bool_or(F.length(strip(F.col(text))) > 0), F.lit(False)).alias("has_text"))
+        F.expr(f"coalesce(bool_or(length({strip(text)}) > 0), false) AS has_text"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import extension, slug, source_file
 from ledgerloom.operators import routing, totals
@@ -17,8 +16,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.load(spark, sf_dir, "documents").select(
-        "doc_id", documents.content_hash(F.col("text")).alias("sha1"))
+    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", f"{documents.content_hash('text')} AS sha1")
 
 
 def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +30,8 @@ def has_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.receipts(spark, sf_dir)
     kept = ["week_id", "file_name", "sha1"]
-    incoming = rows.filter(F.col("origin") == "incoming").select(*kept)
-    processed = rows.filter(F.col("origin") == "processed").select(*kept)
+    incoming = rows.filter("origin = 'incoming'").select(*kept)
+    processed = rows.filter("origin = 'processed'").select(*kept)
     return routing.union_origins(incoming, processed)
 
 
@@ -43,19 +41,17 @@ def processing_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.receipts(spark, sf_dir).select("file_name", source_file(F.col("file_name")).alias("source_file"))
+    return T.receipts(spark, sf_dir).selectExpr("file_name", f"{source_file('file_name')} AS source_file")
 
 
 def _shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows by year whose names repeat: three orders share one."""
-    name = F.concat(F.lit("scan"), F.floor(F.col("k") / 3).cast("string"), extension(F.col("file_name")))
-    year = F.substring("week_id", 1, 4)
-    rows = T.ledger(spark, sf_dir).withColumn("file_name", name).withColumn("week_id", year)
-    folder = F.when(F.col("k") % 20 == 3, F.lit("old-folder")).otherwise(slug(F.col("category")))
-    return rows.withColumns({
-        "folder": F.when(F.col("origin") == "processed", folder),
-        "source_file": source_file(F.col("file_name")),
-    })
+    name = f"concat('scan', k DIV 3, {extension('file_name')})"
+    folder = f"IF(k % 20 = 3, 'old-folder', {slug('category')})"
+    return T.ledger(spark, sf_dir).selectExpr(
+        "k", "left(week_id, 4) AS week_id", f"{name} AS file_name", "category", "sha1", "origin", "seq",
+        f"IF(origin = 'processed', {folder}, NULL) AS folder",
+        f"{source_file(name)} AS source_file")
 
 
 def source_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +60,15 @@ def source_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _shared_names(spark, sf_dir)
-    occupied = rows.filter(F.col("k") % 7 == 0).select(
-        "week_id", slug(F.col("category")).alias("category_slug"), "file_name")
+    occupied = rows.filter("k % 7 = 0").selectExpr(
+        "week_id", f"{slug('category')} AS category_slug", "file_name")
     plan = routing.routing_plan(rows, occupied)
     return plan.select("week_id", "category_slug", "file_name", "action", "target_name")
 
 
 def undo_restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _shared_names(spark, sf_dir)
-    plan = routing.undo_plan(rows, rows.filter(F.col("k") % 5 == 0))
+    plan = routing.undo_plan(rows, rows.filter("k % 5 = 0"))
     return plan.select("week_id", "file_name", "action")
 
 

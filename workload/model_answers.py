@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerloom.operators import answers as A
 from ledgerloom.operators import keyed, lookup
@@ -15,9 +14,8 @@ from workload import tables as T
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.receipts(spark, sf_dir)
     found = lookup.cache_lookup(rows.select("k", "copy", "sha1"), T.cache(rows))
-    return found.select("k", "copy", F.col("answer.vendor").alias("vendor"),
-                        F.col("answer.confidence").alias("confidence"),
-                        F.coalesce("answer.cached", F.lit(False)).alias("cached"))
+    return found.selectExpr("k", "copy", "answer.vendor AS vendor", "answer.confidence AS confidence",
+                            "coalesce(answer.cached, false) AS cached")
 
 
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +25,8 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for the documents table, whose copies share one, against a cache of every third."""
-    docs = T.load(spark, sf_dir, "documents").select("doc_id", "text", F.sha1("text").alias("sha1"))
-    cache = docs.filter(F.col("doc_id") % 3 == 0).select(F.col("sha1").alias("file_hash"))
+    docs = T.load(spark, sf_dir, "documents").selectExpr("doc_id", "text", "sha1(text) AS sha1")
+    cache = docs.filter("doc_id % 3 = 0").selectExpr("sha1 AS file_hash")
     return A.requests(docs, cache, T.rules())
 
 
@@ -48,7 +46,7 @@ def stub_provider():
 def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.receipts(spark, sf_dir)
     raw = A.infer(A.requests(rows, T.cache(rows), T.rules()), stub_provider)
-    return raw.select("file_hash", A.parse_answer(F.col("response"), T.rules()).alias("a")).select(
+    return raw.selectExpr("file_hash", f"{A.parse_answer('response', T.rules())} AS a").select(
         "file_hash", "a.vendor", "a.date", "a.category", "a.confidence")
 
 
@@ -58,32 +56,32 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents put between fences, with a second fenced part after some prose."""
-    fenced = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(
-        F.lit("```text\n"), F.col("text"), F.lit("\n```\nprose\n```\n"), F.col("source"), F.lit("\n```")))
-    return T.load(spark, sf_dir, "documents").select("doc_id", A.strip_fences(fenced).alias("kept"))
+    fenced = ("IF(doc_id % 3 = 0, text, concat('```text\\n', text, '\\n```\\nprose\\n```\\n', source, '\\n```'))"
+              " AS fenced")
+    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", fenced).selectExpr(
+        "doc_id", f"{A.strip_fences('fenced')} AS kept")
 
 
 def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = A.parse_answer(F.col("response"), T.rules())
-    return _raw(spark, sf_dir).select("k", "copy", parsed.alias("a")).select(
+    return _raw(spark, sf_dir).selectExpr("k", "copy", f"{A.parse_answer('response', T.rules())} AS a").select(
         "k", "copy", "a.vendor", "a.date", "a.category", "a.confidence", "a.reasoning")
 
 
 def canonical_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("k")
-    written = F.when(k % 4 == 0, F.upper("true_category")).when(k % 4 == 1, F.lower("true_category")).when(
-        k % 4 == 2, F.concat("true_category", F.lit("s"))).otherwise(F.col("true_category"))
-    return T.receipts(spark, sf_dir).select("k", "copy", A.canonical_category(written, T.rules()).alias("category"))
+    written = """CASE k % 4 WHEN 0 THEN upper(true_category) WHEN 1 THEN lower(true_category)
+        WHEN 2 THEN concat(true_category, 's') ELSE true_category END AS written"""
+    return T.receipts(spark, sf_dir).selectExpr("k", "copy", written).selectExpr(
+        "k", "copy", f"{A.canonical_category('written', T.rules())} AS category")
 
 
 def rejects_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = A.split_rejects(_raw(spark, sf_dir))
-    return good.withColumn("usable", F.lit(True)).unionByName(bad.withColumn("usable", F.lit(False))).select(
-        "k", "copy", "usable", "error")
+    kept = ["k", "copy", "error"]
+    return good.selectExpr(*kept, "true AS usable").unionByName(bad.selectExpr(*kept, "false AS usable"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, sf_dir).select("file_hash", A.parse_answer(F.col("response"), T.rules()).alias("answer"))
+    return _raw(spark, sf_dir).selectExpr("file_hash", f"{A.parse_answer('response', T.rules())} AS answer")
 
 
 def cache_write_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +90,8 @@ def cache_write_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.receipts(spark, sf_dir)
-    old = T.cache(rows).select("file_hash", "vendor", "confidence", F.lit(1).alias("written"))
-    new = A.cache_rows(_parsed(spark, sf_dir)).select("file_hash", "vendor", "confidence", F.lit(2).alias("written"))
+    old = T.cache(rows).selectExpr("file_hash", "vendor", "confidence", "1 AS written")
+    new = A.cache_rows(_parsed(spark, sf_dir)).selectExpr("file_hash", "vendor", "confidence", "2 AS written")
     return keyed.upsert(old, new, ["file_hash"], ["written"])
 
 

@@ -129,7 +129,7 @@ ORACLES = {
     "quality_report": f"""WITH {T.LEDGER_SQL},
         judged AS (SELECT week_id, CASE WHEN k % 3 = 0 THEN CASE WHEN date IS NULL THEN 'none' WHEN k % 2 = 0 THEN 'model' ELSE 'regex' END
                    WHEN k % 7 IN (0, 1, 6) THEN 'model' WHEN date IS NULL THEN 'none' ELSE 'regex' END AS date_source FROM ledger)
-        SELECT week_id, date_source, count(*) AS n_rows, count_if(date_source = 'none') AS no_date,
+        SELECT week_id, date_source, count(*) AS n_rows, CAST(count_if(date_source = 'none') AS BIGINT) AS no_date,
                CAST(0 AS BIGINT) AS no_vendor, CAST(0 AS BIGINT) AS no_amount FROM judged GROUP BY ALL""",
     "line_items": f"""WITH {_numbered('week_id')} SELECT week_id, month, item, {_PAGE} AS page_in_month, date,
         left(vendor, 28) AS shown_vendor, left(category, 18) AS shown_category, '$' || format('{{:,.2f}}', amount) AS shown_amount, source_file

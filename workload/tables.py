@@ -9,11 +9,11 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import (
-    fingerprint, fixed2, is_document, source_file, week_label,
+    Sql, fingerprint, fixed2, is_document, quote, source_file, string_array, week_label,
 )
 from ledgerloom.operators.routing import position
 from ledgerloom.rules import Rules, rules_from_dict
@@ -49,55 +49,47 @@ def rules() -> Rules:
     return rules_from_dict(json.loads(Path(RULES_PATH).read_text(encoding="utf-8")))
 
 
-def _pick(values: list[str | None], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+def _pick(values: list[str | None], n: int) -> Sql:
+    return f"{string_array(values)}[CAST(k % {n} AS INT)]"
 
 
 def receipts_from_orders(orders: DataFrame) -> DataFrame:
     """One receipt text per order, and a second copy of every twentieth. A map: no shuffle."""
-    k, day, price = F.col("o_orderkey"), F.col("o_orderdate").cast("date"), F.col("o_totalprice")
-    late = F.dayofmonth(day) > 12
-    date_text = (
-        F.when(k % 50 == 24, F.concat(F.year(day).cast("string"), F.lit("-13-40")))
-        .when(k % 5 == 0, F.date_format(day, "yyyy-MM-dd"))
-        .when(k % 5 == 1, F.date_format(day, "yyyy/M/d"))
-        .when(k % 5 == 2, F.date_format(day, "MM/dd/yyyy"))
-        .when(k % 5 == 3, F.date_format(day, "MMMM d, yyyy"))
-        .when(late, F.date_format(day, "dd-MM-yyyy"))
-        .otherwise(F.date_format(day, "MM-dd-yyyy"))
+    date_text = """CASE
+        WHEN k % 50 = 24 THEN concat(year(d), '-13-40')
+        WHEN k % 5 = 0 THEN date_format(d, 'yyyy-MM-dd')
+        WHEN k % 5 = 1 THEN date_format(d, 'yyyy/M/d')
+        WHEN k % 5 = 2 THEN date_format(d, 'MM/dd/yyyy')
+        WHEN k % 5 = 3 THEN date_format(d, 'MMMM d, yyyy')
+        WHEN dayofmonth(d) > 12 THEN date_format(d, 'dd-MM-yyyy')
+        ELSE date_format(d, 'MM-dd-yyyy') END"""
+    text = f"""concat_ws('\\n',
+        IF(k % 4 = 0, concat('{HEADERS[0]}', k), {_pick(HEADERS, 4)}),
+        {_pick([v[0] for v in VENDORS], 12)},
+        '12 Main Street Suite 4',
+        IF(k % 50 <> 49, concat('Date: ', {date_text}), NULL),
+        concat(1 + k % 3, ' x ', p),
+        concat('1 x status ', s),
+        IF(k % 40 = 7, concat('TOTAL ', {fixed2('a')}), concat({_pick(TOTALS, 4)}, format_number(a, 2))),
+        IF(copy = 1, 'COPY', NULL))"""
+    padded = "lpad(CAST(k AS STRING), 10, '0')"
+    name = f"IF(copy = 1, concat('s', {padded}, '.pdf'), concat('r', {padded}, {_pick(SUFFIXES, 4)}))"
+    shifted = "date_add(d, IF(copy = 1 AND k % 40 <> 0, 7, 0))"
+    return (
+        orders.selectExpr(
+            "o_orderkey AS k", "CAST(o_orderdate AS DATE) AS d", "o_totalprice AS a",
+            "o_orderpriority AS p", "o_orderstatus AS s",
+            "explode(IF(o_orderkey % 20 = 0, array(0, 1), array(0))) AS copy")
+        .selectExpr(
+            "k", "copy", f"{name} AS file_name", "IF(k % 10 = 3, 'processed', 'incoming') AS origin",
+            f"{week_label(shifted)} AS week_id", f"{text} AS text",
+            "CASE WHEN k % 50 NOT IN (24, 49) THEN date_format(d, 'yyyy-MM-dd') END AS true_date",
+            "IF(k % 40 = 7, CAST(left(CAST(CAST(floor(a) AS BIGINT) AS STRING), 3) AS DOUBLE), a) AS true_amount",
+            f"{_pick([v[1] for v in VENDORS], 12)} AS true_vendor",
+            f"{_pick([v[2] for v in VENDORS], 12)} AS true_category",
+            f"{_pick([v[3] for v in VENDORS], 12)} AS true_matcher")
+        .selectExpr("*", "sha1(text) AS sha1", f"{position('file_name', 'origin', quote(''))} AS seq")
     )
-    total = F.when(k % 40 == 7, F.concat(F.lit("TOTAL "), fixed2(price))).otherwise(
-        F.concat(_pick(TOTALS, k % 4), F.format_number(price, 2)))
-    header = F.when(k % 4 == 0, F.concat(F.lit(HEADERS[0]), k.cast("string"))).otherwise(
-        _pick(HEADERS, k % 4))
-    text = F.concat_ws(
-        "\n", header, _pick([v[0] for v in VENDORS], k % 12), F.lit("12 Main Street Suite 4"),
-        F.when(k % 50 != 49, F.concat(F.lit("Date: "), date_text)),
-        F.concat((1 + k % 3).cast("string"), F.lit(" x "), F.col("o_orderpriority")),
-        F.concat(F.lit("1 x status "), F.col("o_orderstatus")),
-        total, F.when(F.col("copy") == 1, F.lit("COPY")),
-    )
-    padded = F.lpad(k.cast("string"), 10, "0")
-    name = F.when(F.col("copy") == 1, F.concat(F.lit("s"), padded, F.lit(".pdf"))).otherwise(
-        F.concat(F.lit("r"), padded, _pick(SUFFIXES, k % 4)))
-    copies = F.when(k % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    shift = F.when((F.col("copy") == 1) & (k % 40 != 0), 7).otherwise(0)
-    whole = F.floor(price).cast("bigint").cast("string")
-    rows = orders.withColumn("copy", F.explode(copies)).select(
-        k.alias("k"), "copy", name.alias("file_name"),
-        F.when(k % 10 == 3, F.lit("processed")).otherwise(F.lit("incoming")).alias("origin"),
-        week_label(F.date_add(day, shift)).alias("week_id"),
-        text.alias("text"),
-        F.when(~(k % 50).isin(24, 49), F.date_format(day, "yyyy-MM-dd")).alias("true_date"),
-        F.when(k % 40 == 7, F.substring(whole, 1, 3).cast("double")).otherwise(price).alias("true_amount"),
-        _pick([v[1] for v in VENDORS], k % 12).alias("true_vendor"),
-        _pick([v[2] for v in VENDORS], k % 12).alias("true_category"),
-        _pick([v[3] for v in VENDORS], k % 12).alias("true_matcher"),
-    )
-    return rows.withColumns({
-        "sha1": F.sha1("text"),
-        "seq": position(F.col("file_name"), F.col("origin"), F.lit("")),
-    })
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,81 +98,63 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows with the true values, of the receipts that are documents."""
-    return receipts(spark, sf_dir).filter(is_document(F.col("file_name"))).select(
-        "k", "copy", "week_id", "file_name", "origin", "seq",
-        F.col("true_date").alias("date"), F.col("true_vendor").alias("vendor"),
-        F.col("true_amount").alias("amount"), F.col("true_category").alias("category"),
-        F.col("true_matcher").alias("matcher"), F.lit("").alias("notes"),
-        source_file(F.col("file_name")).alias("source_file"), "sha1",
+    return receipts(spark, sf_dir).filter(is_document("file_name")).selectExpr(
+        "k", "copy", "week_id", "file_name", "origin", "seq", "true_date AS date", "true_vendor AS vendor",
+        "true_amount AS amount", "true_category AS category", "true_matcher AS matcher", "'' AS notes",
+        f"{source_file('file_name')} AS source_file", "sha1",
     )
 
 
 def raw_answers(rows: DataFrame) -> DataFrame:
     """(k, copy, file_hash, response): seven kinds of model response, by k % 7."""
-    k = F.col("k")
-    name = F.concat(F.col("true_vendor"), F.lit(" Ltd"))
-    body = F.to_json(F.struct(
-        name.alias("vendor"), F.lit("2002-02-02").alias("date"),
-        F.when(k % 7 == 6, F.upper("true_category")).otherwise(F.col("true_category")).alias("category"),
-        F.when(k % 7 == 2, F.lit(0.2)).otherwise(F.lit(0.95)).alias("confidence"),
-        F.lit("read from the header").alias("reasoning"),
-    ))
-    response = (
-        F.when(k % 7 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(k % 7 == 3, F.lit('{"vendor": null, "confidence": 0.9}'))
-        .when(k % 7 == 4, F.concat(F.lit('{"vendor": '), k.cast("string"), F.lit("}")))
-        .when(k % 7 == 5, F.concat(F.lit("The vendor is "), name))
-        .otherwise(body)
-    )
-    return rows.select("k", "copy", F.col("sha1").alias("file_hash"), response.alias("response"))
+    body = """to_json(named_struct('vendor', concat(true_vendor, ' Ltd'), 'date', '2002-02-02',
+        'category', IF(k % 7 = 6, upper(true_category), true_category),
+        'confidence', IF(k % 7 = 2, 0.2D, 0.95D), 'reasoning', 'read from the header'))"""
+    response = f"""CASE k % 7
+        WHEN 1 THEN concat('```json\\n', {body}, '\\n```')
+        WHEN 3 THEN '{{"vendor": null, "confidence": 0.9}}'
+        WHEN 4 THEN concat('{{"vendor": ', k, '}}')
+        WHEN 5 THEN concat('The vendor is ', true_vendor)
+        ELSE {body} END"""
+    return rows.selectExpr("k", "copy", "sha1 AS file_hash", f"{response} AS response")
 
 
 def cache(rows: DataFrame) -> DataFrame:
     """Cached answers of the receipts with k % 3 = 0."""
-    return rows.filter(F.col("k") % 3 == 0).select(
-        F.col("sha1").alias("file_hash"),
-        F.concat(F.col("true_vendor"), F.lit(" Cached")).alias("vendor"),
-        F.col("true_date").alias("date"), F.col("true_category").alias("category"),
-        F.when(F.col("k") % 2 == 0, F.lit(0.95)).otherwise(F.lit(0.2)).alias("confidence"),
-        F.lit("stored").alias("reasoning"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("cached_at"),
+    return rows.filter("k % 3 = 0").selectExpr(
+        "sha1 AS file_hash", "concat(true_vendor, ' Cached') AS vendor", "true_date AS date",
+        "true_category AS category", "IF(k % 2 = 0, 0.95D, 0.2D) AS confidence", "'stored' AS reasoning",
+        "TIMESTAMP '2024-01-01 00:00:00' AS cached_at",
     )
 
 
 def registered(rows: DataFrame) -> DataFrame:
     """Registry: every first copy, and the second copies with k % 60 = 0."""
-    kept = rows.filter((F.col("copy") == 0) | (F.col("k") % 60 == 0))
-    return kept.select(
-        fingerprint(F.col("date"), F.col("vendor"), F.col("amount")).alias("fingerprint"),
-        F.col("sha1").alias("file_hash"), "week_id", "date", "vendor", "amount", "source_file", "seq",
+    return rows.filter("copy = 0 OR k % 60 = 0").selectExpr(
+        f"{fingerprint('date', 'vendor', 'amount')} AS fingerprint", "sha1 AS file_hash",
+        "week_id", "date", "vendor", "amount", "source_file", "seq",
     )
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts: every fifth conversation is blank."""
-    talk = load(spark, sf_dir, "conversations")
-    return talk.select(
-        F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"),
-        F.when(F.col("conv_id") % 5 == 0, F.lit(" \n\t")).otherwise(F.col("text")).alias("text"),
-    )
+    return load(spark, sf_dir, "conversations").selectExpr(
+        "conv_id AS doc", "turn AS page_no", "IF(conv_id % 5 = 0, ' \\n\\t', text) AS text")
 
 
 def file_pages(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Page count per file: an order's line items stand for the pages of its first copy."""
     counted = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.count(F.lit(1)).alias("pages"))
-    return rows.filter(F.col("copy") == 0).select("k", "week_id", "source_file", "seq").join(counted, "k").drop("k")
+        F.expr("count(1) AS pages"))
+    return rows.filter("copy = 0").select("k", "week_id", "source_file", "seq").join(counted, "k").drop("k")
 
 
 def purchases_from_events(events: DataFrame) -> DataFrame:
     """Coarse purchases, so that fingerprints repeat: (event_id, ts, fingerprint, sha1)."""
-    amount = F.floor(F.col("value") / 5) * 5
-    return events.filter(F.col("event_type") == "purchase").select(
-        "event_id", "ts",
-        fingerprint(F.date_format("ts", "yyyy-MM-dd"), (F.col("user_id") % 10).cast("string"),
-                    amount.cast("double")).alias("fingerprint"),
-        F.sha1(F.col("event_id").cast("string")).alias("sha1"),
-    )
+    identity = fingerprint("date_format(ts, 'yyyy-MM-dd')", "CAST(user_id % 10 AS STRING)",
+                           "floor(value / 5) * 5")
+    return events.filter("event_type = 'purchase'").selectExpr(
+        "event_id", "ts", f"{identity} AS fingerprint", "sha1(CAST(event_id AS STRING)) AS sha1")
 
 
 # --- the same in SQL ----------------------------------------------------------

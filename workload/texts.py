@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import fingerprint, let, lines, money, slug, week_label
+from ledgerloom.functions.text import fingerprint, let, lines, money, quote, slug, week_label
 from ledgerloom.operators import extract, lookup
 from ledgerloom.rules import Condition, Matcher, Rules
 from workload import tables as T
@@ -17,53 +17,52 @@ DOC_RULES = Rules(
         Matcher("Harsh", "Negative", any=(Condition(text_re="worthless|terrible|awful"),)),
         Matcher("Mail", "Contact", all=(Condition(text_re="[a-z0-9]+@[a-z0-9]+"), Condition(text_re="the"))),
         Matcher("Odd source", "Other", any=(Condition(vendor_re="src1[0-9]"),), all=(Condition(text_re="un[ae]? "),)),
-        Matcher("English", "", any=(Condition(vendor_re="^src[0-4]$", text_re="ing the "),)),
+        Matcher("English", "Plain", any=(Condition(vendor_re="^src[0-4]$", text_re="ing the "),)),
     ),
 )
 
 
-def _receipts(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
-    return T.receipts(spark, sf_dir).select("k", "copy", *[c.alias(n) for n, c in columns.items()])
+def _receipts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return T.receipts(spark, sf_dir).selectExpr("k", "copy", *columns)
 
 
 def extract_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _receipts(spark, sf_dir, date=extract.date_of(F.col("text")))
+    return _receipts(spark, sf_dir, f"{extract.date_of('text')} AS date")
 
 
 def extract_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _receipts(spark, sf_dir, amount=extract.amount_of(F.col("text")))
+    return _receipts(spark, sf_dir, f"{extract.amount_of('text')} AS amount")
 
 
 def vendor_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _receipts(spark, sf_dir, vendor=extract.hint_vendor(F.col("text"), T.rules()))
+    return _receipts(spark, sf_dir, f"{extract.hint_vendor('text', T.rules())} AS vendor")
 
 
 def vendor_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _receipts(spark, sf_dir, vendor=extract.pattern_vendor(F.col("text"), T.rules()))
+    return _receipts(spark, sf_dir, f"{extract.pattern_vendor('text', T.rules())} AS vendor")
 
 
 def extract_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _receipts(spark, sf_dir, vendor=extract.vendor_of(F.col("text"), T.rules()))
+    return _receipts(spark, sf_dir, f"{extract.vendor_of('text', T.rules())} AS vendor")
 
 
 def vendor_line_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best vendor line of every document with its score, and the last-resort line."""
-    found = let(lines(F.col("text")), lambda ls: F.struct(
-        extract.best_line(ls, Rules()).alias("best"),
-        extract.last_resort_line(ls, Rules()).alias("last_resort")))
-    return T.load(spark, sf_dir, "documents").select("doc_id", found.alias("found")).select(
-        "doc_id", F.col("found.best.score").cast("bigint").alias("score"),
-        F.col("found.best.line").alias("best_line"), F.col("found.last_resort").alias("last_resort"))
+    found = let("ls", lines("text"), f"named_struct('best', {extract.best_line('ls', Rules())}, "
+                f"'last_resort', {extract.last_resort_line('ls', Rules())})")
+    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", f"{found} AS found").selectExpr(
+        "doc_id", "CAST(found.best.score AS BIGINT) AS score", "found.best.line AS best_line",
+        "found.last_resort AS last_resort")
 
 
 def categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = extract.categorize(F.col("true_vendor"), F.col("text"), T.rules())
-    return _receipts(spark, sf_dir, verdict=verdict).select("k", "copy", "verdict.category", "verdict.matcher")
+    verdict = extract.categorize("true_vendor", "text", T.rules())
+    return _receipts(spark, sf_dir, f"{verdict} AS verdict").select("k", "copy", "verdict.category", "verdict.matcher")
 
 
 def categorize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = extract.categorize(F.col("source"), F.col("text"), DOC_RULES)
-    return T.load(spark, sf_dir, "documents").select("doc_id", verdict.alias("v")).select(
+    verdict = extract.categorize("source", "text", DOC_RULES)
+    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", f"{verdict} AS v").select(
         "doc_id", "v.category", "v.matcher")
 
 
@@ -79,15 +78,13 @@ def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
         for kind, group in (("any", m.any), ("all", m.all))
         for i, c in enumerate(group)
     ]
-    hits = [F.count_if(extract.condition_hits(F.col("source"), F.col("text"), c[4])).alias(f"c{n}")
+    hits = [F.expr(f"count_if({extract.condition_hits('source', 'text', c[4])}) AS c{n}")
             for n, c in enumerate(conditions)]
-    table = F.array(*[
-        F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("name"), F.lit(kind).alias("kind"),
-                 F.lit(i).alias("condition"), F.lit(c.vendor_re).cast("string").alias("vendor_re"),
-                 F.lit(c.text_re).cast("string").alias("text_re"), F.col(f"c{n}").alias("hits"))
-        for n, (pos, name, kind, i, c) in enumerate(conditions)
-    ])
-    return T.load(spark, sf_dir, "documents").agg(*hits).select(F.inline(table))
+    table = ", ".join(
+        f"named_struct('pos', {pos}, 'name', {quote(name)}, 'kind', '{kind}', 'condition', {i}, "
+        f"'vendor_re', {quote(c.vendor_re)}, 'text_re', {quote(c.text_re)}, 'hits', c{n})"
+        for n, (pos, name, kind, i, c) in enumerate(conditions))
+    return T.load(spark, sf_dir, "documents").agg(*hits).selectExpr(f"inline(array({table}))")
 
 
 def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,31 +97,30 @@ def hint_join_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hint_join(spark: SparkSession, sf_dir: str, inline_limit: int) -> DataFrame:
-    hints = T.load(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("pos"), F.substring("text", 1, 12).alias("pattern"),
-        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("vendor"))
+    hints = T.load(spark, sf_dir, "benchmark").selectExpr(
+        "item_id AS pos", "left(text, 12) AS pattern", "concat('item ', item_id) AS vendor")
     texts = T.load(spark, sf_dir, "documents").select("doc_id", "text")
     return lookup.first_hint(texts, hints, "doc_id", inline_limit=inline_limit)
 
 
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.concat_ws(" / ", F.lit(""), "p_type", "p_brand", F.concat("p_name", F.lit(" #!")))
-    return T.load(spark, sf_dir, "part").select("p_partkey", slug(label).alias("slug"))
+    label = "concat_ws(' / ', '', p_type, p_brand, concat(p_name, ' #!'))"
+    return T.load(spark, sf_dir, "part").selectExpr("p_partkey", f"{slug(label)} AS slug")
 
 
 def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.load(spark, sf_dir, "orders").select("o_orderkey", money(F.col("o_totalprice")).alias("shown"))
+    return T.load(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{money('o_totalprice')} AS shown")
 
 
 def week_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.load(spark, sf_dir, "orders").select(
-        "o_orderkey", week_label(F.col("o_orderdate").cast("date")).alias("week_id"))
+    return T.load(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"{week_label('CAST(o_orderdate AS DATE)')} AS week_id")
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vendor = F.concat(F.lit("  Customer#"), F.col("o_custkey").cast("string"), F.lit(" "))
-    return T.load(spark, sf_dir, "orders").select("o_orderkey", fingerprint(
-        F.date_format("o_orderdate", "yyyy-MM-dd"), vendor, F.col("o_totalprice")).alias("fingerprint"))
+    identity = fingerprint("date_format(o_orderdate, 'yyyy-MM-dd')",
+                           "concat('  Customer#', o_custkey, ' ')", "o_totalprice")
+    return T.load(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{identity} AS fingerprint")
 
 
 QUERIES = {
@@ -211,7 +207,7 @@ ORACLES = {
     "categorize_documents": f"""SELECT doc_id,
         CASE WHEN {_HITS['licence']} OR {_HITS['copyright']} THEN 'Legal' WHEN {_HITS['harsh']} THEN 'Negative'
              WHEN {_HITS['mail']} AND {_HITS['the']} THEN 'Contact' WHEN {_HITS['source']} AND {_HITS['un']} THEN 'Other'
-             ELSE 'Uncategorized' END AS category,
+             WHEN {_HITS['english']} THEN 'Plain' ELSE 'Uncategorized' END AS category,
         CASE WHEN {_HITS['licence']} OR {_HITS['copyright']} THEN 'Licence' WHEN {_HITS['harsh']} THEN 'Harsh'
              WHEN {_HITS['mail']} AND {_HITS['the']} THEN 'Mail' WHEN {_HITS['source']} AND {_HITS['un']} THEN 'Odd source'
              WHEN {_HITS['english']} THEN 'English' END AS matcher
