@@ -18,6 +18,18 @@ AS_WRITTEN = "(?dU)"
 NO_TEXT = "CAST(NULL AS STRING)"
 
 
+def _guarded(pattern: str) -> str:
+    """The same pattern with a cheap look ahead where it opens with a word boundary.
+
+    The Unicode word test costs far more than all the rest of a pattern, so places
+    that do not hold the right first character are ruled out before it.
+    """
+    for opening in ("[0-9]", "[A-Za-z]"):
+        if pattern.startswith(r"\b(" + opening):
+            return f"(?={opening}){pattern}"
+    return pattern
+
+
 # --- date -------------------------------------------------------------------
 
 def _iso_date(y: Sql, m: Sql, d: Sql) -> Sql:
@@ -29,7 +41,7 @@ def _iso_date(y: Sql, m: Sql, d: Sql) -> Sql:
 
 
 def _numbers(match: Sql) -> Sql:
-    return f"transform(split({match}, '[-/]'), p -> CAST(p AS INT))"
+    return f"transform(split(translate({match}, '/', '-'), '-'), p -> CAST(p AS INT))"
 
 
 _YEAR_FIRST = let("n", _numbers("m"), _iso_date("n[0]", "n[1]", "n[2]"))
@@ -40,7 +52,7 @@ _YEAR_LAST = let("n", _numbers("m"), _iso_date(
     "CASE WHEN n[0] > 12 AND n[1] <= 12 THEN n[0] ELSE n[1] END",
 ))
 
-_MONTH_NAME = let("n", f"split(m, {quote('(?U)[\\s,]+')})", _iso_date(
+_MONTH_NAME = let("n", f"split(regexp_replace(m, {quote('(?U)[\\s,]+')}, ','), ',')", _iso_date(
     "CAST(n[2] AS INT)",
     f"array_position({string_array(P.MONTHS)}, lower(substring(n[0], 1, 3)))",
     "CAST(n[1] AS INT)",
@@ -50,7 +62,7 @@ _MONTH_NAME = let("n", f"split(m, {quote('(?U)[\\s,]+')})", _iso_date(
 def date_of(text: Sql) -> Sql:
     """First valid date: year-first forms, then year-last forms, then month names."""
     def first_valid(pattern: str, reader: Sql) -> Sql:
-        found = f"regexp_extract_all({text}, {quote(IGNORE_CASE + pattern)}, 0)"
+        found = f"regexp_extract_all({text}, {quote(IGNORE_CASE + _guarded(pattern))}, 0)"
         return f"get(filter(transform({found}, m -> {reader}), iso -> iso IS NOT NULL), 0)"
 
     return "coalesce({}, {}, {})".format(
@@ -65,7 +77,7 @@ def date_of(text: Sql) -> Sql:
 def amount_of(text: Sql, candidate_limit: int = P.AMOUNT_CANDIDATES) -> Sql:
     """Largest of the first candidates, labelled amounts coming first."""
     found = ", ".join(
-        f"regexp_extract_all({text}, {quote(EVERY_LINE + p)}, 1)" for p in P.AMOUNT_PATTERNS)
+        f"regexp_extract_all({text}, {quote(EVERY_LINE + _guarded(p))}, 1)" for p in P.AMOUNT_PATTERNS)
     values = f"transform(concat({found}), a -> {amount_from_text('a')})"
     return f"array_max(slice(filter({values}, v -> v > 0), 1, {int(candidate_limit)}))"
 

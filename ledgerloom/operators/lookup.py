@@ -67,9 +67,9 @@ def _first_hint_joined(texts: DataFrame, hints: DataFrame, key: str, text: str)
     if not width:
         raise ValueError("an empty hint in a large hint table would match every text")
     low = texts.selectExpr(key, f"lower({text}) AS __low")
-    pieces = f"transform(sequence(1, length(__low) - {width - 1}), i -> substring(__low, i, {width}))"
-    anchors = low.filter(f"length(__low) >= {width}").selectExpr(
-        key, f"explode(array_distinct({pieces})) AS anchor")
+    # A look-ahead yields the piece at every position in one pass over the text.
+    pieces = f"regexp_extract_all(__low, '(?s)(?=(.{{{width}}}))', 1)"
+    anchors = low.selectExpr(key, f"explode(array_distinct({pieces})) AS anchor")
     keyed = needles.withColumn("anchor", F.substring("needle", 1, width))
     candidates = anchors.join(keyed, "anchor").select(key, "pos", "needle", "vendor")
     found = (

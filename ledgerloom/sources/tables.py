@@ -87,7 +87,7 @@ class StateTable:
     # --- writing ---
 
     def _columns(self) -> list[str]:
-        return self.spark.createDataFrame([], self.schema).columns
+        return [field.strip().split(" ")[0] for field in self.schema.split(",")]
 
     def upsert(self, rows: DataFrame, batch_id: str) -> None:
         """Insert or replace. The same batch id is written once only."""

@@ -25,7 +25,7 @@ def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for the documents table, whose copies share one, against a cache of every third."""
-    docs = T.load(spark, sf_dir, "documents").selectExpr("doc_id", "text", "sha1(text) AS sha1")
+    docs = T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", "text", "sha1(text) AS sha1")
     cache = docs.filter("doc_id % 3 = 0").selectExpr("sha1 AS file_hash")
     return A.requests(docs, cache, T.rules())
 
@@ -58,7 +58,7 @@ def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents put between fences, with a second fenced part after some prose."""
     fenced = ("IF(doc_id % 3 = 0, text, concat('```text\\n', text, '\\n```\\nprose\\n```\\n', source, '\\n```'))"
               " AS fenced")
-    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", fenced).selectExpr(
+    return T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", fenced).selectExpr(
         "doc_id", f"{A.strip_fences('fenced')} AS kept")
 
 

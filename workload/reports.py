@@ -69,9 +69,9 @@ def link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows, with quotes, commas and line breaks in the notes, through the CSV export."""
-    notes = F.concat(F.lit('say "'), F.col("vendor"), F.lit('", line\nbreak, '), F.col("file_name"))
+    notes = """concat('say "', vendor, '", line\\nbreak, ', file_name)"""
     path = new_folder(spark, "csv")
-    write_csv(T.ledger(spark, sf_dir).withColumn("notes", notes), path)
+    write_csv(_by_year(spark, sf_dir).withColumn("notes", F.expr(notes)), path)
     return read_csv(spark, path)
 
 
@@ -142,5 +142,5 @@ ORACLES = {
         SELECT n.week_id, n.month, n.item, n.source_file, CAST(m.first_page + {_PAGE} AS BIGINT) AS list_page, CAST(t.target_page AS BIGINT) AS target_page
         FROM numbered n JOIN months m USING (week_id, month) JOIN targets t USING (week_id, source_file)""",
     "csv_roundtrip": f"""WITH {T.LEDGER_SQL} SELECT date, vendor, amount, category, matcher,
-        'say "' || vendor || '", line' || chr(10) || 'break, ' || file_name AS notes, source_file, sha1, week_id FROM ledger""",
+        'say "' || vendor || '", line' || chr(10) || 'break, ' || file_name AS notes, source_file, sha1, left(week_id, 4) AS week_id FROM ledger""",
 }

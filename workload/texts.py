@@ -50,7 +50,7 @@ def vendor_line_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best vendor line of every document with its score, and the last-resort line."""
     found = let("ls", lines("text"), f"named_struct('best', {extract.best_line('ls', Rules())}, "
                 f"'last_resort', {extract.last_resort_line('ls', Rules())})")
-    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", f"{found} AS found").selectExpr(
+    return T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", f"{found} AS found").selectExpr(
         "doc_id", "CAST(found.best.score AS BIGINT) AS score", "found.best.line AS best_line",
         "found.last_resort AS last_resort")
 
@@ -62,7 +62,7 @@ def categorize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def categorize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = extract.categorize("source", "text", DOC_RULES)
-    return T.load(spark, sf_dir, "documents").selectExpr("doc_id", f"{verdict} AS v").select(
+    return T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", f"{verdict} AS v").select(
         "doc_id", "v.category", "v.matcher")
 
 
@@ -84,7 +84,7 @@ def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"named_struct('pos', {pos}, 'name', {quote(name)}, 'kind', '{kind}', 'condition', {i}, "
         f"'vendor_re', {quote(c.vendor_re)}, 'text_re', {quote(c.text_re)}, 'hits', c{n})"
         for n, (pos, name, kind, i, c) in enumerate(conditions))
-    return T.load(spark, sf_dir, "documents").agg(*hits).selectExpr(f"inline(array({table}))")
+    return T.load_spread(spark, sf_dir, "documents").agg(*hits).selectExpr(f"inline(array({table}))")
 
 
 def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def hint_join_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hint_join(spark: SparkSession, sf_dir: str, inline_limit: int) -> DataFrame:
     hints = T.load(spark, sf_dir, "benchmark").selectExpr(
         "item_id AS pos", "left(text, 12) AS pattern", "concat('item ', item_id) AS vendor")
-    texts = T.load(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = T.load_spread(spark, sf_dir, "documents").select("doc_id", "text")
     return lookup.first_hint(texts, hints, "doc_id", inline_limit=inline_limit)
 
 
