@@ -41,6 +41,7 @@ SKIP_LINE_PATTERNS = [
 
 # What Python's str.splitlines splits on, and what str.strip removes.
 LINE_BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+LINE_BREAK_CLASS = r"[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 BLANKS = (
     "\t\x1f \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u202f\u205f\u3000"

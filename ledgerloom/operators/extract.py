@@ -6,6 +6,8 @@ scan, with no Python worker and no shuffle. Functions take and return SQL text.
 
 from __future__ import annotations
 
+import re
+
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions.text import Sql, amount_from_text, let, lines, quote, string_array
 from ledgerloom.rules import Condition, Matcher, Rules
@@ -19,14 +21,18 @@ NO_TEXT = "CAST(NULL AS STRING)"
 
 
 def _guarded(pattern: str) -> str:
-    """The same pattern with a cheap look ahead where it opens with a word boundary.
+    """The same pattern behind a cheap look ahead at its first character.
 
-    The Unicode word test costs far more than all the rest of a pattern, so places
-    that do not hold the right first character are ruled out before it.
+    Most places of a text are ruled out before the costly parts: the Unicode word
+    boundary, or the list of labels.
     """
     for opening in ("[0-9]", "[A-Za-z]"):
         if pattern.startswith(r"\b(" + opening):
             return f"(?={opening}){pattern}"
+    labels = re.match(r"\(\?:([a-z][^()]*)\)", pattern)
+    if labels:
+        initials = "".join(sorted({label[0] for label in labels[1].split("|")}))
+        return f"(?=[{initials}]){pattern}"
     return pattern
 
 
@@ -113,14 +119,14 @@ def _is_skipped(line: Sql) -> Sql:
     return f"{line} RLIKE {quote(pattern)}"
 
 
-def _count(line: Sql, kept: str) -> Sql:
-    return f"length(regexp_replace({line}, {quote(f'[^{kept}]')}, ''))"
+def _count(line: Sql, chars: str) -> Sql:
+    return f"length({line}) - length(regexp_replace({line}, {quote(f'[{chars}]+')}, ''))"
 
 
 def _scored(line: Sql, position: Sql, rules: Rules) -> Sql:
     """(score, earlier, line) of a line that may name the vendor, else NULL."""
     counts = (f"named_struct('size', length({line}), 'letters', {_count(line, r'\p{L}')}, "
-              f"'digits', {_count(line, r'\p{Nd}' + P.DIGIT_SIGNS)}, 'spaces', {_count(line, ' ')})")
+              f"'digits', {_count(line, r'\p{Nd}' + P.DIGIT_SIGNS)}, 'spaces', length({line}) - length(replace({line}, ' ', '')))")
     score = (
         f"100 - 3 * {position}"
         f" + IF(upper({line}) = {line} AND c.size BETWEEN 3 AND 40, 50, 0)"

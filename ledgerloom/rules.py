@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.schemas import RULES_SCHEMA, UNCATEGORIZED
 
@@ -82,9 +83,13 @@ def rules_from_dict(raw: dict[str, Any]) -> Rules:
 def load_rules(spark: SparkSession, path: str) -> Rules:
     """Read a rules file; a missing file means no rules."""
     try:
-        row = spark.read.schema(RULES_SCHEMA).option("multiLine", True).json(path).first()
+        # As entries, since a map reaches Python without its order.
+        row = spark.read.schema(RULES_SCHEMA).option("multiLine", True).json(path).withColumn(
+            "vendor_hints", F.map_entries("vendor_hints")).first()
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in (err.getCondition() or ""):
             return Rules()
         raise
-    return rules_from_dict(row.asDict(recursive=True) if row else {})
+    raw = row.asDict(recursive=True) if row else {}
+    hints = raw.get("vendor_hints") or []
+    return rules_from_dict({**raw, "vendor_hints": {h["key"]: h["value"] for h in hints}})
