@@ -25,18 +25,24 @@ def _all_missing() -> Column:
 
 
 def in_batch(batch: DataFrame, order: list[str], rows_per_task: int = ROWS_PER_TASK,
-             ignore_empty: bool = False) -> DataFrame:
+             ignore_empty: bool = False, scope: str = "week") -> DataFrame:
     """Rows whose previous row of the same receipt in the batch is another file.
 
     `batch` has week_id, fingerprint and the ledger columns; `order` is the
-    processing order and must be unique inside a week. Each week is one batch.
+    processing order and must be unique inside a week. With scope="week" each week
+    is a batch of its own; with scope="run" all rows are one batch, week after week.
     """
     rows = batch.filter(~_all_missing()) if ignore_empty else batch
-    by = Ordering(("week_id", "fingerprint"), tuple(order), rows_per_task)
-    seen = with_previous(rows, by, ["sha1", "source_file"], "__previous")
+    if scope == "week":
+        by = Ordering(("week_id", "fingerprint"), tuple(order), rows_per_task)
+    elif scope == "run":
+        by = Ordering(("fingerprint",), ("week_id", *order), rows_per_task)
+    else:
+        raise ValueError("scope is 'week' or 'run'")
+    seen = with_previous(rows, by, ["sha1", "source_file", "week_id"], "__previous")
     other_file = seen.filter("__previous IS NOT NULL AND NOT __previous.sha1 <=> sha1")
     return other_file.selectExpr(
-        *batch.columns, "week_id AS original_week", "date AS original_date", "vendor AS original_vendor",
+        *batch.columns, "__previous.week_id AS original_week", "date AS original_date", "vendor AS original_vendor",
         "amount AS original_amount", "__previous.source_file AS original_file", "'batch' AS kind")
 
 
@@ -90,8 +96,8 @@ def week_note(current: Sql, original: Sql) -> Sql:
 
 def report(batch: DataFrame, registry: DataFrame, batch_order: list[str],
            registry_order: list[str], match: str = "last", ignore_empty: bool = False,
-           rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+           rows_per_task: int = ROWS_PER_TASK, scope: str = "week") -> DataFrame:
     """Both kinds of duplicate; a row may appear once in each."""
-    found = in_batch(batch, batch_order, rows_per_task, ignore_empty).unionByName(
+    found = in_batch(batch, batch_order, rows_per_task, ignore_empty, scope).unionByName(
         across_weeks(batch, registry, registry_order, match, ignore_empty))
     return found.withColumn("seen_in", F.expr(week_note("week_id", "original_week")))

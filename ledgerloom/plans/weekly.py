@@ -86,9 +86,12 @@ class WeeklyLedger:
 
     def find_duplicates(self, rows: DataFrame, match: str = "last",
                         ignore_empty: bool = False) -> DataFrame:
-        """Duplicates of ledger rows; call before `register`, or rows meet themselves."""
+        """Duplicates of ledger rows; call before `register`, or rows meet themselves.
+
+        A run over several weeks also compares rows of different weeks.
+        """
         return dedup.report(dedup.with_fingerprint(rows), self.registry.read(), ["seq"],
-                            tables.REGISTRY_ORDER, match, ignore_empty)
+                            tables.REGISTRY_ORDER, match, ignore_empty, scope="run")
 
     def register(self, rows: DataFrame, batch_id: str) -> None:
         marked = dedup.with_fingerprint(rows).withColumnRenamed("sha1", "file_hash").withColumn(
