@@ -30,6 +30,15 @@ def let(name: str, value: Sql, body: Sql) -> Sql:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def keep_if(name: Sql, value: Sql, condition: Sql) -> Sql:
+    """A select item that keeps the row only if the condition on `name` holds.
+
+    A filter after a projection is pushed below it and computes a costly value
+    twice; a generator with no or one row computes it once.
+    """
+    return f"explode(filter(array({value}), {name} -> {condition})) AS {name}"
+
+
 def missing(c: Sql) -> Sql:
     return f"({c} IS NULL OR {c} = '')"
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import patterns as P
-from ledgerloom.functions.text import Sql, fixed2, let, missing, none_if_empty, quote, string_array, strip
+from ledgerloom.functions.text import (
+    Sql, fixed2, keep_if, let, missing, none_if_empty, quote, string_array, strip,
+)
 from ledgerloom.operators import extract
 from ledgerloom.operators.keyed import keep_first, keep_latest
 from ledgerloom.operators.lookup import cache_lookup, cache_misses
@@ -152,18 +154,19 @@ def disabled_answer() -> Sql:
 
 def split_rejects(answers: DataFrame, response: str = "response") -> tuple[DataFrame, DataFrame]:
     """(usable rows, rejected rows); both carry `error`, NULL on the usable ones."""
-    checked = answers.withColumn("error", F.expr(parse_error(response)))
-    return checked.filter("error IS NULL"), checked.filter("error IS NOT NULL")
+    def where(condition: Sql) -> DataFrame:
+        return answers.selectExpr("*", keep_if("error", parse_error(response), condition))
+
+    return where("error IS NULL"), where("error IS NOT NULL")
 
 
 # --- cache ------------------------------------------------------------------
 
 def cache_rows(answers: DataFrame, cache_all: bool = False) -> DataFrame:
     """Cache rows of new answers; weak ones are left out, as they would only block a retry."""
-    new = answers.filter("NOT answer.cached")
-    kept = new if cache_all else new.filter(f"answer.confidence >= {P.CONFIDENCE_FLOOR}D")
-    return kept.select("file_hash", "answer.vendor", "answer.date", "answer.category",
-                       "answer.confidence", "answer.reasoning")
+    strong = "true" if cache_all else f"a.confidence >= {P.CONFIDENCE_FLOOR}D"
+    return answers.selectExpr("file_hash", keep_if("a", "answer", f"NOT a.cached AND {strong}")).select(
+        "file_hash", *[f"a.{c}" for c in _ANSWER_FIELDS])
 
 
 # --- resolution -------------------------------------------------------------
@@ -186,35 +189,51 @@ def answer_label(answer: Sql) -> Sql:
     return f"concat('LLM (confidence: ', {shown}, ')', IF({answer}.cached, ' [cached]', ''))"
 
 
-def resolve(docs: DataFrame, rules: Rules) -> DataFrame:
-    """date, vendor, amount, category, matcher and provenance from `text` and `answer`.
+def read_texts(docs: DataFrame, rules: Rules) -> DataFrame:
+    """Replace `text` by `reading`: what the text alone says about the receipt.
+
+    This comes before the join with the answers, so that the join moves a few short
+    columns per document and never the text.
+    """
+    kept = [f"`{c}`" for c in docs.columns if c != "text"]
+    found = let("hit", extract.unhinted_vendor("text", rules), none_if_empty("hit"))
+    return (
+        docs.selectExpr("*", f"{extract.hint_vendor('text', rules)} AS __hint")
+        .selectExpr("*", f"coalesce(__hint, {found}) AS __vendor")
+        .selectExpr("*", f"CASE WHEN __vendor IS NOT NULL THEN "
+                         f"{extract.categorize('__vendor', 'text', rules)} END AS __verdict")
+        .selectExpr(*kept, "named_struct('hinted', __hint IS NOT NULL, 'vendor', __vendor, "
+                    "'category', __verdict.category, 'matcher', __verdict.matcher, "
+                    f"'date', {extract.date_of('text')}, 'amount', {extract.amount_of('text')}) AS reading")
+    )
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """date, vendor, amount, category, matcher and provenance from `answer` and `reading`.
 
     A confident answer is taken as it is. A missing vendor or a weak answer falls
     back to the text, dropping the answer's date. A hint found in the text always
     wins. The amount always comes from the text.
     """
-    kept = [f"`{c}`" for c in docs.columns if c != "answer"]
-    weak = f"{missing('answer.vendor')} OR coalesce(answer.confidence, 0D) < {P.CONFIDENCE_FLOOR}D"
-    found = let("hit", extract.unhinted_vendor("text", rules), none_if_empty("hit"))
-    model_date = f"CASE WHEN NOT __weak THEN {none_if_empty('answer.date')} END"
-    by_rule = "(__hint IS NOT NULL OR __found IS NOT NULL)"
+    kept = [f"`{c}`" for c in rows.columns if c not in ("answer", "reading")]
+    weak = f"({missing('answer.vendor')} OR coalesce(answer.confidence, 0D) < {P.CONFIDENCE_FLOOR}D)"
+    label = f"coalesce({none_if_empty('reading.matcher')}, IF(reading.hinted, 'Manual hint', 'Regex fallback'))"
     return (
-        docs.selectExpr("*", f"({weak}) AS __weak", f"{extract.hint_vendor('text', rules)} AS __hint")
-        .selectExpr("*", f"CASE WHEN __weak AND __hint IS NULL THEN {found} END AS __found")
-        .selectExpr("*", f"coalesce(__hint, __found, {none_if_empty('answer.vendor')}) AS vendor")
-        .selectExpr(
-            "*",
-            f"CASE WHEN {by_rule} THEN {extract.categorize('vendor', 'text', rules)} END AS __verdict",
-            f"{model_date} AS __model_date",
-            f"coalesce({model_date}, {extract.date_of('text')}) AS date",
-        )
+        rows.selectExpr(
+            "*", f"reading.vendor IS NOT NULL AND (reading.hinted OR {weak}) AS __by_text",
+            f"IF({weak}, NULL, {none_if_empty('answer.date')}) AS __model_date")
         .selectExpr(
-            *kept, "date", "vendor", f"{extract.amount_of('text')} AS amount",
-            f"CASE WHEN {by_rule} THEN __verdict.category "
-            f"ELSE coalesce(answer.category, {quote(UNCATEGORIZED)}) END AS category",
-            f"CASE WHEN {by_rule} THEN coalesce({none_if_empty('__verdict.matcher')}, "
-            f"IF(__hint IS NOT NULL, 'Manual hint', 'Regex fallback')) "
-            f"ELSE {answer_label('answer')} END AS matcher",
-            "CASE WHEN __model_date IS NOT NULL THEN 'model' WHEN date IS NOT NULL THEN 'regex' END AS date_source",
+            *kept, "coalesce(__model_date, reading.date) AS date",
+            f"IF(__by_text, reading.vendor, {none_if_empty('answer.vendor')}) AS vendor",
+            "reading.amount AS amount",
+            f"IF(__by_text, reading.category, coalesce(answer.category, {quote(UNCATEGORIZED)})) AS category",
+            f"IF(__by_text, {label}, {answer_label('answer')}) AS matcher",
+            "CASE WHEN __model_date IS NOT NULL THEN 'model' WHEN reading.date IS NOT NULL THEN 'regex' END "
+            "AS date_source",
         )
     )
+
+
+def resolve(docs: DataFrame, rules: Rules) -> DataFrame:
+    """Ledger values of documents that have both `text` and `answer`."""
+    return settle(read_texts(docs, rules))

@@ -77,9 +77,10 @@ def package_manifest(rows: DataFrame, file_pages: DataFrame, title_pages: int =
     """
     files = keep_first(file_pages, ["week_id", "source_file"], ["seq"]).select(
         "week_id", "source_file", "pages")
-    placed = _sortable(rows).join(files, ["week_id", "source_file"])
+    sortable = _sortable(rows)
+    placed = sortable.join(files, ["week_id", "source_file"])
     summed = with_running_sum(placed, Ordering(("week_id",), _SORT, rows_per_task),
-                              "pages", "__before", inclusive=False)
+                              "pages", "__before", inclusive=False, measured=sortable)
     return (
         summed.join(summary_pages(rows, title_pages), "week_id")
         .selectExpr("week_id", "source_file", "seq", "date", "vendor", "CAST(pages AS BIGINT) AS pages",

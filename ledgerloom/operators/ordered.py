@@ -104,12 +104,17 @@ def _slice_of(position: Sql) -> Sql:
     return f"IF({_CUTS} IS NULL, 0, {let('at', found, 'at.lo')})"
 
 
-def sliced(df: DataFrame, by: Ordering) -> DataFrame | None:
-    """`df` with a slice number per row, or None when every group fits one task."""
-    large = large_groups(df, by)
+def sliced(df: DataFrame, by: Ordering, measured: DataFrame | None = None) -> DataFrame | None:
+    """`df` with a slice number per row, or None when every group fits one task.
+
+    `measured` is what group sizes and cut points are taken from, where a cheaper
+    DataFrame holds at least the same groups and positions.
+    """
+    source = df if measured is None else measured
+    large = large_groups(source, by)
     if large is None:
         return None
-    cuts = _cut_points(df, by, *large)
+    cuts = _cut_points(source, by, *large)
     return (
         df.join(F.broadcast(cuts), F.expr(by.same_group), "left")
         .withColumn(_SLICE, F.expr(_slice_of(by.position)))
@@ -129,10 +134,10 @@ def _attach(parts: DataFrame, by: Ordering, earlier: DataFrame) -> DataFrame:
 
 
 def with_running_sum(df: DataFrame, by: Ordering, value: Sql, name: str,
-                     inclusive: bool = True) -> DataFrame:
+                     inclusive: bool = True, measured: DataFrame | None = None) -> DataFrame:
     """Sum of an integer `value` over the rows up to this one (or up to the one before)."""
     frame = f"ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if inclusive else '1 PRECEDING'}"
-    parts = sliced(df, by)
+    parts = sliced(df, by, measured)
     if parts is None:
         return df.withColumn(name, F.expr(f"coalesce(sum({value}) {by.over(frame=frame)}, 0L)"))
     earlier = _earlier(

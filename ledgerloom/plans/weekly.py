@@ -57,16 +57,16 @@ class WeeklyLedger:
         self.registry = tables.registry(self.spark, self.root)
         self.exports = tables.export_table(self.spark, self.root)
 
-    def _answered(self, docs: DataFrame, batch_id: str) -> DataFrame:
+    def _resolved(self, docs: DataFrame, batch_id: str) -> DataFrame:
         if self.make_provider is None:
-            return docs.withColumn("answer", F.expr(A.disabled_answer()))
+            return extract(docs, self.rules)
         cache = self.cache.read()
         raw = A.infer(A.requests(docs, cache, self.rules), self.make_provider)
         new = raw.selectExpr("file_hash", f"{A.parse_answer('response', self.rules)} AS answer")
-        answered = A.with_answers(docs, cache, new)
+        answered = A.with_answers(A.read_texts(docs, self.rules), cache, new)
         stamped = A.cache_rows(new, self.cache_all).withColumn("cached_at", F.current_timestamp())
         self.cache.upsert(stamped, batch_id)
-        return answered
+        return A.settle(answered)
 
     def process(self, docs: DataFrame, batch_id: str | None = None,
                 replace: Column | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ class WeeklyLedger:
         """
         batch_id = batch_id or uuid.uuid4().hex
         if not self.ledger.has_batch(batch_id):
-            rows = canonical_rows(resolve(self._answered(docs, batch_id), self.rules), self.notes)
+            rows = canonical_rows(self._resolved(docs, batch_id), self.notes)
             if replace is None:
                 self.ledger.upsert(rows, batch_id)
             else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators import answers as A
 from ledgerloom.operators import keyed, lookup
-from ledgerloom.plans.weekly import canonical_rows, extract, resolve
+from ledgerloom.plans.weekly import canonical_rows, extract
 from ledgerloom.sources.documents import keep_documents
 from workload import tables as T
 
@@ -102,8 +102,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents resolved with the cache, else the parsed answers, else their text."""
     rows = T.receipts(spark, sf_dir)
-    answered = A.with_answers(_documents(spark, sf_dir), T.cache(rows), _parsed(spark, sf_dir))
-    return resolve(answered, T.rules())
+    read = A.read_texts(_documents(spark, sf_dir), T.rules())
+    return A.settle(A.with_answers(read, T.cache(rows), _parsed(spark, sf_dir)))
 
 
 def resolve_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
