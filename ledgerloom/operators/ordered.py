@@ -1,12 +1,12 @@
 """Row numbers, running sums and previous rows inside groups of any size.
 
 A window puts a whole group into one task. That is fine until one group holds a
-large part of the table. Here the groups are counted first; a group above
+large part of the table. Here the group sizes are estimated first; a group above
 `rows_per_task` is cut into slices of its order, the window runs per slice, and
 what the earlier slices contribute (a count, a sum or their last row) is added
 from a table of one row per slice. Results are the same as those of the plain
-window. Cut points come from a sample, collected once: they decide the balance
-of the work only, and being constants they are the same in every retry.
+window. Sizes and cut points come from samples, collected once: they decide the
+balance of the work only, and being constants they are the same in every retry.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ ROWS_PER_TASK = 4_000_000
 # collected and broadcast.
 MAX_SLICES = 20_000
 SAMPLE_PER_SLICE = 20
+SAMPLE_PER_GROUP = 400
 
 _CUTS = "__cuts"
 _SLICE = "__slice"
@@ -60,10 +61,16 @@ class Ordering:
 def large_groups(df: DataFrame, by: Ordering) -> tuple[DataFrame, int] | None:
     """(keys of the large groups with rows and slices of each, number of slices), or None.
 
-    At most MAX_SLICES rows, the largest groups first, reach the driver; the
-    threshold is raised where needed to keep the number of slices near that too.
+    Sizes are estimated from a sample of the keys, in which a group at the threshold
+    has about SAMPLE_PER_GROUP rows; that spares a shuffle of all keys. At most
+    MAX_SLICES rows, the largest groups first, reach the driver; the threshold is
+    raised where needed to keep the number of slices near that too.
     """
-    counts = df.groupBy(*by.groups).agg(F.expr("count(1) AS __n"))
+    fraction = min(1.0, SAMPLE_PER_GROUP / by.rows_per_task)
+    keys = df.select(*by.groups)
+    if fraction < 1.0:
+        keys = keys.sample(fraction=fraction, seed=7)
+    counts = keys.groupBy(*by.groups).agg(F.expr(f"CAST(count(1) / {fraction!r}D AS BIGINT) AS __n"))
     over = counts.filter(f"__n > {by.rows_per_task}")
     largest = over.orderBy(F.desc("__n")).limit(MAX_SLICES).collect()
     if not largest:

@@ -60,7 +60,7 @@ class WeeklyLedger:
     def _resolved(self, docs: DataFrame, batch_id: str) -> DataFrame:
         if self.make_provider is None:
             return extract(docs, self.rules)
-        cache = self.cache.read()
+        cache = self.cache.read(docs.selectExpr("sha1 AS file_hash"))
         raw = A.infer(A.requests(docs, cache, self.rules), self.make_provider)
         new = raw.selectExpr("file_hash", f"{A.parse_answer('response', self.rules)} AS answer")
         answered = A.with_answers(A.read_texts(docs, self.rules), cache, new)
@@ -90,8 +90,9 @@ class WeeklyLedger:
 
         A run over several weeks also compares rows of different weeks.
         """
-        return dedup.report(dedup.with_fingerprint(rows), self.registry.read(), ["seq"],
-                            tables.REGISTRY_ORDER, match, ignore_empty, scope="run")
+        marked = dedup.with_fingerprint(rows)
+        known = self.registry.read(marked.select("fingerprint"))
+        return dedup.report(marked, known, ["seq"], tables.REGISTRY_ORDER, match, ignore_empty, scope="run")
 
     def register(self, rows: DataFrame, batch_id: str) -> None:
         marked = dedup.with_fingerprint(rows).withColumnRenamed("sha1", "file_hash").withColumn(

@@ -79,9 +79,18 @@ class StateTable:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).parquet(*segments)
 
-    def read(self) -> DataFrame:
-        """Live rows, with the `version` of the commit that wrote them."""
-        newest = keep_latest(self._history(), list(self.keys), ["version", *self.order])
+    def read(self, matching: DataFrame | None = None) -> DataFrame:
+        """Live rows, with the `version` of the commit that wrote them.
+
+        `matching` holds some of the key columns; only rows with those keys are read
+        on. A small set of keys is then broadcast and the table is not shuffled. The
+        kept rows are spread by the whole key, so that one hot part of it (such as
+        the fingerprint of empty receipts) does not gather in one task.
+        """
+        history = self._history()
+        if matching is not None:
+            history = history.join(matching, matching.columns, "left_semi").repartition(*self.keys)
+        newest = keep_latest(history, list(self.keys), ["version", *self.order])
         return newest.filter(~F.col("deleted")).drop("deleted")
 
     # --- writing ---
@@ -96,7 +105,7 @@ class StateTable:
 
     def insert_ignore(self, rows: DataFrame, batch_id: str) -> None:
         """Insert rows whose key is new; the first row of a key wins."""
-        known = self.read().select(*self.keys)
+        known = self.read(rows.select(*self.keys)).select(*self.keys)
         new = rows.select(*self._columns()).join(known, list(self.keys), "left_anti")
         kept = keep_first(new, list(self.keys), list(self.order or self.keys))
         self._commit(kept.withColumn("deleted", F.lit(False)), "delta", batch_id)

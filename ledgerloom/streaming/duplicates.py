@@ -50,7 +50,7 @@ def batch_step(spark: SparkSession, root: str, stream: str,
         batch_id = f"{stream}-{number}"
         state, flags = state_table(spark, root), flags_table(spark, root)
         if not flags.has_batch(batch_id):
-            flags.upsert(flag(rows, state.read(), rows_per_task), batch_id)
+            flags.upsert(flag(rows, state.read(rows.select("fingerprint")), rows_per_task), batch_id)
         # The state moves on only after the flags are stored.
         state.upsert(keep_latest(rows, ["fingerprint"], ["ts", "event_id"]), batch_id)
 

@@ -52,6 +52,16 @@ def test_previous(rows, kind):
     assert got.exceptAll(want).count() == 0 and got.count() == 3000
 
 
+def test_estimated_sizes(rows, monkeypatch):
+    monkeypatch.setattr(ordered, "SAMPLE_PER_GROUP", 150)
+    by = Ordering(("g",), ("a", "seq"), 600)
+    keyed, slices = ordered.large_groups(rows, by)
+    assert [r["__group_g"] for r in keyed.collect()] == ["hot"] and slices == 2
+    got = ordered.with_previous(rows, by, ["seq"], "p")
+    want = rows.withColumn("p", F.lag(F.struct("seq")).over(Window.partitionBy("g").orderBy("a", "seq")))
+    assert got.exceptAll(want).count() == 0 and got.count() == 3000
+
+
 def test_many_large_groups_stay_within_the_slice_bound(rows, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_SLICES", 10)
     got = ordered.with_row_number(rows, Ordering(("g",), ("a", "seq"), 5), "n")

@@ -37,6 +37,8 @@ def test_state_table(spark, tmp_path):
     put([("b", 7, "1")], "five")
     table.replace_where(spark.createDataFrame([("e", 1, "1")], "k string, v int, seq string"), F.col("v") >= 7, "six")
     assert rows_of(table.read(), "k", "v") == [("c", 4), ("d", 5), ("e", 1)]
+    wanted = spark.createDataFrame([("e",), ("c",), ("c",), ("b",), ("none",)], "k string")
+    assert rows_of(table.read(wanted), "k", "v") == [("c", 4), ("e", 1)]
 
 
 def test_deleted_rows_do_not_come_back(spark, tmp_path):
