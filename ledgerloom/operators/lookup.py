@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import let, quote
+from ledgerloom.functions.text import Sql, let, quote
 
 # A hint table up to this many rows is compiled into one expression; a larger one
 # is joined.
@@ -55,30 +55,46 @@ def _first_hint_inline(texts: DataFrame, hints: list, key: str, text: str) -> Da
     return texts.selectExpr(key, f"{found} AS __hint").select(key, "__hint.pos", "__hint.vendor")
 
 
+def _pieces(text: Sql, width: int) -> Sql:
+    """All pieces of one width; a look-ahead yields them in one pass over the text."""
+    return f"regexp_extract_all({text}, '(?s)(?=(.{{{width}}}))', 1)"
+
+
+def _anchored(needles: DataFrame) -> DataFrame:
+    """Each needle with the piece of it that the fewest needles share.
+
+    Long needles that begin alike so get different anchors. A needle of at most
+    ANCHOR_CHARS is its own anchor.
+    """
+    short = needles.filter(f"length(needle) <= {ANCHOR_CHARS}").selectExpr("*", "needle AS anchor")
+    pieces = needles.filter(f"length(needle) > {ANCHOR_CHARS}").selectExpr(
+        "*", f"explode(array_distinct({_pieces('needle', ANCHOR_CHARS)})) AS anchor")
+    shared = pieces.groupBy("anchor").agg(F.expr("count(1) AS n"))
+    rarest = pieces.join(shared, "anchor").groupBy("needle").agg(
+        F.expr("min_by(hint, n) AS hint"), F.expr("min(struct(n, anchor)).anchor AS anchor"))
+    return short.unionByName(rarest)
+
+
 def _first_hint_joined(texts: DataFrame, hints: DataFrame, key: str, text: str) -> DataFrame:
-    """Equi join on the first characters of each hint, then the whole hint is checked.
+    """Equi join on short anchors, then a check of the whole hint.
 
-    The anchors are as long as the shortest hint allows. Texts send only their
-    distinct anchors; the text itself travels once, to the check.
+    Texts send only their distinct pieces of the widths that anchors have, at most
+    ANCHOR_CHARS widths; the text itself travels once, to the check of long hints.
     """
-    needles = hints.select("pos", F.lower("pattern").alias("needle"), "vendor")
-    shortest = needles.agg(F.min(F.length("needle"))).first()[0]
-    width = min(ANCHOR_CHARS, shortest or 0)
-    if not width:
-        raise ValueError("an empty hint in a large hint table would match every text")
+    needles = hints.groupBy(F.lower("pattern").alias("needle")).agg(
+        F.expr("min(struct(CAST(pos AS BIGINT) AS pos, vendor)) AS hint"))
+    sizes = needles.agg(F.expr(
+        f"array_sort(collect_set(least(length(needle), {ANCHOR_CHARS}))) AS widths")).first()["widths"]
     low = texts.selectExpr(key, f"lower({text}) AS __low")
-    # A look-ahead yields the piece at every position in one pass over the text.
-    pieces = f"regexp_extract_all(__low, '(?s)(?=(.{{{width}}}))', 1)"
-    anchors = low.selectExpr(key, f"explode(array_distinct({pieces})) AS anchor")
-    keyed = needles.withColumn("anchor", F.substring("needle", 1, width))
-    candidates = anchors.join(keyed, "anchor").select(key, "pos", "needle", "vendor")
-    found = (
-        candidates.join(low, key)
-        .filter("contains(__low, needle)")
-        .groupBy(key)
-        .agg(F.min(F.struct("pos", "vendor")).alias("__hint"))
-    )
-    return (
-        texts.select(key).join(found, key, "left")
-        .selectExpr(key, "CAST(__hint.pos AS BIGINT) AS pos", "__hint.vendor AS vendor")
-    )
+    if 0 in sizes:
+        raise ValueError("an empty hint in a large hint table would match every text")
+    if not sizes:
+        return _first_hint_inline(texts, [], key, text)
+    pieces = ", ".join(_pieces("__low", w) for w in sizes)
+    anchors = low.selectExpr(key, f"explode(array_distinct(concat({pieces}))) AS anchor")
+    candidates = anchors.join(_anchored(needles), "anchor")
+    whole = candidates.filter("needle = anchor").select(key, "hint")
+    longer = candidates.filter("needle <> anchor").select(key, "needle", "hint").join(low, key).filter(
+        "contains(__low, needle)").select(key, "hint")
+    first = whole.unionByName(longer).groupBy(key).agg(F.min("hint").alias("__hint"))
+    return texts.select(key).join(first, key, "left").select(key, "__hint.pos", "__hint.vendor")

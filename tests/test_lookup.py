@@ -4,8 +4,10 @@ import pytest
 
 from ledgerloom.operators.lookup import first_hint
 
-TEXTS = ["The Blue Fig", "figs and FIGURES", "nothing", "", "İstanbul fig", "a\nblue\nfig", "aaaaaaaaaab"]
-HINTS = [(3, "FIG", "Figs"), (1, "blue fig", "Blue Fig"), (2, "figure", "Figures"), (4, "\nblue", "Line"), (5, "aaab", "As")]
+TEXTS = ["The Blue Fig", "figs and FIGURES", "nothing", "", "İstanbul fig", "a\nblue\nfig", "aaaaaaaaaab",
+         "xx a long beginning two", "a long beginning"]
+HINTS = [(3, "FIG", "Figs"), (1, "blue fig", "Blue Fig"), (2, "figure", "Figures"), (4, "\nblue", "Line"), (5, "aaab", "As"),
+         (6, "thing", "Thing"), (7, "a long beginning one", "One"), (8, "a long beginning two", "Two"), (9, "blue fig", "Late")]
 
 
 @pytest.mark.parametrize("inline_limit", [100, 0])
