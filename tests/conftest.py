@@ -11,7 +11,7 @@ from ledgerloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
     })
     session.sparkContext.setLogLevel("ERROR")
