@@ -123,28 +123,35 @@ def _count(line: Sql, chars: str) -> Sql:
     return f"length({line}) - length(regexp_replace({line}, {quote(f'[{chars}]+')}, ''))"
 
 
-def _scored(line: Sql, position: Sql, rules: Rules) -> Sql:
-    """(score, earlier, line) of a line that may name the vendor, else NULL."""
-    counts = (f"named_struct('size', length({line}), 'letters', {_count(line, r'\p{L}')}, "
-              f"'digits', {_count(line, r'\p{Nd}' + P.DIGIT_SIGNS)}, 'spaces', length({line}) - length(replace({line}, ' ', '')))")
-    score = (
+def _score(line: Sql, position: Sql) -> Sql:
+    spaces = f"length({line}) - length(replace({line}, ' ', ''))"
+    return (
         f"100 - 3 * {position}"
-        f" + IF(upper({line}) = {line} AND c.size BETWEEN 3 AND 40, 50, 0)"
-        " + IF(c.size BETWEEN 5 AND 30, 20, 0)"
-        " - IF(c.size > 50, 30, 0)"
-        " - IF(c.spaces > 2, 15, 0)"
+        f" + IF(length({line}) BETWEEN 3 AND 40 AND upper({line}) = {line}, 50, 0)"
+        f" + IF(length({line}) BETWEEN 5 AND 30, 20, 0)"
+        f" - IF(length({line}) > 50, 30, 0)"
+        f" - IF({spaces} > 2, 15, 0)"
     )
-    eligible = "c.letters >= 3 AND c.digits < greatest(2, c.letters DIV 3) AND c.spaces < 5"
-    judged = let("c", counts, f"CASE WHEN {eligible} THEN "
-                 f"named_struct('score', {score}, 'earlier', -{position}, 'line', {line}) END")
-    return (f"CASE WHEN length({line}) BETWEEN 3 AND 80 AND NOT {_is_skipped(line)} "
-            f"AND NOT {blacklisted(line, rules)} THEN {judged} END")
+
+
+def _may_name_vendor(line: Sql, rules: Rules) -> Sql:
+    letters = _count(line, r"\p{L}")
+    digits = _count(line, r"\p{Nd}" + P.DIGIT_SIGNS)
+    enough = let("letters", letters, f"letters >= 3 AND {digits} < greatest(2, letters DIV 3)")
+    return (f"length({line}) BETWEEN 3 AND 80 AND length({line}) - length(replace({line}, ' ', '')) < 5 "
+            f"AND NOT {_is_skipped(line)} AND NOT {blacklisted(line, rules)} AND {enough}")
 
 
 def best_line(text_lines: Sql, rules: Rules) -> Sql:
-    """Struct (score, earlier, line) of the best line near the top; ties go to the earlier one."""
+    """Struct (score, line) of the best line near the top; ties go to the earlier one.
+
+    The score is cheap, so only a line that would beat the best so far is examined.
+    """
     top = f"slice({text_lines}, 1, {P.VENDOR_LINES})"
-    return f"array_max(transform({top}, (ln, i) -> {_scored('ln', 'i', rules)}))"
+    scored = f"transform({top}, (ln, i) -> named_struct('score', {_score('ln', 'i')}, 'line', ln))"
+    better = f"(best IS NULL OR c.score > best.score) AND {_may_name_vendor('c.line', rules)}"
+    return (f"aggregate({scored}, CAST(NULL AS STRUCT<score: INT, line: STRING>), "
+            f"(best, c) -> IF({better}, c, best))")
 
 
 def last_resort_line(text_lines: Sql, rules: Rules) -> Sql:
