@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,14 +54,6 @@ def requests(docs: DataFrame, cache: DataFrame, rules: Rules) -> DataFrame:
     return once.select(F.col("sha1").alias("file_hash"), "prompt")
 
 
-def _answer_batches(batches: Iterator[pd.DataFrame],
-                    make: Callable[[], Provider]) -> Iterator[pd.DataFrame]:
-    provider = make()
-    for batch in batches:
-        yield pd.DataFrame({"file_hash": batch["file_hash"],
-                            "response": list(provider(batch["prompt"]))})
-
-
 def infer(requests_df: DataFrame, make_provider: Callable[[], Provider],
           tasks: int | None = None) -> DataFrame:
     """(file_hash, response) from the provider, checkpointed so that no call is repeated later.
@@ -70,11 +61,14 @@ def infer(requests_df: DataFrame, make_provider: Callable[[], Provider],
     A provider need not give the same answer twice, so everything downstream must
     see the one stored answer.
     """
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make_provider()
+        for batch in batches:
+            yield batch[["file_hash"]].assign(response=list(provider(batch["prompt"])))
+
     spread = requests_df.repartition(tasks, "file_hash") if tasks else requests_df
     ensure_checkpoint_dir(requests_df.sparkSession)
-    answered = spread.mapInPandas(partial(_answer_batches, make=make_provider),
-                                  "file_hash string, response string")
-    return answered.checkpoint()
+    return spread.mapInPandas(answer, "file_hash string, response string").checkpoint()
 
 
 # --- raw answers to structs -------------------------------------------------

@@ -30,20 +30,19 @@ def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.requests(docs, cache, T.rules())
 
 
-def stub_provider():
-    """Echoes the second line of the text as the vendor."""
-    import json
-
-    def answer(prompts):
-        for prompt in prompts:
-            body = prompt.split("Text:\n", 1)[1].split("\n")
-            yield json.dumps({"vendor": body[1] if len(body) > 1 else "", "date": "",
-                              "category": "meals", "confidence": 0.8})
+def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider that echoes the second line of the text as the vendor."""
+    def stub_provider():
+        import json
 
-    return answer
+        def answer(prompts):
+            for prompt in prompts:
+                body = prompt.split("Text:\n", 1)[1].split("\n")
+                yield json.dumps({"vendor": body[1] if len(body) > 1 else "", "date": "",
+                                  "category": "meals", "confidence": 0.8})
 
+        return answer
 
-def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.receipts(spark, sf_dir)
     raw = A.infer(A.requests(rows, T.cache(rows), T.rules()), stub_provider)
     return raw.selectExpr("file_hash", f"{A.parse_answer('response', T.rules())} AS a").select(
