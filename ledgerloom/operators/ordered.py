@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import Sql, let
 
 ROWS_PER_TASK = 4_000_000
-# No more slices than about this over all large groups: bounds what is sampled,
-# collected and broadcast.
+# Bounds what is sampled, collected and broadcast: at most this many large groups,
+# and at most twice as many slices of them.
 MAX_SLICES = 20_000
 SAMPLE_PER_SLICE = 20
 SAMPLE_PER_GROUP = 400
@@ -129,7 +129,7 @@ def sliced(df: DataFrame, by: Ordering, measured: DataFrame | None = None) -> Da
 
 
 def _earlier(parts: DataFrame, by: Ordering, summary: Sql, of_earlier: Sql) -> DataFrame:
-    """What the slices before each slice contribute; at most about MAX_SLICES rows."""
+    """What the slices before each slice contribute; at most 2 * MAX_SLICES rows."""
     per_slice = parts.filter(f"{_CUTS} IS NOT NULL").groupBy(*by.keys, _SLICE).agg(
         F.expr(f"{summary} AS __summary"))
     return per_slice.selectExpr(*by.keys, f"{_SLICE} AS __right_slice", f"{of_earlier} AS __before")
