@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact, sharding, urls
+from ledgerloom.llm import exact, sharding, simhash, urls
 
 # Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -34,10 +35,16 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
+    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op6_shard": op6_shard,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {
