@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, exact, lm, sharding, simhash, urls
+from ledgerloom.llm import decontam, exact, lm, mixing, sharding, simhash, tokenids, urls, warc
 
 # Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -47,22 +47,54 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def source_weights(names: list) -> dict:
+    """1, 2, 3, repeating, by code point."""
+    return {name: k % 3 + 1 for k, name in enumerate(names)}
+
+
+def source_schedules(names: list) -> dict:
+    """Some sources grow in weight over training, some shrink, some stay."""
+    return {name: [(0.0, 1.0 + k % 3), (1.0, 3.0 - k % 3)] for k, name in enumerate(names)}
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"), source_weights, source_schedules)
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.written_ids(_table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(_table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
+    "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +121,12 @@ ORACLES: dict[str, str] = {
             GROUP BY page_id)
         SELECT c.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
         FROM c LEFT JOIN m ON c.page_id = m.page_id""",
+    "op10_warc": r"""
+        WITH t AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+                   FROM pages),
+        u AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last_id FROM t)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+        FROM u""",
 }
