@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontam, exact, lm, mixing, sharding, simhash, tokenids, urls, warc
+from ledgerloom.llm import decontam, exact, langid, lm, mixing, sharding, simhash, tokenids, urls, warc
 
 # Fixed values of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -65,6 +65,16 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def language_models(docs: DataFrame) -> langid.Models:
+    return langid.fit(docs, train=_remainder(4) != 2)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_models(docs))
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def byte_tokenizer() -> str:
     import public_tokenizers
 
@@ -92,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_mix_sources": op5_mix_sources,
     "op6_shard": op6_shard,
+    "op7_language_id": op7_language_id,
     "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
