@@ -86,8 +86,8 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.components(_table(spark, sf_dir, "documents"), shingle_words=4, radius=4)
-    return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    found = simhash.components(_table(spark, sf_dir, "documents"), shingle_words=4, radius=4, n_words=1)
+    return found.select("doc_id", simhash.hex_of(F.col("fp0")).alias("fingerprint"), "component_id")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
