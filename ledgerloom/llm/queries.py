@@ -7,17 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import decontam, exact, langid, lm, mixing, sharding, simhash, tokenids, urls, warc
-
-# Fixed values of the URL query: (verdict, host, path).
-URL_RULES = [
-    ("allow", "org", "/"),
-    ("block", "example.org", "/es/"),
-    ("block", "example.org", "/en/1"),
-    ("allow", "com", "/fr/"),
-    ("block", "com", "/de/"),
-]
-
+from ledgerloom.llm.parameters import URL_RULES, byte_tokenizer, source_schedules, source_weights
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,16 +39,6 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def source_weights(names: list) -> dict:
-    """1, 2, 3, repeating, by code point."""
-    return {name: k % 3 + 1 for k, name in enumerate(names)}
-
-
-def source_schedules(names: list) -> dict:
-    """Some sources grow in weight over training, some shrink, some stay."""
-    return {name: [(0.0, 1.0 + k % 3), (1.0, 3.0 - k % 3)] for k, name in enumerate(names)}
-
-
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"), source_weights, source_schedules)
 
@@ -75,12 +57,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-def byte_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.written_ids(_table(spark, sf_dir, "documents"), byte_tokenizer())
 
@@ -106,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
