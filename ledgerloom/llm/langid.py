@@ -119,8 +119,8 @@ class Models:
             hashes = np.array([_gram_hash(g) for g in grams], np.uint64)
             by_hash = np.argsort(hashes)
             keys.append(hashes[by_hash])
-            log_p.append(np.array([rows[g] for g in grams]).reshape(-1, len(languages))[by_hash])
-            weight.append(np.array([[fitted[l]["weights"].get(g, 0.0) for l in languages] for g in grams]).reshape(-1, len(languages))[by_hash])
+            log_p.append(np.array([rows[g] for g in grams]).reshape(len(grams), len(languages))[by_hash])
+            weight.append(np.array([[fitted[l]["weights"].get(g, 0.0) for l in languages] for g in grams]).reshape(len(grams), len(languages))[by_hash])
             below = rows
         return cls(languages, order, keys, log_p, weight, unknown)
 
@@ -196,10 +196,10 @@ class Judge:
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language (`und` without letters or models), its probability among all, and whether it is rejected."""
-        log_p, symbols = self.totals(texts)
-        none = symbols == 0
         if not self.models.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        log_p, symbols = self.totals(texts)
+        none = symbols == 0
         best = log_p.argmax(axis=1)
         odds = np.power(10.0, self.models.sharpness * (log_p - log_p.max(axis=1, keepdims=True)))
         score = np.where(none, 0.0, odds.max(axis=1) / odds.sum(axis=1))
