@@ -50,6 +50,21 @@ BLANKS = (
 # Characters str.isdigit accepts besides decimal digits (Basic Multilingual Plane).
 DIGIT_SIGNS = "²³¹፩-፱᧚⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
 
+# Score of a line as vendor name: less for each line further down, more for capitals
+# and for the length of a name, less for long lines and many spaces.
+TOP_SCORE, LINE_PENALTY = 100, 3
+CAPITALS_LENGTHS, CAPITALS_BONUS = (3, 40), 50
+NAME_LENGTHS, NAME_BONUS = (5, 30), 20
+LONG_LINE, LONG_PENALTY = 50, 30
+MANY_SPACES, SPACES_PENALTY = 2, 15
+VENDOR_LENGTHS, TOO_MANY_SPACES = (3, 80), 5
+
+# Labels of where a value came from.
+NO_MODEL, MANUAL_HINT, FALLBACK, MODEL_LABEL = "LLM disabled", "Manual hint", "Regex fallback", "LLM (confidence: "
+
+# Characters of a name that a list shows.
+SHOWN_VENDOR, SHOWN_CATEGORY = 28, 18
+
 VENDOR_LINES = 20
 LAST_RESORT_LINES = 5
 AMOUNT_CANDIDATES = 5

@@ -14,7 +14,7 @@ from ledgerloom.functions.text import (
 )
 from ledgerloom.operators import extract
 from ledgerloom.operators.keyed import keep_first, keep_latest
-from ledgerloom.operators.lookup import cache_lookup, cache_misses
+from ledgerloom.operators.lookup import MAX_INLINE_HINTS, cache_lookup, cache_misses, with_first_hint
 from ledgerloom.rules import Rules
 from ledgerloom.schemas import UNCATEGORIZED
 from ledgerloom.session import ensure_checkpoint_dir
@@ -38,19 +38,20 @@ _ANSWER_FIELDS = ["vendor", "date", "category", "confidence", "reasoning"]
 
 # --- requests ---------------------------------------------------------------
 
-def prompt_of(text: Sql, rules: Rules) -> Sql:
+def prompt_of(text: Sql, rules: Rules, text_limit: int | None = P.PROMPT_CHARS) -> Sql:
     head = quote(PROMPT_HEAD + ", ".join(rules.categories) + PROMPT_TAIL)
-    return f"concat({head}, substring({text}, 1, {P.PROMPT_CHARS}))"
+    return f"concat({head}, {text if text_limit is None else f'substring({text}, 1, {int(text_limit)})'})"
 
 
-def requests(docs: DataFrame, cache: DataFrame, rules: Rules) -> DataFrame:
-    """(file_hash, prompt) for every distinct file the cache does not know.
+def requests(docs: DataFrame, cache: DataFrame, rules: Rules, text_limit: int | None = P.PROMPT_CHARS) -> DataFrame:
+    """(file_hash, prompt) for every distinct file the cache does not know; None asks with whole texts.
 
-    Copies of one file share a hash, so they share one request. Only the prompt
-    crosses to Python: the text is cut in the scan stage.
+    Copies of one file share a hash, so they share one request. The cache is met by
+    hashes alone; only prompts of files it does not know are shuffled, to remove copies.
     """
-    rows = docs.selectExpr("sha1", f"{prompt_of('text', rules)} AS prompt")
-    once = keep_first(cache_misses(rows, cache), ["sha1"], ["prompt"])
+    unknown = cache_misses(docs.select("sha1"), cache).distinct()
+    rows = docs.selectExpr("sha1", f"{prompt_of('text', rules, text_limit)} AS prompt").join(unknown, "sha1", "left_semi")
+    once = keep_first(rows, ["sha1"], ["prompt"])
     return once.select(F.col("sha1").alias("file_hash"), "prompt")
 
 
@@ -143,7 +144,7 @@ def no_answer(reason: Sql) -> Sql:
 
 
 def disabled_answer() -> Sql:
-    return no_answer("'LLM disabled'")
+    return no_answer(quote(P.NO_MODEL))
 
 
 def split_rejects(answers: DataFrame, response: str = "response") -> tuple[DataFrame, DataFrame]:
@@ -180,7 +181,16 @@ def with_answers(docs: DataFrame, cache: DataFrame, new_answers: DataFrame | Non
 
 def answer_label(answer: Sql) -> Sql:
     shown = fixed2(f"coalesce({answer}.confidence, 0D)")
-    return f"concat('LLM (confidence: ', {shown}, ')', IF({answer}.cached, ' [cached]', ''))"
+    return f"concat({quote(P.MODEL_LABEL)}, {shown}, ')', IF({answer}.cached, ' [cached]', ''))"
+
+
+def _with_hint(docs: DataFrame, rules: Rules) -> DataFrame:
+    """Any number of hints: a few are part of the expression, many are searched for together."""
+    if len(rules.hints) <= MAX_INLINE_HINTS:
+        return docs.selectExpr("*", f"{extract.hint_vendor('text', rules)} AS __hint")
+    table = docs.sparkSession.createDataFrame(
+        [(n, pattern, vendor) for n, (pattern, vendor) in enumerate(rules.hints)], "pos bigint, pattern string, vendor string")
+    return with_first_hint(docs, table, "text", "__first").withColumn("__hint", F.col("__first.vendor")).drop("__first")
 
 
 def read_texts(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -192,7 +202,7 @@ def read_texts(docs: DataFrame, rules: Rules) -> DataFrame:
     kept = [f"`{c}`" for c in docs.columns if c != "text"]
     found = let("hit", extract.unhinted_vendor("text", rules), none_if_empty("hit"))
     return (
-        docs.selectExpr("*", f"{extract.hint_vendor('text', rules)} AS __hint")
+        _with_hint(docs, rules)
         .selectExpr("*", f"coalesce(__hint, {found}) AS __vendor")
         .selectExpr("*", f"CASE WHEN __vendor IS NOT NULL THEN "
                          f"{extract.categorize('__vendor', 'text', rules)} END AS __verdict")
@@ -211,7 +221,7 @@ def settle(rows: DataFrame) -> DataFrame:
     """
     kept = [f"`{c}`" for c in rows.columns if c not in ("answer", "reading")]
     weak = f"({missing('answer.vendor')} OR coalesce(answer.confidence, 0D) < {P.CONFIDENCE_FLOOR}D)"
-    label = f"coalesce({none_if_empty('reading.matcher')}, IF(reading.hinted, 'Manual hint', 'Regex fallback'))"
+    label = f"coalesce({none_if_empty('reading.matcher')}, IF(reading.hinted, {quote(P.MANUAL_HINT)}, {quote(P.FALLBACK)}))"
     return (
         rows.selectExpr(
             "*", f"reading.vendor IS NOT NULL AND (reading.hinted OR {weak}) AS __by_text",

@@ -80,12 +80,17 @@ def date_of(text: Sql) -> Sql:
 
 # --- amount -----------------------------------------------------------------
 
-def amount_of(text: Sql, candidate_limit: int = P.AMOUNT_CANDIDATES) -> Sql:
-    """Largest of the first candidates, labelled amounts coming first."""
+def _cut(items: Sql, limit: int | None) -> Sql:
+    """The first items; None means all of them."""
+    return items if limit is None else f"slice({items}, 1, {int(limit)})"
+
+
+def amount_of(text: Sql, candidate_limit: int | None = P.AMOUNT_CANDIDATES) -> Sql:
+    """Largest of the first candidates (None: of all), labelled amounts coming first."""
     found = ", ".join(
         f"regexp_extract_all({text}, {quote(EVERY_LINE + _guarded(p))}, 1)" for p in P.AMOUNT_PATTERNS)
     values = f"transform(concat({found}), a -> {amount_from_text('a')})"
-    return f"array_max(slice(filter({values}, v -> v > 0), 1, {int(candidate_limit)}))"
+    return f"array_max({_cut(f'filter({values}, v -> v > 0)', candidate_limit)})"
 
 
 # --- vendor -----------------------------------------------------------------
@@ -94,7 +99,7 @@ def hint_vendor(text: Sql, rules: Rules) -> Sql:
     """Vendor of the first hint that occurs in the text, ignoring case."""
     if not rules.hints:
         return NO_TEXT
-    tests = " ".join(f"WHEN contains(low, {quote(key.lower())}) THEN {quote(vendor)}"
+    tests = " ".join(f"WHEN contains(low, lower({quote(key)})) THEN {quote(vendor)}"
                      for key, vendor in rules.hints)
     return let("low", f"lower({text})", f"CASE {tests} END")
 
@@ -107,7 +112,7 @@ def blacklisted(c: Sql, rules: Rules) -> Sql:
 def pattern_vendor(text: Sql, rules: Rules) -> Sql:
     """Whole match of the first matcher pattern whose match is not blacklisted."""
     found = [
-        let("hit", f"regexp_substr({text}, {quote(AS_WRITTEN + p)})",
+        let("hit", f"IF({text} RLIKE {quote(AS_WRITTEN + p)}, regexp_extract({text}, {quote(AS_WRITTEN + p)}, 0), NULL)",
             f"CASE WHEN NOT {blacklisted('hit', rules)} THEN hit END")
         for m in rules.matchers for p in m.vendor_extract
     ]
@@ -126,11 +131,11 @@ def _count(line: Sql, chars: str) -> Sql:
 def _score(line: Sql, position: Sql) -> Sql:
     spaces = f"length({line}) - length(replace({line}, ' ', ''))"
     return (
-        f"100 - 3 * {position}"
-        f" + IF(length({line}) BETWEEN 3 AND 40 AND upper({line}) = {line}, 50, 0)"
-        f" + IF(length({line}) BETWEEN 5 AND 30, 20, 0)"
-        f" - IF(length({line}) > 50, 30, 0)"
-        f" - IF({spaces} > 2, 15, 0)"
+        f"{P.TOP_SCORE} - {P.LINE_PENALTY} * {position}"
+        f" + IF(length({line}) BETWEEN {P.CAPITALS_LENGTHS[0]} AND {P.CAPITALS_LENGTHS[1]} AND upper({line}) = {line}, {P.CAPITALS_BONUS}, 0)"
+        f" + IF(length({line}) BETWEEN {P.NAME_LENGTHS[0]} AND {P.NAME_LENGTHS[1]}, {P.NAME_BONUS}, 0)"
+        f" - IF(length({line}) > {P.LONG_LINE}, {P.LONG_PENALTY}, 0)"
+        f" - IF({spaces} > {P.MANY_SPACES}, {P.SPACES_PENALTY}, 0)"
     )
 
 
@@ -138,27 +143,26 @@ def _may_name_vendor(line: Sql, rules: Rules) -> Sql:
     letters = _count(line, r"\p{L}")
     digits = _count(line, r"\p{Nd}" + P.DIGIT_SIGNS)
     enough = let("letters", letters, f"letters >= 3 AND {digits} < greatest(2, letters DIV 3)")
-    return (f"length({line}) BETWEEN 3 AND 80 AND length({line}) - length(replace({line}, ' ', '')) < 5 "
+    return (f"length({line}) BETWEEN {P.VENDOR_LENGTHS[0]} AND {P.VENDOR_LENGTHS[1]} "
+            f"AND length({line}) - length(replace({line}, ' ', '')) < {P.TOO_MANY_SPACES} "
             f"AND NOT {_is_skipped(line)} AND NOT {blacklisted(line, rules)} AND {enough}")
 
 
-def best_line(text_lines: Sql, rules: Rules) -> Sql:
-    """Struct (score, line) of the best line near the top; ties go to the earlier one.
+def best_line(text_lines: Sql, rules: Rules, line_limit: int | None = P.VENDOR_LINES) -> Sql:
+    """Struct (score, line) of the best of the first lines (None: of all); ties go to the earlier one.
 
     The score is cheap, so only a line that would beat the best so far is examined.
     """
-    top = f"slice({text_lines}, 1, {P.VENDOR_LINES})"
-    scored = f"transform({top}, (ln, i) -> named_struct('score', {_score('ln', 'i')}, 'line', ln))"
+    scored = f"transform({_cut(text_lines, line_limit)}, (ln, i) -> named_struct('score', {_score('ln', 'i')}, 'line', ln))"
     better = f"(best IS NULL OR c.score > best.score) AND {_may_name_vendor('c.line', rules)}"
     return (f"aggregate({scored}, CAST(NULL AS STRUCT<score: INT, line: STRING>), "
             f"(best, c) -> IF({better}, c, best))")
 
 
-def last_resort_line(text_lines: Sql, rules: Rules) -> Sql:
-    """First usable line near the top, else simply the first line."""
-    usable = f"length(ln) >= 3 AND NOT {blacklisted('ln', rules)} AND NOT {_is_skipped('ln')}"
-    top = f"slice({text_lines}, 1, {P.LAST_RESORT_LINES})"
-    return f"coalesce(get(filter({top}, ln -> {usable}), 0), get({text_lines}, 0))"
+def last_resort_line(text_lines: Sql, rules: Rules, line_limit: int | None = P.LAST_RESORT_LINES) -> Sql:
+    """First usable one of the first lines (None: of all), else simply the first line."""
+    usable = f"length(ln) >= {P.VENDOR_LENGTHS[0]} AND NOT {blacklisted('ln', rules)} AND NOT {_is_skipped('ln')}"
+    return f"coalesce(get(filter({_cut(text_lines, line_limit)}, ln -> {usable}), 0), get({text_lines}, 0))"
 
 
 def line_vendor(text: Sql, rules: Rules) -> Sql:

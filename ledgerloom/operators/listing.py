@@ -41,8 +41,9 @@ def line_items(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame
     numbered = with_row_number(keyed, Ordering(("week_id", "month"), _SORT, rows_per_task), "item")
     return numbered.selectExpr(
         "week_id", "month", "item", f"{list_page_of('item')} AS page_in_month", "__date AS date",
-        "substring(__vendor, 1, 28) AS shown_vendor",
-        "substring(coalesce(category, ''), 1, 18) AS shown_category",
+        "__vendor AS vendor", "coalesce(category, '') AS category",
+        f"substring(__vendor, 1, {P.SHOWN_VENDOR}) AS shown_vendor",
+        f"substring(coalesce(category, ''), 1, {P.SHOWN_CATEGORY}) AS shown_category",
         f"{money('amount')} AS shown_amount", "source_file", "seq",
     )
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import Sql, let, quote
 
 # A hint table up to this many rows is compiled into one expression; a larger one
-# is joined.
+# is searched by an automaton, in blocks of so many bytes of patterns.
 MAX_INLINE_HINTS = 500
-ANCHOR_CHARS = 8
+HINT_BLOCK_BYTES = 8 << 20
+_HINT_TYPE = "STRUCT<pos: BIGINT, vendor: STRING, pattern: STRING>"
 
 
 def cache_lookup(docs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -32,69 +37,89 @@ def cache_misses(docs: DataFrame, cache: DataFrame) -> DataFrame:
     return docs.join(cache.select(F.col("file_hash").alias("sha1")), "sha1", "left_anti")
 
 
-def first_hint(texts: DataFrame, hints: DataFrame, key: str, text: str = "text",
-               inline_limit: int = MAX_INLINE_HINTS) -> DataFrame:
-    """(key, pos, vendor) of the first hint found in each text, NULLs where none occurs.
-
-    `hints` has (pos, pattern, vendor). A table of at most `inline_limit` rows is
-    read once and compiled; beyond that the texts are joined by short anchors.
-    """
-    head = hints.select("pos", "pattern", "vendor").limit(inline_limit + 1).collect()
-    if len(head) <= inline_limit:
-        return _first_hint_inline(texts, sorted(head, key=lambda r: r["pos"]), key, text)
-    return _first_hint_joined(texts, hints, key, text)
-
-
-def _first_hint_inline(texts: DataFrame, hints: list, key: str, text: str) -> DataFrame:
-    found = "CAST(NULL AS STRUCT<pos: BIGINT, vendor: STRING>)"
-    if hints:
-        tests = " ".join(
-            f"WHEN contains(low, {quote(h['pattern'].lower())}) "
-            f"THEN named_struct('pos', {int(h['pos'])}L, 'vendor', {quote(h['vendor'])})" for h in hints)
-        found = let("low", f"lower({text})", f"CASE {tests} END")
-    return texts.selectExpr(key, f"{found} AS __hint").select(key, "__hint.pos", "__hint.vendor")
+@dataclass(frozen=True)
+class Hint:
+    """A pattern, lower-cased by Spark, and what it stands for."""
 
+    pos: int
+    pattern: str
+    vendor: str | None
 
-def _pieces(text: Sql, width: int) -> Sql:
-    """All pieces of one width; a look-ahead yields them in one pass over the text."""
-    return f"regexp_extract_all({text}, '(?s)(?=(.{{{width}}}))', 1)"
 
+def first_hint(texts: DataFrame, hints: DataFrame, key: str, text: str = "text",
+               inline_limit: int = MAX_INLINE_HINTS, block_bytes: int = HINT_BLOCK_BYTES) -> DataFrame:
+    """(key, pos, vendor) of the first hint found in each row's text, NULLs where none occurs.
 
-def _anchored(needles: DataFrame) -> DataFrame:
-    """Each needle with the piece of it that the fewest needles share.
-
-    Long needles that begin alike so get different anchors. A needle of at most
-    ANCHOR_CHARS is its own anchor.
+    `hints` has (pos, pattern, vendor). Case is ignored as Spark's `lower` does. An empty
+    pattern is in every text but NULL, a NULL pattern in none. Of equal positions
+    the pattern that sorts first wins. Every row is answered by itself, whatever its key.
+    `inline_limit` and `block_bytes` choose the plan only, never the result.
     """
-    short = needles.filter(f"length(needle) <= {ANCHOR_CHARS}").selectExpr("*", "needle AS anchor")
-    pieces = needles.filter(f"length(needle) > {ANCHOR_CHARS}").selectExpr(
-        "*", f"explode(array_distinct({_pieces('needle', ANCHOR_CHARS)})) AS anchor")
-    shared = pieces.groupBy("anchor").agg(F.expr("count(1) AS n"))
-    rarest = pieces.join(shared, "anchor").groupBy("needle").agg(
-        F.expr("min_by(hint, n) AS hint"), F.expr("min(struct(n, anchor)).anchor AS anchor"))
-    return short.unionByName(rarest)
+    found = with_first_hint(texts.select(key, F.col(text).alias("__text")), hints, "__text", "__hint", inline_limit, block_bytes)
+    return found.select(key, "__hint.pos", "__hint.vendor")
 
 
-def _first_hint_joined(texts: DataFrame, hints: DataFrame, key: str, text: str) -> DataFrame:
-    """Equi join on short anchors, then a check of the whole hint.
+def with_first_hint(rows: DataFrame, hints: DataFrame, text: str, name: str,
+                    inline_limit: int = MAX_INLINE_HINTS, block_bytes: int = HINT_BLOCK_BYTES) -> DataFrame:
+    """`rows` with a struct (pos, vendor) under `name`. No shuffle: hints go to the texts.
 
-    Texts send only their distinct pieces of the widths that anchors have, at most
-    ANCHOR_CHARS widths; the text itself travels once, to the check of long hints.
+    A few hints are compiled into one expression. More are searched for together by an
+    Aho-Corasick automaton, a block of hints of bounded size at a time.
     """
-    needles = hints.groupBy(F.lower("pattern").alias("needle")).agg(
-        F.expr("min(struct(CAST(pos AS BIGINT) AS pos, vendor)) AS hint"))
-    sizes = needles.agg(F.expr(
-        f"array_sort(collect_set(least(length(needle), {ANCHOR_CHARS}))) AS widths")).first()["widths"]
-    low = texts.selectExpr(key, f"lower({text}) AS __low")
-    if 0 in sizes:
-        raise ValueError("an empty hint in a large hint table would match every text")
-    if not sizes:
-        return _first_hint_inline(texts, [], key, text)
-    pieces = ", ".join(_pieces("__low", w) for w in sizes)
-    anchors = low.selectExpr(key, f"explode(array_distinct(concat({pieces}))) AS anchor")
-    candidates = anchors.join(_anchored(needles), "anchor")
-    whole = candidates.filter("needle = anchor").select(key, "hint")
-    longer = candidates.filter("needle <> anchor").select(key, "needle", "hint").join(low, key).filter(
-        "contains(__low, needle)").select(key, "hint")
-    first = whole.unionByName(longer).groupBy(key).agg(F.min("hint").alias("__hint"))
-    return texts.select(key).join(first, key, "left").select(key, "__hint.pos", "__hint.vendor")
+    known = hints.where("pattern IS NOT NULL").selectExpr("CAST(pos AS BIGINT) AS pos", "lower(pattern) AS pattern", "vendor")
+    size = known.agg(F.expr("count(1) AS n"), F.expr("coalesce(sum(octet_length(pattern)), 0) AS bytes")).first()
+    out = rows.withColumn(name, F.expr(f"CAST(NULL AS {_HINT_TYPE})"))
+    if size["n"] <= inline_limit:
+        few = sorted((Hint(*r) for r in known.collect()), key=lambda h: (h.pos, h.pattern))
+        return rows.selectExpr("*", f"{_compiled(few, text)} AS {name}")
+    blocks = -(-int(size["bytes"]) // block_bytes) or 1
+    for k in range(blocks):
+        block = known.where(f"pmod(xxhash64(pattern), {blocks}) = {k}") if blocks > 1 else known
+        out = _searched(out, [Hint(*r) for r in block.collect()], text, name)
+    return out
+
+
+def _compiled(hints: list[Hint], text: str) -> Sql:
+    if not hints:
+        return f"CAST(NULL AS {_HINT_TYPE})"
+    tests = " ".join(
+        f"WHEN contains(low, {quote(h.pattern)}) "
+        f"THEN named_struct('pos', {h.pos}L, 'vendor', {quote(h.vendor)}, 'pattern', {quote(h.pattern)})" for h in hints)
+    return let("low", f"lower({text})", f"CASE {tests} END")
+
+
+def _searched(rows: DataFrame, hints: list[Hint], text: str, name: str) -> DataFrame:
+    """The earlier of the hint found so far and the first of these."""
+    first: dict[str, Hint] = {}
+    for h in hints:
+        first[h.pattern] = min(first.get(h.pattern, h), h, key=lambda x: (x.pos, x.vendor is None, x.vendor))
+    shared = rows.sparkSession.sparkContext.broadcast(list(first.values()))
+    low = rows.withColumn("__low", F.lower(F.col(text)))
+    at = rows.columns.index(name)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        everywhere = None
+        for h in shared.value:
+            if h.pattern:
+                automaton.add_word(h.pattern, (h.pos, h.pattern, h.vendor))
+            else:
+                everywhere = (h.pos, "", h.vendor)
+        automaton.make_automaton()
+        for batch in batches:
+            best = []
+            for value, old in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist()):
+                hits = [] if value is None or not len(automaton) else [hit for _, hit in automaton.iter(value)]
+                if everywhere and value is not None:
+                    hits.append(everywhere)
+                if old is not None:
+                    hits.append((old["pos"], old["pattern"], old["vendor"]))
+                hit = min(hits, key=lambda x: x[:2], default=None)
+                best.append(hit and {"pos": hit[0], "vendor": hit[2], "pattern": hit[1]})
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(best, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
+
+    return low.mapInArrow(search, rows.schema)

@@ -1,6 +1,8 @@
 """Totals, counts and quality figures. All aggregates are combined before their shuffle.
 
-Amounts are summed as decimals, so totals do not depend on the order of rows.
+Amounts are summed as decimals, so totals do not depend on the order of rows. An amount
+that a decimal of 28 digits cannot hold (too large, infinite, not a number) is summed as a double, added to
+the total and counted in `n_inexact`: no amount ends a job, and none is left out.
 """
 
 from __future__ import annotations
@@ -18,8 +20,19 @@ _CATEGORY = f"coalesce({none_if_empty('category')}, {quote(UNCATEGORIZED)}) AS c
 _MONTH = f"{month_key('date')} AS month"
 
 
-def _sum_amount() -> Column:
-    return F.expr("CAST(sum(CAST(coalesce(amount, 0D) AS DECIMAL(18, 2))) AS DOUBLE) AS total")
+_AMOUNT = "coalesce(amount, 0D) AS amount"
+_EXACT = "try_cast(amount AS DECIMAL(28, 2))"
+_SUMS = [
+    f"sum({_EXACT}) AS __exact",
+    f"sum(IF({_EXACT} IS NULL, amount, NULL)) AS __rest",
+    f"count_if({_EXACT} IS NULL) AS n_inexact",
+    "count(1) AS n_rows",
+]
+_TOTAL = "coalesce(CAST(__exact AS DOUBLE), 0D) + coalesce(__rest, 0D) AS total"
+
+
+def _summed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*map(F.expr, _SUMS))
 
 
 def _count() -> Column:
@@ -28,8 +41,8 @@ def _count() -> Column:
 
 def category_totals(rows: DataFrame) -> DataFrame:
     return (
-        rows.selectExpr(_CATEGORY, "amount").groupBy("category")
-        .agg(_sum_amount(), _count())
+        _summed(rows.selectExpr(_CATEGORY, _AMOUNT), "category")
+        .selectExpr("category", _TOTAL, "n_rows", "n_inexact")
         .orderBy("category")
     )
 
@@ -37,20 +50,24 @@ def category_totals(rows: DataFrame) -> DataFrame:
 def month_totals(rows: DataFrame) -> DataFrame:
     """Totals by month in calendar order; `Unknown` sorts last."""
     return (
-        rows.selectExpr(_MONTH, "amount").groupBy("month")
-        .agg(_sum_amount(), _count())
+        _summed(rows.selectExpr(_MONTH, _AMOUNT), "month")
+        .selectExpr("month", _TOTAL, "n_rows", "n_inexact")
         .selectExpr("*", f"{month_caption('month')} AS caption", f"{money('total')} AS shown")
         .orderBy("month")
     )
 
 
 def summary(rows: DataFrame) -> DataFrame:
-    """Category and month totals together from one pass over the rows."""
-    both = rows.selectExpr(_CATEGORY, _MONTH, "amount").groupingSets(
-        [["category"], ["month"]], "category", "month").agg(
-        F.expr("grouping(category) = 1 AS by_month"), _sum_amount(), _count())
+    """Category and month totals together from one pass over the rows.
+
+    Rows are summed by both first, so that only that small table is doubled.
+    """
+    small = _summed(rows.selectExpr(_CATEGORY, _MONTH, _AMOUNT), "category", "month")
+    both = small.groupingSets([["category"], ["month"]], "category", "month").agg(
+        F.expr("grouping(category) = 1 AS by_month"), F.expr("sum(__exact) AS __exact"), F.expr("sum(__rest) AS __rest"),
+        F.expr("sum(n_rows) AS n_rows"), F.expr("sum(n_inexact) AS n_inexact"))
     return both.selectExpr("IF(by_month, 'month', 'category') AS kind",
-                           "IF(by_month, month, category) AS name", "total", "n_rows")
+                           "IF(by_month, month, category) AS name", _TOTAL, "n_rows", "n_inexact")
 
 
 def origin_counts(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Hints: the compiled and the joined way agree with a plain search."""
+"""Hints: the compiled expression and the automaton agree with a plain search."""
 
 import pytest
 
@@ -10,11 +10,11 @@ HINTS = [(3, "FIG", "Figs"), (1, "blue fig", "Blue Fig"), (2, "figure", "Figures
          (6, "thing", "Thing"), (7, "a long beginning one", "One"), (8, "a long beginning two", "Two"), (9, "blue fig", "Late")]
 
 
-@pytest.mark.parametrize("inline_limit", [100, 0])
-def test_first_hint(spark, inline_limit):
+@pytest.mark.parametrize("inline_limit, block_bytes", [(100, 1), (0, 1 << 20), (0, 20)])
+def test_first_hint(spark, inline_limit, block_bytes):
     texts = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     hints = spark.createDataFrame(HINTS, "pos bigint, pattern string, vendor string")
-    got = {r["id"]: (r["pos"], r["vendor"]) for r in first_hint(texts, hints, "id", inline_limit=inline_limit).collect()}
+    got = {r["id"]: (r["pos"], r["vendor"]) for r in first_hint(texts, hints, "id", inline_limit=inline_limit, block_bytes=block_bytes).collect()}
     want = {}
     for i, text in enumerate(TEXTS):
         found = sorted((pos, vendor) for pos, pattern, vendor in HINTS if pattern.lower() in text.lower())
@@ -26,3 +26,27 @@ def test_no_hints(spark):
     texts = spark.createDataFrame([(1, "x")], "id int, text string")
     hints = spark.createDataFrame([], "pos bigint, pattern string, vendor string")
     assert [tuple(r) for r in first_hint(texts, hints, "id").collect()] == [(1, None, None)]
+
+
+@pytest.mark.parametrize("inline_limit", [100, 0])
+def test_edges_are_alike_either_way(spark, inline_limit):
+    """Repeated and NULL keys, NULL texts, and NULL, empty and repeated patterns."""
+    texts = spark.createDataFrame([(1, "has blue"), (2, "fig"), (2, "blue fig"), (None, "blue"), (3, None), (4, "none")], "id int, text string")
+    hints = spark.createDataFrame([(5, "FIG", "Fig"), (6, "blue", "Blue"), (6, "blue", "Again"), (7, None, "Null"), (8, "FIG", None)],
+                                  "pos bigint, pattern string, vendor string")
+    got = sorted(map(tuple, first_hint(texts, hints, "id", inline_limit=inline_limit).collect()), key=str)
+    shown = [(i, p) for i, p, _ in got]
+    assert shown == sorted([(1, 6), (2, 5), (2, 5), (None, 6), (3, None), (4, None)], key=str)
+    everywhere = hints.union(spark.createDataFrame([(9, "", "Any")], hints.schema))
+    got = {(i, p, v) for i, p, v in map(tuple, first_hint(texts, everywhere, "id", inline_limit=inline_limit).collect()) if p == 9 or i == 3}
+    assert got == {(4, 9, "Any"), (3, None, None)}
+
+
+def test_rules_with_many_hints(spark):
+    from ledgerloom.operators.answers import read_texts
+    from ledgerloom.rules import Rules
+
+    many = Rules(hints=tuple((f"KEY{n:04d}", f"Vendor {n}") for n in range(2000)))
+    docs = spark.createDataFrame([(1, "x key1234 and key0777"), (2, "Plain Shop")], "k int, text string")
+    got = {r.k: (r.reading.hinted, r.reading.vendor) for r in read_texts(docs, many).collect()}
+    assert got == {1: (True, "Vendor 777"), 2: (False, "Plain Shop")}

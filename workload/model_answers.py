@@ -30,6 +30,13 @@ def extraction_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.requests(docs, cache, T.rules())
 
 
+def extraction_requests_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole texts in the prompts."""
+    docs = T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", "text", "sha1(text) AS sha1")
+    cache = docs.filter("doc_id % 3 = 0").selectExpr("sha1 AS file_hash")
+    return A.requests(docs, cache, T.rules(), text_limit=None)
+
+
 def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider that echoes the second line of the text as the vendor."""
     def stub_provider():
@@ -124,6 +131,7 @@ QUERIES = {
     "cache_lookup": cache_lookup,
     "cache_misses": cache_misses,
     "extraction_requests": extraction_requests,
+    "extraction_requests_full": extraction_requests_full,
     "batch_inference_stub": batch_inference_stub,
     "strip_fences": strip_fences,
     "parse_answers": parse_answers,
@@ -157,6 +165,8 @@ ORACLES = {
     "cache_misses": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, sha1 FROM receipts WHERE k % 3 <> 0",
     "extraction_requests": f"""SELECT DISTINCT sha1(text) AS file_hash, {_PROMPT_SQL} || left(text, 2000) AS prompt FROM documents
         WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0)""",
+    "extraction_requests_full": f"""SELECT DISTINCT sha1(text) AS file_hash, {_PROMPT_SQL} || text AS prompt FROM documents
+        WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0)""",
     "batch_inference_stub": f"""WITH {T.RECEIPTS_SQL} SELECT sha1 AS file_hash, string_split(text, chr(10))[2] AS vendor,
         CAST(NULL AS VARCHAR) AS date, 'Meals' AS category, CAST(0.8 AS DOUBLE) AS confidence FROM receipts WHERE k % 3 <> 0""",
     "strip_fences": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || chr(10) || source END AS kept FROM documents",

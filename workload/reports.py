@@ -35,6 +35,12 @@ def text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.summary(_from_text(spark, sf_dir))
 
 
+def totals_with_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over amounts that exceed any decimal, or are infinite, here and there."""
+    amount = _OUTLIERS.format(k="k", big="pow(2D, 100D)", large="pow(2D, 57D)", inf="CAST('Infinity' AS DOUBLE)")
+    return totals.summary(T.ledger(spark, sf_dir).withColumn("amount", F.expr(amount)))
+
+
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.origin_counts(keep_documents(T.receipts(spark, sf_dir)))
 
@@ -80,6 +86,7 @@ QUERIES = {
     "category_totals": category_totals,
     "month_totals": month_totals,
     "summary_grouping_sets": summary_grouping_sets,
+    "totals_with_outliers": totals_with_outliers,
     "batch_counts": batch_counts,
     "quality_report": quality_report,
     "line_items": line_items,
@@ -91,11 +98,21 @@ QUERIES = {
 
 _MONTH = "CASE WHEN length(date) >= 7 THEN left(date, 7) ELSE 'Unknown' END"
 _CAPTION = "CASE WHEN month = 'Unknown' THEN month ELSE strftime(CAST(month || '-01' AS DATE), '%B %Y') END"
-_TOTAL = "CAST(sum(CAST(coalesce(amount, 0) AS DECIMAL(18, 2))) AS DOUBLE)"
-_SUMMARY = f"""
-    SELECT 'category' AS kind, category AS name, {_TOTAL} AS total, count(*) AS n_rows FROM ledger GROUP BY category
+_BEYOND = "abs(coalesce(amount, 0)) >= 1e26"
+_TOTAL = f"""coalesce(CAST(sum(CASE WHEN {_BEYOND} THEN NULL ELSE CAST(coalesce(amount, 0) AS DECIMAL(28, 2)) END) AS DOUBLE), 0)
+    + coalesce(sum(CASE WHEN {_BEYOND} THEN amount END), 0)"""
+_INEXACT = f"CAST(count(*) FILTER ({_BEYOND}) AS BIGINT)"
+
+
+def _summary_sql(table: str) -> str:
+    return f"""
+    SELECT 'category' AS kind, category AS name, {_TOTAL} AS total, count(*) AS n_rows, {_INEXACT} AS n_inexact FROM {table} GROUP BY category
     UNION ALL
-    SELECT 'month', {_MONTH}, {_TOTAL}, count(*) FROM ledger GROUP BY {_MONTH}"""
+    SELECT 'month', {_MONTH}, {_TOTAL}, count(*), {_INEXACT} FROM {table} GROUP BY {_MONTH}"""
+
+
+# Powers of two, so that their sums are exact in any order.
+_OUTLIERS = "CASE WHEN {k} % 1000 = 1 THEN {big} WHEN {k} % 500 = 2 THEN {large} WHEN category = 'Laundry' AND {k} % 100 = 5 THEN {inf} ELSE amount END"
 
 
 def _numbered(week: str) -> str:
@@ -120,18 +137,20 @@ _YEAR = "left(week_id, 4)"
 _PAGE = "CASE WHEN item <= 47 THEN 0 ELSE 1 + (item - 48) // 50 END"
 
 ORACLES = {
-    "text_summary": f"WITH {T.LEDGER_SQL} {_SUMMARY}",
-    "category_totals": f"WITH {T.LEDGER_SQL} SELECT category, {_TOTAL} AS total, count(*) AS n_rows FROM ledger GROUP BY category",
-    "month_totals": f"""WITH {T.LEDGER_SQL}, sums AS (SELECT {_MONTH} AS month, {_TOTAL} AS total, count(*) AS n_rows FROM ledger GROUP BY 1)
-        SELECT month, total, n_rows, {_CAPTION} AS caption, '$' || format('{{:,.2f}}', total) AS shown FROM sums""",
-    "summary_grouping_sets": f"WITH {T.LEDGER_SQL} {_SUMMARY}",
+    "text_summary": f"WITH {T.LEDGER_SQL} {_summary_sql('ledger')}",
+    "category_totals": f"WITH {T.LEDGER_SQL} SELECT category, {_TOTAL} AS total, count(*) AS n_rows, {_INEXACT} AS n_inexact FROM ledger GROUP BY category",
+    "month_totals": f"""WITH {T.LEDGER_SQL}, sums AS (SELECT {_MONTH} AS month, {_TOTAL} AS total, count(*) AS n_rows, {_INEXACT} AS n_inexact FROM ledger GROUP BY 1)
+        SELECT month, total, n_rows, n_inexact, {_CAPTION} AS caption, '$' || format('{{:,.2f}}', total) AS shown FROM sums""",
+    "totals_with_outliers": f"""WITH {T.LEDGER_SQL}, outliers AS (SELECT * EXCLUDE (amount), {_OUTLIERS.format(
+        k='k', big='pow(2.0, 100)', large='pow(2.0, 57)', inf="CAST('inf' AS DOUBLE)")} AS amount FROM ledger) {_summary_sql('outliers')}""",
+    "summary_grouping_sets": f"WITH {T.LEDGER_SQL} {_summary_sql('ledger')}",
     "batch_counts": f"WITH {T.LEDGER_SQL} SELECT week_id, origin, count(*) AS n_files FROM ledger GROUP BY ALL",
     "quality_report": f"""WITH {T.LEDGER_SQL},
         judged AS (SELECT week_id, CASE WHEN k % 3 = 0 THEN CASE WHEN date IS NULL THEN 'none' WHEN k % 2 = 0 THEN 'model' ELSE 'regex' END
                    WHEN k % 7 IN (0, 1, 6) THEN 'model' WHEN date IS NULL THEN 'none' ELSE 'regex' END AS date_source FROM ledger)
         SELECT week_id, date_source, count(*) AS n_rows, CAST(count_if(date_source = 'none') AS BIGINT) AS no_date,
                CAST(0 AS BIGINT) AS no_vendor, CAST(0 AS BIGINT) AS no_amount FROM judged GROUP BY ALL""",
-    "line_items": f"""WITH {_numbered('week_id')} SELECT week_id, month, item, {_PAGE} AS page_in_month, date,
+    "line_items": f"""WITH {_numbered('week_id')} SELECT week_id, month, item, {_PAGE} AS page_in_month, date, vendor, category,
         left(vendor, 28) AS shown_vendor, left(category, 18) AS shown_category, '$' || format('{{:,.2f}}', amount) AS shown_amount, source_file
         FROM numbered""",
     "list_pages": f"""WITH {_numbered(_YEAR)} SELECT week_id, month, {_CAPTION} AS caption, n_items, pages, CAST(first_page AS BIGINT) AS first_page FROM months""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import patterns as P
 from ledgerloom.functions.text import fingerprint, let, lines, money, quote, slug, week_label
 from ledgerloom.operators import extract, lookup
 from ledgerloom.rules import Condition, Matcher, Rules
@@ -48,8 +49,17 @@ def extract_vendor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vendor_line_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best vendor line of every document with its score, and the last-resort line."""
-    found = let("ls", lines("text"), f"named_struct('best', {extract.best_line('ls', Rules())}, "
-                f"'last_resort', {extract.last_resort_line('ls', Rules())})")
+    return _line_scores(spark, sf_dir, P.VENDOR_LINES, P.LAST_RESORT_LINES)
+
+
+def vendor_line_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all lines of every document."""
+    return _line_scores(spark, sf_dir, None, None)
+
+
+def _line_scores(spark: SparkSession, sf_dir: str, best_of: int | None, last_resort_of: int | None) -> DataFrame:
+    found = let("ls", lines("text"), f"named_struct('best', {extract.best_line('ls', Rules(), best_of)}, "
+                f"'last_resort', {extract.last_resort_line('ls', Rules(), last_resort_of)})")
     return T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", f"{found} AS found").selectExpr(
         "doc_id", "CAST(found.best.score AS BIGINT) AS score", "found.best.line AS best_line",
         "found.last_resort AS last_resort")
@@ -91,14 +101,23 @@ def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hint_join(spark, sf_dir, lookup.MAX_INLINE_HINTS)
 
 
+def hint_join_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the hints in several blocks, as for tables too large to broadcast at once."""
+    hints = T.load(spark, sf_dir, "benchmark").selectExpr(
+        "item_id AS pos", "text AS pattern", "concat('item ', item_id) AS vendor")
+    texts = T.load_spread(spark, sf_dir, "documents").select("doc_id", "text")
+    return lookup.first_hint(texts, hints, "doc_id", inline_limit=0, block_bytes=4096)
+
+
 def hint_join_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through the join used for hint tables that are too large to compile."""
+    """The same through the automaton used for hint tables that are too large to compile."""
     return _hint_join(spark, sf_dir, 0)
 
 
 def _hint_join(spark: SparkSession, sf_dir: str, inline_limit: int) -> DataFrame:
+    """Which benchmark item, as a whole, stands in each document."""
     hints = T.load(spark, sf_dir, "benchmark").selectExpr(
-        "item_id AS pos", "left(text, 12) AS pattern", "concat('item ', item_id) AS vendor")
+        "item_id AS pos", "text AS pattern", "concat('item ', item_id) AS vendor")
     texts = T.load_spread(spark, sf_dir, "documents").select("doc_id", "text")
     return lookup.first_hint(texts, hints, "doc_id", inline_limit=inline_limit)
 
@@ -135,6 +154,8 @@ QUERIES = {
     "rules_flatten": rules_flatten,
     "hint_join": hint_join,
     "hint_join_anchored": hint_join_anchored,
+    "hint_join_blocks": hint_join_blocks,
+    "vendor_line_score_all": vendor_line_score_all,
     "slugify": slugify,
     "money_format": money_format,
     "week_label": week_labels,
@@ -143,6 +164,22 @@ QUERIES = {
 
 # In the regular expressions below \s is ASCII, as no document holds other blanks
 # next to a line break.
+_SKIPPED_SQL = " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in P.SKIP_LINE_PATTERNS)
+
+
+def _vendor_lines_sql(best_of: int | None, last_resort_of: int | None) -> str:
+    """CTEs; None means all lines."""
+    far = 1 << 31
+    return _VENDOR_LINES_SQL.replace("$skipped", _SKIPPED_SQL).replace("$best_of", str(best_of or far)).replace(
+        "$last_resort_of", str(last_resort_of or far))
+
+
+def _line_score_sql(best_of: int | None, last_resort_of: int | None) -> str:
+    return f"""WITH {_vendor_lines_sql(best_of, last_resort_of)}
+        SELECT s.doc_id, CAST(b.score AS BIGINT) AS score, b.line AS best_line, coalesce(u.line, s.ls[1]) AS last_resort
+        FROM split_lines s LEFT JOIN best b USING (doc_id) LEFT JOIN usable u USING (doc_id)"""
+
+
 _VENDOR_LINES_SQL = r"""
 split_lines AS (
   SELECT doc_id, list_filter(list_transform(
@@ -150,19 +187,13 @@ split_lines AS (
            lambda l: trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(31) || chr(160))), lambda l: l <> '') AS ls
   FROM documents),
 numbered AS (
-  SELECT doc_id, unnest(list_slice(ls, 1, 20)) AS line, generate_subscripts(list_slice(ls, 1, 20), 1) - 1 AS i FROM split_lines),
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM split_lines),
 measured AS (
   SELECT *, length(regexp_replace(line, '[^\p{L}]', '', 'g')) AS letters,
          length(regexp_replace(line, '[^\p{Nd}]', '', 'g')) AS digits,
          length(line) - length(replace(line, ' ', '')) AS spaces,
          length(line) AS size,
-         regexp_matches(line, '(?i)^(customer|cardholder|card\s*holder|member|account|name)[\s:]*')
-         OR regexp_matches(line, '(?i)^(thank\s*you|thanks|receipt|invoice|bill|order|ticket)')
-         OR regexp_matches(line, '(?i)^(date|time|server|cashier|clerk|sold\s*to|ship\s*to)')
-         OR regexp_matches(line, '^(\*+|-+|=+)\s*$')
-         OR regexp_matches(line, '^[0-9\s\-\./]+$')
-         OR regexp_matches(line, '^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}')
-         OR regexp_matches(line, '(?i)^(visa|mastercard|amex|discover|debit|credit)') AS skipped
+         $skipped AS skipped
   FROM numbered),
 scored AS (
   SELECT doc_id, i, line,
@@ -170,9 +201,9 @@ scored AS (
          + CASE WHEN size BETWEEN 5 AND 30 THEN 20 ELSE 0 END - CASE WHEN size > 50 THEN 30 ELSE 0 END
          - CASE WHEN spaces > 2 THEN 15 ELSE 0 END AS score
   FROM measured
-  WHERE size BETWEEN 3 AND 80 AND NOT skipped AND letters >= 3 AND digits < greatest(2, letters // 3) AND spaces < 5),
+  WHERE i < $best_of AND size BETWEEN 3 AND 80 AND NOT skipped AND letters >= 3 AND digits < greatest(2, letters // 3) AND spaces < 5),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) = 1),
-usable AS (SELECT doc_id, line FROM measured WHERE i < 5 AND size >= 3 AND NOT skipped
+usable AS (SELECT doc_id, line FROM measured WHERE i < $last_resort_of AND size >= 3 AND NOT skipped
            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1)
 """
 
@@ -191,7 +222,7 @@ _HITS = {
 def _hint_sql() -> str:
     return """
       SELECT d.doc_id, min(b.item_id) AS pos, arg_min('item ' || b.item_id, b.item_id) AS vendor
-      FROM documents d LEFT JOIN benchmark b ON contains(lower(d.text), lower(left(b.text, 12))) GROUP BY d.doc_id"""
+      FROM documents d LEFT JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY d.doc_id"""
 
 
 ORACLES = {
@@ -200,9 +231,8 @@ ORACLES = {
     "vendor_hint": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, CASE WHEN k % 12 IN (0, 2, 10) THEN true_vendor END AS vendor FROM receipts",
     "vendor_extract": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, CASE WHEN k % 12 = 8 THEN true_vendor END AS vendor FROM receipts",
     "extract_vendor": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, true_vendor AS vendor FROM receipts",
-    "vendor_line_score": f"""WITH {_VENDOR_LINES_SQL}
-        SELECT s.doc_id, CAST(b.score AS BIGINT) AS score, b.line AS best_line, coalesce(u.line, s.ls[1]) AS last_resort
-        FROM split_lines s LEFT JOIN best b USING (doc_id) LEFT JOIN usable u USING (doc_id)""",
+    "vendor_line_score": _line_score_sql(P.VENDOR_LINES, P.LAST_RESORT_LINES),
+    "vendor_line_score_all": _line_score_sql(None, None),
     "categorize": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, true_category AS category, true_matcher AS matcher FROM receipts",
     "categorize_documents": f"""SELECT doc_id,
         CASE WHEN {_HITS['licence']} OR {_HITS['copyright']} THEN 'Legal' WHEN {_HITS['harsh']} THEN 'Negative'
@@ -226,6 +256,7 @@ ORACLES = {
         ]),
     "hint_join": _hint_sql(),
     "hint_join_anchored": _hint_sql(),
+    "hint_join_blocks": _hint_sql(),
     "slugify": """SELECT p_partkey, trim(regexp_replace(lower(concat_ws(' / ', '', p_type, p_brand, p_name || ' #!')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part""",
     "money_format": "SELECT o_orderkey, '$' || format('{:,.2f}', o_totalprice) AS shown FROM orders",
     "week_label": "SELECT o_orderkey, strftime(o_orderdate, '%Y-W%U') AS week_id FROM orders",
