@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,9 @@ from ledgerloom.llm.common import new_path, small_batches
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-MAX_ROUNDS, MIN_COUNT, MIN_GAIN = 8, 32, 0.03  # a round that saves less than MIN_GAIN of the symbols is the last
-CACHED_UNITS = 500_000
+MAX_ROUNDS, MIN_COUNT, MIN_GAIN = 8, 32, 0.05  # a round that saves less than MIN_GAIN of the symbols is the last
+CACHED_UNITS = 300_000
+LIBRARY_BATCH = 2048  # texts that the library encodes at once: its results are large
 MAGIC = b"RPG1"
 
 # A space with what follows it up to the next white space, or white space: the tokenizer never joins two of these.
@@ -39,6 +41,9 @@ _PLAIN_TEXT = re.compile("[\n\r\t\x20-\x7e\xa1-ɏ]*")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+_encoders: dict[str, "Encoder"] = {}
+
+
 class Encoder:
     """Encodes texts with a byte-level tokenizer file of the tokenizers library; units seen before come from a cache.
 
@@ -53,12 +58,20 @@ class Encoder:
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @classmethod
+    def shared(cls, path: str) -> "Encoder":
+        """The worker's encoder of a file, with what earlier tasks of the worker have put in its cache."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), LIBRARY_BATCH):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i:i + LIBRARY_BATCH], add_special_tokens=False)]
+        return out
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.units) + len(missing) > CACHED_UNITS:
-            self.units.clear()
         if len(self.pieces) > CACHED_UNITS:
             self.pieces.clear()
         parts = {unit: _PIECE.findall(unit) for unit in missing}
@@ -69,23 +82,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        out: list[bytes | None] = [None] * len(texts)
-        split, rest = [], []
-        for k, text in enumerate(texts):
-            if _PLAIN_TEXT.fullmatch(text) and not any(s in text for s in self.special):
-                split.append((k, _UNIT.findall(text)))
-            else:
-                rest.append(k)
-        step = 256
-        for i in range(0, len(split), step):
-            part = split[i:i + step]
-            missing = set().union(*(units for _, units in part)).difference(self.units)
+        out: list[bytes] = [b""] * len(texts)
+        rest = []
+        for i in range(0, len(texts), 128):
+            split, every = [], set()
+            for k in range(i, min(i + 128, len(texts))):
+                text = texts[k]
+                if _PLAIN_TEXT.fullmatch(text) and not any(s in text for s in self.special):
+                    units = _UNIT.findall(text)
+                    split.append((k, units))
+                    every.update(units)
+                else:
+                    rest.append(k)
+            missing = every.difference(self.units)
+            if missing and len(self.units) + len(missing) > CACHED_UNITS:
+                self.units.clear()
+                missing = every
             if missing:
-                if len(self.units) + len(missing) > CACHED_UNITS:
-                    missing = set().union(*(units for _, units in part))
                 self._learn(missing)
             get = self.units.__getitem__
-            for k, units in part:
+            for k, units in split:
                 out[k] = b"".join(map(get, units))
         for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
             out[k] = ids
@@ -216,7 +232,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, shard = Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         names, found, size, id_type = [], [], 0, None
 
