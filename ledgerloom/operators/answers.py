@@ -13,10 +13,10 @@ from ledgerloom.functions.text import (
     Sql, fixed2, keep_if, let, missing, none_if_empty, quote, string_array, strip,
 )
 from ledgerloom.operators import extract
-from ledgerloom.operators.keyed import keep_first, keep_latest
+from ledgerloom.operators.keyed import keep_first
 from ledgerloom.operators.lookup import MAX_INLINE_HINTS, cache_lookup, cache_misses, with_first_hint
 from ledgerloom.rules import Rules
-from ledgerloom.schemas import UNCATEGORIZED
+from ledgerloom.schemas import ANSWERS_SCHEMA, UNCATEGORIZED
 from ledgerloom.session import ensure_checkpoint_dir
 
 PROMPT_HEAD = (
@@ -29,6 +29,8 @@ PROMPT_TAIL = (
     "reasoning, and nothing else.\n\nText:\n"
 )
 
+ASK_AT_ONCE = 64  # prompts handed to a provider together
+
 # A provider is built once per partition and maps prompts to raw answers.
 Provider = Callable[[Iterable[str]], Iterable[str]]
 
@@ -55,21 +57,49 @@ def requests(docs: DataFrame, cache: DataFrame, rules: Rules, text_limit: int |
     return once.select(F.col("sha1").alias("file_hash"), "prompt")
 
 
-def infer(requests_df: DataFrame, make_provider: Callable[[], Provider],
-          tasks: int | None = None) -> DataFrame:
-    """(file_hash, response) from the provider, checkpointed so that no call is repeated later.
+def _ask(provider: Provider, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(response, error) per prompt. Where a batch fails, its prompts are asked one by one."""
+    try:
+        answers = list(provider(prompts))
+    except Exception as failure:  # noqa: BLE001 - whatever a provider raises is its answer
+        if len(prompts) == 1:
+            return [(None, f"{type(failure).__name__}: {failure}")]
+        answers = []
+    if len(answers) == len(prompts):
+        return [(None if a is None else str(a), "no answer" if a is None else None) for a in answers]
+    if len(prompts) == 1:
+        return [(None, f"{len(answers)} answers to one prompt")]
+    return [pair for p in prompts for pair in _ask(provider, [p])]
 
-    A provider need not give the same answer twice, so everything downstream must
-    see the one stored answer.
+
+def ask(requests_df: DataFrame, make_provider: Callable[[], Provider], tasks: int | None = None,
+        batch_size: int = ASK_AT_ONCE) -> DataFrame:
+    """(file_hash, response, error) from the provider; a failed call is an error of its own prompt only.
+
+    Lazy: a provider need not answer alike twice, so store the result before it is used (`infer`, or a state table).
     """
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make_provider()
         for batch in batches:
-            yield batch[["file_hash"]].assign(response=list(provider(batch["prompt"])))
+            prompts = batch["prompt"].tolist()
+            pairs = [x for i in range(0, len(prompts), batch_size) for x in _ask(provider, prompts[i:i + batch_size])]
+            yield batch[["file_hash"]].assign(response=[r for r, _ in pairs], error=[e for _, e in pairs])
 
     spread = requests_df.repartition(tasks, "file_hash") if tasks else requests_df
+    return spread.mapInPandas(answer, ANSWERS_SCHEMA)
+
+
+def infer(requests_df: DataFrame, make_provider: Callable[[], Provider],
+          tasks: int | None = None) -> DataFrame:
+    """`ask`, checkpointed so that no call is repeated later."""
     ensure_checkpoint_dir(requests_df.sparkSession)
-    return spread.mapInPandas(answer, "file_hash string, response string").checkpoint()
+    return ask(requests_df, make_provider, tasks).checkpoint()
+
+
+def answer_of(response: Sql, error: Sql, rules: Rules) -> Sql:
+    """Answer struct of a response, or of the error that came instead."""
+    failed = no_answer(f"concat('provider failed: ', {error})")
+    return f"IF({error} IS NULL, {parse_answer(response, rules)}, {failed})"
 
 
 # --- raw answers to structs -------------------------------------------------
@@ -167,15 +197,16 @@ def cache_rows(answers: DataFrame, cache_all: bool = False) -> DataFrame:
 # --- resolution -------------------------------------------------------------
 
 def with_answers(docs: DataFrame, cache: DataFrame, new_answers: DataFrame | None) -> DataFrame:
-    """Documents with the cached answer, else the new one, else an empty one.
+    """Documents with the new answer, else the cached one, else an empty one.
 
-    The answers are brought together first, so that the documents need one join.
+    New answers are of files the cache did not know. They come first, so that a step repeated after its
+    answers were cached gives the same rows. The answers are brought together first: the documents need one join.
     """
     known = cache.select("file_hash", *_ANSWER_FIELDS, F.lit(True).alias("cached"))
     if new_answers is not None:
         fresh = new_answers.select("file_hash", *[f"answer.{c}" for c in _ANSWER_FIELDS],
                                    F.lit(False).alias("cached"))
-        known = keep_latest(known.unionByName(fresh), ["file_hash"], ["cached"])
+        known = keep_first(known.unionByName(fresh), ["file_hash"], ["cached"])
     return cache_lookup(docs, known).withColumn("answer", F.expr(f"coalesce(answer, {disabled_answer()})"))
 
 

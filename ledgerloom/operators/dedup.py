@@ -34,9 +34,9 @@ def in_batch(batch: DataFrame, order: list[str], rows_per_task: int = ROWS_PER_T
     """
     rows = batch.filter(~_all_missing()) if ignore_empty else batch
     if scope == "week":
-        by = Ordering(("week_id", "fingerprint"), tuple(order), rows_per_task)
+        by = Ordering(("week_id", "fingerprint"), (*order, "sha1"), rows_per_task)
     elif scope == "run":
-        by = Ordering(("fingerprint",), ("week_id", *order), rows_per_task)
+        by = Ordering(("fingerprint",), ("week_id", *order, "sha1"), rows_per_task)
     else:
         raise ValueError("scope is 'week' or 'run'")
     seen = with_previous(rows, by, ["sha1", "source_file", "week_id"], "__previous")

@@ -1,4 +1,4 @@
-"""One row per key, and the table updates made from that.
+"""One row per key.
 
 `row_number() = 1` is planned with a group limit before the shuffle, so each task
 sends on one row per key at most and a hot key never gathers in one place.
@@ -21,16 +21,3 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def keep_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _first_by(df, keys, [F.col(c).desc() for c in order])
-
-
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str],
-           order: list[str]) -> DataFrame:
-    """Replace on key: of all rows with one key the latest remains."""
-    return keep_latest(existing.unionByName(incoming), keys, order)
-
-
-def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str,
-                     order: list[str]) -> DataFrame:
-    """Rows to append: the first of each new key; keys already stored are left alone."""
-    known = existing.select(key)
-    return keep_first(incoming.join(known, key, "left_anti"), [key], order)

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import quote, source_file
 from ledgerloom.operators import answers as A
-from ledgerloom.operators import dedup, listing, totals
+from ledgerloom.operators import dedup, listing, routing, totals
 from ledgerloom.operators.answers import resolve
 from ledgerloom.rules import Rules
 from ledgerloom.schemas import RECEIPT_COLUMNS
@@ -31,6 +32,13 @@ def canonical_rows(resolved: DataFrame, notes: str = "") -> DataFrame:
     ).select(*RECEIPT_COLUMNS, "week_id", "seq", "date_source")
 
 
+class Undone(NamedTuple):
+    """Registry rows removed, and what becomes of each processed file (None if no files were given)."""
+
+    removed: int
+    restore: DataFrame | None
+
+
 @dataclass
 class WeeklyLedger:
     """State under one root folder, and the steps that change it.
@@ -50,23 +58,38 @@ class WeeklyLedger:
     cache: tables.StateTable = field(init=False)
     registry: tables.StateTable = field(init=False)
     exports: tables.StateTable = field(init=False)
+    answers: tables.StateTable = field(init=False)
+    rejects: tables.StateTable = field(init=False)
+    duplicates: tables.StateTable = field(init=False)
 
     def __post_init__(self) -> None:
         self.ledger = tables.ledger(self.spark, self.root)
         self.cache = tables.answer_cache(self.spark, self.root)
         self.registry = tables.registry(self.spark, self.root)
         self.exports = tables.export_table(self.spark, self.root)
+        self.answers = tables.raw_answers(self.spark, self.root)
+        self.rejects = tables.rejects(self.spark, self.root)
+        self.duplicates = tables.duplicates(self.spark, self.root)
 
     def _resolved(self, docs: DataFrame, batch_id: str) -> DataFrame:
         if self.make_provider is None:
             return extract(docs, self.rules)
         cache = self.cache.read(docs.selectExpr("sha1 AS file_hash"))
-        raw = A.infer(A.requests(docs, cache, self.rules), self.make_provider)
-        new = raw.selectExpr("file_hash", f"{A.parse_answer('response', self.rules)} AS answer")
-        answered = A.with_answers(A.read_texts(docs, self.rules), cache, new)
-        stamped = A.cache_rows(new, self.cache_all).withColumn("cached_at", F.current_timestamp())
-        self.cache.upsert(stamped, batch_id)
-        return A.settle(answered)
+        if not self.answers.has_batch(batch_id):
+            self.answers.upsert(A.ask(A.requests(docs, cache, self.rules), self.make_provider), batch_id)
+        raw = self.answers.batch(batch_id)
+        new = raw.selectExpr("file_hash", f"{A.answer_of('response', 'error', self.rules)} AS answer")
+        return A.settle(A.with_answers(A.read_texts(docs, self.rules), cache, new))
+
+    def _keep_answers(self, batch_id: str) -> None:
+        """New answers go to the cache once the ledger has its rows; unusable ones are listed with their reason."""
+        if self.make_provider is None:
+            return
+        raw = self.answers.batch(batch_id)
+        new = raw.selectExpr("file_hash", f"{A.answer_of('response', 'error', self.rules)} AS answer")
+        self.cache.upsert(A.cache_rows(new, self.cache_all).withColumn("cached_at", F.current_timestamp()), batch_id)
+        unusable = raw.selectExpr("file_hash", "response", f"coalesce(error, {A.parse_error('response')}) AS error")
+        self.rejects.upsert(unusable.where("error IS NOT NULL").withColumn("batch_id", F.lit(batch_id)), batch_id)
 
     def process(self, docs: DataFrame, batch_id: str | None = None,
                 replace: Column | None = None) -> DataFrame:
@@ -82,6 +105,7 @@ class WeeklyLedger:
                 self.ledger.upsert(rows, batch_id)
             else:
                 self.ledger.replace_where(rows, replace, batch_id)
+        self._keep_answers(batch_id)
         return self.ledger.batch(batch_id).drop("version")
 
     def find_duplicates(self, rows: DataFrame, match: str = "last",
@@ -121,8 +145,24 @@ class WeeklyLedger:
             "links": listing.link_table(items, months, manifest),
         }
 
-    def undo_week(self, week_id: str, batch_id: str | None = None) -> int:
-        """Take a week out of ledger and registry; cached answers stay. Returns registry rows removed."""
+    def routing(self, files: DataFrame, rows: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
+        """Where each file goes, by the category of its ledger row. `files` as from `scan_folders`."""
+        placed = files.join(rows.select("week_id", "seq", "category"), ["week_id", "seq"])
+        return routing.routing_plan(placed, occupied)
+
+    def undo_week(self, week_id: str, batch_id: str | None = None, processed: DataFrame | None = None,
+                  incoming: DataFrame | None = None) -> Undone:
+        """Take a week out of ledger, registry, export and duplicates; cached answers stay.
+
+        `processed` and `incoming` (week_id, file_name, seq) are the files in their folders now; the
+        plan says which processed files go back.
+        """
         batch_id = batch_id or uuid.uuid4().hex
-        self.ledger.delete(F.col("week_id") == week_id, batch_id)
-        return self.registry.delete(F.col("week_id") == week_id, batch_id)
+        for table in (self.ledger, self.exports, self.duplicates):
+            table.delete(F.col("week_id") == week_id, batch_id)
+        removed = self.registry.delete(F.col("week_id") == week_id, batch_id)
+        if processed is None:
+            return Undone(removed, None)
+        there = processed.limit(0) if incoming is None else incoming
+        return Undone(removed, routing.undo_plan(
+            processed.where(F.col("week_id") == week_id), there.select("week_id", "file_name")))

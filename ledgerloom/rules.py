@@ -6,7 +6,6 @@ column expressions (`operators.extract`).
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -14,10 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.dialect import check_on_jvm, to_java
 from ledgerloom.schemas import RULES_SCHEMA, UNCATEGORIZED
 
-_PYTHON_ONLY = re.compile(r"\(\?P[<=>]")
-
 
 @dataclass(frozen=True)
 class Condition:
@@ -43,6 +41,11 @@ class Rules:
     hints: tuple[tuple[str, str], ...] = ()
     matchers: tuple[Matcher, ...] = field(default=())
 
+    def patterns(self) -> list[str]:
+        """All patterns, in Java's dialect."""
+        return [p for m in self.matchers for p in (
+            *m.vendor_extract, *(x for c in (*m.any, *m.all) for x in (c.vendor_re, c.text_re) if x))]
+
     def without_example_blacklist(self) -> Rules:
         """Drop blacklist entries that are marked as examples."""
         kept = tuple(b for b in self.blacklist if not b.upper().startswith("EXAMPLE:"))
@@ -50,11 +53,7 @@ class Rules:
 
 
 def _checked(pattern: str | None) -> str | None:
-    if not pattern:
-        return None
-    if _PYTHON_ONLY.search(pattern):
-        raise ValueError(f"named groups of the form (?P...) are not supported: {pattern!r}")
-    return pattern
+    return to_java(pattern) if pattern else None
 
 
 def _conditions(items: list[dict[str, Any]] | None) -> tuple[Condition, ...]:
@@ -81,7 +80,11 @@ def rules_from_dict(raw: dict[str, Any]) -> Rules:
 
 
 def load_rules(spark: SparkSession, path: str) -> Rules:
-    """Read a rules file; a missing file means no rules."""
+    """Read a rules file; a missing file means no rules.
+
+    Patterns are in Python's dialect. They are translated and compiled once here, so a pattern that
+    cannot be used fails now, with its text.
+    """
     try:
         # As entries, since a map reaches Python without its order.
         row = spark.read.schema(RULES_SCHEMA).option("multiLine", True).json(path).withColumn(
@@ -92,4 +95,7 @@ def load_rules(spark: SparkSession, path: str) -> Rules:
         raise
     raw = row.asDict(recursive=True) if row else {}
     hints = raw.get("vendor_hints") or []
-    return rules_from_dict({**raw, "vendor_hints": {h["key"]: h["value"] for h in hints}})
+    rules = rules_from_dict({**raw, "vendor_hints": {h["key"]: h["value"] for h in hints}})
+    for pattern in rules.patterns():
+        check_on_jvm(spark, pattern)
+    return rules

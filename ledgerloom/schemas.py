@@ -10,10 +10,14 @@ RECEIPT_SCHEMA = (
     "matcher string, notes string, source_file string, sha1 string"
 )
 
-# The model's answer about one document after parsing.
-ANSWER_SCHEMA = (
-    "vendor string, date string, category string, confidence double, "
-    "reasoning string, cached boolean"
+# What a provider gave for a file: a response, or the error that came instead.
+ANSWERS_SCHEMA = "file_hash string, response string, error string"
+
+REJECTS_SCHEMA = ANSWERS_SCHEMA + ", batch_id string"
+
+DUPLICATES_SCHEMA = (
+    "week_id string, seq string, kind string, fingerprint string, sha1 string, source_file string, "
+    "original_week string, original_file string, seen_in string"
 )
 
 CACHE_SCHEMA = (

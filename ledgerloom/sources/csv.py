@@ -15,10 +15,11 @@ _OPTIONS = {"header": True, "escape": '"', "encoding": "UTF-8", "multiLine": Tru
 def write_csv(rows: DataFrame, path: str) -> None:
     """The eight export columns, one folder per week; NULL becomes an empty field.
 
-    Rebalancing gives each small week one file and splits a large one over tasks.
+    Rebalancing gives each small week one file and splits a large one over tasks. Only
+    the folders of the weeks in `rows` are replaced.
     """
     (rows.select(*RECEIPT_COLUMNS, "week_id").hint("rebalance", "week_id")
-     .write.mode("overwrite").partitionBy("week_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_id")
      .options(**_OPTIONS).option("nullValue", "").option("emptyValue", "").csv(path))
 
 

@@ -1,11 +1,12 @@
-"""Keyed state tables: the answer cache, the fingerprint registry and the export table.
-
-A table is a folder of Parquet segments plus a small `commits` table that lists
-them. A commit writes only its own rows; a later row replaces an earlier one with
-the same key when the table is read, and a row marked as deleted removes its key.
-Nothing that is being read is ever overwritten, and a segment counts only once its
-commit row is there, so a failed or repeated write leaves no trace. One writer per
-table at a time.
+"""Keyed state tables: the answer cache, the fingerprint registry, the export table and others.
+
+A table is a folder of Parquet segments plus a log. A commit writes only its own rows, in folders by a
+hash bucket of the first key; a later row replaces an earlier one with the same key when the table is read, and a
+row marked as deleted removes its key. A read by keys opens only the buckets of those keys. The log has one file
+per version, which lists the live segments of that version: readers need the newest file alone. A
+segment counts only once its log file is there, so a failed or repeated write leaves no trace. Whenever FANOUT
+neighbouring segments of one level have gathered, they are merged to one of the next level, so a table
+of n commits has few segments and each row is rewritten a few times only. One writer per table at a time.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.keyed import keep_first, keep_latest
-from ledgerloom.schemas import CACHE_SCHEMA, EXPORT_SCHEMA, LEDGER_SCHEMA, REGISTRY_SCHEMA
+from ledgerloom.schemas import (
+    ANSWERS_SCHEMA, CACHE_SCHEMA, DUPLICATES_SCHEMA, EXPORT_SCHEMA, LEDGER_SCHEMA, REGISTRY_SCHEMA, REJECTS_SCHEMA,
+)
 
-_COMMITS = "version bigint, kind string, segment string, batch_id string"
+_LOG = "segment string, level int, batch_id string, own string, version bigint"
+BUCKETS = 16
+FANOUT = 8
+_BASE = 1 << 20  # level of a segment that holds everything before it
 
 
 @dataclass(frozen=True)
@@ -30,69 +36,126 @@ class StateTable:
     schema: str
     keys: tuple[str, ...]
     order: tuple[str, ...] = ()
+    buckets: int = BUCKETS
+    fanout: int = FANOUT
 
-    # --- commits ---
+    # --- log ---
 
-    def _commits(self) -> list:
-        """Commit rows of the live segments, oldest first; one row per batch since compaction."""
+    def _log(self) -> DataFrame | None:
         try:
-            log = self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
-            rows = log.orderBy("version").collect()
+            return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
         except AnalysisException as err:
             if "PATH_NOT_FOUND" in (err.getCondition() or ""):
-                return []
+                return None
             raise
-        return rows
 
-    def _live_commits(self) -> list:
-        rows = self._commits()
-        bases = [i for i, r in enumerate(rows) if r["kind"] == "base"]
-        return rows[bases[-1]:] if bases else rows
+    def _version(self) -> int:
+        log = self._log()
+        return 0 if log is None else log.agg(F.max("version")).first()[0]
+
+    def _live(self, version: int) -> list[tuple[str, int]]:
+        """(segment, level) of a version, oldest first: few, as segments are merged."""
+        if not version:
+            return []
+        rows = self._log().where(F.col("version") == version).select("segment", "level").collect()
+        return sorted((r["segment"], r["level"]) for r in rows)
+
+    def _segment_of(self, batch_id: str) -> str | None:
+        log = self._log()
+        if log is None:
+            return None
+        found = log.where(F.col("batch_id") == batch_id).select("own").limit(1).collect()
+        return found[0]["own"] if found else None
 
     def has_batch(self, batch_id: str) -> bool:
-        return any(r["batch_id"] == batch_id for r in self._commits())
+        return self._segment_of(batch_id) is not None
 
     def batch(self, batch_id: str) -> DataFrame:
         """The rows one commit wrote, read back from its segment."""
-        segment = next(r["segment"] for r in self._commits() if r["batch_id"] == batch_id)
-        rows = self.spark.read.schema(f"{self.schema}, deleted boolean, version bigint").parquet(segment)
-        return rows.filter(~F.col("deleted")).drop("deleted")
+        return self._scan([self._segment_of(batch_id)]).filter(~F.col("deleted")).drop("deleted", "bucket")
+
+    def _write_log(self, version: int, live: list[tuple[str, int]], batch_id: str | None, own: str | None) -> None:
+        rows = [(segment, level, batch_id, own) for segment, level in live]
+        entry = self.spark.createDataFrame(rows, "segment string, level int, batch_id string, own string")
+        entry.coalesce(1).write.parquet(f"{self.root}/log/version={version}")
+
+    # --- segments ---
 
-    def _commit(self, rows: DataFrame, kind: str, batch_id: str) -> None:
-        commits = self._commits()
-        if any(r["batch_id"] == batch_id for r in commits):
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
+
+    def _scan(self, segments: list[str]) -> DataFrame:
+        full = f"{self.schema}, deleted boolean, version bigint, segment string, bucket int"
+        if not segments:
+            return self.spark.createDataFrame([], full).drop("segment")
+        folder = f"{self.root}/segments"
+        return self.spark.read.schema(full).option("basePath", folder).parquet(
+            *(f"{folder}/segment={s}" for s in segments)).drop("segment")
+
+    def _write_segment(self, rows: DataFrame, version: int) -> str:
+        # The number in front keeps the order of segments; a later one has newer rows.
+        segment = f"{version:010d}-{uuid.uuid4().hex}"
+        (rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+         .sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket")
+         .parquet(f"{self.root}/segments/segment={segment}"))
+        return segment
+
+    def _commit(self, rows: DataFrame, batch_id: str) -> None:
+        if self.has_batch(batch_id):
             return
-        version = commits[-1]["version"] + 1 if commits else 1
-        segment = f"{self.root}/segments/{version:08d}-{uuid.uuid4().hex}"
-        if "version" not in rows.columns:
-            rows = rows.withColumn("version", F.lit(version).cast("bigint"))
-        rows.write.parquet(segment)
-        entry = self.spark.createDataFrame([(version, kind, segment, batch_id)], _COMMITS)
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        version = self._version()
+        live = self._live(version)
+        segment = self._write_segment(rows.withColumn("version", F.lit(version + 1).cast("bigint")), version + 1)
+        self._write_log(version + 1, [*live, (segment, 0)], batch_id, segment)
+        self._merge_tail()
+
+    def _merge_tail(self) -> None:
+        """Merge the newest segments while FANOUT of one level stand at the end."""
+        while True:
+            version = self._version()
+            live = self._live(version)
+            tail = [x for x in live[-self.fanout:] if x[1] == live[-1][1]]
+            if len(tail) < self.fanout:
+                return
+            self._merge(version, live, len(live) - len(tail), tail[0][1] + 1)
+
+    def _merge(self, version: int, live: list[tuple[str, int]], first: int, level: int, batch_id: str | None = None) -> None:
+        """One segment in place of those from `first` on; marks of deletion are needed while older rows exist."""
+        rows = keep_latest(self._scan([s for s, _ in live[first:]]), list(self.keys), ["version", *self.order])
+        if not first:
+            rows = rows.filter(~F.col("deleted"))
+        segment = self._write_segment(rows.drop("bucket"), version + 1)
+        self._write_log(version + 1, [*live[:first], (segment, level)], batch_id, segment if batch_id else None)
 
     # --- reading ---
 
-    def _history(self) -> DataFrame:
-        full = f"{self.schema}, deleted boolean, version bigint"
-        segments = [r["segment"] for r in self._live_commits()]
-        if not segments:
-            return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(*segments)
+    def _history(self, keys: DataFrame | None = None) -> DataFrame:
+        rows = self._scan([segment for segment, _ in self._live(self._version())])
+        if keys is None:
+            return rows.drop("bucket")
+        if self.keys[0] in keys.columns:
+            touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
+            rows = rows.filter(F.col("bucket").isin(touched))
+        return rows.drop("bucket").join(keys, keys.columns, "left_semi")
 
     def read(self, matching: DataFrame | None = None) -> DataFrame:
         """Live rows, with the `version` of the commit that wrote them.
 
         `matching` holds some of the key columns; only rows with those keys are read
-        on. A small set of keys is then broadcast and the table is not shuffled. The
-        kept rows are spread by the whole key, so that one hot part of it (such as
-        the fingerprint of empty receipts) does not gather in one task.
+        on, from the buckets that they lie in. The kept rows are spread by the whole key, so
+        that one hot part of it (such as the fingerprint of empty receipts) does not gather in one task.
         """
-        history = self._history()
+        history = self._history(matching)
         if matching is not None:
-            history = history.join(matching, matching.columns, "left_semi").repartition(*self.keys)
+            history = history.repartition(*self.keys)
         newest = keep_latest(history, list(self.keys), ["version", *self.order])
         return newest.filter(~F.col("deleted")).drop("deleted")
 
+    def _where(self, condition: Column) -> DataFrame:
+        """Live rows that meet a condition. Only keys that ever met it are looked at again."""
+        keys = self._history().filter(condition).select(*self.keys).distinct()
+        return self.read(keys).filter(condition)
+
     # --- writing ---
 
     def _columns(self) -> list[str]:
@@ -101,37 +164,34 @@ class StateTable:
     def upsert(self, rows: DataFrame, batch_id: str) -> None:
         """Insert or replace. The same batch id is written once only."""
         kept = keep_latest(rows.select(*self._columns()), list(self.keys), list(self.order or self.keys))
-        self._commit(kept.withColumn("deleted", F.lit(False)), "delta", batch_id)
+        self._commit(kept.withColumn("deleted", F.lit(False)), batch_id)
 
     def insert_ignore(self, rows: DataFrame, batch_id: str) -> None:
         """Insert rows whose key is new; the first row of a key wins."""
         known = self.read(rows.select(*self.keys)).select(*self.keys)
         new = rows.select(*self._columns()).join(known, list(self.keys), "left_anti")
         kept = keep_first(new, list(self.keys), list(self.order or self.keys))
-        self._commit(kept.withColumn("deleted", F.lit(False)), "delta", batch_id)
+        self._commit(kept.withColumn("deleted", F.lit(False)), batch_id)
 
     def replace_where(self, rows: DataFrame, condition: Column, batch_id: str) -> None:
         """Put `rows` in the place of all live rows that meet the condition, in one commit."""
         keys = list(self.keys)
         kept = keep_latest(rows.select(*self._columns()), keys, list(self.order or self.keys))
-        gone = self.read().filter(condition).select(*self._columns()).join(
-            kept.select(*keys), keys, "left_anti")
+        gone = self._where(condition).select(*self._columns()).join(kept.select(*keys), keys, "left_anti")
         self._commit(kept.withColumn("deleted", F.lit(False)).unionByName(
-            gone.withColumn("deleted", F.lit(True))), "delta", batch_id)
+            gone.withColumn("deleted", F.lit(True))), batch_id)
 
     def delete(self, condition: Column, batch_id: str) -> int:
         """Delete the live rows that meet the condition; returns how many there were."""
-        doomed = self.read().filter(condition).select(*self._columns())
-        self._commit(doomed.withColumn("deleted", F.lit(True)), "delta", batch_id)
-        segment = next(r["segment"] for r in self._commits() if r["batch_id"] == batch_id)
-        return self.spark.read.parquet(segment).count()
+        doomed = self._where(condition).select(*self._columns())
+        self._commit(doomed.withColumn("deleted", F.lit(True)), batch_id)
+        return self._scan([self._segment_of(batch_id)]).count()
 
     def compact(self, batch_id: str) -> None:
-        """Write the live rows as one new base segment, which readers then start from.
-
-        Rows keep the version they were written with, so their order stays.
-        """
-        self._commit(self.read().withColumn("deleted", F.lit(False)), "base", batch_id)
+        """Write the live rows as one new segment; rows keep the version they were written with."""
+        version = self._version()
+        if version and not self.has_batch(batch_id):
+            self._merge(version, self._live(version), 0, _BASE, batch_id)
 
 
 def answer_cache(spark: SparkSession, root: str) -> StateTable:
@@ -139,15 +199,30 @@ def answer_cache(spark: SparkSession, root: str) -> StateTable:
 
 
 def registry(spark: SparkSession, root: str) -> StateTable:
-    return StateTable(spark, f"{root}/registry", REGISTRY_SCHEMA, ("fingerprint", "file_hash"), ("seq",))
+    return StateTable(spark, f"{root}/registry", REGISTRY_SCHEMA, ("fingerprint", "file_hash"), ("week_id", "seq"))
 
 
 def export_table(spark: SparkSession, root: str) -> StateTable:
-    return StateTable(spark, f"{root}/receipts", EXPORT_SCHEMA, ("sha1",), ("seq",))
+    """Each week has an export of its own, in which a file stands once."""
+    return StateTable(spark, f"{root}/receipts", EXPORT_SCHEMA, ("week_id", "sha1"), ("seq",))
 
 
 def ledger(spark: SparkSession, root: str) -> StateTable:
-    return StateTable(spark, f"{root}/ledger", LEDGER_SCHEMA, ("week_id", "seq"))
+    return StateTable(spark, f"{root}/ledger", LEDGER_SCHEMA, ("week_id", "seq"), ("sha1",))
+
+
+def raw_answers(spark: SparkSession, root: str) -> StateTable:
+    """Answers as the provider gave them, so that a repeated step asks nothing again."""
+    return StateTable(spark, f"{root}/raw_answers", ANSWERS_SCHEMA, ("file_hash",))
+
+
+def rejects(spark: SparkSession, root: str) -> StateTable:
+    """Answers that could not be used, and why."""
+    return StateTable(spark, f"{root}/rejects", REJECTS_SCHEMA, ("file_hash", "batch_id"))
+
+
+def duplicates(spark: SparkSession, root: str) -> StateTable:
+    return StateTable(spark, f"{root}/duplicates", DUPLICATES_SCHEMA, ("week_id", "seq", "kind"))
 
 
-REGISTRY_ORDER = ["version", "seq"]
+REGISTRY_ORDER = ["version", "week_id", "seq", "file_hash"]

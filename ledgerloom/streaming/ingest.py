@@ -8,17 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.weekly import WeeklyLedger
-from ledgerloom.sources.tables import StateTable
-
-DUPLICATES_SCHEMA = (
-    "week_id string, seq string, kind string, fingerprint string, sha1 string, source_file string, "
-    "original_week string, original_file string, seen_in string"
-)
-
-
-def duplicates_table(job: WeeklyLedger) -> StateTable:
-    return StateTable(job.spark, f"{job.root}/duplicates", DUPLICATES_SCHEMA, ("week_id", "seq", "kind"))
-
 
 def batch_step(job: WeeklyLedger, stream: str) -> Callable[[DataFrame, int], None]:
     """One micro-batch: ledger rows, duplicates against what came before, registry, export.
@@ -29,9 +18,8 @@ def batch_step(job: WeeklyLedger, stream: str) -> Callable[[DataFrame, int], Non
     def step(docs: DataFrame, number: int) -> None:
         batch_id = f"{stream}-{number}"
         rows = job.process(docs, batch_id)
-        found = duplicates_table(job)
-        if not found.has_batch(batch_id):
-            found.upsert(job.find_duplicates(rows), batch_id)
+        if not job.duplicates.has_batch(batch_id):
+            job.duplicates.upsert(job.find_duplicates(rows), batch_id)
         job.register(rows, batch_id)
         job.export(rows, batch_id)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import answers as A
-from ledgerloom.operators import keyed, lookup
+from ledgerloom.operators import lookup
 from ledgerloom.plans.weekly import canonical_rows, extract
+from ledgerloom.sources import tables
 from ledgerloom.sources.documents import keep_documents
 from workload import tables as T
+from workload.scratch import ensure_shared_folder, new_folder
 
 
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +53,37 @@ def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return answer
 
+    ensure_shared_folder(spark)
     rows = T.receipts(spark, sf_dir)
     raw = A.infer(A.requests(rows, T.cache(rows), T.rules()), stub_provider)
     return raw.selectExpr("file_hash", f"{A.parse_answer('response', T.rules())} AS a").select(
         "file_hash", "a.vendor", "a.date", "a.category", "a.confidence")
 
 
+def batch_inference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider that raises for some prompts and leaves others unanswered: those alone are without an answer."""
+    def shaky_provider():
+        import json
+
+        def answer(prompts):
+            out = []
+            for prompt in prompts:
+                body = prompt.split("Text:\n", 1)[1]
+                if "Sunshine" in body:
+                    raise RuntimeError("no such service")
+                if "Uber" not in body:
+                    out.append(json.dumps({"vendor": body.split("\n")[1], "category": "meals", "confidence": 0.8}))
+            return out
+
+        return answer
+
+    ensure_shared_folder(spark)
+    rows = T.receipts(spark, sf_dir)
+    raw = A.infer(A.requests(rows, T.cache(rows), T.rules()), shaky_provider)
+    return raw.selectExpr("file_hash", "error", f"{A.answer_of('response', 'error', T.rules())} AS a").select(
+        "file_hash", "a.vendor", "a.category", "a.confidence", "error", "a.reasoning")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.raw_answers(T.receipts(spark, sf_dir))
 
@@ -95,10 +123,11 @@ def cache_write_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.receipts(spark, sf_dir)
-    old = T.cache(rows).selectExpr("file_hash", "vendor", "confidence", "1 AS written")
-    new = A.cache_rows(_parsed(spark, sf_dir)).selectExpr("file_hash", "vendor", "confidence", "2 AS written")
-    return keyed.upsert(old, new, ["file_hash"], ["written"])
+    """The cache table after new answers came to the stored ones; `written` is the commit of each row."""
+    state = tables.answer_cache(spark, new_folder(spark, "cache"))
+    state.upsert(T.cache(T.receipts(spark, sf_dir)), "stored")
+    state.upsert(A.cache_rows(_parsed(spark, sf_dir)).withColumn("cached_at", F.lit("2024-02-02").cast("timestamp")), "new")
+    return state.read().selectExpr("file_hash", "vendor", "confidence", "CAST(version AS INT) AS written")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +162,7 @@ QUERIES = {
     "extraction_requests": extraction_requests,
     "extraction_requests_full": extraction_requests_full,
     "batch_inference_stub": batch_inference_stub,
+    "batch_inference_errors": batch_inference_errors,
     "strip_fences": strip_fences,
     "parse_answers": parse_answers,
     "canonical_category": canonical_category,
@@ -169,6 +199,13 @@ ORACLES = {
         WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0)""",
     "batch_inference_stub": f"""WITH {T.RECEIPTS_SQL} SELECT sha1 AS file_hash, string_split(text, chr(10))[2] AS vendor,
         CAST(NULL AS VARCHAR) AS date, 'Meals' AS category, CAST(0.8 AS DOUBLE) AS confidence FROM receipts WHERE k % 3 <> 0""",
+    "batch_inference_errors": f"""WITH {T.RECEIPTS_SQL},
+        asked AS (SELECT *, CASE WHEN k % 12 = 5 THEN 'RuntimeError: no such service' WHEN k % 12 = 1 THEN '0 answers to one prompt' END AS error
+                  FROM receipts WHERE k % 3 <> 0)
+        SELECT sha1 AS file_hash, CASE WHEN error IS NULL THEN string_split(text, chr(10))[2] END AS vendor,
+               CASE WHEN error IS NULL THEN 'Meals' ELSE 'Uncategorized' END AS category,
+               CAST(CASE WHEN error IS NULL THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence, error,
+               CASE WHEN error IS NULL THEN '' ELSE 'provider failed: ' || error END AS reasoning FROM asked""",
     "strip_fences": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || chr(10) || source END AS kept FROM documents",
     "parse_answers": f"""WITH {_ANSWERS_SQL} SELECT k, copy, vendor, date, category, confidence,
         CASE WHEN usable THEN 'read from the header' ELSE 'no usable answer: ' || error END AS reasoning FROM answers""",

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import listing, totals
 from ledgerloom.plans.weekly import canonical_rows, extract
-from ledgerloom.session import new_folder
 from ledgerloom.sources.csv import read_csv, write_csv
 from ledgerloom.sources.documents import keep_documents
 from workload import tables as T
+from workload.scratch import new_folder
 from workload.model_answers import resolved
 
 
@@ -81,6 +81,16 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path)
 
 
+def csv_two_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exports of different weeks to one folder, the first of them done twice."""
+    rows, path = _by_year(spark, sf_dir), new_folder(spark, "csv")
+    odd = F.col("week_id").cast("int") % 2 == 1
+    write_csv(rows.filter(odd).withColumn("notes", F.lit("old")), path)
+    write_csv(rows.filter(~odd), path)
+    write_csv(rows.filter(odd).withColumn("notes", F.lit("new")), path)
+    return read_csv(spark, path).selectExpr("week_id", "sha1", "source_file", "coalesce(notes, '') AS notes")
+
+
 QUERIES = {
     "text_summary": text_summary,
     "category_totals": category_totals,
@@ -94,6 +104,7 @@ QUERIES = {
     "package_manifest": package_manifest,
     "link_table": link_table,
     "csv_roundtrip": csv_roundtrip,
+    "csv_two_weeks": csv_two_weeks,
 }
 
 _MONTH = "CASE WHEN length(date) >= 7 THEN left(date, 7) ELSE 'Unknown' END"
@@ -160,6 +171,8 @@ ORACLES = {
         targets AS (SELECT week_id, source_file, max(start_page) AS target_page FROM placed GROUP BY ALL)
         SELECT n.week_id, n.month, n.item, n.source_file, CAST(m.first_page + {_PAGE} AS BIGINT) AS list_page, CAST(t.target_page AS BIGINT) AS target_page
         FROM numbered n JOIN months m USING (week_id, month) JOIN targets t USING (week_id, source_file)""",
+    "csv_two_weeks": f"""WITH {T.LEDGER_SQL} SELECT left(week_id, 4) AS week_id, sha1, source_file,
+        CASE WHEN CAST(left(week_id, 4) AS INTEGER) % 2 = 1 THEN 'new' ELSE '' END AS notes FROM ledger""",
     "csv_roundtrip": f"""WITH {T.LEDGER_SQL} SELECT date, vendor, amount, category, matcher,
         'say "' || vendor || '", line' || chr(10) || 'break, ' || file_name AS notes, source_file, sha1, left(week_id, 4) AS week_id FROM ledger""",
 }

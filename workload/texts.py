@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions.text import fingerprint, let, lines, money, quote, slug, week_label
 from ledgerloom.operators import extract, lookup
-from ledgerloom.rules import Condition, Matcher, Rules
+from ledgerloom.rules import Condition, Matcher, Rules, load_rules
 from workload import tables as T
+from workload.scratch import new_folder
 
 DOC_RULES = Rules(
     categories=("Legal", "Negative", "Contact", "Other"),
@@ -76,6 +79,17 @@ def categorize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "v.category", "v.matcher")
 
 
+def categorize_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules loaded from a file, with what Python's dialect writes differently."""
+    path = f"{new_folder(spark, 'rules')}/rules.json"
+    patterns = {"Ends": "[a-z]\\.\\Z", "Signs": "[&&#]{3}", "Few": "^[A-Z][a-z]{,2} ", "Bracket": "[[|]"}
+    raw = {"categories": list(patterns), "matchers": [
+        {"name": n, "category": n, "any": [{"text_re": p}]} for n, p in patterns.items()]}
+    spark.createDataFrame([(json.dumps(raw),)], "value string").coalesce(1).write.text(path)
+    verdict = extract.categorize("source", "text", load_rules(spark, path))
+    return T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", f"{verdict} AS v").select("doc_id", "v.category", "v.matcher")
+
+
 def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules as a table of conditions in order, each with its hits over all documents.
 
@@ -151,6 +165,7 @@ QUERIES = {
     "vendor_line_score": vendor_line_score,
     "categorize": categorize,
     "categorize_documents": categorize_documents,
+    "categorize_dialect": categorize_dialect,
     "rules_flatten": rules_flatten,
     "hint_join": hint_join,
     "hint_join_anchored": hint_join_anchored,
@@ -242,6 +257,9 @@ ORACLES = {
              WHEN {_HITS['mail']} AND {_HITS['the']} THEN 'Mail' WHEN {_HITS['source']} AND {_HITS['un']} THEN 'Odd source'
              WHEN {_HITS['english']} THEN 'English' END AS matcher
         FROM documents""",
+    "categorize_dialect": r"""SELECT doc_id, coalesce(name, 'Uncategorized') AS category, name AS matcher FROM (
+        SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)[a-z]\.\z') THEN 'Ends' WHEN regexp_matches(text, '[&#]{3}') THEN 'Signs'
+            WHEN regexp_matches(text, '(?i)^[A-Z][a-z]{0,2} ') THEN 'Few' WHEN regexp_matches(text, '[\[|]') THEN 'Bracket' END AS name FROM documents)""",
     "rules_flatten": " UNION ALL ".join(
         f"SELECT {pos} AS pos, '{name}' AS name, '{kind}' AS kind, {i} AS condition, {v} AS vendor_re, {t} AS text_re, count(*) AS hits FROM documents WHERE {test}"
         for pos, name, kind, i, v, t, test in [
