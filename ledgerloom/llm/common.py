@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH = 500
 _local_root: list[str] = []
 
 

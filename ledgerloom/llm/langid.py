@@ -30,7 +30,7 @@ SAMPLE_TEXTS = 500  # per language, the first by a hash of their id
 SAMPLE_BYTES = 16_384  # texts above this size are not drawn
 CALIBRATION_SHARE = 5  # every fifth sampled text calibrates the models of the others
 REJECTED_SHARE, REJECTION_MARGIN = 0.001, 2.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _C = np.uint64(0x9E3779B97F4A7C15)
 

@@ -114,9 +114,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def vantage_address(fp: Column, mask: int, vantages: list[int]) -> Column:
+def vantage_address(fp: Column, mask: Column, vantages: list[int]) -> Column:
     """The distances to all vantage points over the bits of a mask, as one number."""
-    digits = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(v))).bitwiseAND(F.lit(_signed(mask)))).cast("long") for v in vantages]
+    digits = [F.bit_count(fp.bitwiseXOR(F.lit(_signed(v))).bitwiseAND(mask)).cast("long") for v in vantages]
     return reduce(lambda a, d: a * F.lit(BITS + 1) + d, digits)
 
 
@@ -183,8 +183,11 @@ def links(distinct: DataFrame, radius: int, n_words: int = 1) -> DataFrame:
     vantages = [int(v) for v in mix(np.arange(1, levels + 1, dtype=np.uint64))]
     bands = sure_bands(radius, n) if n_words == 1 else wide_bands(n_words)
     names = [f"fp{k}" for k in range(n_words)]
-    spread = distinct.select(*names, "rep", F.posexplode(F.array(
-        *[vantage_address(F.col(names[word]), mask, vantages) for word, mask in bands])).alias("band", "address"))
+    choices = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(word).alias("word"), F.lit(_signed(mask)).alias("mask"))
+                        for k, (word, mask) in enumerate(bands)])
+    spread = distinct.select(*names, "rep", F.explode(choices).alias("of")).select(
+        *names, "rep", F.col("of.band").alias("band"),
+        vantage_address(F.get(F.array(*names), F.col("of.word")), F.col("of.mask"), vantages).alias("address"))
     large = (spread.groupBy("band", "address").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE)
              .select("band", "address", F.ceil(F.col("n") / PIECE).alias("pieces")))
     piece = F.pmod(F.xxhash64(*names), F.col("pieces"))

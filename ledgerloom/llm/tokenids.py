@@ -30,7 +30,7 @@ from ledgerloom.llm.common import new_path, small_batches
 END_ID = 0
 SHARD_IDS = 1 << 20
 MAX_ROUNDS, MIN_COUNT, MIN_GAIN = 8, 32, 0.05  # a round that saves less than MIN_GAIN of the symbols is the last
-CACHED_UNITS = 300_000
+CACHED_UNITS = 200_000
 LIBRARY_BATCH = 2048  # texts that the library encodes at once: its results are large
 MAGIC = b"RPG1"
 
