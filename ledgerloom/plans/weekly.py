@@ -79,7 +79,9 @@ class WeeklyLedger:
             self.answers.upsert(A.ask(A.requests(docs, cache, self.rules), self.make_provider), batch_id)
         raw = self.answers.batch(batch_id)
         new = raw.selectExpr("file_hash", f"{A.answer_of('response', 'error', self.rules)} AS answer")
-        return A.settle(A.with_answers(A.read_texts(docs, self.rules), cache, new))
+        # Answers of this batch count as new, also if an attempt that failed later has cached them.
+        earlier = cache.join(raw.select("file_hash"), "file_hash", "left_anti")
+        return A.settle(A.with_answers(A.read_texts(docs, self.rules), earlier, new))
 
     def _keep_answers(self, batch_id: str) -> None:
         """New answers go to the cache once the ledger has its rows; unusable ones are listed with their reason."""

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from ledgerloom.session import build_session  # noqa: E402
+from workload.scratch import ensure_shared_folder  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,6 +16,7 @@ def spark():
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
     })
     session.sparkContext.setLogLevel("ERROR")
+    ensure_shared_folder(session)
     return session
 
 

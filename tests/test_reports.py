@@ -29,7 +29,7 @@ def small(spark):
 
 def test_totals(small):
     assert [tuple(r) for r in totals.category_totals(small).collect()] == [
-        ("A very long category name", 1000.0, 1), ("Meals", 7.1, 2), ("Uncategorized", 0.2, 2)]
+        ("A very long category name", 1000.0, 1, 0), ("Meals", 7.1, 2, 0), ("Uncategorized", 0.2, 2, 0)]
     assert [tuple(r) for r in totals.month_totals(small).select("month", "total", "caption", "shown").collect()] == [
         ("2024-01", 7.0, "January 2024", "$7.00"), ("2024-02", 0.3, "February 2024", "$0.30"),
         ("Unknown", 1000.0, "Unknown", "$1,000.00")]
@@ -37,6 +37,15 @@ def test_totals(small):
     assert len(both) == 6 and ("month", "2024-02", 0.3) in both and ("category", "Meals", 7.1) in both
 
 
+def test_amounts_beyond_any_decimal(spark):
+    rows = _ledger(spark, [("w", str(n), "2024-01-01", "A", a, "Meals", "f") for n, a in enumerate(
+        [1.25, 2.0 ** 100, 2.0 ** 100, 1e17, 0.5])])
+    assert [tuple(r) for r in totals.category_totals(rows).collect()] == [("Meals", 2.0 ** 101 + (1e17 + 1.75), 5, 2)]
+    endless = rows.unionByName(_ledger(spark, [("w", "9", None, "A", float("inf"), "Hotel", "f"), ("w", "9", None, "A", float("nan"), "Odd", "f")]))
+    assert [r.total for r in totals.summary(endless).where("name = 'Hotel'").collect()] == [float("inf")]
+    assert [r.n_inexact for r in totals.month_totals(endless).where("month = 'Unknown'").collect()] == [2]
+
+
 def test_line_items(small):
     got = rows_of(listing.line_items(small), "month", "item", "date", "shown_vendor", "shown_category", "shown_amount")
     assert got == [

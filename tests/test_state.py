@@ -1,9 +1,12 @@
 """Keyed tables, duplicates, routing, undo and the weekly job."""
 
+import re
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import dedup, keyed, routing
+from ledgerloom.operators import dedup, routing
 from ledgerloom.plans.weekly import WeeklyLedger
 from ledgerloom.rules import Rules
 from ledgerloom.sources import tables
@@ -50,10 +53,39 @@ def test_deleted_rows_do_not_come_back(spark, tmp_path):
     assert table.read().count() == 0
 
 
-def test_insert_or_ignore(spark):
-    old = spark.createDataFrame([("a", 0)], "sha1 string, seq int")
-    new = spark.createDataFrame([("a", 1), ("b", 3), ("b", 2)], "sha1 string, seq int")
-    assert rows_of(keyed.insert_or_ignore(old, new, "sha1", ["seq"]), "sha1", "seq") == [("b", 2)]
+def test_many_commits_leave_few_segments(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",), buckets=4, fanout=3)
+    for n in range(14):
+        table.upsert(spark.createDataFrame([(f"k{n % 5}", n), (f"only{n}", n)], "k string, v int"), str(n))
+    assert len(table._live(table._version())) <= 5
+    want = [(f"k{k}", 10 + k if k < 4 else 9) for k in range(5)] + [(f"only{n}", n) for n in range(14)]
+    assert rows_of(table.read(), "k", "v") == sorted(want, key=str)
+    assert table.has_batch("3") and rows_of(table.batch("3"), "k", "v") == [("k3", 3), ("only3", 3)]
+    assert table.delete(F.col("v") == 13, "gone") == 2
+    for n in range(3):
+        table.upsert(spark.createDataFrame([("x", n)], "k string, v int"), f"later{n}")
+    assert rows_of(table.read(), "k", "v") == sorted([w for w in want if w[1] != 13] + [("x", 2)], key=str)
+
+
+def test_reads_open_only_the_buckets_of_their_keys(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",), buckets=8)
+    table.upsert(spark.range(1000).selectExpr("CAST(id AS STRING) AS k", "CAST(id AS INT) AS v"), "1")
+    keys = spark.createDataFrame([("7",)], "k string")
+    found = table.read(keys)
+    files = table._history(keys).inputFiles()
+    assert rows_of(found, "k", "v") == [("7", 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan and len(files) >= 1
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|<=>)", scan), scan
+
+
+def test_delete_shuffles_only_rows_that_ever_met_the_condition(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, week string", ("k",))
+    table.upsert(spark.range(100).selectExpr("CAST(id AS STRING) AS k", "IF(id < 3, 'w1', 'w2') AS week"), "1")
+    plan = table._where(F.col("week") == "w1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert table.delete(F.col("week") == "w1", "2") == 3 and table.read().count() == 97
 
 
 BATCH = "week_id string, seq string, date string, vendor string, amount double, source_file string, sha1 string"
@@ -153,7 +185,13 @@ def test_weekly_job(spark, tmp_path):
     job.register(again, "2")
     assert rows_of(job.registry.read(), "fingerprint", "file_hash", "week_id") == before
 
-    assert job.undo_week("w2", "undo") == 1
+    job.export(again, "2")
+    job.duplicates.upsert(job.find_duplicates(again), "2")
+    files = _docs(spark, [("w2", "c.jpg", "x"), ("w2", "d.jpg", "x")]).drop("text", "sha1")
+    undone = job.undo_week("w2", "undo", files, files.filter("file_name = 'd.jpg'"))
+    assert undone.removed == 1
+    assert rows_of(undone.restore, "file_name", "action") == [("c.jpg", "move"), ("d.jpg", "skip")]
+    assert rows_of(job.exports.read(), "week_id") == [("w1",), ("w1",)] and job.duplicates.read().count() == 0
     assert rows_of(job.registry.read(), "week_id") == [("w1",), ("w1",)]
     assert rows_of(job.ledger.read(), "week_id") == [("w1",), ("w1",)]
     assert job.cache.read().count() == 1
@@ -167,6 +205,61 @@ def test_weekly_job(spark, tmp_path):
     assert set(reports) == {"summary", "categories", "months", "quality", "line_items", "list_pages", "manifest", "links"}
 
 
+def test_routing_of_a_processed_week(spark, tmp_path):
+    job = WeeklyLedger(spark, str(tmp_path / "job"), Rules(categories=("X",)))
+    docs = _docs(spark, [("w1", "a.jpg", "Shop One"), ("w1", "b.pdf", "Shop Two")])
+    rows = job.process(docs, "1")
+    files = docs.selectExpr("week_id", "file_name", "sha1", "'incoming' AS origin", "CAST(NULL AS STRING) AS folder", "seq")
+    assert rows_of(job.routing(files, rows), "file_name", "category_slug", "action") == [
+        ("a.jpg", "uncategorized", "move"), ("b.pdf", "uncategorized", "move")]
+
+
+def test_a_failed_ledger_write_can_be_repeated(spark, tmp_path, monkeypatch):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def provider():
+        def answer(prompts):
+            (calls / uuid.uuid4().hex).touch()
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("down")
+            return ['{"vendor": "Model", "confidence": 0.9}' if "known" in p else '{"vendor": "Weak", "confidence": 0.1}' for p in prompts]
+
+        return answer
+
+    docs = _docs(spark, [("w1", "a.jpg", "known"), ("w1", "b.jpg", "Shop Two"), ("w1", "c.jpg", "bad luck")])
+    job = WeeklyLedger(spark, str(tmp_path / "job"), Rules(), "", provider)
+    whole = WeeklyLedger(spark, str(tmp_path / "whole"), Rules(), "", provider)
+    want = rows_of(whole.process(docs, "1"), "source_file", "vendor", "matcher")
+
+    def fails(self, rows, batch_id):
+        if self.root.endswith("ledger"):
+            raise OSError("disk")
+        return upsert(self, rows, batch_id)
+
+    upsert = StateTable.upsert
+    monkeypatch.setattr(StateTable, "upsert", fails)
+    with pytest.raises(OSError):
+        job.process(docs, "1")
+    monkeypatch.setattr(StateTable, "upsert", upsert)
+    asked = len(list(calls.iterdir()))
+    assert rows_of(job.process(docs, "1"), "source_file", "vendor", "matcher") == want
+    assert len(list(calls.iterdir())) == asked
+    assert rows_of(job.rejects.read(), "error", "batch_id") == [("RuntimeError: down", "1")]
+    assert rows_of(job.cache.read(), "vendor") == [("Model",)]
+
+
+def test_equal_names_in_two_weeks_have_an_order(spark, tmp_path):
+    exports = tables.export_table(spark, str(tmp_path / "s"))
+    columns = [f.strip() for f in tables.EXPORT_SCHEMA.split(",")]
+    rows = spark.createDataFrame([("w2", "1", "h", "two"), ("w1", "1", "h", "one"), ("w1", "2", "h", "late")],
+                                 "week_id string, seq string, sha1 string, vendor string")
+    full = rows.selectExpr(*[c.split(" ")[0] if c.split(" ")[0] in rows.columns else f"CAST(NULL AS {c.split(' ')[1]}) AS {c.split(' ')[0]}"
+                             for c in columns])
+    exports.insert_ignore(full, "1")
+    assert rows_of(exports.read(), "week_id", "vendor") == [("w1", "one"), ("w2", "two")]
+
+
 def test_cache_keeps_the_newest_answer(spark, tmp_path):
     cache = tables.answer_cache(spark, str(tmp_path / "s"))
     for batch, vendor in (("1", "old"), ("2", "new")):

@@ -31,14 +31,14 @@ def test_ingest(spark, tmp_path):
     for name in ("ledger", "registry", "exports"):
         columns = [c for c in getattr(batch, name).read().columns if c not in ("version", "first_seen_timestamp")]
         assert rows_of(getattr(job, name).read(), *columns) == rows_of(getattr(batch, name).read(), *columns)
-    pairs = ingest.duplicates_table(job).read()
+    pairs = job.duplicates.read()
     assert pairs.count() == 10
 
     # A batch that comes again changes nothing.
     before = rows_of(job.registry.read(), "fingerprint", "file_hash", "version")
     ingest.batch_step(job, "documents")(_docs(orders.filter("o_orderkey < 70")), 0)
     assert rows_of(job.registry.read(), "fingerprint", "file_hash", "version") == before
-    assert ingest.duplicates_table(job).read().count() == 10
+    assert job.duplicates.read().count() == 10
 
 
 @pytest.mark.parametrize("rows_per_task", [1_000_000, 20])
@@ -56,3 +56,16 @@ def test_duplicate_flags(spark, tmp_path, rows_per_task):
              FROM {rows} WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, event_id))
            WHERE previous_sha1 <> sha1""", rows=rows), "event_id", "previous_id")
     assert got == want and len(got) > 50
+
+
+def test_many_batches_read_a_flat_number_of_files(spark, tmp_path):
+    """Fifty micro-batches: the files that a keyed read opens stay few."""
+    events = T.purchases_from_events(T.load(spark, SF, "events")).limit(200).cache()
+    step = duplicates.batch_step(spark, str(tmp_path), "s")
+    opened = []
+    for number in range(50):
+        rows = events.filter(f"event_id % 50 = {number}")
+        state = duplicates.state_table(spark, str(tmp_path))
+        opened.append(len(state._live(state._version())))
+        step(rows, number)
+    assert max(opened) <= 2 * state.fanout
