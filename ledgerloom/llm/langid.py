@@ -28,6 +28,7 @@ ORDER = 4
 # Bound of the sample that the models are fitted on; all other steps see all texts.
 SAMPLE_TEXTS = 500  # per language, the first by a hash of their id
 SAMPLE_BYTES = 16_384  # texts above this size are not drawn
+DRAWN = 1.5  # times the rows wanted that are drawn, as some are too long
 CALIBRATION_SHARE = 5  # every fifth sampled text calibrates the models of the others
 REJECTED_SHARE, REJECTION_MARGIN = 0.001, 2.0
 CACHED_WORDS = 200_000
@@ -220,13 +221,19 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     """Models of all values of `lang_col` in the training rows, from a bounded sample of whole texts.
 
     Rows with NULL as text or language are not drawn. Each language is fitted in a task of its own; the
-    driver gets the fitted n-grams and the calibration texts, bounded by the sample.
+    driver gets one count per language, the fitted n-grams and the calibration texts, bounded by the sample.
     """
-    labelled = docs.where(F.coalesce(train, F.lit(False))).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("langid"), F.col(id_col)).alias("h"))
-    labelled = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    # The row limit is also applied before the shuffle, so a frequent language sends no more than others.
-    ranked = labelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    lang, h = F.col(lang_col).cast("string"), F.xxhash64(F.lit("langid"), F.col(id_col))
+    labelled = docs.where(F.coalesce(train, F.lit(False)) & lang.isNotNull())
+    # A share of the hash range per language holds about the rows wanted, so no task sends more than its part of them.
+    shares = {r["lang"]: min(1.0, DRAWN * sample_texts / r["n"])
+              for r in labelled.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not shares:
+        return Models.of({}, order)
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[lang]
+    drawn = labelled.where(h / F.lit(2.0 ** 64) + 0.5 < share).select(lang.alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
+    ranked = drawn.where(F.octet_length("text") <= sample_bytes).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     sample = ranked.where(F.col("rank") <= sample_texts)
 
     def run(table: pa.Table) -> pa.Table:
