@@ -28,6 +28,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _place(doc_id: Column) -> Column:
+    """60 bits that order the documents of a source: from a SHA-256 of the id, which every SQL engine has."""
+    digest = F.sha2(F.concat(F.lit("mix "), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: dict, weights: dict, max_epochs: float = MAX_EPOCHS) -> dict:
     """Words per source: shares of the total by weight; what a source above its limit cannot take is shared again."""
     open_, found, rest = dict(sizes), {}, float(sum(sizes.values()))
@@ -76,7 +82,7 @@ def plan(docs: DataFrame, weights: Callable[[list], dict], schedules: Callable[[
     """
     spark = docs.sparkSession
     sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-                    .withColumn("h", F.xxhash64(F.lit("mix"), F.col("doc_id"))), "mix-sizes")
+                    .withColumn("h", _place(F.col("doc_id"))), "mix-sizes")
     # Python orders by code point; the byte order of UTF-8 in Spark is the same.
     totals = sorted(sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect(),
                     key=lambda r: (r.source is None, r.source or ""))
@@ -91,7 +97,7 @@ def plan(docs: DataFrame, weights: Callable[[list], dict], schedules: Callable[[
                              "met: double, time: double, weight: double, slope: double, area: double>>"))
     # Sums run inside hash buckets of a source and over the totals of the buckets: a source of any size is split.
     rows = sizes.join(per_source, sizes["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
-    rows = rows.withColumn("bucket", F.floor((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("buckets") / F.lit(1 << 32)).cast("long"))
+    rows = rows.withColumn("bucket", F.floor(F.shiftright("h", 28) * F.col("buckets") / F.lit(1 << 32)).cast("long"))
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     begins = (rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))

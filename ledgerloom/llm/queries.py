@@ -40,7 +40,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(_table(spark, sf_dir, "documents"), source_weights, source_schedules)
+    found = mixing.report(_table(spark, sf_dir, "documents"), source_weights, source_schedules)
+    return found.withColumn("first_position", F.round("first_position", 9))
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,62 @@ ORACLES: dict[str, str] = {
             GROUP BY page_id)
         SELECT c.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
         FROM c LEFT JOIN m ON c.page_id = m.page_id""",
+    "op4_decontaminate": r"""
+        WITH lowered AS (
+            SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents
+            UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), NULL, text FROM benchmark),
+        split AS (
+            SELECT kind, id, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered),
+        items AS (SELECT id, w, least(10, len(w)) AS n FROM split WHERE kind = 'b' AND len(w) > 0),
+        wanted AS (SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM items, unnest(range(1, len(w) - n + 2)) AS u(i)),
+        sizes AS (SELECT DISTINCT n FROM items),
+        windows AS (
+            SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+            FROM split, sizes, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE kind = 'd'),
+        hits AS (SELECT doc_id, n, i, id FROM windows JOIN wanted USING (n, win)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM hits)) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM hits) GROUP BY doc_id)
+        SELECT s.doc_id, len(s.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id LEFT JOIN found f ON s.doc_id = f.doc_id WHERE s.kind = 'd'""",
+    "op5_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   CAST('0x' || substr(sha256('mix ' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+        s AS (
+            SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+        r AS (SELECT *, k % 3 + 1 AS weight, 3.0 * source_size / (k % 3 + 1) AS ratio FROM s),
+        c AS (
+            SELECT *, coalesce(sum(3 * source_size) OVER below, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER below, 0) AS open_weight,
+                   sum(source_size) OVER () AS total
+            FROM r WINDOW below AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        u AS (SELECT CAST(total - capped AS DOUBLE) / CAST(open_weight AS DOUBLE) AS unit FROM c
+              WHERE ratio >= CAST(total - capped AS DOUBLE) / CAST(open_weight AS DOUBLE) ORDER BY ratio, k LIMIT 1),
+        t AS (
+            SELECT source, source_size, k, CASE WHEN weight * unit > 3 * source_size THEN CAST(3 * source_size AS DOUBLE) ELSE weight * unit END AS target
+            FROM r, u),
+        p AS (
+            SELECT d.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS words, 1.0 + k % 3 AS v, 3.0 - k % 3 AS x,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS met
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs FROM p),
+        m AS (
+            SELECT *, epochs * size + least(greatest(words - epochs * source_size - met, 0), size) AS taken,
+                   CAST(met AS DOUBLE) / nullif(words, 0) * ((v + x) / 2) AS due FROM e)
+        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(taken AS BIGINT) AS taken,
+               CASE WHEN taken > 0 THEN round(CAST(CASE WHEN due > 0 THEN 2 * due / (v + sqrt(v * v + 2 * (x - v) * due)) ELSE 0 END AS DOUBLE), 9) END AS first_position
+        FROM m""",
+    "op6_shard": rf"""
+        WITH r AS (
+            SELECT doc_id, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+        levels AS (
+            SELECT doc_id, n_bytes, d, left(lpad(bin(h), 60, '0'), d) AS prefix,
+                   sum(n_bytes) OVER (PARTITION BY d, left(lpad(bin(h), 60, '0'), d)) AS shard_bytes
+            FROM r, unnest(range(0, 25)) AS u(d)),
+        fits AS (SELECT * FROM levels WHERE shard_bytes <= {sharding.MAX_BYTES} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY d) = 1)
+        SELECT doc_id, n_bytes, 'b' || prefix AS shard, CAST(d AS INTEGER) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM fits""",
     "op10_warc": r"""
         WITH t AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
                    FROM pages),
