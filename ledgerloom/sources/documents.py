@@ -41,11 +41,11 @@ def scan_folders(spark: SparkSession, week_id: str, incoming: str,
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a scan over all cores, for work that costs far more than reading.
 
-    A scan with a split per core, as any large table has, is returned as it is;
-    only a table of few, small splits is shuffled.
+    A scan of as many files as cores, as any large table is, is returned as it is;
+    only a table of few files is shuffled.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
 def content_hash(content: Sql) -> Sql:

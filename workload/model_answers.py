@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import answers as A
 from ledgerloom.operators import lookup
 from ledgerloom.plans.weekly import canonical_rows, extract
+from ledgerloom.rules import Rules
 from ledgerloom.sources import tables
 from ledgerloom.sources.documents import keep_documents
 from workload import tables as T
@@ -151,6 +152,14 @@ def resolve_no_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k", "copy", "date", "vendor", "amount", "category", "matcher", "date_source")
 
 
+def hint_without_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hint decides vendor and category even if no matcher applies: the category is then Uncategorized."""
+    rules = Rules(categories=("Meals",), hints=(("corner CAFE", "The Cafe"),))
+    answered = _documents(spark, sf_dir).withColumn("answer", F.expr(A.answer_struct(
+        vendor="'Model'", date="NULL", category="'Meals'", confidence="IF(k % 2 = 0, 0.9D, 0.1D)", reasoning="''")))
+    return A.resolve(answered, rules).select("k", "copy", "vendor", "category", "matcher")
+
+
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical_rows(extract(_documents(spark, sf_dir), T.rules()), "claim 7")
     return rows.drop("seq", "date_source")
@@ -171,6 +180,7 @@ QUERIES = {
     "cache_upsert": cache_upsert,
     "resolve_receipts": resolve_receipts,
     "resolve_no_model": resolve_no_model,
+    "hint_without_matcher": hint_without_matcher,
     "canonical_rows": canonical,
 }
 
@@ -231,6 +241,10 @@ ORACLES = {
     "resolve_no_model": f"""WITH {T.RECEIPTS_SQL}, {_DOCS_SQL} SELECT k, copy, true_date AS date, true_vendor AS vendor,
         true_amount AS amount, true_category AS category, coalesce(true_matcher, 'Regex fallback') AS matcher,
         CASE WHEN true_date IS NOT NULL THEN 'regex' END AS date_source FROM docs""",
+    "hint_without_matcher": f"""WITH {T.RECEIPTS_SQL}, {_DOCS_SQL}
+        SELECT k, copy, CASE WHEN k % 12 = 3 THEN 'The Cafe' WHEN k % 2 = 0 THEN 'Model' ELSE {T.VENDOR_LINE_SQL} END AS vendor,
+               CASE WHEN k % 12 <> 3 AND k % 2 = 0 THEN 'Meals' ELSE 'Uncategorized' END AS category,
+               CASE WHEN k % 12 = 3 THEN 'Manual hint' WHEN k % 2 = 0 THEN 'LLM (confidence: 0.90)' ELSE 'Regex fallback' END AS matcher FROM docs""",
     "canonical_rows": f"""WITH {T.RECEIPTS_SQL}, {_DOCS_SQL} SELECT true_date AS date, true_vendor AS vendor, true_amount AS amount,
         true_category AS category, coalesce(true_matcher, 'Regex fallback') AS matcher, 'claim 7' AS notes,
         regexp_replace(file_name, '\\.[^.]*$', '') || '.pdf' AS source_file, sha1, week_id FROM docs""",

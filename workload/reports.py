@@ -49,6 +49,14 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.quality(resolved(spark, sf_dir))
 
 
+def quality_report_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on rows of which some lack vendor, amount or date."""
+    return totals.quality(T.ledger(spark, sf_dir).withColumns({
+        "vendor": F.expr("CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN '' ELSE vendor END"),
+        "amount": F.expr("CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN 0D ELSE amount END"),
+        "date_source": F.expr("IF(date IS NULL, NULL, 'regex')")}))
+
+
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.line_items(T.ledger(spark, sf_dir)).drop("seq")
 
@@ -99,6 +107,7 @@ QUERIES = {
     "totals_with_outliers": totals_with_outliers,
     "batch_counts": batch_counts,
     "quality_report": quality_report,
+    "quality_report_gaps": quality_report_gaps,
     "line_items": line_items,
     "list_pages": list_pages,
     "package_manifest": package_manifest,
@@ -161,6 +170,9 @@ ORACLES = {
                    WHEN k % 7 IN (0, 1, 6) THEN 'model' WHEN date IS NULL THEN 'none' ELSE 'regex' END AS date_source FROM ledger)
         SELECT week_id, date_source, count(*) AS n_rows, CAST(count_if(date_source = 'none') AS BIGINT) AS no_date,
                CAST(0 AS BIGINT) AS no_vendor, CAST(0 AS BIGINT) AS no_amount FROM judged GROUP BY ALL""",
+    "quality_report_gaps": f"""WITH {T.LEDGER_SQL} SELECT week_id, CASE WHEN date IS NULL THEN 'none' ELSE 'regex' END AS date_source, count(*) AS n_rows,
+        count(*) FILTER (date IS NULL) AS no_date, count(*) FILTER (k % 11 = 0 OR k % 13 = 0) AS no_vendor,
+        count(*) FILTER (k % 17 = 0 OR k % 19 = 0) AS no_amount FROM ledger GROUP BY ALL""",
     "line_items": f"""WITH {_numbered('week_id')} SELECT week_id, month, item, {_PAGE} AS page_in_month, date, vendor, category,
         left(vendor, 28) AS shown_vendor, left(category, 18) AS shown_category, '$' || format('{{:,.2f}}', amount) AS shown_amount, source_file
         FROM numbered""",

@@ -174,6 +174,8 @@ def _sql_pick(values: list[str | None], n: int) -> str:
     return f"({_sql_list(values)})[1 + CAST(k % {n} AS INTEGER)]"
 
 
+VENDOR_LINE_SQL = _sql_pick([v[0] for v in VENDORS], 12)
+
 IS_DOCUMENT_SQL = "NOT ends_with(file_name, '.txt')"
 
 RECEIPTS_SQL = f"""
@@ -246,7 +248,7 @@ purchases AS (
 
 __all__ = [
     "CACHE_SQL", "FINGERPRINT_SQL", "LEDGER_SQL", "MARKED_SQL", "PAGES_SQL", "PURCHASES_SQL",
-    "RECEIPTS_SQL", "RULES_PATH", "cache", "file_pages", "ledger", "load", "load_spread", "pages",
+    "RECEIPTS_SQL", "RULES_PATH", "VENDOR_LINE_SQL", "cache", "file_pages", "ledger", "load", "load_spread", "pages",
     "purchases_from_events", "raw_answers", "receipts", "receipts_from_orders", "registered",
     "rules",
 ]

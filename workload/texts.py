@@ -79,26 +79,45 @@ def categorize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "v.category", "v.matcher")
 
 
+def _from_file(spark: SparkSession, raw: dict) -> Rules:
+    path = f"{new_folder(spark, 'rules')}/rules.json"
+    spark.createDataFrame([(json.dumps(raw),)], "value string").coalesce(1).write.text(path)
+    return load_rules(spark, path)
+
+
+def _as_json(rules: Rules) -> dict:
+    return {"categories": rules.categories, "matchers": [
+        {"name": m.name, "category": m.category, **{
+            kind: [{"vendor_re": c.vendor_re, "text_re": c.text_re} for c in group] for kind, group in (("any", m.any), ("all", m.all))}}
+        for m in rules.matchers]}
+
+
+def amount_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts that only their currency names, and that no other label does."""
+    text = "concat('Shop\\nUSD ', IF(o_orderkey % 2 = 0, '$ ', ''), format_number(o_totalprice, 2), ' paid')"
+    return T.load_spread(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{text} AS text").selectExpr(
+        "o_orderkey", f"{extract.amount_of('text')} AS amount")
+
+
 def categorize_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules loaded from a file, with what Python's dialect writes differently."""
-    path = f"{new_folder(spark, 'rules')}/rules.json"
     patterns = {"Ends": "[a-z]\\.\\Z", "Signs": "[&&#]{3}", "Few": "^[A-Z][a-z]{,2} ", "Bracket": "[[|]"}
     raw = {"categories": list(patterns), "matchers": [
         {"name": n, "category": n, "any": [{"text_re": p}]} for n, p in patterns.items()]}
-    spark.createDataFrame([(json.dumps(raw),)], "value string").coalesce(1).write.text(path)
-    verdict = extract.categorize("source", "text", load_rules(spark, path))
+    verdict = extract.categorize("source", "text", _from_file(spark, raw))
     return T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", f"{verdict} AS v").select("doc_id", "v.category", "v.matcher")
 
 
 def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules as a table of conditions in order, each with its hits over all documents.
+    """The rules of a file as a table of conditions in order, each with its hits over all documents.
 
     One pass with one counter per condition; rules are configuration, so their
     number does not grow with the data.
     """
+    rules = _from_file(spark, _as_json(DOC_RULES))
     conditions = [
         (pos, m.name, kind, i, c)
-        for pos, m in enumerate(DOC_RULES.matchers)
+        for pos, m in enumerate(rules.matchers)
         for kind, group in (("any", m.any), ("all", m.all))
         for i, c in enumerate(group)
     ]
@@ -161,6 +180,7 @@ QUERIES = {
     "extract_amount": extract_amount,
     "vendor_hint": vendor_hint,
     "vendor_extract": vendor_extract,
+    "amount_usd": amount_usd,
     "extract_vendor": extract_vendor,
     "vendor_line_score": vendor_line_score,
     "categorize": categorize,
@@ -243,6 +263,7 @@ def _hint_sql() -> str:
 ORACLES = {
     "extract_date": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, true_date AS date FROM receipts",
     "extract_amount": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, true_amount AS amount FROM receipts",
+    "amount_usd": "SELECT o_orderkey, o_totalprice AS amount FROM orders",
     "vendor_hint": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, CASE WHEN k % 12 IN (0, 2, 10) THEN true_vendor END AS vendor FROM receipts",
     "vendor_extract": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, CASE WHEN k % 12 = 8 THEN true_vendor END AS vendor FROM receipts",
     "extract_vendor": f"WITH {T.RECEIPTS_SQL} SELECT k, copy, true_vendor AS vendor FROM receipts",
