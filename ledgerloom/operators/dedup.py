@@ -39,7 +39,9 @@ def in_batch(batch: DataFrame, order: list[str], rows_per_task: int = ROWS_PER_T
         by = Ordering(("fingerprint",), ("week_id", *order, "sha1"), rows_per_task)
     else:
         raise ValueError("scope is 'week' or 'run'")
-    seen = with_previous(rows, by, ["sha1", "source_file", "week_id"], "__previous")
+    # Group sizes and cut points come from these columns alone, before anything is joined to the rows.
+    narrow = rows.select(*dict.fromkeys((*by.groups, *by.order)))
+    seen = with_previous(rows, by, ["sha1", "source_file", "week_id"], "__previous", measured=narrow)
     other_file = seen.filter("__previous IS NOT NULL AND NOT __previous.sha1 <=> sha1")
     return other_file.selectExpr(
         *batch.columns, "__previous.week_id AS original_week", "date AS original_date", "vendor AS original_vendor",

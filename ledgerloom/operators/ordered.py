@@ -32,11 +32,14 @@ _KEY = "__group_"
 
 @dataclass(frozen=True)
 class Ordering:
-    """Groups and a total order inside them (the last order column breaks all ties)."""
+    """Groups and a total order inside them (the last order column breaks all ties).
+
+    With rows_per_task=None, for callers who know that every group fits a task, nothing is measured.
+    """
 
     groups: tuple[str, ...]
     order: tuple[str, ...]
-    rows_per_task: int = ROWS_PER_TASK
+    rows_per_task: int | None = ROWS_PER_TASK
 
     @property
     def position(self) -> Sql:
@@ -117,6 +120,8 @@ def sliced(df: DataFrame, by: Ordering, measured: DataFrame | None = None) -> Da
     `measured` is what group sizes and cut points are taken from, where a cheaper
     DataFrame holds at least the same groups and positions.
     """
+    if by.rows_per_task is None:
+        return None
     source = df if measured is None else measured
     large = large_groups(source, by)
     if large is None:
@@ -155,15 +160,15 @@ def with_running_sum(df: DataFrame, by: Ordering, value: Sql, name: str,
         *df.columns, f"coalesce(__local, 0L) + coalesce(__before, 0L) AS {name}")
 
 
-def with_row_number(df: DataFrame, by: Ordering, name: str) -> DataFrame:
+def with_row_number(df: DataFrame, by: Ordering, name: str, measured: DataFrame | None = None) -> DataFrame:
     """1, 2, 3, ... inside each group."""
-    return with_running_sum(df, by, "1L", name)
+    return with_running_sum(df, by, "1L", name, measured=measured)
 
 
-def with_previous(df: DataFrame, by: Ordering, columns: list[str], name: str) -> DataFrame:
+def with_previous(df: DataFrame, by: Ordering, columns: list[str], name: str, measured: DataFrame | None = None) -> DataFrame:
     """Struct of `columns` of the row before this one in its group, NULL on the first row."""
     kept = f"struct({', '.join(columns)})"
-    parts = sliced(df, by)
+    parts = sliced(df, by, measured)
     if parts is None:
         return df.withColumn(name, F.expr(f"lag({kept}) {by.over()}"))
     earlier = _earlier(parts, by, f"max_by({kept}, {by.position})", f"lag(__summary) {by.over_slices()}")
