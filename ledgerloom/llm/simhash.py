@@ -8,9 +8,12 @@ a few bits of 32, so that a plain vantage split with the full radius keeps three
 both sides.) Inside a partition, a vantage-point tree over the whole fingerprint finds the pairs: a
 branch is left out if the triangle bound rules it out, the overlap at its boundary is compared.
 
-A fingerprint may have several 64-bit words for finer similarities. Radii beyond what bands can guarantee are served
-by many bands of bits drawn at random from one word each: partners then meet in at least one band with high
-probability (`wide_bands`), and the pairs that meet are compared over all words.
+A fingerprint may have several 64-bit words; partners within the radius over all words are so over the first alone.
+
+`drop_near_duplicates` decides by the texts themselves: rows are linked if the sets of their shingles have a Jaccard
+similarity of 0.8 or more, counted exactly. No fingerprint of fixed size keeps to that limit, so bits are not compared:
+pairs to be counted are those that agree on a band of minima of the set (`minima_of`), whose chance to meet
+depends on nothing but their similarity and is below 1 by 1.3 in 10 million at 0.8.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import small_batches, spans_of, utf8, written
 from ledgerloom.llm.tokens import WHITE_SPACE, mix, split_words, xxh64
@@ -32,18 +36,18 @@ BITS = 64
 LEAF = 2048  # fingerprints that a partition should hold
 PIECE = 8192  # fingerprints above which a partition is compared piece by piece, in several tasks
 TEXT_BYTES = 1 << 20
-# Near copies of similarity 0.8 or more: of 256 bits about 15 % differ, with a spread of 2 %; unrelated texts differ in half.
-WIDE_WORDS, WIDE_RADIUS, WIDE_BANDS, WIDE_BAND_BITS = 4, 46, 64, 16
-FIRST_WORD_SLACK = 8  # bits of one word above its share of the radius, beyond which no partner is looked for
+SIMILARITY = (4, 5)  # near copies share at least this part of all their distinct shingles
+# Sets of similarity s agree on one band with probability s^5, so 40 bands miss a pair at 0.8 with (1 - 0.8^5)^40 = 1.3e-7.
+BANDS, BAND_MINIMA = 40, 5
+WIDER = 8  # each round of comparisons goes so many times further than the one before
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle_words: int, n_words: int = 1) -> np.ndarray:
-    """SimHash of each text (bytes between two offsets), n_words x 64 bits; no words: 0."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts (bytes between two offsets), texts that have any, where the hashes of each of them start."""
     words = split_words(data, offsets, WHITE_SPACE)
-    out = np.zeros((len(offsets) - 1, n_words), np.uint64)
     if not len(words):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     blank = WHITE_SPACE[words.data]
     keep = ~blank
     keep[1:] |= ~blank[:-1]
@@ -57,7 +61,16 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle_words: int, n
     start = np.concatenate([[0], np.cumsum(n_full)])
     at = np.arange(start[-1]) - np.repeat(start[:-1] - words.first[:-1][full], n_full)
     last = np.minimum(at + shingle_words - 1, np.repeat(words.first[1:][full] - 1, n_full))
-    hashes = xxh64(text, begin[at], end[last])
+    return xxh64(text, begin[at], end[last]), full, start
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle_words: int, n_words: int = 1) -> np.ndarray:
+    """SimHash of each text (bytes between two offsets), n_words x 64 bits; no words: 0."""
+    out = np.zeros((len(offsets) - 1, n_words), np.uint64)
+    hashes, full, start = shingles_of(data, offsets, shingle_words)
+    if not len(full):
+        return out
+    n_full = np.diff(start)
     # Bits are counted in runs of at most 255 shingles, eight one-byte counters in each 64-bit word.
     runs = -(-n_full // 255)
     run_start = np.concatenate([[0], np.cumsum(runs)])
@@ -92,24 +105,13 @@ def sure_bands(radius: int, n: int) -> list[tuple[int, int]]:
     """(word, bit mask), one of which any two one-word fingerprints within `radius` agree on; longer masks for more of them."""
     equal = 1 if n < 1 << 24 else 2 if n < 1 << 32 else 3
     bands = radius + equal
+    if bands > BITS:
+        raise ValueError(f"bands of {BITS} bits cannot find all partners within {radius} bits")
     cuts = [BITS * k // bands for k in range(bands + 1)]
     single = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
     return [(0, sum(chosen)) for chosen in combinations(single, equal)]
 
 
-def wide_bands(n_words: int, bands: int = WIDE_BANDS, bits: int = WIDE_BAND_BITS) -> list[tuple[int, int]]:
-    """(word, bit mask) of bands of random bits of one word each.
-
-    With a share p of all bits different, a band of 16 agrees with probability (1 - p)^16: at p = 0.15 (similarity 0.8)
-    64 bands miss a pair in less than 1 of 100 cases.
-    """
-    out = []
-    for k in range(bands):
-        order = np.argsort(mix(np.arange(BITS, dtype=np.uint64) + np.uint64(1000 * (k + 1))))
-        out.append((k % n_words, sum(1 << int(b) for b in order[:bits])))
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -126,8 +128,6 @@ class Linker:
     def __init__(self, points: np.ndarray, radius: int):
         self.points, self.radius = points, radius
         self.label = np.arange(len(points))
-        n_words = points.shape[1]
-        self.first_radius = radius if n_words == 1 else radius // n_words + FIRST_WORD_SLACK
 
     def among(self, rows: np.ndarray) -> None:
         todo = [rows]
@@ -157,7 +157,7 @@ class Linker:
         step = max(1, (1 << 18) // len(right))
         for i in range(0, len(left), step):
             block = left[i:i + step]
-            close = np.bitwise_count(self.points[block, 0][:, None] ^ others[0][None, :]) <= self.first_radius
+            close = np.bitwise_count(self.points[block, 0][:, None] ^ others[0][None, :]) <= self.radius
             at, to = np.nonzero(close)
             if len(others) > 1:
                 far = np.zeros(len(at), np.int64)
@@ -181,7 +181,7 @@ def links(distinct: DataFrame, radius: int, n_words: int = 1) -> DataFrame:
     n = distinct.count()
     levels = min(12, max(1, math.ceil(math.log2(max(n / LEAF, 1)) / 1.5) + 1))
     vantages = [int(v) for v in mix(np.arange(1, levels + 1, dtype=np.uint64))]
-    bands = sure_bands(radius, n) if n_words == 1 else wide_bands(n_words)
+    bands = sure_bands(radius, n)
     names = [f"fp{k}" for k in range(n_words)]
     choices = F.array(*[F.struct(F.lit(k).alias("band"), F.lit(word).alias("word"), F.lit(_signed(mask)).alias("mask"))
                         for k, (word, mask) in enumerate(bands)])
@@ -243,12 +243,12 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-               radius: int = WIDE_RADIUS, n_words: int = WIDE_WORDS) -> DataFrame:
+               radius: int = 4, n_words: int = 1) -> DataFrame:
     """doc_id, fp0, ..., component_id for every row: the smallest id that links of at most `radius` bits lead to.
 
     Equal fingerprints, also those of empty and NULL texts, are linked like any other. Repeated
     rows get the same class. Rows without an id never name a class others belong to. An empty table gives no rows.
-    With one word and a small radius all links are found; the defaults look for similarities of 0.8 or more.
+    All links are found.
     """
     points = written(fingerprints(docs, id_col, text_col, shingle_words, n_words), "simhash-points")
     names = points.columns[1:]
@@ -259,11 +259,116 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return points.join(classes, names).select("doc_id", *names, "component_id")
 
 
+def minima_of(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each set of hashes BANDS numbers, each made of BAND_MINIMA minima of the set under as many orders."""
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        orders = mix(np.arange(1, 2 * BANDS * BAND_MINIMA + 1, dtype=np.uint64)).astype(np.uint32).reshape(-1, 2)
+        out = np.empty((len(start) - 1, BANDS), np.uint64)
+        for band in range(BANDS):
+            found = np.full(len(start) - 1, band + 1, np.uint64)
+            for flip, factor in orders[band * BAND_MINIMA:(band + 1) * BAND_MINIMA]:
+                found = mix(found ^ np.minimum.reduceat((low ^ flip) * (factor | np.uint32(1)), start[:-1]))
+            out[:, band] = found
+    return out
+
+
+def _with_shingles(rows: DataFrame, shingle_words: int, schema: str, run_set) -> DataFrame:
+    """doc_id, h, key of every row, and what `run_set` makes of the sets; the key names the shingles of a text and how often each occurs."""
+    small_batches(rows.sparkSession)
+    names = [f.split()[0] for f in ("key binary, " + schema).split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            for i, j in spans_of(offsets, TEXT_BYTES):
+                hashes, full, start = shingles_of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], shingle_words)
+                key = np.zeros((j - i, 2), np.uint64)
+                for k in range(2 if len(full) else 0):
+                    key[full, k] = np.add.reduceat(mix(hashes ^ np.uint64((k + 1) << 40)), start[:-1])
+                keys = pa.Array.from_buffers(pa.binary(), j - i, [
+                    None, pa.py_buffer(np.arange(0, 16 * (j - i) + 1, 16, dtype=np.int32)), pa.py_buffer(key)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[i:j], batch.column(1)[i:j], keys, run_set(hashes, full, start, j - i)], names=["doc_id", "h", *names])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, key binary, {schema}")
+
+
+def _lists(values: np.ndarray, full: np.ndarray, sizes: np.ndarray, n: int) -> pa.Array:
+    all_sizes = np.zeros(n, np.int64)
+    all_sizes[full] = sizes
+    ends = np.concatenate([[0], np.cumsum(all_sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
+
+
+def _bands(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> pa.Array:
+    found = minima_of(hashes, start) if len(full) else np.zeros((0, BANDS), np.uint64)
+    return _lists(found, full, np.full(len(full), BANDS), n)
+
+
+def _sets(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> pa.Array:
+    sets = [np.unique(hashes[a:b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
+    return _lists(np.concatenate([np.zeros(0, np.uint64), *sets]), full, np.array([len(x) for x in sets], np.int64), n)
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """Of pairs a, b of keys those whose sets of shingles have the wanted similarity, from the texts of these keys alone."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = nodes.join(wanted, "key", "left_semi").select("rep.doc_id", "rep.h").distinct()
+    sets = (_with_shingles(texts.join(rows, ["doc_id", "h"], "left_semi").select("doc_id", "h", "text"), shingle_words,
+                           "shingles array<bigint>", _sets).select("key", "shingles").dropDuplicates(["key"]))
+    sets = written(sets, "near-sets")
+    both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+            .select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared")))
+    share, of = SIMILARITY
+    return both.where(F.col("shared").cast("long") * of >= (F.col("n").cast("long") - F.col("shared")) * share).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+    """doc_id, h (xxhash64 of the text), component_id of every row with an id: the smallest id that links of similarity 0.8 or more lead to.
+
+    Texts with equal shingles, also those without words, are linked. In each bucket of a band the keys are compared
+    with its first one, then with the next 7, the next 56 and so on, as long as it has keys that nothing has linked yet. So a
+    group of near copies costs about one comparison for each of them, and still no pair that met is left out.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    points = written(_with_shingles(texts.where("doc_id IS NOT NULL"), shingle_words, "bands array<bigint>", _bands), "near-points")
+    nodes = written(points.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands")), "near-nodes")
+    met = nodes.select(F.explode("bands").alias("bucket"), "key")
+    first = met.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = written(met.join(first, "bucket").select("bucket", "key", "b"), "near-met")
+    nodes = nodes.drop("bands")
+    found = written(similar(met.where("key <> b").select(F.col("key").alias("a"), "b").distinct(), nodes, texts, shingle_words), "near-links")
+    classes, low, ranked = stars(found), 1, None
+    while True:
+        label = classes.select(F.col("a").alias("key"), F.col("b").alias("class"))
+        now = (met if ranked is None else ranked).join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
+        several = (now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("c"), F.max("class").alias("d"))
+                   .where((F.col("c") != F.col("d")) & (F.col("n") > low + 1)).select("bucket"))
+        now = now.join(several, "bucket", "left_semi")
+        if ranked is None:
+            now = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("key")) - 1)
+        now = written(now.select("bucket", "key", "rank", "class"), "near-open")
+        if now.isEmpty():
+            break
+        ranked = now.drop("class")
+        others = now.where(F.col("rank").between(low, low * WIDER - 1)).select(
+            "bucket", F.col("key").alias("b"), F.col("rank").alias("before"), F.col("class").alias("other"))
+        pairs = now.join(others, "bucket").where("rank > before AND class <> other").select(F.col("key").alias("a"), "b").distinct()
+        found = written(found.unionByName(similar(written(pairs, "near-pairs"), nodes, texts, shingle_words)), "near-links")
+        classes, low = stars(found), low * WIDER
+    roots = nodes.join(classes, nodes["key"] == classes["a"], "left").select("key", "rep", F.coalesce("b", "key").alias("root"))
+    least = roots.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
+    return points.join(roots.join(least, "root").select("key", "component_id"), "key").select("doc_id", "h", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its class (rows without an id all stay), with their own columns."""
-    gone = (components(docs, id_col, text_col, **options).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of `docs` whose id is the smallest of its class of near copies (rows without an id all stay), with their own columns."""
+    gone = (near_copies(docs, id_col, text_col, **options).where("doc_id <> component_id")
+            .select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct())
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__h"]), "left_anti")
 
 
 def hex_of(fp: Column) -> Column:

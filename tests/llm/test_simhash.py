@@ -83,3 +83,45 @@ def test_near_copies_are_dropped(documents, prose):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert ids >= set(range(30)) and len(ids) <= 32  # similarity about 0.85: hardly any is missed
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_equal_brute_force(spark, documents, prose):
+    """All pairs of similarity 0.8 or more are linked and no others, also with few words, other first words and repeated passages."""
+    rows = []
+    for k in range(60):
+        words = prose(k, 12 + 5 * k).split()
+        rows.append((10 * k, " ".join(words)))
+        for c, share in enumerate((0.80, 0.79, 0.82, 0.85, 0.77)):
+            n = round(len(words) * (1 / share - 1))
+            rows.append((10 * k + 1 + c, " ".join([f"new{k}{c}{i}" for i in range(n)] + words)))
+        rows.append((10 * k + 6, " ".join(words * 9)))
+    rows += [(1000, "a b c d e f g h i"), (1001, "a b c d e f g h"), (1002, "a b c d e f g"), (1003, None), (1003, " ")]
+    label = {i: i for i, _ in rows}
+    for i, x in rows:
+        for j, y in rows:
+            if i < j and i // 10 == j // 10 and x and y and jaccard(x, y) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {r: low if v == high else v for r, v in label.items()}
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(documents(rows)).collect()}
+    assert found == label
+    assert simhash.near_copies(documents(rows).limit(0)).count() == 0
+
+
+def test_near_copies_that_only_one_partner_links(spark, documents, prose):
+    """In a bucket no text is left out because the first one is unlike it; a row is dropped for its own text, not its id."""
+    words = prose("x", 200).split()
+    chain = [(k, " ".join(words[10 * k:] + [f"tail{k}w{i}" for i in range(10 * k)])) for k in range(12)]
+    other = [(7, prose("y", 80)), (None, chain[0][1])]
+    kept = simhash.drop_near_duplicates(documents(chain + other)).collect()
+    want = {i: i for i, _ in chain}
+    for i, x in chain:
+        for j, y in chain:
+            if i < j and jaccard(x, y) >= 0.8:
+                want = {r: want[i] if v == want[j] else v for r, v in want.items()}
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted(
+        (i is None, i or 0, t) for i, t in [c for c in chain if want[c[0]] == c[0]] + other)
