@@ -20,15 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import small_batches, written
 from ledgerloom.llm.tokens import mix
 
 UNDETERMINED = "und"
 ORDER = 4
 # Bound of the sample that the models are fitted on; all other steps see all texts.
-SAMPLE_TEXTS = 500  # per language, the first by a hash of their id
-SAMPLE_BYTES = 16_384  # texts above this size are not drawn
-DRAWN = 1.5  # times the rows wanted that are drawn, as some are too long
+SAMPLE_TEXTS = 500  # per language, the first by a hash of their id and text
+SAMPLE_BYTES = 16_384  # per text on average: texts, of any length, are taken in hash order until that much is reached
+LEAST_TEXTS = 20  # that are taken however long they are
+DRAWN = 1.5  # times the texts wanted that are ranked
 CALIBRATION_SHARE = 5  # every fifth sampled text calibrates the models of the others
 REJECTED_SHARE, REJECTION_MARGIN = 0.001, 2.0
 CACHED_WORDS = 200_000
@@ -220,24 +221,31 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
         order: int = ORDER, sample_texts: int = SAMPLE_TEXTS, sample_bytes: int = SAMPLE_BYTES) -> Models:
     """Models of all values of `lang_col` in the training rows, from a bounded sample of whole texts.
 
-    Rows with NULL as text or language are not drawn. Each language is fitted in a task of its own; the
+    Rows with NULL as text or language are not drawn, and repeated rows once; texts of any length are, whole, until
+    sample_texts or sample_texts * sample_bytes bytes are reached. Each language is fitted in a task of its own; the
     driver gets one count per language, the fitted n-grams and the calibration texts, bounded by the sample.
     """
-    lang, h = F.col(lang_col).cast("string"), F.xxhash64(F.lit("langid"), F.col(id_col))
-    labelled = docs.where(F.coalesce(train, F.lit(False)) & lang.isNotNull())
-    # A share of the hash range per language holds about the rows wanted, so no task sends more than its part of them.
-    shares = {r["lang"]: min(1.0, DRAWN * sample_texts / r["n"])
-              for r in labelled.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col)
+    h = F.xxhash64(F.lit("langid"), F.col(id_col), text)
+    labelled = docs.where(F.coalesce(train, F.lit(False)) & lang.isNotNull() & text.isNotNull())
+    units = written(labelled.groupBy(lang.alias("lang"), h.alias("h")).agg(F.max(F.octet_length(text)).cast("long").alias("size")), "langid-units")
+    # A share of the hash range per language holds more than the texts wanted, so no task ranks more than a few of them.
+    shares = {r["lang"]: min(1.0, DRAWN * max(sample_texts, 100) / r["n"])
+              for r in units.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares:
         return Models.of({}, order)
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[lang]
-    drawn = labelled.where(h / F.lit(2.0 ** 64) + 0.5 < share).select(lang.alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
-    ranked = drawn.where(F.octet_length("text") <= sample_bytes).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
-    sample = ranked.where(F.col("rank") <= sample_texts)
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    ranked = (units.where(F.col("h") / F.lit(2.0 ** 64) + 0.5 <= share)
+              .withColumn("rank", F.row_number().over(by_hash))
+              .withColumn("before", F.coalesce(F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    chosen = ranked.where((F.col("rank") <= sample_texts) & ((F.col("before") < sample_texts * sample_bytes) | (F.col("rank") <= LEAST_TEXTS)))
+    sample = (labelled.select(lang.alias("lang"), h.alias("h"), text.alias("text"))
+              .join(F.broadcast(chosen.select("lang", "h", "rank")), ["lang", "h"])
+              .groupBy("lang", "rank").agg(F.min("text").alias("text")))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["lang", "text", "rank"]).to_pylist()
+        rows = sorted(table.select(["lang", "text", "rank"]).to_pylist(), key=lambda r: r["rank"])
         held = [r["text"] for r in rows if r["rank"] % CALIBRATION_SHARE == 0]
         model = kneser_ney(Counter(w for r in rows if r["rank"] % CALIBRATION_SHARE for w in words_of(r["text"])), order)
         return pa.table({

@@ -60,3 +60,23 @@ def test_model_is_a_distribution():
     assert sum(prob(" ab", c) for c in known) + prob(" ab", "?") == pytest.approx(1.0)
     by_hand = langid.np.log10(prob(" ", "a") * prob(" a", "b") * prob(" ab", "c") * prob("abc", " "))
     assert models.word_scores(["abc"])[0, 0] == pytest.approx(by_hand)
+
+
+def test_languages_of_long_texts_are_learned(documents):
+    """Every text long, nearly every text long, or most texts NULL: all are languages like any other."""
+    rows = [(k, text_of("aa", k, 60), "aa") for k in range(60)]
+    rows += [(100 + k, text_of("bb", k, 6000), "bb") for k in range(12)]
+    rows += [(1000 + k, text_of("cc", k, 5000 if k % 50 else 60), "cc") for k in range(300)]
+    rows += [(2000 + k, None if k % 50 else "кот дом лес мир " * 20 + f" {k}", "dd") for k in range(1000)]
+    assert min(len(t.encode()) for _, t, lang in rows if lang == "bb") > langid.SAMPLE_BYTES
+    models = langid.fit(documents(rows), train=F.lit(True), sample_texts=10)
+    assert models.languages == ["aa", "bb", "cc", "dd"]
+    new = documents([(k, text_of(lang, 1000 + k, 80), lang) for k, lang in enumerate(("aa", "bb", "cc"))])
+    assert {(r.doc_id, r.lang_pred) for r in langid.predict(new, models).collect()} == {(0, "aa"), (1, "bb"), (2, "cc")}
+
+
+@pytest.mark.parametrize("same", [None, 1, 2, 3])
+def test_rows_of_one_id(documents, same):
+    rows = [(same, text_of(lang, k, 60) + f" {k}", lang) for lang in ("aa", "bb") for k in range(2000)]
+    models = langid.fit(documents(rows + rows[:1] * 3000), train=F.lit(True), sample_texts=20)
+    assert models.languages == ["aa", "bb"]
