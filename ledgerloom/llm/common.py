@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_BATCH = 500
 _local_root: list[str] = []
@@ -42,6 +43,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_kinds(df: DataFrame, kind: Column, label: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df for which `kind` holds and the others, written at once and read as two tables."""
+    path, spark = new_path(df.sparkSession, label), df.sparkSession
+    df.withColumn("kind", kind).write.partitionBy("kind").parquet(path)
+    # Read with the folder's column and by a filter, as a kind without any rows has no folder.
+    return tuple(spark.read.schema(f"{_ddl(df)}, kind boolean").parquet(path).where(F.col("kind") == which).drop("kind") for which in (True, False))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand rows to Python in batches of at most ROWS_PER_BATCH, as single texts may be long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

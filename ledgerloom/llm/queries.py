@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import decontam, exact, langid, lm, mixing, sharding, simhash, tokenids, urls, warc
-from ledgerloom.llm.parameters import URL_RULES, byte_tokenizer, source_schedules, source_weights
+from ledgerloom.llm import alignment, decontam, exact, langid, lm, mixing, phrases, sharding, simhash, tokencount, tokenids, urls, warc
+from ledgerloom.llm.parameters import URL_RULES, byte_tokenizer, piece_tokenizer, source_schedules, source_weights, word_tokenizer
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,6 +72,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.report(_table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_table(spark, sf_dir, "documents"), byte_tokenizer(), piece_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_phrases": op11_phrases,
+    "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -174,4 +189,26 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
         FROM u""",
+    "op11_phrases": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        sizes AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+        f AS (
+            SELECT lang, m, w[i:i + m - 1] AS g, count(*) AS f FROM w, unnest(range(1, 5)) AS u(m), unnest(range(1, len(w) - m + 2)) AS v(i)
+            GROUP BY ALL HAVING count(*) >= 30),
+        within AS (
+            SELECT lang, part, max(f) AS longer FROM (
+                SELECT lang, f, g[:m - 1] AS part FROM f WHERE m > 2 UNION ALL SELECT lang, f, g[2:] FROM f WHERE m > 2) GROUP BY ALL),
+        kept AS (
+            SELECT f.* FROM f LEFT JOIN within x ON f.lang = x.lang AND f.g = x.part
+            WHERE m > 1 AND (longer IS NULL OR 100 * longer < 80 * f)),
+        cuts AS (
+            SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.f // (x.f + y.f) AS score
+            FROM kept c, unnest(range(1, m)) AS u(k) JOIN f x ON x.lang = c.lang AND x.g = c.g[:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+               a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM best b JOIN sizes s ON b.lang = s.lang QUALIFY rank <= 2000""",
 }
