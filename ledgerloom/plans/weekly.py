@@ -17,7 +17,7 @@ from ledgerloom.operators.answers import resolve
 from ledgerloom.rules import Rules
 from ledgerloom.schemas import RECEIPT_COLUMNS
 from ledgerloom.sources import tables
-from ledgerloom.sources.csv import write_csv
+from ledgerloom.sources.csv import remove_week, write_csv
 
 
 def extract(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -75,23 +75,29 @@ class WeeklyLedger:
         if self.make_provider is None:
             return extract(docs, self.rules)
         cache = self.cache.read(docs.selectExpr("sha1 AS file_hash"))
-        if not self.answers.has_batch(batch_id):
-            self.answers.upsert(A.ask(A.requests(docs, cache, self.rules), self.make_provider), batch_id)
-        raw = self.answers.batch(batch_id)
+        asked = self._asked(batch_id)
+        if not self.answers.has_batch(asked):
+            self.answers.upsert(A.ask(A.requests(docs, cache, self.rules), self.make_provider), asked)
+        raw = self.answers.batch(asked)
         new = raw.selectExpr("file_hash", f"{A.answer_of('response', 'error', self.rules)} AS answer")
         # Answers of this batch count as new, also if an attempt that failed later has cached them.
         earlier = cache.join(raw.select("file_hash"), "file_hash", "left_anti")
         return A.settle(A.with_answers(A.read_texts(docs, self.rules), earlier, new))
 
-    def _keep_answers(self, batch_id: str) -> None:
+    def _asked(self, batch_id: str) -> str:
+        """The id that a batch's answers are stored under: another one each time the batch was undone, as its files are asked for anew."""
+        times = self.ledger.log.times_undone(batch_id)
+        return f"{batch_id}, again {times}" if times else batch_id
+
+    def _keep_answers(self, batch_id: str, asked: str) -> None:
         """New answers go to the cache once the ledger has its rows; unusable ones are listed with their reason."""
         if self.make_provider is None:
             return
-        raw = self.answers.batch(batch_id)
+        raw = self.answers.batch(asked)
         new = raw.selectExpr("file_hash", f"{A.answer_of('response', 'error', self.rules)} AS answer")
-        self.cache.upsert(A.cache_rows(new, self.cache_all).withColumn("cached_at", F.current_timestamp()), batch_id)
+        self.cache.upsert(A.cache_rows(new, self.cache_all).withColumn("cached_at", F.current_timestamp()), asked)
         unusable = raw.selectExpr("file_hash", "response", f"coalesce(error, {A.parse_error('response')}) AS error")
-        self.rejects.upsert(unusable.where("error IS NOT NULL").withColumn("batch_id", F.lit(batch_id)), batch_id)
+        self.rejects.upsert(unusable.where("error IS NOT NULL").withColumn("batch_id", F.lit(batch_id)), asked)
 
     def process(self, docs: DataFrame, batch_id: str | None = None,
                 replace: Column | None = None) -> DataFrame:
@@ -101,13 +107,14 @@ class WeeklyLedger:
         when a whole week is processed again.
         """
         batch_id = batch_id or uuid.uuid4().hex
+        asked = self._asked(batch_id)
         if not self.ledger.has_batch(batch_id):
             rows = canonical_rows(self._resolved(docs, batch_id), self.notes)
             if replace is None:
                 self.ledger.upsert(rows, batch_id)
             else:
                 self.ledger.replace_where(rows, replace, batch_id)
-        self._keep_answers(batch_id)
+        self._keep_answers(batch_id, asked)
         return self.ledger.batch(batch_id).drop("version")
 
     def find_duplicates(self, rows: DataFrame, match: str = "last",
@@ -153,16 +160,20 @@ class WeeklyLedger:
         return routing.routing_plan(placed, occupied)
 
     def undo_week(self, week_id: str, batch_id: str | None = None, processed: DataFrame | None = None,
-                  incoming: DataFrame | None = None) -> Undone:
-        """Take a week out of ledger, registry, export and duplicates; cached answers stay.
+                  incoming: DataFrame | None = None, csv_path: str | None = None) -> Undone:
+        """Take a week out of ledger, registry, export, duplicates and the CSV at `csv_path`; cached answers stay.
+
+        Batches that wrote rows of the week count as not done afterwards, so the week can be processed again under the id it had.
 
         `processed` and `incoming` (week_id, file_name, seq) are the files in their folders now; the
         plan says which processed files go back.
         """
         batch_id = batch_id or uuid.uuid4().hex
         for table in (self.ledger, self.exports, self.duplicates):
-            table.delete(F.col("week_id") == week_id, batch_id)
-        removed = self.registry.delete(F.col("week_id") == week_id, batch_id)
+            table.delete(F.col("week_id") == week_id, batch_id, (week_id, week_id))
+        removed = self.registry.delete(F.col("week_id") == week_id, batch_id, (week_id, week_id))
+        if csv_path:
+            remove_week(self.spark, csv_path, week_id)
         if processed is None:
             return Undone(removed, None)
         there = processed.limit(0) if incoming is None else incoming

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.schemas import RECEIPT_COLUMNS, RECEIPT_SCHEMA
+from ledgerloom.sources.commits import Store
 
 # Quotes are doubled inside quoted fields; line breaks stay inside a field; text
 # keeps its blanks.
@@ -26,3 +29,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = RECEIPT_SCHEMA + ", week_id string"
     return spark.read.schema(schema).options(**_OPTIONS).csv(path)
+
+
+def remove_week(spark: SparkSession, path: str, week_id: str) -> None:
+    """Take one week's files away; nothing happens if there are none."""
+    store = Store(spark, path)
+    for name in store.names(""):
+        if unquote(name) == f"week_id={week_id}":
+            store.remove(name)

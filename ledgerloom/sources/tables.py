@@ -1,148 +1,168 @@
 """Keyed state tables: the answer cache, the fingerprint registry, the export table and others.
 
-A table is a folder of Parquet segments plus a log. A commit writes only its own rows, in folders by a
-hash bucket of the first key; a later row replaces an earlier one with the same key when the table is read, and a
-row marked as deleted removes its key. A read by keys opens only the buckets of those keys. The log has one file
-per version, which lists the live segments of that version: readers need the newest file alone. A
-segment counts only once its log file is there, so a failed or repeated write leaves no trace. Whenever FANOUT
-neighbouring segments of one level have gathered, they are merged to one of the next level, so a table
-of n commits has few segments and each row is rewritten a few times only. One writer per table at a time.
+A table is a folder of Parquet segments plus a commit log. A commit writes only its own rows; a later row replaces an earlier
+one with the same key when the table is read, and a row marked as deleted removes its key. Whenever FANOUT neighbouring
+segments of one level have gathered, they are merged to one of the next level, so a table of n commits has few
+segments and each row is rewritten a few times only.
+
+A segment of up to BUCKET_ROWS rows is one folder. A larger one is split by the first bits of the key's hash, as many as its rows
+need, so folders keep their size while the table grows. Segments above FILTER_ROWS rows have a Bloom filter: rows of 4 KB bitmaps,
+each for a range of the hash. A read by keys joins the keys with the filters and opens only the folders that may hold one of them.
+
+Each commit carries a batch id and is done once, unless a later one takes back what it wrote: after a delete of a
+range of the span column (the week), batches with rows of that range can be written again, and the other way round.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import cached_property
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.operators.keyed import keep_first, keep_latest
 from ledgerloom.schemas import (
     ANSWERS_SCHEMA, CACHE_SCHEMA, DUPLICATES_SCHEMA, EXPORT_SCHEMA, LEDGER_SCHEMA, REGISTRY_SCHEMA, REJECTS_SCHEMA,
 )
+from ledgerloom.sources.commits import CHECKPOINT, Commit, CommitLog, Segment
 
-_LOG = "segment string, level int, batch_id string, own string, version bigint"
-BUCKETS = 16
+BUCKET_ROWS = 1 << 17
+FILTER_ROWS = 1 << 14
+FILTER_SLOT_ROWS = 1 << 11  # keys per bitmap of 32768 bits with two bits a key: about 1.4 % of absent keys look present
 FANOUT = 8
+WRITE_TRIES = 10
 _BASE = 1 << 20  # level of a segment that holds everything before it
+_BITMAP_BITS = 1 << 15
 
 
 @dataclass(frozen=True)
 class StateTable:
+    """`hashed` are the key columns that segments are split by (default: the first key); `span` is a column whose range is kept per segment."""
+
     spark: SparkSession
     root: str
     schema: str
     keys: tuple[str, ...]
     order: tuple[str, ...] = ()
-    buckets: int = BUCKETS
+    hashed: tuple[str, ...] = ()
+    span: str | None = None
     fanout: int = FANOUT
+    bucket_rows: int = BUCKET_ROWS
+    filter_rows: int = FILTER_ROWS
+    checkpoint: int = CHECKPOINT
 
-    # --- log ---
-
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
-        except AnalysisException as err:
-            if "PATH_NOT_FOUND" in (err.getCondition() or ""):
-                return None
-            raise
-
-    def _version(self) -> int:
-        log = self._log()
-        return 0 if log is None else log.agg(F.max("version")).first()[0]
-
-    def _live(self, version: int) -> list[tuple[str, int]]:
-        """(segment, level) of a version, oldest first: few, as segments are merged."""
-        if not version:
-            return []
-        rows = self._log().where(F.col("version") == version).select("segment", "level").collect()
-        return sorted((r["segment"], r["level"]) for r in rows)
-
-    def _segment_of(self, batch_id: str) -> str | None:
-        log = self._log()
-        if log is None:
-            return None
-        found = log.where(F.col("batch_id") == batch_id).select("own").limit(1).collect()
-        return found[0]["own"] if found else None
+    @cached_property
+    def log(self) -> CommitLog:
+        return CommitLog(self.spark, self.root, self.checkpoint)
+
+    @cached_property
+    def _types(self) -> T.StructType:
+        return T.StructType.fromDDL(self.schema)
 
     def has_batch(self, batch_id: str) -> bool:
-        return self._segment_of(batch_id) is not None
+        return self.log.find(batch_id) is not None
 
     def batch(self, batch_id: str) -> DataFrame:
-        """The rows one commit wrote, read back from its segment."""
-        return self._scan([self._segment_of(batch_id)]).filter(~F.col("deleted")).drop("deleted", "bucket")
-
-    def _write_log(self, version: int, live: list[tuple[str, int]], batch_id: str | None, own: str | None) -> None:
-        rows = [(segment, level, batch_id, own) for segment, level in live]
-        entry = self.spark.createDataFrame(rows, "segment string, level int, batch_id string, own string")
-        entry.coalesce(1).write.parquet(f"{self.root}/log/version={version}")
+        """The rows one commit wrote: all of them as long as its segment is there, later those that are still in the table."""
+        done = self.log.find(batch_id)
+        if done is None:
+            raise KeyError(f"batch {batch_id} is not in {self.root}")
+        if done.own is None:
+            return self._scan({}).drop("deleted")
+        if self.log.store.exists(f"segments/segment={done.own}"):
+            return self._scan({done.own: None}).filter(~F.col("deleted")).drop("deleted")
+        return self.read().filter(F.col("version") == done.version)
 
     # --- segments ---
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
-
-    def _scan(self, segments: list[str]) -> DataFrame:
-        full = f"{self.schema}, deleted boolean, version bigint, segment string, bucket int"
-        if not segments:
-            return self.spark.createDataFrame([], full).drop("segment")
-        folder = f"{self.root}/segments"
-        return self.spark.read.schema(full).option("basePath", folder).parquet(
-            *(f"{folder}/segment={s}" for s in segments)).drop("segment")
-
-    def _write_segment(self, rows: DataFrame, version: int) -> str:
-        # The number in front keeps the order of segments; a later one has newer rows.
-        segment = f"{version:010d}-{uuid.uuid4().hex}"
-        (rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-         .sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket")
-         .parquet(f"{self.root}/segments/segment={segment}"))
+    def _hash(self) -> Column:
+        return F.xxhash64(*(self.hashed or self.keys[:1]))
+
+    @staticmethod
+    def _first_bits(h: Column, bits: int) -> Column:
+        return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
+
+    def _scan(self, folders: dict[str, list[int] | None]) -> DataFrame:
+        """Rows of segments, of some of their folders or (None) all."""
+        full = f"{self.schema}, deleted boolean, version bigint"
+        base = f"{self.root}/segments"
+        paths = [f"{base}/segment={s}" + ("" if b is None else f"/bucket={b}") for s, of in folders.items() for b in ([None] if of is None else of)]
+        if not paths:
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(f"{full}, segment string, bucket int").option("basePath", base).parquet(*paths).drop("segment", "bucket")
+
+    def _write(self, rows: DataFrame, version: int, level: int, expected: int | None = None) -> Segment:
+        """A new segment. Without an expected number of rows it is written as one folder first, and split if it is large."""
+        name = f"{version:010d}-{uuid.uuid4().hex}"
+        bits = max(0, math.ceil(math.log2(max(expected or 0, 1) / self.bucket_rows)))
+        folder, seen = f"{self.root}/segments/segment={name}", Observation()
+        span = F.col(self.span).cast("string") if self.span else F.lit(None).cast("string")
+        found = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(span).alias("low"), F.max(span).alias("high"))
+        if bits:
+            found = found.withColumn("bucket", self._first_bits(self._hash(), bits).cast("int")).hint("rebalance", "bucket")
+            found.sortWithinPartitions("bucket", *self.keys).write.partitionBy("bucket").parquet(folder)
+        else:
+            found.write.parquet(f"{folder}/bucket=0")
+        n = seen.get["rows"]
+        if expected is None and n > self.bucket_rows:
+            split = self._write(self._scan({name: None}), version, level, n)
+            self.log.store.remove(f"segments/segment={name}")
+            return split
+        segment = Segment(name, level, version, n, bits, n > self.filter_rows, seen.get["low"], seen.get["high"])
+        if segment.filtered:
+            self._write_filter(segment)
         return segment
 
-    def _commit(self, rows: DataFrame, batch_id: str) -> None:
-        if self.has_batch(batch_id):
-            return
-        version = self._version()
-        live = self._live(version)
-        segment = self._write_segment(rows.withColumn("version", F.lit(version + 1).cast("bigint")), version + 1)
-        self._write_log(version + 1, [*live, (segment, 0)], batch_id, segment)
-        self._merge_tail()
-
-    def _merge_tail(self) -> None:
-        """Merge the newest segments while FANOUT of one level stand at the end."""
-        while True:
-            version = self._version()
-            live = self._live(version)
-            tail = [x for x in live[-self.fanout:] if x[1] == live[-1][1]]
-            if len(tail) < self.fanout:
-                return
-            self._merge(version, live, len(live) - len(tail), tail[0][1] + 1)
-
-    def _merge(self, version: int, live: list[tuple[str, int]], first: int, level: int, batch_id: str | None = None) -> None:
-        """One segment in place of those from `first` on; marks of deletion are needed while older rows exist."""
-        rows = keep_latest(self._scan([s for s, _ in live[first:]]), list(self.keys), ["version", *self.order])
-        if not first:
-            rows = rows.filter(~F.col("deleted"))
-        segment = self._write_segment(rows.drop("bucket"), version + 1)
-        self._write_log(version + 1, [*live[:first], (segment, level)], batch_id, segment if batch_id else None)
+    def _write_filter(self, segment: Segment) -> None:
+        """slot (first `depth` bits of the hash), bucket, bits: which of two positions per key are taken in a slot's bitmap."""
+        depth = max(segment.bits, math.ceil(math.log2(segment.rows / FILTER_SLOT_ROWS)), 1)
+        hashes = self._scan({segment.name: None}).select(self._hash().alias("h"))
+        (hashes.select(self._first_bits(F.col("h"), depth).alias("slot"), F.explode(F.array(*self._positions(F.col("h")))).alias("p"))
+         .groupBy("slot").agg(F.bitmap_construct_agg("p").alias("bits"))
+         .select("slot", "bits", F.lit(depth).alias("depth"), F.shiftright("slot", depth - segment.bits).cast("int").alias("bucket"))
+         .write.parquet(f"{self.root}/filters/segment={segment.name}"))
+
+    @staticmethod
+    def _positions(h: Column) -> list[Column]:
+        return [h.bitwiseAND(_BITMAP_BITS - 1), F.shiftrightunsigned(h, 15).bitwiseAND(_BITMAP_BITS - 1)]
+
+    def _folders(self, live: list[Segment], keys: DataFrame | None = None) -> dict[str, list[int] | None]:
+        """Where rows with some of the keys can be, by the filters of the segments that have one."""
+        filtered = [s for s in live if s.filtered]
+        hashed = self.hashed or self.keys[:1]
+        if keys is None or not filtered or not set(hashed) <= set(keys.columns):
+            return {s.name: None for s in live}
+        base = f"{self.root}/filters"
+        filters = self.spark.read.schema("slot bigint, bits binary, depth int, bucket int, segment string").option("basePath", base).parquet(
+            *(f"{base}/segment={s.name}" for s in filtered))
+        depths = [max(s.bits, math.ceil(math.log2(s.rows / FILTER_SLOT_ROWS)), 1) for s in filtered]
+        wanted = keys.select(self._hash().alias("h")).distinct()
+        by_depth = wanted.select("h", F.explode(F.array(*[
+            F.struct(F.lit(d).alias("depth"), self._first_bits(F.col("h"), d).alias("slot")) for d in sorted(set(depths))])).alias("at")).select("h", "at.*")
+        taken = [F.conv(F.hex(F.substring("bits", (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND(
+            F.pow(F.lit(2), p % 8).cast("int")) > 0 for p in self._positions(F.col("h"))]
+        hits = filters.join(by_depth, ["depth", "slot"]).where(taken[0] & taken[1]).select("segment", "bucket").distinct().collect()
+        found: dict[str, list[int] | None] = {s.name: None for s in live if not s.filtered}
+        for r in hits:  # no more than there are folders
+            found.setdefault(r.segment, []).append(r.bucket)
+        return found
 
     # --- reading ---
 
     def _history(self, keys: DataFrame | None = None) -> DataFrame:
-        rows = self._scan([segment for segment, _ in self._live(self._version())])
-        if keys is None:
-            return rows.drop("bucket")
-        if self.keys[0] in keys.columns:
-            touched = [r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()]
-            rows = rows.filter(F.col("bucket").isin(touched))
-        return rows.drop("bucket").join(keys, keys.columns, "left_semi")
+        rows = self._scan(self._folders(list(self.log.newest().live), keys))
+        return rows if keys is None else rows.join(keys, keys.columns, "left_semi")
 
     def read(self, matching: DataFrame | None = None) -> DataFrame:
         """Live rows, with the `version` of the commit that wrote them.
 
         `matching` holds some of the key columns; only rows with those keys are read
-        on, from the buckets that they lie in. The kept rows are spread by the whole key, so
+        on, from the folders that may hold them. The kept rows are spread by the whole key, so
         that one hot part of it (such as the fingerprint of empty receipts) does not gather in one task.
         """
         history = self._history(matching)
@@ -151,47 +171,133 @@ class StateTable:
         newest = keep_latest(history, list(self.keys), ["version", *self.order])
         return newest.filter(~F.col("deleted")).drop("deleted")
 
-    def _where(self, condition: Column) -> DataFrame:
-        """Live rows that meet a condition. Only keys that ever met it are looked at again."""
-        keys = self._history().filter(condition).select(*self.keys).distinct()
+    def _where(self, condition: Column, within: tuple[str, str] | None = None) -> DataFrame:
+        """Live rows that meet a condition. Only keys that ever met it, in segments whose span reaches `within`, are looked at again."""
+        live = [s for s in self.log.newest().live if within is None or s.may_hold(*within)]
+        keys = self._scan({s.name: None for s in live}).filter(condition).select(*self.keys).distinct()
         return self.read(keys).filter(condition)
 
     # --- writing ---
 
-    def _columns(self) -> list[str]:
-        return [field.strip().split(" ")[0] for field in self.schema.split(",")]
+    def _typed(self, rows: DataFrame) -> DataFrame:
+        """The table's columns in its types; a value that has no counterpart there fails with the name of its column."""
+        missing = [f.name for f in self._types if f.name not in rows.columns]
+        if missing:
+            raise ValueError(f"columns {missing} are missing for {self.root}")
+
+        def typed(f: T.StructField) -> Column:
+            value, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+            if rows.schema[f.name].dataType == f.dataType:
+                return value
+            cast = value.try_cast(kind)
+            refuse = F.raise_error(F.concat(F.lit(f"column {f.name} of {self.root} takes {kind}, not "), value.cast("string")))
+            return F.when(value.isNotNull() & cast.isNull(), refuse.cast(kind)).otherwise(cast).alias(f.name)
+
+        return rows.select(*[typed(f) for f in self._types])
+
+    def _commit(self, make: Callable[[], DataFrame], batch_id: str, kind: str = "put", within: tuple[str, str] | None = None) -> None:
+        """Write what `make` gives on top of the newest version; if another writer was faster, make it anew on top of that."""
+        for _ in range(WRITE_TRIES):
+            if self.has_batch(batch_id):
+                return
+            before = self.log.newest()
+            version = before.version + 1
+            own = self._write(make().withColumn("version", F.lit(version).cast("bigint")), version, 0)
+            low, high = within or (own.low, own.high)
+            live = (*before.live, own) if own.rows else before.live
+            if self.log.append(Commit(version, kind, live, batch_id, own.name if own.rows else None, low, high)):
+                self._merge_tail()
+                return
+            self._forget(own)
+        raise RuntimeError(f"{self.root}: other writers were faster {WRITE_TRIES} times")
+
+    def _forget(self, segment: Segment) -> None:
+        self.log.store.remove(f"segments/segment={segment.name}")
+        self.log.store.remove(f"filters/segment={segment.name}")
+
+    def _merge_tail(self) -> None:
+        """Merge the newest segments while FANOUT of one level stand at the end."""
+        while True:
+            before = self.log.newest()
+            tail = [s for s in before.live[-self.fanout:] if s.level == before.live[-1].level] if before.live else []
+            if len(tail) < self.fanout:
+                return
+            self._merge(before, len(before.live) - len(tail), tail[0].level + 1)
+
+    def _merge(self, before: Commit, first: int, level: int) -> bool:
+        """One segment in place of those from `first` on; marks of deletion are needed while older rows exist."""
+        old = before.live[first:]
+        rows = keep_latest(self._scan({s.name: None for s in old}), list(self.keys), ["version", *self.order])
+        if not first:
+            rows = rows.filter(~F.col("deleted"))
+        new = replace(self._write(rows, before.version + 1, level, sum(s.rows for s in old)), version=old[-1].version)
+        live = (*before.live[:first], new) if new.rows else before.live[:first]
+        done = self.log.append(Commit(before.version + 1, "merge", live, gone=tuple(s.name for s in old)))
+        if not done:  # another writer went on; it merges, or the next commit does
+            self._forget(new)
+        return done
 
     def upsert(self, rows: DataFrame, batch_id: str) -> None:
         """Insert or replace. The same batch id is written once only."""
-        kept = keep_latest(rows.select(*self._columns()), list(self.keys), list(self.order or self.keys))
-        self._commit(kept.withColumn("deleted", F.lit(False)), batch_id)
+        kept = keep_latest(self._typed(rows), list(self.keys), list(self.order or self.keys))
+        self._commit(lambda: kept.withColumn("deleted", F.lit(False)), batch_id)
 
     def insert_ignore(self, rows: DataFrame, batch_id: str) -> None:
         """Insert rows whose key is new; the first row of a key wins."""
-        known = self.read(rows.select(*self.keys)).select(*self.keys)
-        new = rows.select(*self._columns()).join(known, list(self.keys), "left_anti")
-        kept = keep_first(new, list(self.keys), list(self.order or self.keys))
-        self._commit(kept.withColumn("deleted", F.lit(False)), batch_id)
+        typed = self._typed(rows)
+
+        def new() -> DataFrame:
+            known = self.read(typed.select(*self.keys)).select(*self.keys)
+            kept = keep_first(typed.join(known, list(self.keys), "left_anti"), list(self.keys), list(self.order or self.keys))
+            return kept.withColumn("deleted", F.lit(False))
+
+        self._commit(new, batch_id)
 
     def replace_where(self, rows: DataFrame, condition: Column, batch_id: str) -> None:
         """Put `rows` in the place of all live rows that meet the condition, in one commit."""
         keys = list(self.keys)
-        kept = keep_latest(rows.select(*self._columns()), keys, list(self.order or self.keys))
-        gone = self._where(condition).select(*self._columns()).join(kept.select(*keys), keys, "left_anti")
-        self._commit(kept.withColumn("deleted", F.lit(False)).unionByName(
-            gone.withColumn("deleted", F.lit(True))), batch_id)
+        kept = keep_latest(self._typed(rows), keys, list(self.order or self.keys))
+
+        def both() -> DataFrame:
+            gone = self._where(condition).select(*self._types.names).join(kept.select(*keys), keys, "left_anti")
+            return kept.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
+
+        self._commit(both, batch_id)
 
-    def delete(self, condition: Column, batch_id: str) -> int:
-        """Delete the live rows that meet the condition; returns how many there were."""
-        doomed = self._where(condition).select(*self._columns())
-        self._commit(doomed.withColumn("deleted", F.lit(True)), batch_id)
-        return self._scan([self._segment_of(batch_id)]).count()
+    def delete(self, condition: Column, batch_id: str, within: tuple[str, str] | None = None) -> int:
+        """Delete the live rows that meet the condition; returns how many there were.
+
+        `within` is the range of the span column that the condition lies in: other segments are not read, and
+        batches with rows of that range can be written again.
+        """
+        if within is not None and self.span is None:
+            raise ValueError(f"{self.root} keeps no ranges")
+        self._commit(lambda: self._where(condition, within).select(*self._types.names).withColumn("deleted", F.lit(True)), batch_id, "delete", within)
+        done = self.log.find(batch_id)
+        if done.own is None:
+            return 0
+        if self.log.store.exists(f"segments/segment={done.own}"):
+            return self._scan({done.own: None}).count()
+        return self._history().filter(F.col("deleted") & (F.col("version") == done.version)).count()
 
     def compact(self, batch_id: str) -> None:
-        """Write the live rows as one new segment; rows keep the version they were written with."""
-        version = self._version()
-        if version and not self.has_batch(batch_id):
-            self._merge(version, self._live(version), 0, _BASE, batch_id)
+        """Write the live rows as one new segment; rows keep the version they were written with. Any batch id: nothing is written twice."""
+        for _ in range(WRITE_TRIES):
+            before = self.log.newest()
+            if not before.live or len(before.live) == 1 and before.live[0].level == _BASE or self._merge(before, 0, _BASE):
+                return
+        raise RuntimeError(f"{self.root}: other writers were faster {WRITE_TRIES} times")
+
+    def vacuum(self) -> int:
+        """Delete the segments that no version in the log lists; returns how many. Not while jobs still read old rows."""
+        listed = {s.name for c in self.log.recent() for s in c.live} | {c.own for c in self.log.recent()}
+        stray = [n for n in self.log.store.names("segments") if n.removeprefix("segment=") not in listed]
+        newest = self.log.newest().version
+        stray = [n for n in stray if int(n.removeprefix("segment=").split("-")[0]) <= newest]  # later ones are being written
+        for name in stray:
+            self.log.store.remove(f"segments/{name}")
+            self.log.store.remove(f"filters/{name}")
+        return len(stray)
 
 
 def answer_cache(spark: SparkSession, root: str) -> StateTable:
@@ -199,16 +305,16 @@ def answer_cache(spark: SparkSession, root: str) -> StateTable:
 
 
 def registry(spark: SparkSession, root: str) -> StateTable:
-    return StateTable(spark, f"{root}/registry", REGISTRY_SCHEMA, ("fingerprint", "file_hash"), ("week_id", "seq"))
+    return StateTable(spark, f"{root}/registry", REGISTRY_SCHEMA, ("fingerprint", "file_hash"), ("week_id", "seq"), span="week_id")
 
 
 def export_table(spark: SparkSession, root: str) -> StateTable:
     """Each week has an export of its own, in which a file stands once."""
-    return StateTable(spark, f"{root}/receipts", EXPORT_SCHEMA, ("week_id", "sha1"), ("seq",))
+    return StateTable(spark, f"{root}/receipts", EXPORT_SCHEMA, ("week_id", "sha1"), ("seq",), hashed=("sha1",), span="week_id")
 
 
 def ledger(spark: SparkSession, root: str) -> StateTable:
-    return StateTable(spark, f"{root}/ledger", LEDGER_SCHEMA, ("week_id", "seq"), ("sha1",))
+    return StateTable(spark, f"{root}/ledger", LEDGER_SCHEMA, ("week_id", "seq"), ("sha1",), hashed=("week_id", "seq"), span="week_id")
 
 
 def raw_answers(spark: SparkSession, root: str) -> StateTable:
@@ -222,7 +328,7 @@ def rejects(spark: SparkSession, root: str) -> StateTable:
 
 
 def duplicates(spark: SparkSession, root: str) -> StateTable:
-    return StateTable(spark, f"{root}/duplicates", DUPLICATES_SCHEMA, ("week_id", "seq", "kind"))
+    return StateTable(spark, f"{root}/duplicates", DUPLICATES_SCHEMA, ("week_id", "seq", "kind"), hashed=("week_id", "seq"), span="week_id")
 
 
 REGISTRY_ORDER = ["version", "week_id", "seq", "file_hash"]

@@ -1,6 +1,5 @@
 """Keyed tables, duplicates, routing, undo and the weekly job."""
 
-import re
 import uuid
 
 import pytest
@@ -54,38 +53,110 @@ def test_deleted_rows_do_not_come_back(spark, tmp_path):
 
 
 def test_many_commits_leave_few_segments(spark, tmp_path):
-    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",), buckets=4, fanout=3)
+    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",), fanout=3, bucket_rows=4, checkpoint=4)
     for n in range(14):
         table.upsert(spark.createDataFrame([(f"k{n % 5}", n), (f"only{n}", n)], "k string, v int"), str(n))
-    assert len(table._live(table._version())) <= 5
+    assert len(table.log.newest().live) <= 5
     want = [(f"k{k}", 10 + k if k < 4 else 9) for k in range(5)] + [(f"only{n}", n) for n in range(14)]
     assert rows_of(table.read(), "k", "v") == sorted(want, key=str)
     assert table.has_batch("3") and rows_of(table.batch("3"), "k", "v") == [("k3", 3), ("only3", 3)]
     assert table.delete(F.col("v") == 13, "gone") == 2
     for n in range(3):
         table.upsert(spark.createDataFrame([("x", n)], "k string, v int"), f"later{n}")
-    assert rows_of(table.read(), "k", "v") == sorted([w for w in want if w[1] != 13] + [("x", 2)], key=str)
-
-
-def test_reads_open_only_the_buckets_of_their_keys(spark, tmp_path):
-    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",), buckets=8)
-    table.upsert(spark.range(1000).selectExpr("CAST(id AS STRING) AS k", "CAST(id AS INT) AS v"), "1")
-    keys = spark.createDataFrame([("7",)], "k string")
-    found = table.read(keys)
-    files = table._history(keys).inputFiles()
-    assert rows_of(found, "k", "v") == [("7", 7)]
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "bucket" in plan and len(files) >= 1
-    scan = found._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=|<=>)", scan), scan
-
-
-def test_delete_shuffles_only_rows_that_ever_met_the_condition(spark, tmp_path):
-    table = StateTable(spark, str(tmp_path / "t"), "k string, week string", ("k",))
-    table.upsert(spark.range(100).selectExpr("CAST(id AS STRING) AS k", "IF(id < 3, 'w1', 'w2') AS week"), "1")
-    plan = table._where(F.col("week") == "w1")._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan
-    assert table.delete(F.col("week") == "w1", "2") == 3 and table.read().count() == 97
+    want = sorted([w for w in want if w[1] != 13] + [("x", 2)], key=str)
+    assert rows_of(table.read(), "k", "v") == want
+    assert table.vacuum() > 0
+    assert rows_of(table.read(), "k", "v") == want and rows_of(table.batch("later2"), "k", "v") == [("x", 2)]
+
+
+def test_log_stays_short_and_remembers_batches(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, week string", ("k",), span="week", checkpoint=5, fanout=4)
+    for n in range(18):
+        table.upsert(spark.createDataFrame([(f"k{n}", f"w{n % 3}")], "k string, week string"), str(n))
+    assert len(table.log.store.names("log")) <= 5 + 8 + 1 and len(table.log.store.names("batches")) <= 2
+    assert all(table.has_batch(str(n)) for n in range(18)) and not table.has_batch("18")
+    table.upsert(spark.createDataFrame([("other", "w1")], "k string, week string"), "0")
+    assert table.read().count() == 18
+    assert table.delete(F.col("week") == "w0", "undo", ("w0", "w0")) == 6
+    assert [table.has_batch(str(n)) for n in range(4)] == [False, True, True, False] and table.log.times_undone("0") == 1
+    table.upsert(spark.createDataFrame([("k0", "w0")], "k string, week string"), "0")
+    assert table.has_batch("0") and not table.has_batch("undo") and table.read().count() == 13
+    # A batch whose segment was merged and vacuumed still gives its rows.
+    for n in range(20, 30):
+        table.upsert(spark.createDataFrame([(f"k{n}", "w9")], "k string, week string"), str(n))
+    table.vacuum()
+    assert rows_of(table.batch("5"), "k") == [("k5",)]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    one = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",))
+    two = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",))
+    one.upsert(spark.createDataFrame([("a", 1)], "k string, v int"), "1")
+    write, tried = StateTable._write, []
+
+    def slow(self, rows, *args):
+        if not tried:  # the other writer commits the same key while the first one writes
+            tried.append(1)
+            two.insert_ignore(spark.createDataFrame([("b", 2)], "k string, v int"), "2")
+        return write(self, rows, *args)
+
+    StateTable._write = slow
+    try:
+        one.insert_ignore(spark.createDataFrame([("b", 3), ("c", 3)], "k string, v int"), "3")
+    finally:
+        StateTable._write = write
+    assert rows_of(one.read(), "k", "v", "version") == [("a", 1, 1), ("b", 2, 2), ("c", 3, 3)]
+
+
+def test_types_are_checked_before_anything_is_written(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",))
+    table.upsert(spark.createDataFrame([(7, 1)], "k bigint, v bigint"), "1")
+    assert rows_of(table.read(), "k", "v") == [("7", 1)]
+    with pytest.raises(Exception, match="column v of .* takes int, not 99999999999"):
+        table.upsert(spark.createDataFrame([(8, 99999999999)], "k bigint, v bigint"), "2")
+    with pytest.raises(ValueError, match="columns \\['v'\\] are missing"):
+        table.upsert(spark.createDataFrame([("x",)], "k string"), "3")
+    assert rows_of(table.read(), "k", "v") == [("7", 1)] and not table.has_batch("2")
+
+
+def test_reads_open_only_folders_that_may_hold_their_keys(spark, tmp_path):
+    """10 million rows in 77 folders or more: keys that are new open next to nothing, known keys one folder each."""
+    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",))
+    table.upsert(spark.range(10_000_000).selectExpr("CAST(id AS STRING) AS k", "CAST(id % 1000 AS INT) AS v"), "1")
+    [segment] = table.log.newest().live
+    assert segment.bits >= 6 and segment.rows == 10_000_000
+    table.upsert(spark.range(5).selectExpr("concat('late', id) AS k", "0 AS v"), "2")
+    every = len(table._scan({s.name: None for s in table.log.newest().live}).inputFiles())
+
+    def opened(keys):
+        return len(table._history(keys).inputFiles())
+
+    new = spark.range(1000).selectExpr("concat('new', id) AS k")
+    known = spark.createDataFrame([("7",), ("77",), ("late3",)], "k string")
+    assert every >= 65 and opened(new) <= 1000 * 0.05 + 2 and opened(known) <= 2 + 3 + 1
+    assert rows_of(table.read(known), "k", "v") == [("7", 7), ("77", 77), ("late3", 0)] and table.read(new).count() == 0
+
+
+def test_small_folders_split_and_keep_all_keys(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, v int", ("k",), fanout=3, bucket_rows=50, filter_rows=20)
+    for n in range(4):
+        table.upsert(spark.range(n * 100, n * 100 + 200).selectExpr("CAST(id AS STRING) AS k", f"{n} AS v"), str(n))
+    assert max(s.bits for s in table.log.newest().live) >= 2
+    keys = spark.range(0, 600, 7).selectExpr("CAST(id AS STRING) AS k")
+    want = sorted(((str(k), min(k // 100, 3)) for k in range(0, 500, 7)), key=str)
+    assert rows_of(table.read(keys), "k", "v") == want
+
+
+def test_delete_reads_only_segments_whose_span_reaches_it(spark, tmp_path):
+    table = StateTable(spark, str(tmp_path / "t"), "k string, week string", ("k",), span="week")
+    for n in range(3):
+        table.upsert(spark.range(100).selectExpr(f"concat('{n}-', id) AS k", f"'w{n}' AS week"), str(n))
+    where = table._where(F.col("week") == "w1", ("w1", "w1"))
+    assert "LeftSemi" in where._jdf.queryExecution().optimizedPlan().toString()
+    assert {f for f in where.inputFiles()} == {f for f in table._scan({s.name: None for s in table.log.newest().live}).inputFiles()}
+    assert table.delete(F.col("week") == "w1", "gone", ("w1", "w1")) == 100 and table.read().count() == 200
+    with pytest.raises(ValueError, match="ranges"):
+        StateTable(spark, str(tmp_path / "u"), "k string", ("k",)).delete(F.lit(True), "x", ("a", "b"))
 
 
 BATCH = "week_id string, seq string, date string, vendor string, amount double, source_file string, sha1 string"

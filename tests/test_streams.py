@@ -66,6 +66,6 @@ def test_many_batches_read_a_flat_number_of_files(spark, tmp_path):
     for number in range(50):
         rows = events.filter(f"event_id % 50 = {number}")
         state = duplicates.state_table(spark, str(tmp_path))
-        opened.append(len(state._live(state._version())))
+        opened.append(len(state.log.newest().live))
         step(rows, number)
     assert max(opened) <= 2 * state.fanout
