@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -18,6 +19,7 @@ from ledgerloom.operators.lookup import MAX_INLINE_HINTS, cache_lookup, cache_mi
 from ledgerloom.rules import Rules
 from ledgerloom.schemas import ANSWERS_SCHEMA, UNCATEGORIZED
 from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.sources.commits import Store
 
 PROMPT_HEAD = (
     "Read the text of one receipt. It may hold recognition errors. Name the business that issued "
@@ -30,6 +32,7 @@ PROMPT_TAIL = (
 )
 
 ASK_AT_ONCE = 64  # prompts handed to a provider together
+WAVE_PROMPTS = 20_000  # prompts whose answers are stored at once
 
 # A provider is built once per partition and maps prompts to raw answers.
 Provider = Callable[[Iterable[str]], Iterable[str]]
@@ -96,6 +99,48 @@ def infer(requests_df: DataFrame, make_provider: Callable[[], Provider],
     return ask(requests_df, make_provider, tasks).checkpoint()
 
 
+def ask_in_waves(requests_df: DataFrame, make_provider: Callable[[], Provider], spool: str, batch_size: int = ASK_AT_ONCE,
+                 wave_prompts: int = WAVE_PROMPTS, calls_per_second: float | None = None) -> DataFrame:
+    """(file_hash, response, error) of all requests, asked wave by wave; each wave's answers are appended to the folder `spool`.
+
+    Requests are fixed by the first call for a spool; a later one, after a failure, asks only for prompts that have no answer there. A
+    wave is one job without a shuffle behind the calls, in tasks of about a batch each: a lost executor repeats the calls of its
+    unfinished tasks, a failed job those of one wave. Equal prompts are asked once. `calls_per_second` holds for all tasks together:
+    a wave that was faster is waited for.
+    """
+    spark = requests_df.sparkSession
+    store = Store(spark, spool)
+    if not store.exists("requests/_SUCCESS"):
+        requests_df.withColumn("prompt_hash", F.sha2("prompt", 256)).write.mode("overwrite").parquet(f"{spool}/requests")
+    asked = spark.read.schema("file_hash string, prompt string, prompt_hash string").parquet(f"{spool}/requests")
+
+    def answered() -> DataFrame:
+        known = "prompt_hash string, response string, error string"
+        return spark.read.schema(known).parquet(f"{spool}/answers") if store.exists("answers") else spark.createDataFrame([], known)
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = make_provider()
+        for batch in batches:
+            prompts = batch["prompt"].tolist()
+            pairs = [x for i in range(0, len(prompts), batch_size) for x in _ask(provider, prompts[i:i + batch_size])]
+            yield batch[["prompt_hash"]].assign(response=[r for r, _ in pairs], error=[e for _, e in pairs])
+
+    once = keep_first(asked.select("prompt_hash", "prompt"), ["prompt_hash"], ["prompt"])
+    n = asked.agg(F.count_distinct("prompt_hash")).first()[0]
+    waves = max(1, -(-n // wave_prompts))
+    for wave in range(waves):
+        mine = once.filter(F.pmod(F.xxhash64("prompt_hash"), F.lit(waves)) == wave).join(answered().select("prompt_hash"), "prompt_hash", "left_anti")
+        left = mine.count()
+        if left:
+            began = time.monotonic()
+            tasks = -(-2 * left // batch_size)  # about half a batch each, as hashes deal unevenly
+            mine.repartition(tasks, "prompt_hash").mapInPandas(answer, "prompt_hash string, response string, error string").write.mode(
+                "append").parquet(f"{spool}/answers")
+            if calls_per_second:
+                time.sleep(max(0.0, left / calls_per_second - (time.monotonic() - began)))
+    return asked.join(answered(), "prompt_hash").select("file_hash", "response", "error")
+
+
 def answer_of(response: Sql, error: Sql, rules: Rules) -> Sql:
     """Answer struct of a response, or of the error that came instead."""
     failed = no_answer(f"concat('provider failed: ', {error})")
@@ -223,14 +268,14 @@ def _with_hint(docs: DataFrame, rules: Rules) -> DataFrame:
     return with_first_hint(docs, table, "text", "__first").withColumn("__hint", F.col("__first.vendor")).drop("__first")
 
 
-def read_texts(docs: DataFrame, rules: Rules) -> DataFrame:
+def read_texts(docs: DataFrame, rules: Rules, limits: extract.Limits = extract.Limits()) -> DataFrame:
     """Replace `text` by `reading`: what the text alone says about the receipt.
 
     This comes before the join with the answers, so that the join moves a few short
     columns per document and never the text.
     """
     kept = [f"`{c}`" for c in docs.columns if c != "text"]
-    found = let("hit", extract.unhinted_vendor("text", rules), none_if_empty("hit"))
+    found = let("hit", extract.unhinted_vendor("text", rules, limits), none_if_empty("hit"))
     return (
         _with_hint(docs, rules)
         .selectExpr("*", f"coalesce(__hint, {found}) AS __vendor")
@@ -238,7 +283,7 @@ def read_texts(docs: DataFrame, rules: Rules) -> DataFrame:
                          f"{extract.categorize('__vendor', 'text', rules)} END AS __verdict")
         .selectExpr(*kept, "named_struct('hinted', __hint IS NOT NULL, 'vendor', __vendor, "
                     "'category', __verdict.category, 'matcher', __verdict.matcher, "
-                    f"'date', {extract.date_of('text')}, 'amount', {extract.amount_of('text')}) AS reading")
+                    f"'date', {extract.date_of('text')}, 'amount', {extract.amount_of('text', limits.amount_candidates)}) AS reading")
     )
 
 
@@ -268,6 +313,6 @@ def settle(rows: DataFrame) -> DataFrame:
     )
 
 
-def resolve(docs: DataFrame, rules: Rules) -> DataFrame:
+def resolve(docs: DataFrame, rules: Rules, limits: extract.Limits = extract.Limits()) -> DataFrame:
     """Ledger values of documents that have both `text` and `answer`."""
-    return settle(read_texts(docs, rules))
+    return settle(read_texts(docs, rules, limits))

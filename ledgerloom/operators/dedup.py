@@ -103,3 +103,22 @@ def report(batch: DataFrame, registry: DataFrame, batch_order: list[str],
     found = in_batch(batch, batch_order, rows_per_task, ignore_empty, scope).unionByName(
         across_weeks(batch, registry, registry_order, match, ignore_empty))
     return found.withColumn("seen_in", F.expr(week_note("week_id", "original_week")))
+
+
+def relinked(registry: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The duplicates of registered rows among themselves, as if each commit (`version`) had been compared with what was registered before it.
+
+    Both kinds in the columns of the stored duplicates table. A row's original is the row before it in its commit, and the
+    newest of an earlier commit. Only per-commit maxima are ordered for the latter, so a hot fingerprint is no large window.
+    """
+    rows = registry.withColumnRenamed("file_hash", "sha1")
+    by = Ordering(("fingerprint", "version"), ("week_id", "seq", "sha1"), rows_per_task)
+    seen = with_previous(rows, by, ["sha1", "source_file", "week_id"], "__original")
+    newest = rows.groupBy("fingerprint", "version").agg(F.max(F.struct("week_id", "seq", "sha1", "source_file")).alias("newest"))
+    earlier = newest.select("fingerprint", "version", F.lag("newest").over(Window.partitionBy("fingerprint").orderBy("version")).alias("__original"))
+    across = rows.join(earlier.where("__original IS NOT NULL"), ["fingerprint", "version"])
+    found = seen.withColumn("kind", F.lit("batch")).select(*rows.columns, "kind", F.struct("__original.week_id", "__original.sha1", "__original.source_file").alias("__original")).unionByName(
+        across.withColumn("kind", F.lit("registry")).select(*rows.columns, "kind", F.struct("__original.week_id", "__original.sha1", "__original.source_file").alias("__original")))
+    return found.filter("__original.sha1 IS NOT NULL AND __original.sha1 <> sha1").selectExpr(
+        "week_id", "seq", "kind", "fingerprint", "sha1", "source_file", "__original.week_id AS original_week", "__original.source_file AS original_file",
+        f"{week_note('week_id', '__original.week_id')} AS seen_in")

@@ -7,6 +7,7 @@ scan, with no Python worker and no shuffle. Functions take and return SQL text.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions.text import Sql, amount_from_text, let, lines, quote, string_array
@@ -78,6 +79,16 @@ def date_of(text: Sql) -> Sql:
     )
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a text is looked at; None means all of it."""
+
+    amount_candidates: int | None = P.AMOUNT_CANDIDATES
+    vendor_lines: int | None = P.VENDOR_LINES
+    last_resort_lines: int | None = P.LAST_RESORT_LINES
+    prompt_chars: int | None = P.PROMPT_CHARS
+
+
 # --- amount -----------------------------------------------------------------
 
 def _cut(items: Sql, limit: int | None) -> Sql:
@@ -165,17 +176,17 @@ def last_resort_line(text_lines: Sql, rules: Rules, line_limit: int | None = P.L
     return f"coalesce(get(filter({_cut(text_lines, line_limit)}, ln -> {usable}), 0), get({text_lines}, 0))"
 
 
-def line_vendor(text: Sql, rules: Rules) -> Sql:
-    return let("ls", lines(text),
-               f"coalesce({best_line('ls', rules)}.line, {last_resort_line('ls', rules)})")
+def line_vendor(text: Sql, rules: Rules, limits: Limits = Limits()) -> Sql:
+    return let("ls", lines(text), f"coalesce({best_line('ls', rules, limits.vendor_lines)}.line, "
+                                  f"{last_resort_line('ls', rules, limits.last_resort_lines)})")
 
 
-def unhinted_vendor(text: Sql, rules: Rules) -> Sql:
-    return f"coalesce({pattern_vendor(text, rules)}, {line_vendor(text, rules)})"
+def unhinted_vendor(text: Sql, rules: Rules, limits: Limits = Limits()) -> Sql:
+    return f"coalesce({pattern_vendor(text, rules)}, {line_vendor(text, rules, limits)})"
 
 
-def vendor_of(text: Sql, rules: Rules) -> Sql:
-    return f"coalesce({hint_vendor(text, rules)}, {unhinted_vendor(text, rules)})"
+def vendor_of(text: Sql, rules: Rules, limits: Limits = Limits()) -> Sql:
+    return f"coalesce({hint_vendor(text, rules)}, {unhinted_vendor(text, rules, limits)})"
 
 
 # --- category ---------------------------------------------------------------

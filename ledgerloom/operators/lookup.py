@@ -1,20 +1,23 @@
-"""Lookup joins: documents with cached answers, and texts with a table of hints."""
+"""Lookup joins: documents with cached answers, and texts with a table of hints.
+
+A few hints are compiled into one expression. Many are found by an inverted index of q-grams. A text is cut into blocks of q
+characters; a pattern of 2q - 1 characters or more that occurs in it covers one of these blocks as a whole, and that block is one of q grams
+of the pattern, whichever way it lies. The grams of the least common stretch of each pattern are its index entries, so
+an equi join of blocks with entries finds all texts that may hold a pattern, and `contains` decides.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import Sql, let, quote
 
-# A hint table up to this many rows is compiled into one expression; a larger one
-# is searched by an automaton, in blocks of so many bytes of patterns.
+# A hint table up to this many rows is compiled into one expression; a larger one is searched for by its q-grams.
 MAX_INLINE_HINTS = 500
-HINT_BLOCK_BYTES = 8 << 20
+GRAM_SIZES = (4, 2, 1)  # the largest q for which a pattern has 2q - 1 characters
 _HINT_TYPE = "STRUCT<pos: BIGINT, vendor: STRING, pattern: STRING>"
 
 
@@ -46,37 +49,42 @@ class Hint:
     vendor: str | None
 
 
-def first_hint(texts: DataFrame, hints: DataFrame, key: str, text: str = "text",
-               inline_limit: int = MAX_INLINE_HINTS, block_bytes: int = HINT_BLOCK_BYTES) -> DataFrame:
+def first_hint(texts: DataFrame, hints: DataFrame, key: str, text: str = "text", inline_limit: int = MAX_INLINE_HINTS) -> DataFrame:
     """(key, pos, vendor) of the first hint found in each row's text, NULLs where none occurs.
 
     `hints` has (pos, pattern, vendor). Case is ignored as Spark's `lower` does. An empty
     pattern is in every text but NULL, a NULL pattern in none. Of equal positions
     the pattern that sorts first wins. Every row is answered by itself, whatever its key.
-    `inline_limit` and `block_bytes` choose the plan only, never the result.
+    `inline_limit` chooses the plan only, never the result.
     """
-    found = with_first_hint(texts.select(key, F.col(text).alias("__text")), hints, "__text", "__hint", inline_limit, block_bytes)
+    found = with_first_hint(texts.select(key, F.col(text).alias("__text")), hints, "__text", "__hint", inline_limit)
     return found.select(key, "__hint.pos", "__hint.vendor")
 
 
-def with_first_hint(rows: DataFrame, hints: DataFrame, text: str, name: str,
-                    inline_limit: int = MAX_INLINE_HINTS, block_bytes: int = HINT_BLOCK_BYTES) -> DataFrame:
-    """`rows` with a struct (pos, vendor) under `name`. No shuffle: hints go to the texts.
+def with_first_hint(rows: DataFrame, hints: DataFrame, text: str, name: str, inline_limit: int = MAX_INLINE_HINTS) -> DataFrame:
+    """`rows` with a struct (pos, vendor) under `name`.
 
-    A few hints are compiled into one expression. More are searched for together by an
-    Aho-Corasick automaton, a block of hints of bounded size at a time.
+    A few hints go to the texts, without a shuffle. More than `inline_limit` meet them by q-grams: what is exchanged are
+    grams and hashes of texts, then each text with the hints it may hold.
     """
     known = hints.where("pattern IS NOT NULL").selectExpr("CAST(pos AS BIGINT) AS pos", "lower(pattern) AS pattern", "vendor")
-    size = known.agg(F.expr("count(1) AS n"), F.expr("coalesce(sum(octet_length(pattern)), 0) AS bytes")).first()
-    out = rows.withColumn(name, F.expr(f"CAST(NULL AS {_HINT_TYPE})"))
-    if size["n"] <= inline_limit:
-        few = sorted((Hint(*r) for r in known.collect()), key=lambda h: (h.pos, h.pattern))
-        return rows.selectExpr("*", f"{_compiled(few, text)} AS {name}")
-    blocks = -(-int(size["bytes"]) // block_bytes) or 1
-    for k in range(blocks):
-        block = known.where(f"pmod(xxhash64(pattern), {blocks}) = {k}") if blocks > 1 else known
-        out = _searched(out, [Hint(*r) for r in block.collect()], text, name)
-    return out
+    few = known.limit(inline_limit + 1).collect()
+    if len(few) <= inline_limit:
+        ordered = sorted((Hint(*r) for r in few), key=lambda h: (h.pos, h.pattern))
+        return rows.selectExpr("*", f"{_compiled(ordered, text)} AS {name}")
+    first = known.groupBy("pattern").agg(F.min(F.struct("pos", F.col("vendor").isNull().alias("none"), "vendor")).alias("h")).select(
+        "pattern", "h.pos", "h.vendor")
+    held = _may_hold(rows.select(F.lower(F.col(text)).alias("low")).where("low IS NOT NULL"), first)
+    everywhere = first.where("pattern = ''").select(F.struct("pos", "vendor", "pattern").alias("__everywhere"))
+    low = rows.withColumn("__low", F.lower(F.col(text)))
+    met = low.join(held, F.xxhash64("__low") == F.col("__text_hash"), "left").drop("__text_hash")
+    inside = F.array_min(F.filter("__held", lambda h: F.contains(F.col("__low"), h["pattern"])))
+    for h in everywhere.collect():  # one row at most
+        e = h["__everywhere"]
+        inside = F.least(inside, F.when(F.col("__low").isNotNull(), F.expr(
+            f"named_struct('pos', {e.pos}L, 'pattern', '', 'vendor', {quote(e.vendor)})")))
+    found = F.expr(f"IF(__found IS NULL, NULL, named_struct('pos', __found.pos, 'vendor', __found.vendor, 'pattern', __found.pattern))")
+    return met.withColumn("__found", inside).withColumn(name, found).drop("__low", "__held", "__found")
 
 
 def _compiled(hints: list[Hint], text: str) -> Sql:
@@ -88,38 +96,24 @@ def _compiled(hints: list[Hint], text: str) -> Sql:
     return let("low", f"lower({text})", f"CASE {tests} END")
 
 
-def _searched(rows: DataFrame, hints: list[Hint], text: str, name: str) -> DataFrame:
-    """The earlier of the hint found so far and the first of these."""
-    first: dict[str, Hint] = {}
-    for h in hints:
-        first[h.pattern] = min(first.get(h.pattern, h), h, key=lambda x: (x.pos, x.vendor is None, x.vendor))
-    shared = rows.sparkSession.sparkContext.broadcast(list(first.values()))
-    low = rows.withColumn("__low", F.lower(F.col(text)))
-    at = rows.columns.index(name)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        everywhere = None
-        for h in shared.value:
-            if h.pattern:
-                automaton.add_word(h.pattern, (h.pos, h.pattern, h.vendor))
-            else:
-                everywhere = (h.pos, "", h.vendor)
-        automaton.make_automaton()
-        for batch in batches:
-            best = []
-            for value, old in zip(batch.column(batch.num_columns - 1).to_pylist(), batch.column(at).to_pylist()):
-                hits = [] if value is None or not len(automaton) else [hit for _, hit in automaton.iter(value)]
-                if everywhere and value is not None:
-                    hits.append(everywhere)
-                if old is not None:
-                    hits.append((old["pos"], old["pattern"], old["vendor"]))
-                hit = min(hits, key=lambda x: x[:2], default=None)
-                best.append(hit and {"pos": hit[0], "vendor": hit[2], "pattern": hit[1]})
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(best, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
-
-    return low.mapInArrow(search, rows.schema)
+def _entries(hints: DataFrame) -> DataFrame:
+    """q, gram, hint: the q grams of the stretch of 2q - 1 characters of each pattern whose most common gram is least common."""
+    q = F.coalesce(*[F.when(F.length("pattern") >= 2 * n - 1, F.lit(n)) for n in GRAM_SIZES])
+    sized = hints.where("pattern <> ''").withColumn("q", q)
+    grams = sized.select("q", "pattern", "pos", "vendor", F.posexplode(F.expr(
+        "transform(sequence(1, length(pattern) - q + 1), i -> substring(pattern, i, q))")).alias("at", "gram"))
+    common = grams.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n"))
+    listed = grams.join(common, ["q", "gram"]).groupBy("q", "pattern", "pos", "vendor").agg(
+        F.array_sort(F.collect_list(F.struct("at", "gram", "n"))).alias("g"))
+    stretches = F.expr("transform(sequence(1, size(g) - q + 1), i -> named_struct('most', array_max(transform(slice(g, i, q), x -> x.n)), 'at', i))")
+    best = listed.withColumn("at", F.array_min(stretches)["at"])
+    return best.select("q", F.explode(F.expr("array_distinct(transform(slice(g, at, q), x -> x.gram))")).alias("gram"),
+                       F.struct("pos", "pattern", "vendor").alias("hint"))
+
+
+def _may_hold(texts: DataFrame, hints: DataFrame) -> DataFrame:
+    """(__text_hash, __held): the hints that texts of a hash may hold. Equal texts are met once; equal hashes only add candidates."""
+    every = ", ".join(f"transform(regexp_extract_all(low, '(?s).{{{n}}}', 0), g -> named_struct('q', {n}, 'gram', g))" for n in GRAM_SIZES)
+    blocks = F.expr(f"explode(array_distinct(concat({every})))")
+    met = texts.select(F.xxhash64("low").alias("__text_hash"), blocks.alias("b")).select("__text_hash", "b.q", "b.gram").join(_entries(hints), ["q", "gram"])
+    return met.groupBy("__text_hash").agg(F.collect_set("hint").alias("__held"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import Sql, extension, is_document, slug, stem
+from ledgerloom.functions.text import Sql, extension, is_document, quote, slug, stem
 from ledgerloom.operators.ordered import ROWS_PER_TASK, Ordering, with_row_number
 
 
@@ -41,28 +41,49 @@ def _claims(arriving: DataFrame, present: DataFrame, place: list[str]) -> DataFr
                                     F.bool_or("lies_there").alias("__taken"))
 
 
-def routing_plan(files: DataFrame, occupied: DataFrame | None = None) -> DataFrame:
-    """Target folder and name of each processed file.
+_NUMBERED = r"(?s)^(.*_.{8})_([0-9]{1,9})(\.[^.]*)?$"  # a name with a piece of the hash and a number
+
+
+def routing_plan(files: DataFrame, occupied: DataFrame | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Target folder and name of each processed file; no two files of a week get the same place, and none one that is taken.
 
     `files` has (week_id, file_name, category, sha1, origin, folder, seq), folder
     being where a processed file lies now. The first file of a name keeps it unless
     that place is taken at the start, by a processed file or by one of `occupied`
-    (week_id, category_slug, file_name); the others get a piece of their hash. A
+    (week_id, category_slug, file_name); the others get a piece of their hash. The first to want such a name gets it,
+    again unless it is taken; those left are numbered from 2 on, past numbers that are taken. A
     file already in its folder stays.
     """
     target = files.selectExpr("*", f"{slug('category')} AS category_slug").selectExpr(
         "*", "CASE WHEN origin = 'processed' THEN IF(folder = category_slug, 'stay', 'reroute') "
-        "ELSE 'move' END AS action")
+        "ELSE 'move' END AS action",
+        f"concat({stem('file_name')}, '_', substring(sha1, 1, 8)) AS __stem", f"{extension('file_name')} AS __ext")
     place = ["week_id", "category_slug", "file_name"]
     present = files.filter("origin = 'processed'").selectExpr(
         "week_id", "folder AS category_slug", "file_name")
     if occupied is not None:
         present = present.unionByName(occupied.select(*place))
-    placed = target.join(_claims(target.filter("action <> 'stay'"), present, place), place, "left")
-    clash = "action <> 'stay' AND (__taken OR seq <> __first)"
-    suffixed = f"concat({stem('file_name')}, '_', substring(sha1, 1, 8), {extension('file_name')})"
-    return placed.selectExpr("week_id", "category_slug", "file_name", "seq", "action",
-                             f"IF({clash}, {suffixed}, file_name) AS target_name")
+    placed = target.join(_claims(target.filter("action <> 'stay'"), present, place), place, "left").selectExpr(
+        "*", "action <> 'stay' AND (__taken OR seq <> __first) AS __clash").drop("__first", "__taken")
+    own = placed.filter("NOT __clash").select(*place)
+    # Names with a piece of the hash: one for the first that wants it.
+    wanted = placed.filter("__clash").withColumnsRenamed({"file_name": "__name"}).selectExpr("*", "concat(__stem, __ext) AS file_name")
+    taken = present.unionByName(own)
+    hashed = wanted.join(_claims(wanted, taken, place), place).selectExpr("*", "__taken OR seq <> __first AS __again")
+    # Numbered names: numbers that are taken already are found by the name without them.
+    rest = with_row_number(hashed.filter("__again").drop("__first", "__taken"), Ordering(("week_id", "category_slug", "file_name"), ("seq",), rows_per_task), "__n")
+    part = {n: f"regexp_extract(file_name, {quote(_NUMBERED)}, {n})" for n in (1, 2, 3)}
+    numbers = (
+        taken.unionByName(hashed.filter("NOT __again").select(*place)).selectExpr(
+            "week_id", "category_slug", f"concat({part[1]}, {part[3]}) AS file_name", f"try_cast({part[2]} AS INT) AS __number")
+        .filter("__number >= 2").groupBy(*place).agg(F.sort_array(F.collect_set("__number")).alias("__numbers")))
+    free = "aggregate(coalesce(__numbers, array()), CAST(__n AS BIGINT) + 1, (n, t) -> IF(t <= n, n + 1, n))"
+    numbered = rest.join(numbers, place, "left").selectExpr("*", f"concat(__stem, '_', {free}, __ext) AS target_name")
+    shown = ["week_id", "category_slug", "file_name", "seq", "action", "target_name"]
+    renamed = hashed.filter("NOT __again").withColumn("target_name", F.col("file_name"))
+    return placed.filter("NOT __clash").withColumn("target_name", F.col("file_name")).select(*shown).unionByName(
+        renamed.withColumn("file_name", F.col("__name")).select(*shown)).unionByName(
+        numbered.withColumn("file_name", F.col("__name")).select(*shown))
 
 
 def undo_plan(processed: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,15 +15,18 @@ from ledgerloom.functions.text import quote, source_file
 from ledgerloom.operators import answers as A
 from ledgerloom.operators import dedup, listing, routing, totals
 from ledgerloom.operators.answers import resolve
+from ledgerloom.operators.extract import Limits
+from ledgerloom.plans.rollups import MaintainedTotals
 from ledgerloom.rules import Rules
 from ledgerloom.schemas import RECEIPT_COLUMNS
 from ledgerloom.sources import tables
+from ledgerloom.sources.commits import Store
 from ledgerloom.sources.csv import remove_week, write_csv
 
 
-def extract(docs: DataFrame, rules: Rules) -> DataFrame:
+def extract(docs: DataFrame, rules: Rules, limits: Limits = Limits()) -> DataFrame:
     """Resolve documents from their text alone, without any model."""
-    return resolve(docs.withColumn("answer", F.expr(A.disabled_answer())), rules)
+    return resolve(docs.withColumn("answer", F.expr(A.disabled_answer())), rules, limits)
 
 
 def canonical_rows(resolved: DataFrame, notes: str = "") -> DataFrame:
@@ -54,6 +58,9 @@ class WeeklyLedger:
     notes: str = ""
     make_provider: Callable[[], A.Provider] | None = None
     cache_all: bool = False
+    limits: Limits = Limits()
+    calls_per_second: float | None = None
+    keep_totals: bool = False
     ledger: tables.StateTable = field(init=False)
     cache: tables.StateTable = field(init=False)
     registry: tables.StateTable = field(init=False)
@@ -61,6 +68,7 @@ class WeeklyLedger:
     answers: tables.StateTable = field(init=False)
     rejects: tables.StateTable = field(init=False)
     duplicates: tables.StateTable = field(init=False)
+    totals: MaintainedTotals = field(init=False)
 
     def __post_init__(self) -> None:
         self.ledger = tables.ledger(self.spark, self.root)
@@ -70,19 +78,23 @@ class WeeklyLedger:
         self.answers = tables.raw_answers(self.spark, self.root)
         self.rejects = tables.rejects(self.spark, self.root)
         self.duplicates = tables.duplicates(self.spark, self.root)
+        self.totals = MaintainedTotals(self.spark, self.root)
 
     def _resolved(self, docs: DataFrame, batch_id: str) -> DataFrame:
         if self.make_provider is None:
-            return extract(docs, self.rules)
+            return extract(docs, self.rules, self.limits)
         cache = self.cache.read(docs.selectExpr("sha1 AS file_hash"))
         asked = self._asked(batch_id)
         if not self.answers.has_batch(asked):
-            self.answers.upsert(A.ask(A.requests(docs, cache, self.rules), self.make_provider), asked)
+            spool = f"spool/{hashlib.sha1(asked.encode()).hexdigest()}"
+            wanted = A.requests(docs, cache, self.rules, self.limits.prompt_chars)
+            self.answers.upsert(A.ask_in_waves(wanted, self.make_provider, f"{self.root}/{spool}", calls_per_second=self.calls_per_second), asked)
+            Store(self.spark, self.root).remove(spool)
         raw = self.answers.batch(asked)
         new = raw.selectExpr("file_hash", f"{A.answer_of('response', 'error', self.rules)} AS answer")
         # Answers of this batch count as new, also if an attempt that failed later has cached them.
         earlier = cache.join(raw.select("file_hash"), "file_hash", "left_anti")
-        return A.settle(A.with_answers(A.read_texts(docs, self.rules), earlier, new))
+        return A.settle(A.with_answers(A.read_texts(docs, self.rules, self.limits), earlier, new))
 
     def _asked(self, batch_id: str) -> str:
         """The id that a batch's answers are stored under: another one each time the batch was undone, as its files are asked for anew."""
@@ -115,6 +127,8 @@ class WeeklyLedger:
             else:
                 self.ledger.replace_where(rows, replace, batch_id)
         self._keep_answers(batch_id, asked)
+        if self.keep_totals:
+            self.totals.follow(self.ledger, batch_id)
         return self.ledger.batch(batch_id).drop("version")
 
     def find_duplicates(self, rows: DataFrame, match: str = "last",
@@ -159,9 +173,23 @@ class WeeklyLedger:
         placed = files.join(rows.select("week_id", "seq", "category"), ["week_id", "seq"])
         return routing.routing_plan(placed, occupied)
 
+    def repair_duplicates(self, undone: str) -> None:
+        """After an undo: stored duplicates of the fingerprints that lost a row are linked anew, to the rows that are left."""
+        if self.duplicates.log.newest().version == 0 or self.duplicates.has_batch(f"{undone}, links"):
+            return
+        lost = self.registry.replaced(undone).select("fingerprint").distinct()
+        if lost.isEmpty():
+            return
+        keys = ["week_id", "seq", "kind"]
+        fresh = dedup.relinked(self.registry.read(lost))
+        stale = self.duplicates.read().drop("version").join(lost, "fingerprint", "left_semi").join(fresh.select(*keys), keys, "left_anti")
+        self.duplicates.apply(fresh.withColumn("deleted", F.lit(False)).unionByName(stale.withColumn("deleted", F.lit(True))), f"{undone}, links")
+
     def undo_week(self, week_id: str, batch_id: str | None = None, processed: DataFrame | None = None,
                   incoming: DataFrame | None = None, csv_path: str | None = None) -> Undone:
-        """Take a week out of ledger, registry, export, duplicates and the CSV at `csv_path`; cached answers stay.
+        """Take a week out of ledger, registry, export, duplicates, totals and the CSV at `csv_path`; cached answers stay.
+
+        Duplicates in other weeks whose original is gone are linked to what is left.
 
         Batches that wrote rows of the week count as not done afterwards, so the week can be processed again under the id it had.
 
@@ -172,6 +200,9 @@ class WeeklyLedger:
         for table in (self.ledger, self.exports, self.duplicates):
             table.delete(F.col("week_id") == week_id, batch_id, (week_id, week_id))
         removed = self.registry.delete(F.col("week_id") == week_id, batch_id, (week_id, week_id))
+        self.repair_duplicates(batch_id)
+        if self.keep_totals:
+            self.totals.undo_week(week_id, batch_id)
         if csv_path:
             remove_week(self.spark, csv_path, week_id)
         if processed is None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import Sql, is_document, quote, strip
 from ledgerloom.operators.routing import position, union_origins
+from ledgerloom.session import ensure_checkpoint_dir
+from ledgerloom.sources.tables import StateTable
 
 
 def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
@@ -38,6 +42,45 @@ def scan_folders(spark: SparkSession, week_id: str, incoming: str,
     )
 
 
+MANIFEST_SCHEMA = "path string, length bigint, modified timestamp, sha1 string"
+
+
+def manifest(spark: SparkSession, root: str) -> StateTable:
+    """What a scan has seen of each file."""
+    return StateTable(spark, f"{root}/manifest", MANIFEST_SCHEMA, ("path",))
+
+
+def scan_changes(spark: SparkSession, folders: list[str], seen: StateTable, scan_id: str, recursive: bool = False) -> DataFrame:
+    """(path, length, modified, sha1, change) of every file below the folders, and of those that are gone since the last scan.
+
+    The listing alone (path, length, time) is compared with the manifest `seen`; only files that are new or differ in length or
+    time are opened and hashed, by their paths, which the driver holds for its listing in any case. The manifest
+    is brought up to date under `scan_id`. `change` is new, changed, same or gone.
+    """
+    listed = reduce(DataFrame.unionByName, [
+        spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(f).select(
+            "path", "length", F.col("modificationTime").alias("modified")) for f in folders])
+    known = seen.read().drop("version")
+    both = listed.join(known.select("path", F.col("length").alias("old_length"), F.col("modified").alias("old_modified"), "sha1"), "path", "full")
+    change = F.expr("CASE WHEN length IS NULL THEN 'gone' WHEN old_length IS NULL THEN 'new' "
+                    "WHEN length <> old_length OR modified <> old_modified THEN 'changed' ELSE 'same' END")
+    found = both.withColumn("change", change)
+    fresh = [r.path for r in found.where("change IN ('new', 'changed')").select("path").collect()]
+    hashed = (_read_content(spark, fresh) if fresh else listed.limit(0).withColumn("content", F.lit(b""))).select(
+        "path", F.sha1("content").alias("fresh_sha1"))
+    rows = found.join(hashed, "path", "left").select(
+        "path", F.coalesce("length", "old_length").alias("length"), F.coalesce("modified", "old_modified").alias("modified"),
+        F.coalesce("fresh_sha1", "sha1").alias("sha1"), "change")
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()
+    seen.apply(rows.where("change <> 'same'").withColumn("deleted", F.col("change") == "gone"), scan_id)
+    return rows
+
+
+def _read_content(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a scan over all cores, for work that costs far more than reading.
 

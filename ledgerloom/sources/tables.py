@@ -78,6 +78,18 @@ class StateTable:
             return self._scan({done.own: None}).filter(~F.col("deleted")).drop("deleted")
         return self.read().filter(F.col("version") == done.version)
 
+    def replaced(self, batch_id: str) -> DataFrame:
+        """The rows that were live before a commit and that it replaced or deleted."""
+        done = self.log.find(batch_id)
+        before = [c for c in self.log.recent() if done is not None and c.version == done.version - 1]
+        if done is None or not before and done.version > 1:
+            raise KeyError(f"{self.root} has no log of batch {batch_id} any more")
+        if done.own is None or not before:
+            return self._scan({}).drop("deleted")
+        keys = self._scan({done.own: None}).select(*self.keys)
+        rows = self._scan(self._folders(list(before[0].live), keys)).join(keys, list(self.keys), "left_semi")
+        return keep_latest(rows, list(self.keys), ["version", *self.order]).filter(~F.col("deleted")).drop("deleted")
+
     # --- segments ---
 
     def _hash(self) -> Column:
@@ -179,7 +191,7 @@ class StateTable:
 
     # --- writing ---
 
-    def _typed(self, rows: DataFrame) -> DataFrame:
+    def _typed(self, rows: DataFrame, *more: Column) -> DataFrame:
         """The table's columns in its types; a value that has no counterpart there fails with the name of its column."""
         missing = [f.name for f in self._types if f.name not in rows.columns]
         if missing:
@@ -189,11 +201,13 @@ class StateTable:
             value, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
             if rows.schema[f.name].dataType == f.dataType:
                 return value
+            if kind.startswith("decimal") and rows.schema[f.name].dataType.typeName() == "decimal":
+                return value.cast(kind).alias(f.name)
             cast = value.try_cast(kind)
             refuse = F.raise_error(F.concat(F.lit(f"column {f.name} of {self.root} takes {kind}, not "), value.cast("string")))
             return F.when(value.isNotNull() & cast.isNull(), refuse.cast(kind)).otherwise(cast).alias(f.name)
 
-        return rows.select(*[typed(f) for f in self._types])
+        return rows.select(*[typed(f) for f in self._types], *more)
 
     def _commit(self, make: Callable[[], DataFrame], batch_id: str, kind: str = "put", within: tuple[str, str] | None = None) -> None:
         """Write what `make` gives on top of the newest version; if another writer was faster, make it anew on top of that."""
@@ -242,6 +256,23 @@ class StateTable:
         kept = keep_latest(self._typed(rows), list(self.keys), list(self.order or self.keys))
         self._commit(lambda: kept.withColumn("deleted", F.lit(False)), batch_id)
 
+    def apply(self, rows: DataFrame, batch_id: str) -> None:
+        """Insert or replace rows, or delete the keys of those whose column `deleted` is true, in one commit."""
+        marked = self._typed(rows, F.col("deleted"))
+        kept = keep_latest(marked, list(self.keys), list(self.order or self.keys))
+        self._commit(lambda: kept, batch_id)
+
+    def merge(self, delta: DataFrame, sums: list[str], batch_id: str) -> None:
+        """Add the columns `sums` of `delta` to the live rows of the same keys; rows without a live one are inserted."""
+        typed = self._typed(delta)
+
+        def added() -> DataFrame:
+            both = typed.unionByName(self.read(typed.select(*self.keys)).select(*self._types.names))
+            total = both.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in sums])
+            return self._typed(total).withColumn("deleted", F.lit(False))
+
+        self._commit(added, batch_id)
+
     def insert_ignore(self, rows: DataFrame, batch_id: str) -> None:
         """Insert rows whose key is new; the first row of a key wins."""
         typed = self._typed(rows)

@@ -1,4 +1,4 @@
-"""Hints: the compiled expression and the automaton agree with a plain search."""
+"""Hints: the compiled expression and the q-gram index agree with a plain search."""
 
 import pytest
 
@@ -10,11 +10,11 @@ HINTS = [(3, "FIG", "Figs"), (1, "blue fig", "Blue Fig"), (2, "figure", "Figures
          (6, "thing", "Thing"), (7, "a long beginning one", "One"), (8, "a long beginning two", "Two"), (9, "blue fig", "Late")]
 
 
-@pytest.mark.parametrize("inline_limit, block_bytes", [(100, 1), (0, 1 << 20), (0, 20)])
-def test_first_hint(spark, inline_limit, block_bytes):
+@pytest.mark.parametrize("inline_limit", [100, 3, 0])
+def test_first_hint(spark, inline_limit):
     texts = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
     hints = spark.createDataFrame(HINTS, "pos bigint, pattern string, vendor string")
-    got = {r["id"]: (r["pos"], r["vendor"]) for r in first_hint(texts, hints, "id", inline_limit=inline_limit, block_bytes=block_bytes).collect()}
+    got = {r["id"]: (r["pos"], r["vendor"]) for r in first_hint(texts, hints, "id", inline_limit=inline_limit).collect()}
     want = {}
     for i, text in enumerate(TEXTS):
         found = sorted((pos, vendor) for pos, pattern, vendor in HINTS if pattern.lower() in text.lower())
@@ -22,6 +22,22 @@ def test_first_hint(spark, inline_limit, block_bytes):
     assert got == want
 
 
+def test_every_length_and_place_of_a_pattern(spark):
+    """Patterns of 1 to 12 characters at every offset of a text, with characters beyond the basic plane before them."""
+    alphabet = "ab🙂cdé"
+    body = "".join(alphabet[(i * i + i // 3) % 6] for i in range(60))
+    texts = spark.createDataFrame([(k, "🙂" * (k % 3) + body[k:]) for k in range(40)], "id int, text string")
+    patterns = sorted({body[i:i + n] for n in range(1, 13) for i in range(0, 48, 5)})
+    hints = spark.createDataFrame([(n, p, f"v{n}") for n, p in enumerate(patterns)], "pos bigint, pattern string, vendor string")
+    for first in (0, len(patterns) // 2, len(patterns) - 6):
+        part = hints.where(f"pos >= {first}")
+        found = first_hint(texts, part, "id", inline_limit=0)
+        got = {r.id: r.pos for r in found.collect()}
+        assert got == {r.id: min((n for n, p in enumerate(patterns) if n >= first and p in r.text), default=None) for r in texts.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_no_hints(spark):
     texts = spark.createDataFrame([(1, "x")], "id int, text string")
     hints = spark.createDataFrame([], "pos bigint, pattern string, vendor string")

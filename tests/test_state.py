@@ -320,6 +320,21 @@ def test_a_failed_ledger_write_can_be_repeated(spark, tmp_path, monkeypatch):
     assert rows_of(job.cache.read(), "vendor") == [("Model",)]
 
 
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 3])
+def test_targets_are_unique_for_adversarial_names(spark, rows_per_task):
+    """Names that look like the ones that are made up: own, with hashes, with numbers, taken and arriving."""
+    h = "abcdef0123456789"
+    names = ["a.jpg"] * 6 + ["a_abcdef01.jpg"] * 3 + ["a_abcdef01_2.jpg", "a_abcdef01_3.jpg", "a_abcdef01_2_abcdef01.jpg", "b", "b", "b", ".c", ".c", "d."]
+    files = spark.createDataFrame([("w", n, "X", h, "incoming", None, f"{i:03d}") for i, n in enumerate(names)],
+                                  "week_id string, file_name string, category string, sha1 string, origin string, folder string, seq string")
+    taken = spark.createDataFrame([("w", "x", n) for n in ("a_abcdef01_4.jpg", "b_abcdef01_2", "a_abcdef01_abcdef01_2.jpg")],
+                                  "week_id string, category_slug string, file_name string")
+    found = rows_of(routing.routing_plan(files, taken, rows_per_task), "seq", "target_name")
+    targets = [t for _, t in found] + [r.file_name for r in taken.collect()]
+    assert len(found) == len(names) and len(set(targets)) == len(targets)
+    assert dict(found)["000"] == "a.jpg" and dict(found)["012"] == "b" and {dict(found)["013"], dict(found)["014"]} == {"b_abcdef01", "b_abcdef01_3"}
+
+
 def test_equal_names_in_two_weeks_have_an_order(spark, tmp_path):
     exports = tables.export_table(spark, str(tmp_path / "s"))
     columns = [f.strip() for f in tables.EXPORT_SCHEMA.split(",")]

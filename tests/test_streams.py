@@ -1,5 +1,7 @@
 """Streams give the batch result for any split into micro-batches, and survive a repeat."""
 
+from datetime import datetime
+
 import pytest
 
 from ledgerloom.plans.weekly import WeeklyLedger
@@ -58,6 +60,40 @@ def test_duplicate_flags(spark, tmp_path, rows_per_task):
     assert got == want and len(got) > 50
 
 
+def _flags(spark, rows):
+    return rows_of(spark.sql(
+        """SELECT event_id, previous_id FROM (
+             SELECT event_id, sha1, lag(event_id) OVER w AS previous_id, lag(sha1) OVER w AS previous_sha1
+             FROM {rows} WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, event_id))
+           WHERE previous_sha1 <> sha1""", rows=rows), "event_id", "previous_id")
+
+
+def test_late_receipts_take_over_flags(spark, tmp_path):
+    """After each micro-batch the flags are those of everything seen so far, in any order of arrival."""
+    rows = spark.createDataFrame([(n, f"2024-01-{1 + n % 28:02d} 00:00:00", "hot" if n % 2 else f"f{n % 3}", f"s{n % 4 // 2}") for n in range(60)],
+                                 "event_id bigint, t string, fingerprint string, sha1 string").selectExpr(
+        "event_id", "CAST(t AS TIMESTAMP) AS ts", "fingerprint", "sha1").cache()
+    step = duplicates.batch_step(spark, str(tmp_path), "s", 10)
+    for number, lot in enumerate((3, 0, 2, 1)):
+        step(rows.filter(f"pmod(event_id * 7, 4) = {lot}"), number)
+        so_far = rows.filter(f"pmod(event_id * 7, 4) IN ({', '.join(map(str, (3, 0, 2, 1)[:number + 1]))})")
+        assert rows_of(duplicates.flags_table(spark, str(tmp_path)).read(), "event_id", "previous_id") == _flags(spark, so_far)
+
+
+def test_closed_times(spark, tmp_path):
+    def rows(*items):
+        return spark.createDataFrame([(n, datetime(2024, 1, day), "f", sha) for n, day, sha in items], "event_id bigint, ts timestamp, fingerprint string, sha1 string")
+
+    root = str(tmp_path)
+    step = duplicates.batch_step(spark, root, "s")
+    step(rows((1, 1, "a"), (2, 2, "b"), (3, 3, "a"), (4, 9, "b")), 0)
+    duplicates.close(spark, root, datetime(2024, 1, 5), "close")
+    assert rows_of(duplicates.state_table(spark, root).read(), "event_id") == [(3,), (4,)]
+    step(rows((5, 2, "z"), (6, 6, "c")), 1)
+    assert rows_of(duplicates.late_table(spark, root).read(), "event_id") == [(5,)]
+    assert rows_of(duplicates.flags_table(spark, root).read(), "event_id", "previous_id") == [(2, 1), (3, 2), (4, 6), (6, 3)]
+
+
 def test_many_batches_read_a_flat_number_of_files(spark, tmp_path):
     """Fifty micro-batches: the files that a keyed read opens stay few."""
     events = T.purchases_from_events(T.load(spark, SF, "events")).limit(200).cache()

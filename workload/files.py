@@ -8,6 +8,7 @@ from ledgerloom.functions.text import extension, slug, source_file
 from ledgerloom.operators import routing, totals
 from ledgerloom.sources import documents
 from workload import tables as T
+from workload.scratch import new_folder
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,23 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.load(spark, sf_dir, "documents").selectExpr("doc_id", f"{documents.content_hash('text')} AS sha1")
 
 
+def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as one file each, scanned, then scanned again after every tenth one has come and every seventh has gone from another folder."""
+    root = new_folder(spark, "files")
+    docs = T.load(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
+
+    def put(part: DataFrame, folder: str) -> None:
+        part.repartition("doc_id").write.mode("append").option("lineSep", "\x00").partitionBy("doc_id").text(f"{root}/{folder}")
+
+    put(docs.filter("doc_id % 10 <> 0"), "stay")
+    put(docs.filter("doc_id % 7 = 0"), "go")
+    seen = documents.manifest(spark, root)
+    documents.scan_changes(spark, [f"{root}/stay", f"{root}/go"], seen, "first", recursive=True)
+    put(docs.filter("doc_id % 10 = 0"), "stay")
+    found = documents.scan_changes(spark, [f"{root}/stay"], seen, "second", recursive=True)
+    return found.selectExpr("CAST(regexp_extract(path, 'doc_id=([0-9]+)', 1) AS BIGINT) AS doc_id", "contains(path, '/stay/') AS stays", "sha1", "change")
+
+
 def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.assemble_pages(T.load(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
@@ -54,6 +72,17 @@ def _shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{source_file(name)} AS source_file")
 
 
+def routing_plan_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and hashes that repeat very often, and a numbered name that is taken: every target is one of a kind."""
+    rows = T.ledger(spark, sf_dir).selectExpr(
+        "k", "copy", "left(week_id, 4) AS week_id", "concat('scan', k % 5, '.jpg') AS file_name", "category", "sha1(CAST(k % 11 AS STRING)) AS sha1",
+        "'incoming' AS origin", "seq", "CAST(NULL AS STRING) AS folder")
+    occupied = rows.selectExpr("week_id", f"{slug('category')} AS category_slug",
+                               "concat('scan0_', substring(sha1('0'), 1, 8), '_3.jpg') AS file_name").distinct()
+    plan = routing.routing_plan(rows, occupied)
+    return plan.join(rows.select("k", "copy", "week_id", "seq"), ["week_id", "seq"]).select("k", "copy", "category_slug", "target_name")
+
+
 def source_name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.name_collisions(_shared_names(spark, sf_dir))
 
@@ -90,7 +119,9 @@ QUERIES = {
     "processing_order": processing_order,
     "source_file_name": source_file_name,
     "source_name_collisions": source_name_collisions,
+    "scan_manifest": scan_manifest,
     "routing_plan": routing_plan,
+    "routing_plan_clashes": routing_plan_clashes,
     "undo_restore_plan": undo_restore_plan,
 }
 
@@ -109,6 +140,19 @@ ORACLES = {
     "source_file_name": f"WITH {T.RECEIPTS_SQL} SELECT file_name, regexp_replace(file_name, '\\.[^.]*$', '') || '.pdf' AS source_file FROM receipts",
     "source_name_collisions": f"""WITH {_SHARED_SQL} SELECT week_id, regexp_replace(file_name, '\\.[^.]*$', '') || '.pdf' AS source_file,
         count(*) AS n_files FROM shared GROUP BY 1, 2 HAVING count(*) > 1""",
+    "scan_manifest": """
+        WITH f AS (SELECT doc_id, sha1(coalesce(text, '') || chr(0)) AS sha1 FROM documents)
+        SELECT doc_id, true AS stays, sha1, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'same' END AS change FROM f
+        UNION ALL SELECT doc_id, false, sha1, 'gone' FROM f WHERE doc_id % 7 = 0""",
+    "routing_plan_clashes": f"""WITH {T.LEDGER_SQL},
+        files AS (
+          SELECT k, copy, left(week_id, 4) AS week, trim(regexp_replace(lower(category), '[^a-z0-9]+', '-', 'g'), '-') AS category_slug, k % 5 AS name,
+                 left(sha1(CAST(k % 11 AS VARCHAR)), 8) AS piece, k % 11 AS hashed, file_name, origin_rank FROM ledger),
+        owned AS (SELECT *, row_number() OVER (PARTITION BY week, category_slug, name ORDER BY file_name, origin_rank) = 1 AS own FROM files),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY week, category_slug, name, hashed, own ORDER BY file_name, origin_rank) AS r FROM owned)
+        SELECT k, copy, category_slug, 'scan' || name || CASE WHEN own THEN '' WHEN r = 1 THEN '_' || piece
+               ELSE '_' || piece || '_' || CASE WHEN name = 0 AND hashed = 0 AND r >= 3 THEN r + 1 ELSE r END END || '.jpg' AS target_name
+        FROM ranked""",
     "routing_plan": f"""WITH {_SHARED_SQL},
         acted AS (SELECT *, CASE WHEN folder = category_slug THEN 'stay' WHEN origin = 'processed' THEN 'reroute' ELSE 'move' END AS action FROM shared),
         present AS (SELECT week_id, folder AS category_slug, file_name FROM acted WHERE origin = 'processed'

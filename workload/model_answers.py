@@ -12,6 +12,7 @@ from ledgerloom.rules import Rules
 from ledgerloom.sources import tables
 from ledgerloom.sources.documents import keep_documents
 from workload import tables as T
+from workload.scratch import new_folder
 from workload.scratch import ensure_shared_folder, new_folder
 
 
@@ -50,7 +51,7 @@ def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
             for prompt in prompts:
                 body = prompt.split("Text:\n", 1)[1].split("\n")
                 yield json.dumps({"vendor": body[1] if len(body) > 1 else "", "date": "",
-                                  "category": "meals", "confidence": 0.8})
+                                  "category": "feed", "confidence": 0.8})
 
         return answer
 
@@ -61,6 +62,25 @@ def batch_inference_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file_hash", "a.vendor", "a.date", "a.category", "a.confidence")
 
 
+def batch_inference_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers, asked in waves whose answers are stored; a second call finds all of them there."""
+    def stub_provider():
+        import json
+
+        return lambda prompts: [json.dumps({"vendor": p.split("Text:\n", 1)[1].split("\n")[1],
+                                            "category": "feed", "confidence": 0.8}) for p in prompts]
+
+    def no_provider():
+        raise RuntimeError("all prompts were answered before")
+
+    rows, spool = T.receipts(spark, sf_dir), new_folder(spark, "spool")
+    wanted = A.requests(rows, T.cache(rows), T.rules())
+    A.ask_in_waves(wanted, stub_provider, spool, wave_prompts=5000)
+    raw = A.ask_in_waves(wanted, no_provider, spool, wave_prompts=5000)
+    return raw.selectExpr("file_hash", f"{A.parse_answer('response', T.rules())} AS a").select(
+        "file_hash", "a.vendor", "a.date", "a.category", "a.confidence")
+
+
 def batch_inference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider that raises for some prompts and leaves others unanswered: those alone are without an answer."""
     def shaky_provider():
@@ -70,10 +90,10 @@ def batch_inference_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for prompt in prompts:
                 body = prompt.split("Text:\n", 1)[1]
-                if "Sunshine" in body:
+                if "Wicker" in body:
                     raise RuntimeError("no such service")
-                if "Uber" not in body:
-                    out.append(json.dumps({"vendor": body.split("\n")[1], "category": "meals", "confidence": 0.8}))
+                if "Ferry" not in body:
+                    out.append(json.dumps({"vendor": body.split("\n")[1], "category": "feed", "confidence": 0.8}))
             return out
 
         return answer
@@ -154,9 +174,9 @@ def resolve_no_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hint_without_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hint decides vendor and category even if no matcher applies: the category is then Uncategorized."""
-    rules = Rules(categories=("Meals",), hints=(("corner CAFE", "The Cafe"),))
+    rules = Rules(categories=("Feed",), hints=(("corner SUGAR", "The Sugarhouse"),))
     answered = _documents(spark, sf_dir).withColumn("answer", F.expr(A.answer_struct(
-        vendor="'Model'", date="NULL", category="'Meals'", confidence="IF(k % 2 = 0, 0.9D, 0.1D)", reasoning="''")))
+        vendor="'Model'", date="NULL", category="'Feed'", confidence="IF(k % 2 = 0, 0.9D, 0.1D)", reasoning="''")))
     return A.resolve(answered, rules).select("k", "copy", "vendor", "category", "matcher")
 
 
@@ -171,6 +191,7 @@ QUERIES = {
     "extraction_requests": extraction_requests,
     "extraction_requests_full": extraction_requests_full,
     "batch_inference_stub": batch_inference_stub,
+    "batch_inference_waves": batch_inference_waves,
     "batch_inference_errors": batch_inference_errors,
     "strip_fences": strip_fences,
     "parse_answers": parse_answers,
@@ -208,12 +229,12 @@ ORACLES = {
     "extraction_requests_full": f"""SELECT DISTINCT sha1(text) AS file_hash, {_PROMPT_SQL} || text AS prompt FROM documents
         WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 3 = 0)""",
     "batch_inference_stub": f"""WITH {T.RECEIPTS_SQL} SELECT sha1 AS file_hash, string_split(text, chr(10))[2] AS vendor,
-        CAST(NULL AS VARCHAR) AS date, 'Meals' AS category, CAST(0.8 AS DOUBLE) AS confidence FROM receipts WHERE k % 3 <> 0""",
+        CAST(NULL AS VARCHAR) AS date, 'Feed' AS category, CAST(0.8 AS DOUBLE) AS confidence FROM receipts WHERE k % 3 <> 0""",
     "batch_inference_errors": f"""WITH {T.RECEIPTS_SQL},
         asked AS (SELECT *, CASE WHEN k % 12 = 5 THEN 'RuntimeError: no such service' WHEN k % 12 = 1 THEN '0 answers to one prompt' END AS error
                   FROM receipts WHERE k % 3 <> 0)
         SELECT sha1 AS file_hash, CASE WHEN error IS NULL THEN string_split(text, chr(10))[2] END AS vendor,
-               CASE WHEN error IS NULL THEN 'Meals' ELSE 'Uncategorized' END AS category,
+               CASE WHEN error IS NULL THEN 'Feed' ELSE 'Uncategorized' END AS category,
                CAST(CASE WHEN error IS NULL THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence, error,
                CASE WHEN error IS NULL THEN '' ELSE 'provider failed: ' || error END AS reasoning FROM asked""",
     "strip_fences": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || chr(10) || source END AS kept FROM documents",
@@ -242,10 +263,11 @@ ORACLES = {
         true_amount AS amount, true_category AS category, coalesce(true_matcher, 'Regex fallback') AS matcher,
         CASE WHEN true_date IS NOT NULL THEN 'regex' END AS date_source FROM docs""",
     "hint_without_matcher": f"""WITH {T.RECEIPTS_SQL}, {_DOCS_SQL}
-        SELECT k, copy, CASE WHEN k % 12 = 3 THEN 'The Cafe' WHEN k % 2 = 0 THEN 'Model' ELSE {T.VENDOR_LINE_SQL} END AS vendor,
-               CASE WHEN k % 12 <> 3 AND k % 2 = 0 THEN 'Meals' ELSE 'Uncategorized' END AS category,
+        SELECT k, copy, CASE WHEN k % 12 = 3 THEN 'The Sugarhouse' WHEN k % 2 = 0 THEN 'Model' ELSE {T.VENDOR_LINE_SQL} END AS vendor,
+               CASE WHEN k % 12 <> 3 AND k % 2 = 0 THEN 'Feed' ELSE 'Uncategorized' END AS category,
                CASE WHEN k % 12 = 3 THEN 'Manual hint' WHEN k % 2 = 0 THEN 'LLM (confidence: 0.90)' ELSE 'Regex fallback' END AS matcher FROM docs""",
     "canonical_rows": f"""WITH {T.RECEIPTS_SQL}, {_DOCS_SQL} SELECT true_date AS date, true_vendor AS vendor, true_amount AS amount,
         true_category AS category, coalesce(true_matcher, 'Regex fallback') AS matcher, 'claim 7' AS notes,
         regexp_replace(file_name, '\\.[^.]*$', '') || '.pdf' AS source_file, sha1, week_id FROM docs""",
 }
+ORACLES["batch_inference_waves"] = ORACLES["batch_inference_stub"]

@@ -132,7 +132,7 @@ def _summary_sql(table: str) -> str:
 
 
 # Powers of two, so that their sums are exact in any order.
-_OUTLIERS = "CASE WHEN {k} % 1000 = 1 THEN {big} WHEN {k} % 500 = 2 THEN {large} WHEN category = 'Laundry' AND {k} % 100 = 5 THEN {inf} ELSE amount END"
+_OUTLIERS = "CASE WHEN {k} % 1000 = 1 THEN {big} WHEN {k} % 500 = 2 THEN {large} WHEN category = 'Wax work' AND {k} % 100 = 5 THEN {inf} ELSE amount END"
 
 
 def _numbered(week: str) -> str:

@@ -23,18 +23,18 @@ RULES_PATH = str(Path(__file__).with_name("rules.json"))
 
 # Vendor line, true vendor, true category, matcher name; the key is k % 12.
 VENDORS = [
-    ("HILTON GARDEN INN", "Hilton Hotel", "Hotel", "Lodging"),
-    ("Uber Trip", "Uber Trip", "Transportation", "Rides"),
-    ("WHOLE FOODS MARKET", "Whole Foods Market", "Meals", "Groceries"),
-    ("Corner Cafe", "Corner Cafe", "Meals", "Eating out"),
-    ("HERTZ RENTALS", "HERTZ RENTALS", "Transportation", "Rental cars"),
-    ("Sunshine Laundromat", "Sunshine Laundromat", "Laundry", "Laundry"),
-    ("CVS PHARMACY", "CVS PHARMACY", "Supplies", "Pharmacy"),
-    ("Delta Air Lines", "Delta Air Lines", "Transportation", "Flights"),
-    ("Thorn Hill Inn", "Thorn Hill Inn", "Hotel", "Lodging"),
-    ("Northside Traders", "Northside Traders", "Uncategorized", None),
-    ("TRADER JOE STORE", "Trader Joe's", "Meals", "Groceries"),
-    ("Blue Ring Hardware", "Blue Ring Hardware", "Uncategorized", None),
+    ("OAKMERE BEE GARDEN", "Oakmere Apiary", "Colonies", "Queens"),
+    ("Ferry Link", "Ferry Link", "Freight", "Ferries and carriers"),
+    ("LIDWELL GLASS AND CORK", "Lidwell & Daughter", "Glassware", "Jars"),
+    ("Corner Sugarhouse", "Corner Sugarhouse", "Feed", "Millers"),
+    ("PADDOCK HIRE", "PADDOCK HIRE", "Meadow lease", "Meadows"),
+    ("Wicker Waxworks", "Wicker Waxworks", "Wax work", "Wax"),
+    ("MITE CLINIC", "MITE CLINIC", "Hive health", "Mites"),
+    ("Valley Post Riders", "Valley Post Riders", "Freight", "Ferries and carriers"),
+    ("Thistle Down Mill", "Thistle Down Mill", "Feed", "Millers"),
+    ("Harrow and Pine", "Harrow and Pine", "Uncategorized", None),
+    ("LANTERN MARKET STALL", "Lantern Market Hall", "Meadow lease", "Stalls"),
+    ("Copper Finch Tools", "Copper Finch Tools", "Uncategorized", None),
 ]
 HEADERS = ["CUSTOMER: Customer #", "THANK YOU", "*****", "VISA"]
 TOTALS = ["TOTAL: $", "Grand Total ", "Amount due: $ ", "Charged $"]

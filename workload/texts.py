@@ -135,15 +135,15 @@ def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hint_join_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the hints in several blocks, as for tables too large to broadcast at once."""
+    """The same with every hint found by its q-grams, in texts that are dealt out anew."""
     hints = T.load(spark, sf_dir, "benchmark").selectExpr(
         "item_id AS pos", "text AS pattern", "concat('item ', item_id) AS vendor")
     texts = T.load_spread(spark, sf_dir, "documents").select("doc_id", "text")
-    return lookup.first_hint(texts, hints, "doc_id", inline_limit=0, block_bytes=4096)
+    return lookup.first_hint(texts.repartition("doc_id"), hints, "doc_id", inline_limit=0)
 
 
 def hint_join_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through the automaton used for hint tables that are too large to compile."""
+    """The same through the q-gram index used for hint tables that are too large to compile."""
     return _hint_join(spark, sf_dir, 0)
 
 
