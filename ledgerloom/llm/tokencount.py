@@ -2,7 +2,7 @@
 
 A text of up to a chunk is encoded as it is. A longer one is cut into chunks that overlap, which are encoded in different tasks, with
 offsets. A tokenizer splits a text into pieces from left to right, looking a few characters ahead, and encodes each piece by itself. So
-where two neighbouring chunks both begin a piece at the same place, well inside their overlap, both go on alike from there: the left
+where in two neighbouring chunks a piece ends at the same place, well inside their overlap, both go on alike from there: the left
 one is right up to that place and the right one from it on, and the counts are spliced there. A text with an overlap without such a place is
 cut again with chunks and overlaps WIDER times as long, at last as one chunk.
 """
@@ -65,6 +65,15 @@ class JsonCounter:
             out += map(len, self.tokenizer.encode_batch_fast(texts[k:k + LIBRARY_BATCH], add_special_tokens=False))
         return out
 
+    def _know(self, units: set[str]) -> None:
+        missing = units.difference(self.young)
+        if missing:
+            if len(self.young) > CACHED_UNITS:
+                self.old, self.young, missing = self.young, {}, units
+            kept = [u for u in missing if u in self.old]
+            self.young.update(zip(kept, map(self.old.__getitem__, kept)))
+            self._learn(list(missing.difference(kept)))
+
     def counts(self, texts: list[str]) -> list[int]:
         out, whole = [0] * len(texts), []
         for i in range(0, len(texts), 256):
@@ -76,13 +85,7 @@ class JsonCounter:
                     every.update(units)
                 else:
                     whole.append(k)
-            missing = every.difference(self.young)
-            if missing:
-                if len(self.young) > CACHED_UNITS:
-                    self.old, self.young, missing = self.young, {}, every
-                kept = [u for u in missing if u in self.old]
-                self.young.update(zip(kept, map(self.old.__getitem__, kept)))
-                self._learn(list(missing.difference(kept)))
+            self._know(every)
             get = self.young.__getitem__
             for k, units in split:
                 out[k] = sum(map(get, units))
@@ -91,12 +94,20 @@ class JsonCounter:
         return out
 
     def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """Number of tokens; where pieces begin in the text, and how many tokens come before each."""
+        """Number of tokens; places in the text where a piece ends, and how many tokens lie before each.
+
+        Of plain text these are the ends of its units, as pieces never go on from a letter into white space.
+        """
+        if self.cuttable and _PLAIN_TEXT.fullmatch(text):
+            units = _UNIT.findall(text)
+            self._know(set(units))
+            before = np.cumsum([0, *map(self.young.__getitem__, units)])
+            return int(before[-1]), np.cumsum([0, *map(len, units)])[1:-1], before[1:-1]
         found = self.tokenizer.encode(text, add_special_tokens=False)
-        begin = np.array([b for b, _ in found.offsets], np.int64)
+        end = np.array([e for _, e in found.offsets], np.int64)
         word = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-        new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (word[1:] < 0)])) if len(word) else np.zeros(0, np.int64)
-        return len(begin), begin[new], new
+        new = np.flatnonzero((word[1:] != word[:-1]) | (word[1:] < 0)) + 1
+        return len(end), end[new - 1], new
 
 
 class PieceCounter:
@@ -111,7 +122,7 @@ class PieceCounter:
         return [len(ids) for ids in self.codec.model.encode(texts, num_threads=1)]
 
     def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """As in JsonCounter; a run of spaces that follows another character begins a piece, as no token reaches across it."""
+        """As in JsonCounter; a piece ends before a run of spaces, as no token goes on from another character into one."""
         ids, spelt = self.codec.encode([text])[0], (" " + text).encode()
         none = np.zeros(0, np.int64)
         if not self.codec.cuttable or b"".join([self.codec.token_bytes[i] for i in ids.tolist()]) != spelt:
@@ -177,7 +188,7 @@ def _first_pass(docs: DataFrame, tokenizer: str, chunk: int, overlap: int) -> tu
 
 
 def _encoded(chunks: DataFrame, tokenizer: str, chunk: int, overlap: int) -> DataFrame:
-    """key, k, last, n, and where pieces begin in the overlap before and behind: `heads` and `tails` (place, tokens before it), written."""
+    """key, k, last, n, and where pieces end in the overlap before and behind: `heads` and `tails` (place, tokens before it), written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
         guard = max(GUARD, own.longest)
@@ -202,7 +213,7 @@ def _encoded(chunks: DataFrame, tokenizer: str, chunk: int, overlap: int) -> Dat
 
 
 def _spliced(parts: DataFrame) -> DataFrame:
-    """key, n_tokens: NULL if two neighbouring chunks of the text begin no piece at the same place in their overlap."""
+    """key, n_tokens: NULL if two neighbouring chunks of the text end no piece at the same place in their overlap."""
     right = parts.where("k > 0").select("key", (F.col("k") - 1).alias("k"), "heads")
     seams = parts.drop("heads").join(right, ["key", "k"], "left")
     common = F.array_intersect(F.transform("tails", lambda t: t["at"]), F.transform("heads", lambda t: t["at"]))
