@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,69 @@ def test_rows_of_one_id(documents, same):
     rows = [(same, text_of(lang, k, 60) + f" {k}", lang) for lang in ("aa", "bb") for k in range(2000)]
     models = langid.fit(documents(rows + rows[:1] * 3000), train=F.lit(True), sample_texts=20)
     assert models.languages == ["aa", "bb"]
+
+
+def plain_model(texts):
+    """Interpolated Kneser-Ney by its formula: a function from word to log10 probability, over dicts of counts."""
+    raw = [langid.Counter() for _ in range(6)]
+    for text in texts:
+        for word in langid.words_of(text):
+            padded = f" {word} "
+            for i in range(1, len(padded)):
+                for k in range(1, 5):
+                    if i - k + 1 >= 0:
+                        raw[k][padded[i - k + 1:i + 1]] += 1
+    counts = {4: raw[4]}
+    for k in (3, 2, 1):
+        counts[k] = langid.Counter()
+        for g in raw[k + 1]:
+            counts[k][g[1:]] += 1
+        for g, n in raw[k].items():
+            if len(g) > 1 and g[0] == " ":
+                counts[k][g] = n
+    discount = {}
+    for k, c in counts.items():
+        once, twice = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        discount[k] = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+
+    def p(history, c):
+        k = len(history) + 1
+        below = p(history[1:], c) if history else 1 / (len(counts[1]) + 1)
+        after = {g: n for g, n in counts[k].items() if g[:-1] == history}
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(after.get(history + c, 0) - discount[k], 0) / total + discount[k] * len(after) / total * below
+
+    def word(w):
+        padded = f" {w} "
+        return sum(math.log10(p(padded[max(0, i - 3):i], padded[i])) for i in range(1, len(padded)))
+
+    return word
+
+
+def test_predictions_equal_a_plain_model(spark, documents):
+    """Every row of a small table: the language of the lowest cross-entropy per symbol under models by the formula, ties by name."""
+    rows = [(k, text_of(("aa", "bb", "cc")[k % 3], k, 5 + k % 9), ("aa", "bb", "cc")[k % 3]) for k in range(60)]
+    rows += [(100 + k, text_of(("aa", "bb", "cc")[k % 3], k, 3) + " " + text_of(("bb", "cc", "aa")[k % 3], k, 3), None) for k in range(30)]
+    rows += [(200, None, "aa"), (201, "", None), (202, "12 34", "bb"), (203, "zz q", None), (204, "é ß", None), (3, rows[3][1], rows[3][2])]
+    twins = [(300 + k, "same same words", name) for k in range(8) for name in ("xx", "yy")]
+    docs = documents(rows + twins)
+    models = langid.fit(docs, train=F.lit(True))
+    ranked = {}
+    hashed = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("h")).distinct()
+    for r in sorted(hashed.collect(), key=lambda r: r.h):
+        ranked.setdefault(r.lang, []).append(r.text)
+    plain = {lang: plain_model([t for i, t in enumerate(texts, 1) if i % langid.CALIBRATION_SHARE]) for lang, texts in ranked.items()}
+    checked = 0
+    for r, (_, text, _) in zip(langid.predict(docs, models).collect(), rows + twins):
+        words = langid.words_of(text)
+        if not words:
+            assert r.lang_pred == "und"
+            continue
+        entropy = {lang: -sum(map(score, words)) / sum(len(w) + 1 for w in words) for lang, score in plain.items()}
+        best = min(entropy.values())
+        close = sorted(lang for lang, e in entropy.items() if e < best + 1e-9)
+        assert r.lang_pred == close[0] or len(close) > 1 and r.lang_pred in close and set(close) != {"xx", "yy"}, (text, entropy)
+        checked += 1
+    assert checked >= 100
