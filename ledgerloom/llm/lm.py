@@ -37,7 +37,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """56 bits: a byte less to send, and still no collisions to speak of."""
+    """56 bits, a byte less to send: of n distinct pairs in the corpus about n^2 / 2^57 collide, one in 700 runs at 10 million pairs, 70 pairs of 100 billion."""
     return mix(before * _PAIR + word) >> np.uint64(8)
 
 
@@ -225,7 +225,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Words are split at ASCII white space, A-Z lower-cased; each text ends with one end token. NULL and
     empty texts are the end token alone. `train` says which rows the model learns from (NULL: not); repeated rows are
     counted and scored each. Without training rows each word costs nothing, as all are one unknown word. Words are
-    told apart by 64-bit hashes. An empty table gives no rows.
+    told apart by 64-bit hashes, word pairs by 56-bit ones (`pair_hashes`). An empty table gives no rows.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = 1 << max(4, math.ceil(math.log2(max(size / shard_bytes, 1))))

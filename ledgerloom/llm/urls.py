@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import small_batches, utf8
 
-SPECIAL = b"*?[]\\"
-
-
 @dataclass(frozen=True)
 class Rule:
-    """verdict for a host and its subdomains, for paths that start with `path`."""
+    """verdict for a host and its subdomains, for paths that start with `path`; both are taken literally or, with `glob`, as globs.
+
+    In a glob `*` stays within a host or path segment between slashes, `**` does not, `?` is one character, `\\` takes the next literally.
+    """
 
     verdict: str
     host: str
     path: str = "/"
+    glob: bool = False
 
     @property
     def name(self) -> str:
@@ -35,8 +36,8 @@ class Rule:
 
     def globs(self) -> tuple[bytes, ...]:
         """Over `.host/path`: the leading dot makes the host itself and its subdomains one case."""
-        text = f".{_literal(self.host)}{_literal(self.path)}**"
-        return (f"*{text}".encode(),)
+        host, path = (self.host, self.path) if self.glob else (_literal(self.host), _literal(self.path))
+        return (f"*.{host}{path}**".encode(),)
 
 
 def _literal(text: str) -> str:

@@ -64,3 +64,22 @@ def test_first_of_equal_rules_wins(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x")], "page_id long, url string")
     rules = [urls.Rule("block", "a.b", "/"), urls.Rule("allow", "a.b", "/")]
     assert urls.judge(pages, rules).first().verdict == "block"
+
+
+def test_glob_rules_equal_regex(spark):
+    """Rules with wildcards, through judge, against regular expressions over host and path."""
+    dice = random.Random(8)
+    hosts, paths = ["a.com", "b.a.com", "xa.com", "a.org", "aa.co.uk", "a"], ["", "/", "/x/1.html", "/x/y/1.pdf", "/img/a?b", "/x*y", "/X/1.HTML", "/é/1.html"]
+    urls_ = [f"http://{h}{p}" for h in hosts for p in paths]
+    rules = [urls.Rule("block", "a.com", "/x/*.html", True), urls.Rule("allow", "?.com", "/**.pdf", True), urls.Rule("block", "*.co.*", "/", True),
+             urls.Rule("block", "a.com", "/x\\*y", True), urls.Rule("allow", "a.org", "/x*y"), urls.Rule("block", "a.*", "/", True)]
+    rules += [urls.Rule("block", "".join(dice.choice("a.*?") for _ in range(4)), "/" + "".join(dice.choice("x/*?1") for _ in range(4)), True) for _ in range(40)]
+    rules = [r for r in rules if "***" not in r.host + r.path]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
+    ranked = sorted(rules, key=lambda r: -len(r.name))
+    for i, url in enumerate(urls_):
+        host, path = urls.canonical(url)
+        fits = [r for r in ranked if as_regex(r.globs()[0].decode()).fullmatch(f".{host}{path}".encode())]
+        assert found[i] == ((fits[0].name, fits[0].verdict) if fits else (None, "allow")), url
+    assert {r for r, _ in found.values() if r} >= {"a.com/x/*.html", "*.co.*/"}
