@@ -13,7 +13,7 @@ from ledgerloom.functions import patterns as P
 from ledgerloom.functions.text import (
     Sql, fixed2, keep_if, let, missing, none_if_empty, quote, string_array, strip,
 )
-from ledgerloom.operators import extract
+from ledgerloom.operators import extract, manyrules
 from ledgerloom.operators.keyed import keep_first, keep_latest
 from ledgerloom.operators.lookup import MAX_INLINE_HINTS, cache_lookup, cache_misses, with_first_hint
 from ledgerloom.rules import Rules
@@ -276,12 +276,15 @@ def read_texts(docs: DataFrame, rules: Rules, limits: extract.Limits = extract.L
     """
     kept = [f"`{c}`" for c in docs.columns if c != "text"]
     found = let("hit", extract.unhinted_vendor("text", rules, limits), none_if_empty("hit"))
+    named = _with_hint(docs, rules).selectExpr("*", f"coalesce(__hint, {found}) AS __vendor")
+    if len(rules.matchers) > manyrules.MAX_INLINE_MATCHERS:
+        judged = manyrules.with_category(named, "__vendor", "text", "__judged", rules).selectExpr(
+            "*", "IF(__vendor IS NULL, NULL, __judged) AS __verdict").drop("__judged")
+    else:
+        judged = named.selectExpr("*", f"CASE WHEN __vendor IS NOT NULL THEN "
+                                       f"{extract.categorize('__vendor', 'text', rules)} END AS __verdict")
     return (
-        _with_hint(docs, rules)
-        .selectExpr("*", f"coalesce(__hint, {found}) AS __vendor")
-        .selectExpr("*", f"CASE WHEN __vendor IS NOT NULL THEN "
-                         f"{extract.categorize('__vendor', 'text', rules)} END AS __verdict")
-        .selectExpr(*kept, "named_struct('hinted', __hint IS NOT NULL, 'vendor', __vendor, "
+        judged.selectExpr(*kept, "named_struct('hinted', __hint IS NOT NULL, 'vendor', __vendor, "
                     "'category', __verdict.category, 'matcher', __verdict.matcher, "
                     f"'date', {extract.date_of('text')}, 'amount', {extract.amount_of('text', limits.amount_candidates)}) AS reading")
     )

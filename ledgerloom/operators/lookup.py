@@ -74,7 +74,7 @@ def with_first_hint(rows: DataFrame, hints: DataFrame, text: str, name: str, inl
         return rows.selectExpr("*", f"{_compiled(ordered, text)} AS {name}")
     first = known.groupBy("pattern").agg(F.min(F.struct("pos", F.col("vendor").isNull().alias("none"), "vendor")).alias("h")).select(
         "pattern", "h.pos", "h.vendor")
-    held = _may_hold(rows.select(F.lower(F.col(text)).alias("low")).where("low IS NOT NULL"), first)
+    held = may_hold(rows.select(F.lower(F.col(text)).alias("low")).where("low IS NOT NULL"), first)
     everywhere = first.where("pattern = ''").select(F.struct("pos", "vendor", "pattern").alias("__everywhere"))
     low = rows.withColumn("__low", F.lower(F.col(text)))
     met = low.join(held, F.xxhash64("__low") == F.col("__text_hash"), "left").drop("__text_hash")
@@ -96,10 +96,14 @@ def _compiled(hints: list[Hint], text: str) -> Sql:
     return let("low", f"lower({text})", f"CASE {tests} END")
 
 
+def _gram_size() -> Sql:
+    tests = " ".join(f"WHEN length(pattern) >= {2 * n - 1} THEN {n}" for n in GRAM_SIZES)
+    return f"CASE {tests} END"
+
+
 def _entries(hints: DataFrame) -> DataFrame:
     """q, gram, hint: the q grams of the stretch of 2q - 1 characters of each pattern whose most common gram is least common."""
-    q = F.coalesce(*[F.when(F.length("pattern") >= 2 * n - 1, F.lit(n)) for n in GRAM_SIZES])
-    sized = hints.where("pattern <> ''").withColumn("q", q)
+    sized = hints.where("pattern <> ''").withColumn("q", F.expr(_gram_size()))
     grams = sized.select("q", "pattern", "pos", "vendor", F.posexplode(F.expr(
         "transform(sequence(1, length(pattern) - q + 1), i -> substring(pattern, i, q))")).alias("at", "gram"))
     common = grams.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n"))
@@ -111,9 +115,10 @@ def _entries(hints: DataFrame) -> DataFrame:
                        F.struct("pos", "pattern", "vendor").alias("hint"))
 
 
-def _may_hold(texts: DataFrame, hints: DataFrame) -> DataFrame:
+def may_hold(texts: DataFrame, hints: DataFrame) -> DataFrame:
     """(__text_hash, __held): the hints that texts of a hash may hold. Equal texts are met once; equal hashes only add candidates."""
-    every = ", ".join(f"transform(regexp_extract_all(low, '(?s).{{{n}}}', 0), g -> named_struct('q', {n}, 'gram', g))" for n in GRAM_SIZES)
-    blocks = F.expr(f"explode(array_distinct(concat({every})))")
+    sizes = sorted(r[0] for r in hints.where("pattern <> ''").select(F.expr(_gram_size())).distinct().collect())  # of GRAM_SIZES
+    every = ", ".join(f"transform(array_distinct(regexp_extract_all(low, '(?s).{{{n}}}', 0)), g -> named_struct('q', {n}, 'gram', g))" for n in sizes)
+    blocks = F.expr(f"explode(concat({every}))" if sizes else "explode(array(named_struct('q', 0, 'gram', '')))")
     met = texts.select(F.xxhash64("low").alias("__text_hash"), blocks.alias("b")).select("__text_hash", "b.q", "b.gram").join(_entries(hints), ["q", "gram"])
     return met.groupBy("__text_hash").agg(F.collect_set("hint").alias("__held"))

@@ -59,4 +59,3 @@ class MaintainedTotals:
 
     def months(self) -> DataFrame:
         return self._by("month").selectExpr("*", f"{month_caption('month')} AS caption", f"{money('total')} AS shown").orderBy("month")
-

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import patterns as P
 from ledgerloom.functions.text import fingerprint, let, lines, money, quote, slug, week_label
-from ledgerloom.operators import extract, lookup
+from ledgerloom.operators import extract, lookup, manyrules
+from ledgerloom.plans.recategorize import StoredVerdicts
 from ledgerloom.rules import Condition, Matcher, Rules, load_rules
 from workload import tables as T
 from workload.scratch import new_folder
@@ -130,6 +132,34 @@ def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.load_spread(spark, sf_dir, "documents").agg(*hits).selectExpr(f"inline(array({table}))")
 
 
+def changed_rules() -> Rules:
+    """The workload's rules with a matcher put in the middle, one of another category, and one left out."""
+    rules = T.rules()
+    kept = [replace(m, category="Candles") if m.name == "Wax" else m for m in rules.matchers if m.name != "Mites"]
+    return replace(rules, matchers=(*kept[:3], Matcher("Grand", "Totals", any=(Condition(text_re="grand total"),)), *kept[3:]))
+
+
+def recategorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts after a change of the rules, and which documents were judged again for it."""
+    docs = T.receipts(spark, sf_dir).selectExpr("k", "copy", "sha1 AS doc", "true_vendor AS vendor", "text")
+    verdicts = StoredVerdicts(spark, new_folder(spark, "verdicts"))
+    verdicts.refresh(docs.select("doc", "vendor", "text"), T.rules())
+    verdicts.refresh(docs.select("doc", "vendor", "text"), changed_rules())
+    return docs.join(verdicts.table.read(), "doc").selectExpr("k", "copy", "category", "matcher", "version = 2 AS judged_again")
+
+
+SYLLABLES = ("th er on an re in st nd ou ea ha he en ti or as is es ed at le ly nt sh wh ing ion ere ent the and for are tha ble un de la el os").split()
+
+
+def categorize_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1,764 rules, one for each word of two syllables: the first whose word stands in the document decides."""
+    rules = Rules(categories=tuple(f"C{n}" for n in range(7)), matchers=tuple(
+        Matcher(a + b, f"C{(i * len(SYLLABLES) + j) % 7}", any=(Condition(text_re=rf"\b{a}{b}\b"),))
+        for i, a in enumerate(SYLLABLES) for j, b in enumerate(SYLLABLES)))
+    docs = T.load_spread(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return manyrules.with_category(docs, "source", "text", "verdict", rules).select("doc_id", "verdict.category", "verdict.matcher")
+
+
 def hint_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hint_join(spark, sf_dir, lookup.MAX_INLINE_HINTS)
 
@@ -187,6 +217,8 @@ QUERIES = {
     "categorize_documents": categorize_documents,
     "categorize_dialect": categorize_dialect,
     "rules_flatten": rules_flatten,
+    "categorize_many": categorize_many,
+    "recategorize": recategorize,
     "hint_join": hint_join,
     "hint_join_anchored": hint_join_anchored,
     "hint_join_blocks": hint_join_blocks,
@@ -293,6 +325,17 @@ ORACLES = {
             (3, "Odd source", "all", 0, "NULL", "'un[ae]? '", _HITS["un"]),
             (4, "English", "any", 0, "'^src[0-4]$'", "'ing the '", _HITS["english"]),
         ]),
+    "recategorize": f"""WITH {T.RECEIPTS_SQL}
+        SELECT k, copy, CASE WHEN again AND k % 4 = 1 THEN 'Totals' WHEN k % 12 = 6 THEN 'Uncategorized' ELSE true_category END AS category,
+               CASE WHEN again AND k % 4 = 1 THEN 'Grand' WHEN k % 12 = 6 THEN NULL ELSE true_matcher END AS matcher, again AS judged_again
+        FROM (SELECT *, k % 12 NOT IN (1, 3, 4, 7, 8) AS again FROM receipts)""",
+    "categorize_many": f"""
+        WITH s(syllable, i) AS (VALUES {", ".join(f"('{x}', {n})" for n, x in enumerate(SYLLABLES))}),
+        r AS (SELECT a.syllable || b.syllable AS word, min(a.i * {len(SYLLABLES)} + b.i) AS pos FROM s a, s b GROUP BY 1),
+        w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))) AS word FROM documents),
+        f AS (SELECT doc_id, min_by(word, pos) AS word, min(pos) AS pos FROM w JOIN r USING (word) GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN pos IS NULL THEN 'Uncategorized' ELSE 'C' || (pos % 7) END AS category, word AS matcher
+        FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id""",
     "hint_join": _hint_sql(),
     "hint_join_anchored": _hint_sql(),
     "hint_join_blocks": _hint_sql(),
