@@ -6,7 +6,7 @@ over the corpus, and each block of texts gets back which of its own are frequent
 
 Each block builds the graph of what is left and compacts it: nodes with one way in and one way out, at which no piece begins or
 ends, lie inside a unary path, and a path is sent as its words and a weight, not as one row for each edge.
-Equal paths are added up, then cut into edges and added up again. A node's count is the flow out of it plus the pieces that end in
+Paths are cut into edges where they are added up. A node's count is the flow out of it plus the pieces that end in
 it; the count of a pair is the sum over the nodes that begin with it plus the pieces that end in the pair.
 """
 
@@ -32,6 +32,8 @@ SHARE = (80, 100)  # a phrase goes if a longer one has this share of its occurre
 BLOCK_BYTES = 24 << 20  # text of one block
 PIECE_BYTES = 1 << 20
 PART_ENTRIES = 1 << 16  # occurrences of a word whose successors are counted in one place
+GROUP_WORDS, LEAST_GROUPS = 32, 1024  # first words whose pairs a block sends as one row
+NUMBER_BITS = 31  # of a frequent word's number, so that two of them are one long
 ROWS = 1 << 15
 NO_LANGUAGE = "und"
 
@@ -50,8 +52,8 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(np.int64)))
+def _lists(values: np.ndarray, sizes: np.ndarray, kind: type = np.int64) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.astype(kind)))
 
 
 def _begins(words: Words) -> np.ndarray:
@@ -121,6 +123,20 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, block_bytes: int) -> t
     return texts.select("block", "ids", "begins"), words.drop("ids", "begins")
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """The words with numbers from 1, common ones first, written: what the rows of all partitions before a row's own come to, plus its place there."""
+    rows = written(words.sort(F.desc("n"), "word", "lang").withColumn("place", F.monotonically_increasing_id()), "phrase-places")
+    rows = rows.withColumns({"part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND((1 << 33) - 1)})
+    sizes, before, offsets = sorted(rows.groupBy("part").count().collect()), 1, []
+    for part, n in sizes:  # one row per partition
+        offsets.append((part, before))
+        before += n
+    if before >= 1 << NUMBER_BITS:
+        raise ValueError(f"{before} frequent words do not fit into {NUMBER_BITS} bits: raise min_count")
+    starts = words.sparkSession.createDataFrame(offsets, "part long, before long")
+    return written(rows.join(starts, "part").select("lang", "word", "n", (F.col("before") + F.col("place")).alias("id")), "phrase-frequent")
+
+
 def _marked(texts: DataFrame, words: DataFrame, frequent: DataFrame) -> DataFrame:
     """Each block with its frequent words numbered from 1 (0: a wall) and their numbers in the corpus and counts, written."""
     mine = words.drop("n").join(frequent, ["lang", "word"]).select("block", "local", "id", "n")
@@ -151,38 +167,44 @@ def _pairs_at(seq: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray,
     return at, seq[at].astype(np.int64) * (n + 1) + seq[at + 1]
 
 
-def _pairs(marked: DataFrame) -> DataFrame:
-    """block, w1, part, w2 (list), n (list): the distinct pairs of each block, with the successors of a common word in several parts; written."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent_pairs(marked: DataFrame, groups: int, min_count: int) -> DataFrame:
+    """block, pairs (list of w1 << 31 | w2): the pairs of each block that are frequent in the corpus.
+
+    Blocks send their distinct pairs to groups of first words, which add up and answer. The successors of a common word go to several
+    parts, as many as its count asks for, so a group holds at most GROUP_WORDS * PART_ENTRIES pairs or so, at any size of the corpus.
+    """
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, seq, begins, ids, counts in zip(*batch.columns):
                 ids, counts = ids.values.to_numpy(), counts.values.to_numpy()
                 _, both = _pairs_at(_unpack(seq.as_py(), "<u4"), _unpack(begins.as_py(), "?"), len(ids))
                 both, n = np.unique(both, return_counts=True)
                 first, second = both // (len(ids) + 1) - 1, ids[both % (len(ids) + 1) - 1]
+                group = (mix(ids[first].astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
                 part = (mix(second.astype(np.uint64)) % (counts[first] // PART_ENTRIES + 1).astype(np.uint64)).astype(np.int64)
-                order = np.lexsort((part, first))
-                first, part, second, n = first[order], part[order], second[order], n[order]
-                starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (part[1:] != part[:-1])])) if len(n) else np.zeros(0, np.int64)
+                first = ids[first]
+                order = np.lexsort((second, first, part, group))
+                group, part, first, second, n = group[order], part[order], first[order], second[order], n[order]
+                starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])])) if len(n) else np.zeros(0, np.int64)
                 ends = np.append(starts[1:], len(n))
-                for k in range(0, len(starts), 1 << 12):
-                    some, last = starts[k:k + (1 << 12)], ends[k:k + (1 << 12)]
+                for k in range(0, len(starts), 1 << 8):
+                    some, last = starts[k:k + (1 << 8)], ends[k:k + (1 << 8)]
                     a, b, sizes = some[0], last[-1], last - some
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(some), name.as_py())), pa.array(ids[first[some]]), pa.array(part[some]),
-                        _lists(second[a:b], sizes), _lists(n[a:b], sizes)], names=["block", "w1", "part", "w2", "n"])
+                        pa.array(np.full(len(some), name.as_py())), pa.array(group[some]), pa.array(part[some]),
+                        *(_lists(x[a:b], sizes, np.int32) for x in (first, second, n))], names=["block", "group", "part", "w1", "w2", "n"])
 
-    return written(marked.mapInArrow(run, "block long, w1 long, part long, w2 array<long>, n array<long>"), "phrase-pairs")
+    def answered(table: pa.Table) -> pa.Table:
+        first, second, n = (table.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("w1", "w2", "n"))
+        sizes = np.diff(table.column("w1").combine_chunks().offsets.to_numpy())
+        pair = first << NUMBER_BITS | second
+        distinct, place = np.unique(pair, return_inverse=True)
+        enough = (np.bincount(place, weights=n, minlength=len(distinct)) >= min_count)[place]
+        kept = np.add.reduceat(np.append(enough, False).astype(np.int64), np.cumsum(sizes) - sizes)
+        return pa.table([table.column("block").combine_chunks().filter(pa.array(kept > 0)), _lists(pair[enough], kept[kept > 0])], names=["block", "pairs"])
 
-
-def _frequent_pairs(pairs: DataFrame, min_count: int) -> DataFrame:
-    """block, w1, w2 (list): the pairs of each block that are frequent in the corpus."""
-    each = pairs.repartition("w1", "part").select("w1", "part", F.explode(F.arrays_zip("w2", "n")).alias("p"))
-    frequent = (each.groupBy("w1", "part", F.col("p.w2").alias("w2")).agg(F.sum("p.n").alias("n")).where(F.col("n") >= min_count)
-                .groupBy("w1", "part").agg(F.collect_list("w2").alias("frequent")))
-    frequent = written(frequent, "phrase-frequent-pairs")
-    return (pairs.drop("n").join(frequent, ["w1", "part"]).select("block", "w1", F.array_intersect("w2", "frequent").alias("w2"))
-            .where(F.size("w2") > 0))
+    rows = marked.mapInArrow(sent, "block long, group long, part long, w1 array<int>, w2 array<int>, n array<int>")
+    return rows.groupBy("group", "part").applyInArrow(answered, "block long, pairs array<long>")
 
 
 def compacted(seq: np.ndarray, at: np.ndarray, pair: np.ndarray, n_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,36 +241,60 @@ def compacted(seq: np.ndarray, at: np.ndarray, pair: np.ndarray, n_pairs: int) -
 
 
 def paths(marked: DataFrame, frequent_pairs: DataFrame) -> DataFrame:
-    """words (list of word numbers), n: the compacted graphs of all blocks, equal paths added up."""
+    """words (list of word numbers), parts (list), n: the compacted graphs of all blocks.
+
+    `parts` says for each place how many parts the grams that begin there are dealt to, by what their first pair can count at most.
+    """
     def run(pairs: pa.Table, block: pa.Table) -> pa.Table:
-        names = ["words", "n"]
-        row = block.select(["seq", "begins", "ids"]).combine_chunks()
+        names = ["words", "parts", "n"]
+        row = block.select(["seq", "begins", "ids", "counts"]).combine_chunks()
         if not len(row) or not len(pairs):
-            return pa.table([pa.array([], pa.list_(pa.int64())), pa.array([], pa.int64())], names=names)
-        ids = row.column("ids").chunk(0).values.to_numpy()
+            return pa.table([pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int64())), pa.array([], pa.int64())], names=names)
+        ids, counts = (row.column(c).chunk(0).values.to_numpy() for c in ("ids", "counts"))
         seq, begins = _unpack(row.column("seq")[0].as_py(), "<u4"), _unpack(row.column("begins")[0].as_py(), "?")
-        second = pairs.column("w2").combine_chunks()
-        first = np.repeat(pairs.column("w1").to_numpy(), np.diff(second.offsets.to_numpy()))
-        known = np.sort((np.searchsorted(ids, first) + 1) * (len(ids) + 1) + np.searchsorted(ids, second.values.to_numpy()) + 1)
+        both = pairs.column("pairs").combine_chunks().flatten().to_numpy()
+        known = np.sort((np.searchsorted(ids, both >> NUMBER_BITS) + 1) * (len(ids) + 1) + np.searchsorted(ids, both & ((1 << NUMBER_BITS) - 1)) + 1)
         at, both = _pairs_at(seq, begins, len(ids))
         pair = np.minimum(np.searchsorted(known, both), len(known) - 1)
         hit = known[pair] == both
         begin, size, weight = compacted(seq, at[hit], pair[hit], len(known))
-        place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return pa.table([_lists(ids[seq[place] - 1] if len(place) else place, size), pa.array(weight)], names=names)
+        word = seq[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))].astype(np.int64) - 1
+        most = counts[word]
+        most[:-1] = np.minimum(most[:-1], most[1:])
+        return pa.table([_lists(ids[word], size), _lists(most // PART_ENTRIES + 1, size), pa.array(weight)], names=names)
 
-    found = frequent_pairs.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(run, "words array<long>, n long")
-    return found.groupBy("words").agg(F.sum("n").alias("n"))
+    return frequent_pairs.groupBy("block").cogroup(marked.groupBy("block")).applyInArrow(run, "words array<long>, parts array<long>, n long")
 
 
 def gram_counts(found: DataFrame, min_count: int) -> DataFrame:
-    """words (2 to 4 word numbers), n: counts of at least `min_count` from node flow and piece ends, written."""
-    cut = F.when(F.size("words") > 4, F.transform(F.sequence(F.lit(1), F.size("words") - 3), lambda i: F.slice("words", i, 4))).otherwise(F.array("words"))
-    edges = written(found.select(F.explode(cut).alias("words"), "n").groupBy("words").agg(F.sum("n").alias("n")), "phrase-edges")
-    nodes = written(edges.where(F.size("words") >= 3).groupBy(F.slice("words", 1, 3).alias("words")).agg(F.sum("n").alias("n")), "phrase-nodes")
-    pairs = (nodes.unionByName(edges.where(F.size("words") == 2)).groupBy(F.slice("words", 1, 2).alias("words")).agg(F.sum("n").alias("n")))
-    every = edges.where(F.size("words") == 4).unionByName(nodes).unionByName(pairs)
-    return written(every.where(F.col("n") >= min_count), "phrase-grams")
+    """words (2 to 4 word numbers), n: counts of at least `min_count` from node flow and piece ends, written.
+
+    Paths are cut into edges, and edges and piece ends are shuffled once, by their first two words and a part by the third;
+    what flows out of a node and out of a pair is summed where they are.
+    """
+    def word(i: Column, k: int) -> Column:
+        return F.coalesce(F.get("words", i + k), F.lit(0).cast("long"))
+
+    last = F.greatest(F.size("words") - 4, F.lit(0))
+    grams = found.select("n", "words", "parts", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
+        "n", (F.shiftleft(word(F.col("i"), 0), NUMBER_BITS).bitwiseOR(word(F.col("i"), 1))).alias("pair"),
+        (F.shiftleft(word(F.col("i"), 2), NUMBER_BITS).bitwiseOR(word(F.col("i"), 3))).alias("rest"),
+        F.pmod(F.xxhash64(word(F.col("i"), 2)), F.get("parts", F.col("i"))).alias("part"))
+    mask = (1 << NUMBER_BITS) - 1
+    enough, fourth = F.col("n") >= min_count, F.col("rest").bitwiseAND(mask)
+    edges = grams.repartition("pair", "part").groupBy("pair", "part", "rest").agg(F.sum("n").alias("n"))
+    # Lists hold frequent edges and nodes only, which are few in any group.
+    nodes = edges.groupBy("pair", "part", F.shiftright("rest", NUMBER_BITS).alias("third")).agg(
+        F.collect_list(F.when(enough & (fourth != 0), F.struct(fourth.alias("fourth"), "n"))).alias("edges"), F.sum("n").alias("n"))
+    pairs = nodes.groupBy("pair", "part").agg(
+        F.collect_list(F.when(enough & (F.col("third") != 0), F.struct("third", "n", "edges"))).alias("nodes"), F.sum("n").alias("n"))
+    flows = written(pairs, "phrase-flows")
+    two = [F.shiftright("pair", NUMBER_BITS), F.col("pair").bitwiseAND(mask)]
+    node = flows.select("pair", F.explode("nodes").alias("x")).select("pair", "x.*")
+    edge = node.select("pair", "third", F.explode("edges").alias("x")).select(F.array(*two, "third", "x.fourth").alias("words"), "x.n")
+    every = (edge.unionByName(node.select(F.array(*two, "third").alias("words"), "n"))
+             .unionByName(flows.groupBy("pair").agg(F.sum("n").alias("n")).where(enough).select(F.array(*two).alias("words"), "n")))
+    return written(every, "phrase-grams")
 
 
 def _exact_score(a: Column, parts: Column) -> Column:
@@ -267,11 +313,11 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
     apart by 64-bit hashes, those of the corpus by their bytes. An empty table gives no rows.
     """
     texts, each = blocks(docs, text_col, lang_col, block_bytes)
-    words = written(each.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    frequent = written(words.where(F.col("n") >= min_count).withColumn("id", F.monotonically_increasing_id()), "phrase-frequent")
+    sizes = each.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    frequent = _numbered(each.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
+    groups = max(LEAST_GROUPS, -(-frequent.count() // GROUP_WORDS))
     marked = _marked(texts, each, frequent)
-    grams = gram_counts(paths(marked, _frequent_pairs(_pairs(marked), min_count)), min_count)
+    grams = gram_counts(paths(marked, _frequent_pairs(marked, groups, min_count)), min_count)
 
     longer = (grams.where(F.size("words") > 2).select(F.explode(F.array(
         F.expr("slice(words, 1, size(words) - 1)"), F.slice("words", 2, 3))).alias("words"), F.col("n").alias("longer"))
