@@ -132,6 +132,14 @@ def rules_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.load_spread(spark, sf_dir, "documents").agg(*hits).selectExpr(f"inline(array({table}))")
 
 
+def blacklist_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors with a blacklist entry that is marked as an example, as the library takes it and with such entries dropped."""
+    rules = Rules(blacklist=("EXAMPLE: Ferry Link", "example: wicker", "copper finch"))
+    text = "replace(replace(text, 'Ferry Link', 'Example: Ferry Link'), 'Wicker', 'Example: Wicker')"
+    return T.receipts(spark, sf_dir).selectExpr("k", "copy", f"{text} AS text").selectExpr(
+        "k", "copy", f"{extract.vendor_of('text', rules)} AS vendor", f"{extract.vendor_of('text', rules.without_example_blacklist())} AS vendor_without")
+
+
 def changed_rules() -> Rules:
     """The workload's rules with a matcher put in the middle, one of another category, and one left out."""
     rules = T.rules()
@@ -217,6 +225,7 @@ QUERIES = {
     "categorize_documents": categorize_documents,
     "categorize_dialect": categorize_dialect,
     "rules_flatten": rules_flatten,
+    "blacklist_examples": blacklist_examples,
     "categorize_many": categorize_many,
     "recategorize": recategorize,
     "hint_join": hint_join,
@@ -325,6 +334,10 @@ ORACLES = {
             (3, "Odd source", "all", 0, "NULL", "'un[ae]? '", _HITS["un"]),
             (4, "English", "any", 0, "'^src[0-4]$'", "'ing the '", _HITS["english"]),
         ]),
+    "blacklist_examples": f"""WITH {T.RECEIPTS_SQL},
+        shown AS (SELECT k, copy, replace(replace({T.VENDOR_LINE_SQL}, 'Ferry Link', 'Example: Ferry Link'), 'Wicker', 'Example: Wicker') AS line FROM receipts)
+        SELECT k, copy, CASE WHEN k % 12 IN (1, 5, 11) THEN '12 Main Street Suite 4' WHEN copy = 1 AND k % 12 = 8 THEN 'COPY' ELSE line END AS vendor,
+               CASE WHEN k % 12 = 11 THEN '12 Main Street Suite 4' WHEN copy = 1 AND k % 12 = 8 THEN 'COPY' ELSE line END AS vendor_without FROM shown""",
     "recategorize": f"""WITH {T.RECEIPTS_SQL}
         SELECT k, copy, CASE WHEN again AND k % 4 = 1 THEN 'Totals' WHEN k % 12 = 6 THEN 'Uncategorized' ELSE true_category END AS category,
                CASE WHEN again AND k % 4 = 1 THEN 'Grand' WHEN k % 12 = 6 THEN NULL ELSE true_matcher END AS matcher, again AS judged_again
