@@ -12,8 +12,8 @@ A fingerprint may have several 64-bit words; partners within the radius over all
 
 `drop_near_duplicates` decides by the texts themselves: rows are linked if the sets of their shingles have a Jaccard
 similarity of 0.8 or more, counted exactly. No fingerprint of fixed size keeps to that limit, so bits are not compared:
-pairs to be counted are those that agree on a band of minima of the set (`minima_of`), whose chance to meet
-depends on nothing but their similarity and is below 1 by 1.3 in 10 million at 0.8.
+pairs to be counted are those that agree on bands of minima of the set (`minima_of`), whose chance to meet
+depends on nothing but their similarity and is below 1 by 2.7 in a million at 0.8.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom.llm.common import small_batches, spans_of, utf8, written
 from ledgerloom.llm.tokens import WHITE_SPACE, mix, split_words, xxh64
@@ -39,7 +38,8 @@ TEXT_BYTES = 1 << 20
 SIMILARITY = (4, 5)  # near copies share at least this part of all their distinct shingles
 # Sets of similarity s agree on one band with probability s^5, so 40 bands miss a pair at 0.8 with (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, BAND_MINIMA = 40, 5
-WIDER = 8  # each round of comparisons goes so many times further than the one before
+SURE_BANDS = 2  # inside a bucket pairs that agree on one band alone are not counted: at 0.8 that misses a pair with a chance of 2.7e-6
+PIECE_KEYS, PIECE_SHINGLES = 1024, 1 << 21  # of a bucket, compared in one task with as many others
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
@@ -312,53 +312,114 @@ def _sets(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> pa
     return _lists(np.concatenate([np.zeros(0, np.uint64), *sets]), full, np.array([len(x) for x in sets], np.int64), n)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
-    """Of pairs a, b of keys those whose sets of shingles have the wanted similarity, from the texts of these keys alone."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    rows = nodes.join(wanted, "key", "left_semi").select("rep.doc_id", "rep.h").distinct()
-    sets = (_with_shingles(texts.join(rows, ["doc_id", "h"], "left_semi").select("doc_id", "h", "text"), shingle_words,
-                           "shingles array<bigint>", _sets).select("key", "shingles").dropDuplicates(["key"]))
-    sets = written(sets, "near-sets")
+def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs a, b of keys those whose sets of shingles have the wanted similarity, counted exactly."""
+    share, of = SIMILARITY
     both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("shared")))
-    share, of = SIMILARITY
     return both.where(F.col("shared").cast("long") * of >= (F.col("n").cast("long") - F.col("shared")) * share).select("a", "b")
 
 
+def _like_sizes(n: Column, m: Column) -> Column:
+    """Sets whose sizes differ more cannot have the wanted similarity."""
+    share, of = SIMILARITY
+    return F.least(n, m) * of >= F.greatest(n, m) * share
+
+
+def links_of_sets(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all similar pairs between two lists of sorted sets into the right classes, fewer than there are sets.
+
+    Counted are pairs of unlike labels that agree on two bands, have like sizes, and could share enough if they shared all
+    that is in more than one of the sets here. Labels are merged as links are found.
+    """
+    share, of = SIMILARITY
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    common = np.add.reduceat(np.append(times[place] > 1, False).astype(np.int64), np.cumsum(size) - size) * (size > 0)
+    found = []
+    for i in left.tolist():
+        others = right[right > i] if left is right else right
+        others = others[(label[others] != label[i]) & ((bands[others] == bands[i]).sum(axis=1) >= SURE_BANDS)]
+        n = size[others] + size[i]
+        others = others[(np.minimum(size[others], size[i]) * of >= np.maximum(size[others], size[i]) * share)
+                        & (np.minimum(common[others], common[i]) * (of + share) >= n * share)]
+        if not len(others):
+            continue
+        mine = sets[i]
+        theirs = np.concatenate([sets[j] for j in others.tolist()])
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        shared = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(size[others]) - size[others])
+        for j in others[shared * of >= (size[others] + size[i] - shared) * share].tolist():
+            if label[j] != label[i]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _linked_inside(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links inside buckets (bucket, key, class, n) that hold several classes; a bucket of many or long sets in pieces, in several tasks."""
+    large = (open_.groupBy("bucket").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(PIECE_KEYS)), F.ceil(F.sum("n") / F.lit(PIECE_SHINGLES))).alias("pieces")))
+    tasks = (open_.join(large, "bucket").withColumn("piece", F.pmod(F.xxhash64("key"), "pieces"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+             .select("bucket", "key", "class", "piece", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high")))
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        keys, side = table.column("key").to_pylist(), table.column("piece").to_numpy()
+        sets_, bands = ([x.values.to_numpy().view(np.uint64) for x in table.column(c)] for c in ("shingles", "bands"))
+        _, label = np.unique(np.array(table.column("class").to_pylist(), object), return_inverse=True)
+        left = np.flatnonzero(side == low)
+        pairs = links_of_sets(sets_, np.array(bands), label, left, left if low == high else np.flatnonzero(side == high)) if len(keys) > 1 else []
+        return pa.table([pa.array([keys[i] for i, _ in pairs], pa.binary()), pa.array([keys[j] for _, j in pairs], pa.binary())], names=["a", "b"])
+
+    return tasks.join(sets.drop("n"), "key").groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def _several_classes(met: DataFrame, links_: DataFrame) -> DataFrame:
+    """The buckets (bucket, key, n, class) whose keys are not all in one class yet."""
+    label = links_.select(F.col("a").alias("key"), F.col("b").alias("class"))
+    now = met.join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    several = now.groupBy("bucket").agg(F.min("class").alias("c"), F.max("class").alias("d")).where("c <> d").select("bucket")
+    return now.join(several, "bucket", "left_semi")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
     """doc_id, h (xxhash64 of the text), component_id of every row with an id: the smallest id that links of similarity 0.8 or more lead to.
 
-    Texts with equal shingles, also those without words, are linked. In each bucket of a band the keys are compared
-    with its first one, then with the next 7, the next 56 and so on, as long as it has keys that nothing has linked yet. So a
-    group of near copies costs about one comparison for each of them, and still no pair that met is left out.
+    Texts with equal shingles, also those without words, are linked. Each key is compared with the first key of one of its buckets,
+    the one it shares most bands with; then with the firsts of its other buckets that are of another class still. Buckets
+    with several classes after that are compared inside, in tasks that hold each set once. So a group of near copies costs
+    about one pair for each of them, and no pair that met is left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     points = written(_with_shingles(texts.where("doc_id IS NOT NULL"), shingle_words, "bands array<bigint>", _bands), "near-points")
     nodes = written(points.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands")), "near-nodes")
     met = nodes.select(F.explode("bands").alias("bucket"), "key")
-    first = met.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(met.join(first, "bucket").select("bucket", "key", "b"), "near-met")
-    nodes = nodes.drop("bands")
-    found = written(similar(met.where("key <> b").select(F.col("key").alias("a"), "b").distinct(), nodes, texts, shingle_words), "near-links")
-    classes, low, ranked = stars(found), 1, None
-    while True:
-        label = classes.select(F.col("a").alias("key"), F.col("b").alias("class"))
-        now = (met if ranked is None else ranked).join(label, "key", "left").withColumn("class", F.coalesce("class", "key"))
-        several = (now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("c"), F.max("class").alias("d"))
-                   .where((F.col("c") != F.col("d")) & (F.col("n") > low + 1)).select("bucket"))
-        now = now.join(several, "bucket", "left_semi")
-        if ranked is None:
-            now = now.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("key")) - 1)
-        now = written(now.select("bucket", "key", "rank", "class"), "near-open")
-        if now.isEmpty():
-            break
-        ranked = now.drop("class")
-        others = now.where(F.col("rank").between(low, low * WIDER - 1)).select(
-            "bucket", F.col("key").alias("b"), F.col("rank").alias("before"), F.col("class").alias("other"))
-        pairs = now.join(others, "bucket").where("rank > before AND class <> other").select(F.col("key").alias("a"), "b").distinct()
-        found = written(found.unionByName(similar(written(pairs, "near-pairs"), nodes, texts, shingle_words)), "near-links")
-        classes, low = stars(found), low * WIDER
+    first = met.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = written(met.join(first, "bucket").select("bucket", "key", "b", "members"), "near-met")
+    wanted = nodes.join(met.select("key").distinct(), "key", "left_semi")
+    rows = wanted.select("rep.doc_id", "rep.h").distinct()
+    sets = (_with_shingles(texts.join(rows, ["doc_id", "h"], "left_semi"), shingle_words, "shingles array<bigint>", _sets)
+            .select("key", "shingles").dropDuplicates(["key"]))
+    sets = written(sets.join(wanted.select("key", "bands"), "key").withColumn("n", F.size("shingles").cast("long")), "near-sets")
+
+    sizes = sets.select("key", "n")
+    met = written(met.join(sizes, "key"), "near-sized")
+    agreeing = (met.where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count(F.lit(1)).alias("bands"), F.first("n").alias("n"))
+                .join(sizes.select(F.col("key").alias("b"), F.col("n").alias("m")), "b").where(_like_sizes(F.col("n"), F.col("m"))))
+    agreeing = written(agreeing.select("a", "b", "bands"), "near-agreeing")
+    best = agreeing.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
+    found = written(_similar_pairs(best, sets), "near-links")
+    label = stars(found)
+    a_class, b_class = (label.select(F.col("a").alias(c), F.col("b").alias(f"{c}_class")) for c in ("a", "b"))
+    unlike = (agreeing.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done IS NULL").select("a", "b")
+              .join(a_class, "a", "left").join(b_class, "b", "left")
+              .where(F.coalesce("a_class", "a") != F.coalesce("b_class", "b")).select("a", "b"))
+    found = written(found.unionByName(_similar_pairs(unlike, sets)), "near-links")
+    open_ = written(_several_classes(met.where("members > 2"), stars(found)).select("bucket", "key", "class", "n"), "near-open")
+    classes = stars(found.unionByName(_linked_inside(open_, sets)))
     roots = nodes.join(classes, nodes["key"] == classes["a"], "left").select("key", "rep", F.coalesce("b", "key").alias("root"))
     least = roots.groupBy("root").agg(F.min("rep.doc_id").alias("component_id"))
     return points.join(roots.join(least, "root").select("key", "component_id"), "key").select("doc_id", "h", "component_id")
