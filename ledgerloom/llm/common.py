@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,22 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+ROW_KEY = ["__file", "__row"]
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with a key of each row, `__file` and `__row`, that stays the same however often the rows are read.
+
+    The rows of one Parquet table have such a key; any other rows are written to one first.
+    """
+    plan = df._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    table = df if plan == "LogicalRelation" else written(df, "keyed")
+    try:
+        return table.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # another format than Parquet
+        return written(df, "keyed").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand rows to Python in batches of at most ROWS_PER_BATCH, as single texts may be long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

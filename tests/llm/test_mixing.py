@@ -49,10 +49,39 @@ def test_positions_follow_the_schedule(documents, prose):
     assert found.first_position.between(0, 1).all()
 
 
-def test_mixed_documents(documents, prose):
-    docs = documents(rows(prose))
-    out = mixing.mixed(docs, source_weights, source_schedules)
-    assert out.columns == docs.columns
-    kept = out.collect()
-    assert {r.text for r in kept} <= {r[1] for r in rows(prose)} and len(kept) > 50
+def words_of(found, source):
+    return sum(len((r.text or "").split()) for r in found if r.source == source)
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "one", "third"])
+def test_mixed_documents(documents, prose, spark, tmp_path, monkeypatch, ids):
+    """Every source gives its target to half a document a copy, whatever the ids; all copies are whole rows."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixing, "FULL_BUCKET_ROWS", 20)
+    name = {"own": lambda k: k, "null": lambda k: None, "one": lambda k: 7, "third": lambda k: 7 if (k or 0) % 3 else k}[ids]
+    data = [(name(r[0]), r[1], f"lang{k}", r[3]) for k, r in enumerate(rows(prose))]
+    docs = documents(data)
+    for given in (docs, docs.withColumn("c", docs.source)):
+        out = mixing.mixed(given, source_weights, source_schedules)
+        assert out.columns == given.columns
+    docs.write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = mixing.mixed(table, source_weights, source_schedules).collect()
+        by_row = {r[2]: r for r in data}
+        assert all((r.doc_id, r.text, r.source) == (by_row[r.lang][0], by_row[r.lang][1], by_row[r.lang][3]) for r in kept)
+        sizes = {s: sum(len((r[1] or "").split()) for r in data if r[3] == s) for s in ("s0", "s1", "s2", None)}
+        targets = mixing.targets(sizes, source_weights(list(sizes)))
+        for source, target in targets.items():
+            longest = max(len((r[1] or "").split()) for r in data if r[3] == source)
+            assert abs(words_of(kept, source) - target) <= longest / 2 + 0.5
     assert mixing.mixed(docs.limit(0), source_weights).count() == 0
+
+
+def test_taken_words_of_a_hot_id(documents, prose, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(mixing, "FULL_BUCKET_ROWS", 10)
+    data = [(None, prose(k, 1 + k % 9), None, "s" + str(k % 2)) for k in range(120)]
+    found = mixing.report(documents(data), source_weights).collect()
+    for source, target in mixing.targets({s: sum(len(r[1].split()) for r in data if r[3] == s) for s in ("s0", "s1")}, {"s0": 1, "s1": 2}).items():
+        own = [r for r in found if r.target == pytest.approx(target)]
+        assert abs(sum(r.taken for r in own) - target) <= 0.5 and all(r.taken <= 3 * r["size"] for r in own)

@@ -44,3 +44,20 @@ def test_written_shards(documents, prose, spark, tmp_path):
     sharding.write(docs, str(tmp_path / "out"), max_bytes=2000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and back.select("__shard").distinct().count() > 4
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "third", "equal"])
+def test_written_shards_keep_rows_of_one_id(documents, prose, spark, tmp_path, monkeypatch, ids):
+    monkeypatch.setattr(sharding, "SALT_SHARDS", 2)
+    name = {"null": lambda k: None, "one": lambda k: 5, "third": lambda k: 5 if k % 3 else k, "equal": lambda k: 5}[ids]
+    rows = [(name(k), "same text " * 4 if ids == "equal" else prose(k, 1 + k % 12)) for k in range(90)]
+    docs = documents(rows)
+    sharding.write(docs, str(tmp_path / "out"), max_bytes=200)
+    back = spark.read.schema(docs.schema.add("__shard", "string")).parquet(str(tmp_path / "out")).collect()
+    assert sorted(map(str, (r[:2] for r in back))) == sorted(map(str, rows))
+    sums = {}
+    for r in back:
+        sums.setdefault(r["__shard"], []).append(len(r.text.encode()))
+    assert all(sum(v) <= 200 or len(v) == 1 for v in sums.values()) and len(sums) > 5
+    if ids != "third":
+        assert any(s.count(".") == 2 for s in sums)
