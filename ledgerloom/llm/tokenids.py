@@ -1,8 +1,9 @@
 """Token ids in binary files, compressed by a Re-Pair grammar per shard.
 
 Documents are range-partitioned and sorted by id, encoded, and gathered into shards of about a million ids. In each
-shard, frequent pairs of neighbouring ids are replaced by new symbols, round by round. A round takes many pairs at once:
-no symbol may be both a left and a right end of its pairs, so their occurrences cannot overlap. The file
+shard, frequent pairs of neighbouring ids are replaced by new symbols, round by round, until no pair is frequent. A round takes many
+pairs at once: no symbol may be both a left and a right end of its pairs, so their occurrences cannot overlap; a pair
+of equal symbols stands alone, and in a run of them every second occurrence is replaced. The file
 holds the rules, the expansion length of each symbol, the remaining sequence and the ids per document;
 a range of ids is read by expanding only the symbols that cover it.
 """
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,20 +26,20 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from ledgerloom.llm.common import new_path, small_batches
+from ledgerloom.llm.vocabulary import ByteLevel
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-MAX_ROUNDS, MIN_COUNT, MIN_GAIN = 8, 32, 0.05  # a round that saves less than MIN_GAIN of the symbols is the last
-CACHED_UNITS = 200_000
-LIBRARY_BATCH = 2048  # texts that the library encodes at once: its results are large
+MIN_COUNT = 16  # occurrences of a pair in a shard that make a rule; a pair of equal symbols counts its overlaps
+CACHED_UNITS = 400_000  # units of one cache generation; two are kept
+JOINED_UNITS = 2048  # units that the library encodes as one text
+LIBRARY_BATCH = 64  # whole texts that the library encodes at once: its results are large
 MAGIC = b"RPG1"
 
-# A space with what follows it up to the next white space, or white space: the tokenizer never joins two of these.
-_UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# White space and what follows it up to the next: the tokenizer begins a new piece at each run of white space.
+_UNIT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+$")
+_BLANK = " \n\r\t"
 _PLAIN_TEXT = re.compile("[\n\r\t\x20-\x7e\xa1-ɏ]*")
-# The split that the tokenizer's byte-level step makes inside a unit; a fixed value.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -48,15 +48,17 @@ class Encoder:
     """Encodes texts with a byte-level tokenizer file of the tokenizers library; units seen before come from a cache.
 
     Only texts of plain Latin characters and white space are cut into units here; any other text, and one in which
-    the name of a special token may stand, is encoded by the library as a whole.
+    the name of a special token may stand, is encoded by the library as a whole. New units are encoded as one joined text
+    and cut again by the byte lengths of their tokens.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.sizes = ByteLevel(path).sizes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> "Encoder":
@@ -71,22 +73,34 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i:i + LIBRARY_BATCH], add_special_tokens=False)]
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.pieces) > CACHED_UNITS:
-            self.pieces.clear()
-        parts = {unit: _PIECE.findall(unit) for unit in missing}
-        new = list({p for split in parts.values() for p in split}.difference(self.pieces))
-        self.pieces.update(zip(new, self._whole(new)))
-        for unit, split in parts.items():
-            self.units[unit] = b"".join([self.pieces[p] for p in split])
+    def _learn(self, units: list[str]) -> None:
+        alone = [u for u in units if u[0] not in _BLANK or u[-1] in _BLANK]  # would run into the unit beside it
+        self.young.update(zip(alone, self._whole(alone)))
+        joined = [u for u in units if u[0] in _BLANK and u[-1] not in _BLANK]
+        for k in range(0, len(joined), JOINED_UNITS):
+            part = joined[k:k + JOINED_UNITS]
+            raw = self._whole(["".join(part)])[0]
+            ends = np.cumsum([len(u.encode()) for u in part])
+            cuts = [0, *((np.searchsorted(np.cumsum(self.sizes[np.frombuffer(raw, "<u4")]), ends) + 1) * 4).tolist()]
+            self.young.update(zip(part, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:])]))
+
+    def _know(self, units: set[str]) -> None:
+        """Have all units in the younger generation of the cache; the older one is what was in use before it was full."""
+        missing = units.difference(self.young)
+        if missing:
+            if len(self.young) > CACHED_UNITS:
+                self.old, self.young, missing = self.young, {}, units
+            kept = [u for u in missing if u in self.old]
+            self.young.update(zip(kept, map(self.old.__getitem__, kept)))
+            self._learn(list(missing.difference(kept)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         out: list[bytes] = [b""] * len(texts)
         rest = []
-        for i in range(0, len(texts), 128):
+        for i in range(0, len(texts), 256):
             split, every = [], set()
-            for k in range(i, min(i + 128, len(texts))):
+            for k in range(i, min(i + 256, len(texts))):
                 text = texts[k]
                 if _PLAIN_TEXT.fullmatch(text) and not any(s in text for s in self.special):
                     units = _UNIT.findall(text)
@@ -94,13 +108,8 @@ class Encoder:
                     every.update(units)
                 else:
                     rest.append(k)
-            missing = every.difference(self.units)
-            if missing and len(self.units) + len(missing) > CACHED_UNITS:
-                self.units.clear()
-                missing = every
-            if missing:
-                self._learn(missing)
-            get = self.units.__getitem__
+            self._know(every)
+            get = self.young.__getitem__
             for k, units in split:
                 out[k] = b"".join(map(get, units))
         for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
@@ -119,22 +128,27 @@ def _chosen_pairs(seq: np.ndarray, n_symbols: int, min_count: int) -> tuple[np.n
     kept = []
     for key in keys[np.argsort(-counts, kind="stable")].tolist():
         a, b = key >> 32, key & 0xFFFFFFFF
-        if a != b and not right[a] and not left[b]:
+        if a != b and not right[a] and not left[b] or a == b and not left[a] and not right[a]:
             left[a] = right[b] = True
             kept.append(key)
     return np.array(sorted(kept), np.uint64), left, right
 
 
-def compress(ids: np.ndarray, max_rounds: int = MAX_ROUNDS, min_count: int = MIN_COUNT,
-             min_gain: float = MIN_GAIN) -> tuple[int, np.ndarray, np.ndarray]:
-    """First new symbol, rules (left, right) in order of their symbols, and the remaining sequence."""
+def _apart(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which occurrences to replace: of those of a pair of equal symbols, which overlap in a run, every second one."""
+    first = np.ones(len(at), bool)
+    first[1:] = ~equal[1:] | ~equal[:-1] | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(first)
+    return (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % 2 == 0
+
+
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarray, np.ndarray]:
+    """First new symbol, rules (left, right) in order of their symbols, and the remaining sequence, in which no pair occurs `min_count` times."""
     seq = ids.astype(np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     n = base
-    for _ in range(max_rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         keys, left, right = _chosen_pairs(seq, n, min_count)
         if not len(keys):
             break
@@ -143,14 +157,14 @@ def compress(ids: np.ndarray, max_rounds: int = MAX_ROUNDS, min_count: int = MIN
         rule = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
         hit = keys[rule] == pair
         at, rule = at[hit], rule[hit]
+        hit = _apart(at, seq[at] == seq[at + 1])
+        at, rule = at[hit], rule[hit]
         seq[at] = (n + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        before, seq = len(seq), seq[keep]
+        seq = seq[keep]
         rules.append(np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"))
         n += len(keys)
-        if before - len(seq) < min_gain * before:
-            break
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), seq
 
 

@@ -38,7 +38,7 @@ def test_grammar_round_trip(seed):
     if seed == 3:
         ids = np.tile(ids[:40], 500)
     lengths = np.array([0, 5, len(ids) - 5, 0])
-    content = tokenids.to_file(ids, lengths, min_count=2, min_gain=0.0)
+    content = tokenids.to_file(ids, lengths, min_count=2)
     file = tokenids.ShardFile(content)
     assert (file.ids() == ids).all() and file.lengths.tolist() == lengths.tolist()
     assert seed == 2 or len(file.seq) < 0.8 * len(ids)
@@ -48,6 +48,25 @@ def test_grammar_round_trip(seed):
     assert len(tokenids.ShardFile(tokenids.to_file(ids[:0], np.array([], np.int64))).ids()) == 0
 
 
+def test_default_grammar_leaves_no_frequent_pair():
+    dice = np.random.default_rng(9)
+    words = [dice.integers(0, 900, dice.integers(2, 9)) for _ in range(400)]
+    ids = np.concatenate([words[k] for k in dice.zipf(1.3, 30_000) % 400] + [np.full(5000, 7), np.tile([1, 1, 2], 900)]).astype("<u4")
+    base, rules, seq = tokenids.compress(ids.copy())
+    pairs, counts = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)
+    assert counts.max() < tokenids.MIN_COUNT and len(seq) + 2 * len(rules) < 0.3 * len(ids)
+    file = tokenids.ShardFile(tokenids.to_file(ids, np.array([len(ids)])))
+    assert (file.ids() == ids).all() and (file.ids(100_001, 100_100) == ids[100_001:100_100]).all()
+
+
+@pytest.mark.parametrize("n", [2, 3, 1000, 1001, 4097])
+def test_runs_of_one_id_shrink(n):
+    ids = np.full(n, 5, "<u4")
+    base, rules, seq = tokenids.compress(ids.copy(), min_count=2)
+    file = tokenids.ShardFile(tokenids.to_file(ids, np.array([n]), min_count=2))
+    assert (file.ids() == ids).all() and len(seq) <= max(3, n.bit_length()) and len(rules) <= n.bit_length()
+
+
 @pytest.mark.parametrize("shard_ids", [1, 500, 1 << 20])
 def test_files_equal_library(documents, edge_rows, library, shard_ids):
     found = tokenids.written_ids(documents(edge_rows).withColumnRenamed("source", "start"), byte_tokenizer(), shard_ids=shard_ids)
