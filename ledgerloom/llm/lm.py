@@ -1,14 +1,15 @@
-"""Language-model scoring with a weighted backoff automaton over word bigrams.
+"""Language-model scoring with a weighted backoff automaton over word n-grams of a given order.
 
-States are the empty history and every word seen in training (and the start of a text). A state's arcs lead to
-the words seen after it; its failure arc, taken for any other word, costs the backoff weight and leads to the
-empty history, whose arcs are the smoothed single words. The word just read is the next state.
+States are the empty history and every run of up to order - 1 words seen in training (a text's start is a word like any other). A
+state's arcs lead to the words seen after it; its failure arc, taken for any other word, costs the backoff weight and leads to
+the state without its first word, and so on down to the empty history, whose arcs are the smoothed single words. The longest
+seen run that ends in the word just read is the next state.
 
     p(w)     = (c(w) - D) / N, and D V / N for all unknown words together   (absolute discounting)
-    p(w | h) = (c(h w) + K p(w)) / (c(h) + K); failure weight of h: K / (c(h) + K)
+    p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K); failure weight of h: K / (c(h) + K); h' is h without its first word
 
-A model of all word pairs of a large corpus fits no executor, so it is never in one place. The texts are written once as
-blocks of word numbers. Each block sends the sorted hashes of its distinct words and pairs, with their training counts,
+A model of all n-grams of a large corpus fits no executor, so it is never in one place. The texts are written once as
+blocks of word numbers. Each block sends the sorted hashes of its distinct words and n-grams, with their training counts,
 to shards by hash; the shards add up and answer each block, value by value in the order it sent; the block then has the
 part of the automaton that its own texts can visit, and runs them through it.
 """
@@ -31,6 +32,7 @@ from ledgerloom.llm.tokens import WHITE_SPACE, mix, split_words
 BLOCK_BYTES = 8 << 20  # text of one block
 SHARD_BYTES = 8 << 20  # text per shard of the counts
 PIECE_BYTES = 1 << 20
+ORDER = 2  # words of the longest grams
 PRIOR = 300.0  # K: how many observations the shorter history counts for
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -60,12 +62,19 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, "<u8"), dtype=np.uint64)
 
 
-def _with_history(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Pair hash of each token with the one before it; a text's first token follows START."""
+def _grams(tokens: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 2, 3, ... words: where a gram of so many ends (a text's first token follows START), and its hash."""
+    place = np.arange(len(tokens)) - np.repeat(first, np.diff(np.append(first, len(tokens))))
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[first] = START
-    return pair_hashes(before, tokens)
+    found, last = [(np.arange(len(tokens)), pair_hashes(before, tokens))], None
+    for k in range(3, order + 1):
+        last = np.zeros(len(tokens), np.uint64)
+        last[found[-1][0]] = found[-1][1]
+        at = np.flatnonzero(place >= k - 2)
+        found.append((at, pair_hashes(last[at - 1], tokens[at])))
+    return found
 
 
 class _Block:
@@ -122,10 +131,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, train: Column, block_byt
         f"block long, words binary, ids binary, doc_ids array<{kind}>, lengths array<long>, train array<boolean>, n_train long")), "lm-blocks")
 
 
-def counts(texts: DataFrame, shards: int) -> DataFrame:
-    """Per block and shard: sorted hashes of the block's distinct words and pairs, and their training counts.
+def counts(texts: DataFrame, shards: int, order: int = ORDER) -> DataFrame:
+    """Per block, level (words per gram) and shard: sorted hashes of the block's distinct grams, and their training counts.
 
-    Only shards that have any are listed, so there are never more rows than distinct words and pairs.
+    Only shards that have any are listed, so there are never more rows than distinct grams, and never more for a block
+    than it has, however many shards there are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.arange(shards + 1, dtype=np.uint64) * np.uint64((1 << 32) // shards)
@@ -133,18 +143,20 @@ def counts(texts: DataFrame, shards: int) -> DataFrame:
             for name, words, ids, lengths, train in zip(*batch.columns):
                 words, ids, lengths = unpack_sorted(words.as_py()), unpack(ids.as_py(), "<u4"), lengths.values.to_numpy()
                 learnt = np.repeat(train.values.to_numpy(zero_copy_only=False), lengths)
-                word_counts = np.bincount(ids[learnt], minlength=len(words)).astype("<u4")
-                grams = _with_history(words[ids], np.cumsum(lengths) - lengths)
-                pairs, chosen = np.unique(grams), np.sort(grams[learnt])
-                pair_counts = (np.searchsorted(chosen, pairs, "right") - np.searchsorted(chosen, pairs, "left")).astype("<u4")
-                by_word, by_pair = np.searchsorted(words >> np.uint64(32), bounds), np.searchsorted(pairs >> np.uint64(24), bounds)
-                out = [(name.as_py(), k, pack_sorted(words[a:b]), pack(word_counts[a:b]), pack_sorted(pairs[c:d]), pack(pair_counts[c:d]))
-                       for k, (a, b, c, d) in enumerate(zip(by_word, by_word[1:], by_pair, by_pair[1:])) if b > a or d > c]
+                levels = [(words, np.bincount(ids[learnt], minlength=len(words)), 32)]
+                for at, grams in _grams(words[ids], np.cumsum(lengths) - lengths, order):
+                    distinct, chosen = np.unique(grams), np.sort(grams[learnt[at]])
+                    levels.append((distinct, np.searchsorted(chosen, distinct, "right") - np.searchsorted(chosen, distinct, "left"), 24))
+                out = []
+                for level, (keys, n, shift) in enumerate(levels, 1):
+                    cuts = np.searchsorted(keys >> np.uint64(shift), bounds)
+                    out += [(name.as_py(), level, k, pack_sorted(keys[a:b]), pack(n[a:b].astype("<u4")))
+                            for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), [
-                    pa.int64(), pa.int32(), *[pa.binary()] * 4])], names=["block", "shard", "words", "word_counts", "pairs", "pair_counts"])
+                    pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])], names=["block", "level", "shard", "keys", "counts"])
 
     return texts.select("block", "words", "ids", "lengths", "train").mapInArrow(run, (
-        "block long, shard int, words binary, word_counts binary, pairs binary, pair_counts binary"))
+        "block long, level int, shard int, keys binary, counts binary"))
 
 
 def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -160,98 +172,136 @@ def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.nd
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """One shard: totals per block in the order of its keys, and in a row of block -1 what the word totals add up to."""
-    shard = table.column("shard")[0].as_py()
-    rows = table.drop_columns(["shard"]).to_pylist()
-    words, sums = _total([unpack_sorted(r["words"]) for r in rows], [unpack(r["word_counts"], "<u4") for r in rows])
-    pairs, _ = _total([unpack_sorted(r["pairs"]) for r in rows], [unpack(r["pair_counts"], "<u4") for r in rows])
-    out = [(r["block"], shard, pack(w), pack(p), None, None, None) for r, w, p in zip(rows, words, pairs)]
-    out.append((-1, shard, None, None, int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())))
+    """One shard of a level: totals per block in the order of its keys, and in a row of block -1 what the totals add up to."""
+    level, shard = table.column("level")[0].as_py(), table.column("shard")[0].as_py()
+    rows = table.select(["block", "keys", "counts"]).to_pylist()
+    totals, sums = _total([unpack_sorted(r["keys"]) for r in rows], [unpack(r["counts"], "<u4") for r in rows])
+    out = [(r["block"], level, shard, pack(t), None, None, None) for r, t in zip(rows, totals)]
+    out.append((-1, level, shard, None, int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())))
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out), [
-        pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])],
-        names=["block", "shard", "word_totals", "pair_totals", "v", "n1", "n2"])
+        pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()])],
+        names=["block", "level", "shard", "totals", "v", "n1", "n2"])
 
 
 class Automaton:
-    """The part of the model that one block's texts can visit. Words are numbers; state -1 is the empty history."""
+    """The part of the model that one block's texts can visit. A state is a gram of the block, by its hash; 0 words: the empty history.
 
-    def __init__(self, words, word_totals, pairs, pair_totals, before, after, n_tokens, v, n1, n2, prior):
+    `totals` are the training counts of the block's distinct grams per level, `grams` their hashes, `ends` a place where each of them ends.
+    """
+
+    def __init__(self, words, ids, totals, grams, ends, n_tokens, v, n1, n2, prior):
         discount = n1 / (n1 + 2 * n2) if n1 else 0.5
         discount = min(max(discount, 0.01), 0.99)
         unknown = discount * v / n_tokens if n_tokens else 1.0
-        with np.errstate(divide="ignore"):
-            single = np.where(word_totals > 0, (word_totals - discount) / max(n_tokens, 1), unknown)
-        self.single = np.log10(single)
-        history = word_totals.astype(np.float64)
-        end = np.searchsorted(words, END)
-        starts = float(word_totals[end])  # as many texts begin as end
-        self.start = len(words) if starts else -1
-        history = np.append(history, starts)
-        self.is_state = history > 0
-        self.failure = np.log10(prior / (history + prior))
-        seen = pair_totals > 0
-        self.arcs = pairs[seen]
-        h = np.where(before[seen] < 0, len(words), before[seen])
-        self.weights = np.log10((pair_totals[seen] + prior * single[after[seen]]) / (history[h] + prior))
-        self.word_hash = np.append(words, START)
+        single = np.where(totals[0] > 0, (totals[0] - discount) / max(n_tokens, 1), unknown)
+        self.words, self.single = words, np.log10(single)
+        starts = float(totals[0][np.searchsorted(words, END)])  # as many texts begin as end
+        # States by the hash of their words: single words, START, then the grams that can be histories.
+        keys, seen = [np.append(words, START)], [np.append(totals[0], starts)]
+        order = np.argsort(keys[0])
+        keys[0], seen[0] = keys[0][order], seen[0][order]
+        self.arcs, self.weights, self.keys, self.failures = [], [], [], []
+        below = single[ids]  # probability of each token of the block, given its history of the level below
+        for level, (key, total, (at, at_gram, history)) in enumerate(zip(grams, totals[1:], ends)):
+            before = np.minimum(np.searchsorted(keys[level], history), len(keys[level]) - 1)
+            c = np.where(keys[level][before] == history, seen[level][before], 0).astype(np.float64)
+            gram = np.searchsorted(key, at_gram)
+            now = np.where(c > 0, (total[gram] + prior * below[at]) / (c + prior), below[at])
+            known = np.unique(gram[total[gram] > 0], return_index=True)
+            chosen = np.flatnonzero(total[gram] > 0)[known[1]]
+            self.arcs.append(key[known[0]])
+            self.weights.append(np.log10(now[chosen]))
+            live = seen[level] > 0
+            self.keys.append(keys[level][live])
+            self.failures.append(np.log10(prior / (seen[level][live] + prior)))
+            keys.append(key)
+            seen.append(total)
+            below = below.copy()
+            below[at] = now
 
     def run(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each text, all texts of the block advancing one word per step."""
         order = np.argsort(-lengths, kind="stable")
         left, at = lengths[order], (np.cumsum(lengths) - lengths)[order]
-        state = np.full(len(order), self.start)
+        levels = len(self.arcs)
+        # state[k]: hash of the last k + 1 words where that is a state; the automaton is in the longest one.
+        state = [np.full(len(order), START, np.uint64)] + [np.zeros(len(order), np.uint64) for _ in range(levels - 1)]
+        is_state = [_find(self.keys[0], state[0])[1]] + [np.zeros(len(order), bool) for _ in range(levels - 1)]
         score = np.zeros(len(order))
-        for k in range(int(left[0]) if len(left) else 0):
-            n = int(np.searchsorted(-left, -k, side="left"))
-            word, now = ids[at[:n] + k], state[:n]
-            gain = self.single[word]
-            if len(self.arcs):
-                live = np.flatnonzero(now >= 0)
-                key = pair_hashes(self.word_hash[now[live]], self.word_hash[word[live]])
-                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-                hit = self.arcs[arc] == key
-                gain[live] = np.where(hit, self.weights[arc], gain[live] + self.failure[now[live]])
+        for step in range(int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(-left, -step, side="left"))
+            word = self.words[ids[at[:n] + step]]
+            gain, todo = np.zeros(n), np.arange(n)
+            grams = [pair_hashes(state[k][:n], word) for k in range(levels)]
+            for k in range(levels - 1, -1, -1):
+                own = todo[is_state[k][todo]]
+                arc, hit = _find(self.arcs[k], grams[k][own])
+                gain[own[hit]] += self.weights[k][arc[hit]]
+                missed = own[~hit]
+                gain[missed] += self.failures[k][_find(self.keys[k], state[k][missed])[0]]
+                done = np.zeros(n, bool)
+                done[own[hit]] = True
+                todo = todo[~done[todo]]
+            gain[todo] += self.single[ids[at[todo] + step]]
             score[:n] += gain
-            state[:n] = np.where(self.is_state[word], word, -1)
+            for k in range(levels - 1, 0, -1):
+                state[k][:n] = grams[k - 1]
+                is_state[k][:n] = is_state[k - 1][:n] & _find(self.keys[k], grams[k - 1])[1]
+            state[0][:n] = word
+            is_state[0][:n] = _find(self.keys[0], word)[1]
         out = np.empty(len(order))
         out[order] = score
         return out
 
 
+def _find(ordered: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(ordered):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
+    return at, ordered[at] == values
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR,
-          block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+          block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, order: int = ORDER) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     Words are split at ASCII white space, A-Z lower-cased; each text ends with one end token. NULL and
     empty texts are the end token alone. `train` says which rows the model learns from (NULL: not); repeated rows are
     counted and scored each. Without training rows each word costs nothing, as all are one unknown word. Words are
-    told apart by 64-bit hashes, word pairs by 56-bit ones (`pair_hashes`). An empty table gives no rows.
+    told apart by 64-bit hashes, longer grams by 56-bit ones (`pair_hashes`). `order` is 2 or more: the words of the longest grams. An
+    empty table gives no rows.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = 1 << max(4, math.ceil(math.log2(max(size / shard_bytes, 1))))
     table = blocks(docs, id_col, text_col, train, block_bytes)
-    totals = written(counts(table, shards).groupBy("shard").applyInArrow(
-        _merge, "block long, shard int, word_totals binary, pair_totals binary, v long, n1 long, n2 long"), "lm-totals")
-    v, n1, n2 = (x or 0 for x in totals.where("block = -1").agg(F.sum("v"), F.sum("n1"), F.sum("n2")).first())
+    totals = written(counts(table, shards, order).groupBy("level", "shard").applyInArrow(
+        _merge, "block long, level int, shard int, totals binary, v long, n1 long, n2 long"), "lm-totals")
+    v, n1, n2 = (x or 0 for x in totals.where("block = -1 AND level = 1").agg(F.sum("v"), F.sum("n1"), F.sum("n2")).first())
     n_tokens = table.agg(F.sum("n_train")).first()[0] or 0
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(answers: pa.Table, texts: pa.Table) -> pa.Table:
         row = texts.select(["words", "ids", "doc_ids", "lengths", "train"]).to_pylist()[0]
-        parts = sorted(answers.select(["shard", "word_totals", "pair_totals"]).to_pylist(), key=lambda r: r["shard"])
+        parts = sorted(answers.select(["level", "shard", "totals"]).to_pylist(), key=lambda r: (r["level"], r["shard"]))
         words, ids, lengths = unpack_sorted(row["words"]), unpack(row["ids"], "<u4").astype(np.int64), np.array(row["lengths"])
-        word_totals = np.concatenate([unpack(p["word_totals"], "<i8") for p in parts])
-        pair_totals = np.concatenate([unpack(p["pair_totals"], "<i8") for p in parts])
+        level_totals = [np.concatenate([unpack(p["totals"], "<i8") for p in parts if p["level"] == level] or [np.zeros(0, np.int64)])
+                        for level in range(1, order + 1)]
         first = np.cumsum(lengths) - lengths
-        pairs, at = np.unique(_with_history(words[ids], first), return_index=True)
-        begins = np.zeros(len(ids), bool)
-        begins[first] = True
-        before = np.where(begins[at], -1, ids[at - 1])
-        machine = Automaton(words, word_totals, pairs, pair_totals, before, ids[at], n_tokens, v, n1, n2, prior)
-        base = np.log10((word_totals + 1) / (n_tokens + v + 1))
+        tokens = words[ids]
+        found = _grams(tokens, first, order)
+        history = np.empty_like(tokens)
+        history[1:] = tokens[:-1]
+        history[first] = START
+        ends, last = [(found[0][0], found[0][1], history)], None
+        for (at, _), (longer, grams) in zip(found, found[1:]):
+            last = np.zeros(len(tokens), np.uint64)
+            last[at] = ends[-1][1]
+            ends.append((longer, grams, last[longer - 1]))
+        machine = Automaton(words, ids, level_totals, [np.unique(g) for _, g in found], ends, n_tokens, v, n1, n2, prior)
+        base = np.log10((level_totals[0] + 1) / (n_tokens + v + 1))
         return pa.table([
             texts.column("doc_ids").combine_chunks().flatten(), pa.array(row["train"], pa.bool_()), pa.array(lengths, pa.int64()),
-            pa.array(np.add.reduceat((word_totals > 0)[ids].astype(np.int64), first)),
+            pa.array(np.add.reduceat((level_totals[0] > 0)[ids].astype(np.int64), first)),
             pa.array(np.full(len(lengths), n_tokens, np.int64)), pa.array(np.add.reduceat(base[ids], first)),
             pa.array(machine.run(ids, lengths))],
             names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

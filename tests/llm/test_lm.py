@@ -9,34 +9,39 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import lm, queries
 
 
-def brute(rows, train, prior):
+def brute(rows, train, prior, order=2):
     tokens = [(t or "").encode().lower().split() + [None] for _, t in rows]
-    words, pairs = Counter(), Counter()
+    words, grams = Counter(), Counter()
     for t, learn in zip(tokens, train):
         if learn:
             words.update(t)
-            pairs.update(zip(["^"] + t[:-1], t))
+            padded = ["^"] + t
+            for k in range(2, order + 1):
+                grams.update(tuple(padded[i:i + k]) for i in range(len(padded) - k + 1))
     n, v = sum(words.values()), len(words)
     n1, n2 = (sum(c == k for c in words.values()) for k in (1, 2))
     d = min(max(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.01), 0.99)
-    words_and_start = Counter(words)
-    words_and_start["^"] = words[None]
+    seen = Counter({(w,): c for w, c in words.items()}) + grams
+    seen[("^",)] = words[None]
 
-    def log_p(h, w):
-        p = (words[w] - d) / n if words[w] else (d * v / n if n else 1.0)
-        if words_and_start[h]:
-            p = (pairs[h, w] + prior * p) / (words_and_start[h] + prior)
-        return math.log10(p)
+    def p(h, w):
+        if not h:
+            return (words[w] - d) / n if words[w] else (d * v / n if n else 1.0)
+        below = p(h[1:], w)
+        return (grams[(*h, w)] + prior * below) / (seen[h] + prior) if seen[h] else below
 
-    return [(len(t), sum(words[w] > 0 for w in t), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t),
-             sum(log_p(h, w) for h, w in zip(["^"] + t[:-1], t))) for t in tokens]
+    def total(t):
+        padded = ["^"] + t
+        return sum(math.log10(p(tuple(padded[max(0, i - order + 1):i]), padded[i])) for i in range(1, len(padded)))
 
+    return [(len(t), sum(words[w] > 0 for w in t), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), total(t)) for t in tokens]
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_scores_equal_brute_force(documents, edge_rows, prose, block_bytes):
-    rows = edge_rows[:5] + [(k, prose(k % 7, 40)) for k in range(20, 60)]
-    found = lm.score(documents(rows), train=F.col("doc_id") % 3 != 0, block_bytes=block_bytes).collect()
-    want = brute(rows, [r[0] is not None and r[0] % 3 != 0 for r in rows], lm.PRIOR)
+
+@pytest.mark.parametrize("block_bytes,order", [(1, 2), (1 << 20, 2), (1, 3), (1 << 20, 3), (1 << 20, 5)])
+def test_scores_equal_brute_force(documents, edge_rows, prose, block_bytes, order):
+    rows = edge_rows[:5] + [(k, prose(k % 7, 40)) for k in range(20, 60)] + [(70, "a b"), (71, "a b a b a b c"), (72, "b a b"), (73, "")]
+    found = lm.score(documents(rows), train=F.col("doc_id") % 3 != 0, block_bytes=block_bytes, order=order).collect()
+    want = brute(rows, [r[0] is not None and r[0] % 3 != 0 for r in rows], lm.PRIOR, order)
     key = lambda r: (r[0] or 0, r[1])
     got = sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found], key=key)
     for g, (r, w) in zip(got, sorted([(r, w) for r, w in zip(rows, want)], key=lambda x: (x[0][0] or 0, x[1][0]))):
@@ -44,6 +49,18 @@ def test_scores_equal_brute_force(documents, edge_rows, prose, block_bytes):
         assert g[4:] == pytest.approx(w[3:], rel=1e-9)
 
 
+def test_rows_of_counts_are_bounded_by_grams(documents, prose):
+    """With twice the texts in twice the blocks and any number of shards, a block sends no more rows than it has grams."""
+    sent = {}
+    for n in (20, 40):
+        table = lm.blocks(documents([(k, prose(k, 30)) for k in range(n)]), "doc_id", "text", F.lit(True), block_bytes=2000)
+        for shards in (16, 1 << 14):
+            sent[n, shards] = lm.counts(table, shards, 3).count()
+        grams = sum(len(lm.unpack_sorted(r["keys"])) for r in lm.counts(table, 1, 3).collect())
+        assert sent[n, 1 << 14] <= grams
+    assert all(sent[40, s] <= 2.2 * sent[20, s] for s in (16, 1 << 14))
+
+
 def test_without_training_rows_and_empty_table(documents):
     found = lm.score(documents([(1, "a b"), (2, None)]), train=F.lit(False)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in found] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
@@ -56,10 +73,12 @@ def test_probabilities_of_a_history_sum_to_one():
     history, *others = [k for k in range(5) if k != end]
     totals = np.full(5, 3)
     totals[others[0]] = 0  # stands for all unknown words
-    before, after = np.array([history, history]), np.array([others[1], end])
-    pairs = lm.pair_hashes(words[before], words[after])
+    ids = np.array([history, others[1], history, end])
+    at = np.array([1, 3])
+    pairs = lm.pair_hashes(words[ids[at - 1]], words[ids[at]])
     order = np.argsort(pairs)
-    machine = lm.Automaton(words, totals, pairs[order], np.array([2, 1])[order], before[order], after[order], int(totals.sum()), 4, 1, 1, 10.0)
+    machine = lm.Automaton(words, ids, [totals, np.array([2, 1])[order]], [pairs[order]], [(at, pairs, words[ids[at - 1]])],
+                           int(totals.sum()), 4, 1, 1, 10.0)
     first = machine.run(np.array([history]), np.array([1]))[0]
     total = sum(10 ** (machine.run(np.array([history, w]), np.array([2]))[0] - first) for w in range(5))
     assert total == pytest.approx(1.0)
