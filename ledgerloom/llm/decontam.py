@@ -19,7 +19,8 @@ from ledgerloom.llm.common import small_batches, spans_of, utf8
 from ledgerloom.llm.tokens import NOT_ALPHANUMERIC, Words, mix, split_words
 
 WINDOW_WORDS = 10
-BLOCK_BYTES = 16 << 20  # benchmark text broadcast at a time
+BLOCK_BYTES = 8 << 20  # benchmark text broadcast at a time
+ITEMS_AT_ONCE = 2000
 TEXT_BYTES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,25 +34,38 @@ def _window_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """All windows of some benchmark items: vocabulary, hash set per window length, and items by exact window."""
+    """All windows of some benchmark items, in flat arrays: the items' words, a vocabulary, and per window length the windows by hash.
+
+    A window is kept as the number of its first word and the number of its item: about 40 bytes for each word of the benchmark.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.items_of: dict[bytes, set[str]] = {}
-        found: dict[int, list[np.ndarray]] = {}
-        vocabulary = [np.zeros(0, np.uint64)]
-        for item, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            words = split_words(raw, np.array([0, len(raw)]), NOT_ALPHANUMERIC)
-            n = min(window, len(words))
-            if not n:
-                continue
-            hashes, at = words.hashes(), np.arange(len(words) - n + 1)
-            vocabulary.append(hashes)
-            found.setdefault(n, []).append(_window_hashes(hashes, at, n))
-            for i in at.tolist():
-                self.items_of.setdefault(words.joined(i, i + n), set()).add(item)
-        self.vocabulary = np.unique(np.concatenate(vocabulary))
-        self.hashes = {n: np.unique(np.concatenate(parts)) for n, parts in found.items()}
+        self.items = [item for item, _ in items]
+        parts, hashes, before = [], [np.zeros(0, np.uint64)], 0
+        for at in range(0, len(items), ITEMS_AT_ONCE):  # the hashes of words need much memory for a moment
+            texts = [text.encode() for _, text in items[at:at + ITEMS_AT_ONCE]]
+            words = split_words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), NOT_ALPHANUMERIC)
+            hashes.append(words.hashes())
+            parts.append((words.data, words.begin + before, words.end + before, np.diff(words.first)))
+            before += len(words.data)
+        data, begin, end, n_words = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (list(zip(*parts)) or [()] * 4))
+        self.words = Words(data.astype(np.uint8), begin, end, np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64))
+        hashes = np.concatenate(hashes)
+        self.vocabulary = np.unique(hashes)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        sizes = np.minimum(n_words, window)
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == n)
+            count = n_words[own] - n + 1
+            at = np.repeat(self.words.first[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            found = _window_hashes(hashes, at, n)
+            order = np.argsort(found, kind="stable")
+            self.windows[n] = found[order], at[order], np.repeat(own, count)[order]
+
+    def _items_of(self, n: int, first: int, last: int, text: bytes) -> set[str]:
+        """Items of the windows with a hash that are this text, word by word."""
+        _, at, item = self.windows[n]
+        return {self.items[item[k]] for k in range(first, last) if self.words.joined(at[k], at[k] + n) == text}
 
     def occurrences(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
         """First word, length and items of each window of the set within each of the texts."""
@@ -61,14 +75,19 @@ class WindowSet:
         known = _contains(self.vocabulary, hashes)
         runs = np.concatenate([[0], np.cumsum(known)])
         text_end = np.repeat(words.first[1:], np.diff(words.first))
-        for n, wanted in self.hashes.items():
+        seen: dict[bytes, set[str]] = {}
+        for n, (wanted, _, _) in self.windows.items():
             at = np.arange(len(hashes) - n + 1)
             at = at[(runs[n:] - runs[:-n] == n) & (at + n <= text_end[:len(at)])] if len(at) else at
-            at = at[_contains(wanted, _window_hashes(hashes, at, n))]
-            for i in at.tolist():
-                items = self.items_of.get(words.joined(i, i + n))
-                if items:
-                    yield i, n, items
+            mine = _window_hashes(hashes, at, n)
+            hit = _contains(wanted, mine)
+            at, mine = at[hit], mine[hit]
+            for i, first, last in zip(at.tolist(), np.searchsorted(wanted, mine).tolist(), np.searchsorted(wanted, mine, "right").tolist()):
+                text = words.joined(i, i + n)
+                if text not in seen:
+                    seen[text] = self._items_of(n, first, last, text)
+                if seen[text]:
+                    yield i, n, seen[text]
 
 
 def _contains(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
