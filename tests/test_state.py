@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import dedup, routing
+from ledgerloom.operators.extract import Limits
 from ledgerloom.plans.weekly import WeeklyLedger
 from ledgerloom.rules import Rules
 from ledgerloom.sources import tables
@@ -320,6 +321,49 @@ def test_a_failed_ledger_write_can_be_repeated(spark, tmp_path, monkeypatch):
     assert rows_of(job.cache.read(), "vendor") == [("Model",)]
 
 
+def test_limits_reach_the_job(spark, tmp_path):
+    text = "\n".join(["Shop"] + ["TOTAL: $1.00"] * 5 + ["TOTAL: $9.00"])
+    docs = _docs(spark, [("w1", "a.jpg", text)])
+    cut = WeeklyLedger(spark, str(tmp_path / "cut"), Rules())
+    whole = WeeklyLedger(spark, str(tmp_path / "whole"), Rules(), limits=Limits(amount_candidates=None, vendor_lines=None))
+    assert rows_of(cut.process(docs, "1"), "amount") == [(1.0,)]
+    assert rows_of(whole.process(docs, "1"), "amount") == [(9.0,)]
+
+
+def test_a_week_under_its_id_again_with_a_model_and_csv(spark, tmp_path):
+    """After an undo the same id asks for what was not cached, and CSV, totals and duplicates follow."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def provider():
+        def answer(prompts):
+            for _ in prompts:
+                (asked / uuid.uuid4().hex).touch()
+            return ['{"vendor": "Model", "confidence": 0.9}' if "known" in p else '{"vendor": "Weak", "confidence": 0.1}' for p in prompts]
+
+        return answer
+
+    job = WeeklyLedger(spark, str(tmp_path / "job"), Rules(), "", provider, keep_totals=True)
+    docs = _docs(spark, [("w1", "a.jpg", "known\nTOTAL: $5.00"), ("w1", "b.jpg", "Shop Two\nTOTAL: $7.00")])
+
+    def whole():
+        rows = job.process(docs, "w1")
+        job.register(rows, "w1")
+        job.export(rows, "w1")
+        job.reports(rows, spark.createDataFrame([], "week_id string, source_file string, pages int, seq string"), str(tmp_path / "csv"))
+        return rows_of(rows, "source_file", "vendor", "amount")
+
+    first = whole()
+    assert whole() == first and len(list(asked.iterdir())) == 2
+    job.undo_week("w1", csv_path=str(tmp_path / "csv"))
+    assert job.ledger.read().count() == job.exports.read().count() == job.registry.read().count() == job.totals.categories().count() == 0
+    assert not [p for p in (tmp_path / "csv").iterdir() if p.name.startswith("week_id")]
+    assert whole() == first and len(list(asked.iterdir())) == 3
+    assert job.ledger.read().count() == job.exports.read().count() == job.registry.read().count() == 2
+    assert rows_of(job.totals.categories(), "total", "n_rows") == [(12.0, 2)]
+    assert [p.name for p in (tmp_path / "csv").iterdir() if p.name.startswith("week_id")] == ["week_id=w1"]
+
+
 @pytest.mark.parametrize("rows_per_task", [1_000_000, 3])
 def test_targets_are_unique_for_adversarial_names(spark, rows_per_task):
     """Names that look like the ones that are made up: own, with hashes, with numbers, taken and arriving."""
