@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import listing, totals
-from ledgerloom.plans.weekly import canonical_rows, extract
+from ledgerloom.plans.weekly import extract
 from ledgerloom.sources.csv import read_csv, write_csv
 from ledgerloom.sources.documents import keep_documents
 from workload import tables as T
