@@ -13,7 +13,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 JOINED_UNITS = 2048  # units that a library encodes as one text
-CACHED_UNITS = 400_000  # units of one cache generation; two are kept
+CACHED_UNITS = 250_000  # units of one cache generation; two are kept
 SPACE = "▁"
 
 # White space and what follows it up to the next: byte-level patterns start a new piece at each run of white space.
