@@ -10,10 +10,8 @@ a range of ids is read by expanding only the symbols that cover it.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,40 +23,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.common import new_path, small_batches
+from ledgerloom.llm.common import new_path, small_batches, spans_of, utf8
+from ledgerloom.llm.tokens import range_hashes
 from ledgerloom.llm.vocabulary import ByteLevel
 
 END_ID = 0
 SHARD_IDS = 1 << 20
 MIN_COUNT = 16  # occurrences of a pair in a shard that make a rule; a pair of equal symbols counts its overlaps
-CACHED_UNITS = 400_000  # units of one cache generation; two are kept
+CACHED_UNITS = 2_000_000  # units of one cache generation; two are kept
+POOL_IDS = 1 << 24  # ids that a generation holds before a new one begins
 JOINED_UNITS = 2048  # units that the library encodes as one text
+TEXT_BYTES = 4 << 20  # of text encoded at once
 LIBRARY_BATCH = 64  # whole texts that the library encodes at once: its results are large
 MAGIC = b"RPG1"
 
-# White space and what follows it up to the next: the tokenizer begins a new piece at each run of white space.
-_UNIT = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+$")
-_BLANK = " \n\r\t"
-_PLAIN_TEXT = re.compile("[\n\r\t\x20-\x7e\xa1-ɏ]*")
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \n\r\t")] = True
+# Bytes that texts of plain Latin characters do not have; those of two bytes begin with 0xC2 (from U+00A1 on) to 0xC9 (to U+024F).
+_ODD = np.ones(256, bool)
+_ODD[list(b" \n\r\t")] = False
+_ODD[0x21:0x7F] = _ODD[0x80:0xC0] = _ODD[0xC2:0xCA] = False
+
 
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Generation:
+    """Ids of units by their hash: sorted hashes, and where the ids of each lie in the pool."""
+
+    def __init__(self):
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+    def put(self, ids: np.ndarray) -> int:
+        """Where the pool now has these ids."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(self.pool), len(ids)), "<u4")])
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def add(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Hashes that it does not have yet, in any order."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.begin, self.size = (np.insert(x, at, y[order]) for x, y in (
+            (self.keys, hashes), (self.begin, begin), (self.size, size)))
+
+
 class Encoder:
     """Encodes texts with a byte-level tokenizer file of the tokenizers library; units seen before come from a cache.
 
-    Only texts of plain Latin characters and white space are cut into units here; any other text, and one in which
-    the name of a special token may stand, is encoded by the library as a whole. New units are encoded as one joined text
-    and cut again by the byte lengths of their tokens.
+    A unit is white space and what follows it up to the next: the tokenizer begins a new piece at each run of white space. Only texts of
+    plain Latin characters are cut into units here; any other text, and one in which the name of a special token
+    may stand, is encoded by the library as a whole. New units are encoded as one joined text and cut again by the byte lengths of
+    their tokens. Units are told apart by 64-bit hashes: two of ten million are mistaken for each other in one of 400,000 runs.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sizes = ByteLevel(path).sizes
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Generation(), _Generation()
 
     @classmethod
     def shared(cls, path: str) -> "Encoder":
@@ -67,54 +100,99 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for i in range(0, len(texts), LIBRARY_BATCH):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i:i + LIBRARY_BATCH], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[i:i + LIBRARY_BATCH], add_special_tokens=False)]
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        alone = [u for u in units if u[0] not in _BLANK or u[-1] in _BLANK]  # would run into the unit beside it
-        self.young.update(zip(alone, self._whole(alone)))
-        joined = [u for u in units if u[0] in _BLANK and u[-1] not in _BLANK]
+    def _learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Ids of units (bytes begin to end - 1 of data) that no generation has."""
+        raw = data.tobytes()
+        alone = ~_BLANK[data[begin]] | _BLANK[data[end - 1]]  # would run into the unit beside it
+        at, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        lone = np.flatnonzero(alone)
+        for k, ids in zip(lone.tolist(), self._whole([raw[a:b].decode() for a, b in zip(begin[lone].tolist(), end[lone].tolist())])):
+            at[k], size[k] = self.young.put(ids), len(ids)
+        joined = np.flatnonzero(~alone)
         for k in range(0, len(joined), JOINED_UNITS):
             part = joined[k:k + JOINED_UNITS]
-            raw = self._whole(["".join(part)])[0]
-            ends = np.cumsum([len(u.encode()) for u in part])
-            cuts = [0, *((np.searchsorted(np.cumsum(self.sizes[np.frombuffer(raw, "<u4")]), ends) + 1) * 4).tolist()]
-            self.young.update(zip(part, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:])]))
-
-    def _know(self, units: set[str]) -> None:
-        """Have all units in the younger generation of the cache; the older one is what was in use before it was full."""
-        missing = units.difference(self.young)
-        if missing:
-            if len(self.young) > CACHED_UNITS:
-                self.old, self.young, missing = self.young, {}, units
-            kept = [u for u in missing if u in self.old]
-            self.young.update(zip(kept, map(self.old.__getitem__, kept)))
-            self._learn(list(missing.difference(kept)))
+            text = b"".join([raw[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())])
+            ids = self._whole([text.decode()])[0]
+            cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(end[part] - begin[part])) + 1])
+            at[part], size[part] = self.young.put(ids) + cuts[:-1], np.diff(cuts)
+        self.young.add(hashes, at, size)
+
+    def _know(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        """Have distinct units in the younger generation; the older one is what was in use before it was full."""
+        missing = np.flatnonzero(~self.young.find(hashes)[1])
+        if len(missing) and len(self.young.keys) + len(missing) > CACHED_UNITS:
+            self.old, self.young, missing = self.young, _Generation(), np.arange(len(hashes))
+        at, kept = self.old.find(hashes[missing])
+        at, again = at[kept], missing[kept]
+        if len(again):
+            size = self.old.size[at]
+            place = np.repeat(self.old.begin[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            start = self.young.put(self.old.pool[place])
+            self.young.add(hashes[again], start + np.cumsum(size) - size, size)
+        missing = missing[~kept]
+        if len(missing):
+            self._learn(data, begin[missing], end[missing], hashes[missing])
+
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, each with `end_id` after it if there is one, and how many each text has."""
+        data, offsets = utf8(column)
+        n, first, last = len(offsets) - 1, offsets[:-1], offsets[1:]
+        after = np.append(data[1:], np.uint8(0))
+        odd = _ODD[data] | ((data == 0xC2) & (after < 0xA1)) | ((data == 0xC9) & (after > 0x8F))
+        counts = np.concatenate([[0], np.cumsum(odd)])
+        whole = counts[last] > counts[first]
+        raw = data.tobytes() if len(data) else b""
+        for name in self.special:
+            at = raw.find(name)
+            while at >= 0:  # also one that reaches over two texts: both are encoded whole
+                whole[np.searchsorted(last, [at, at + len(name) - 1], side="right").clip(0, max(n - 1, 0))] = True
+                at = raw.find(name, at + 1)
+        blank = _BLANK[data]
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = blank[1:] & ~blank[:-1]
+        starts[first[first < last]] = True
+        begin = np.flatnonzero(starts[:-1])
+        text_of = np.searchsorted(last, begin, side="right")
+        end = np.append(begin[1:], len(data))
+        plain = ~whole[text_of]
+        begin, end, text_of = begin[plain], end[plain], text_of[plain]
+        hashes = range_hashes(data, begin, end)
+        distinct, where, unit = np.unique(hashes, return_index=True, return_inverse=True)
+        self._know(data, begin[where], end[where], distinct)
+        young = self.young
+        slot = young.find(distinct)[0]
+        at, size = young.begin[slot][unit], young.size[slot][unit]
+        extra_at, extra_size, extra_of = [], [], []
+        lone = np.flatnonzero(whole)
+        for k, ids in zip(lone.tolist(), self._whole([raw[a:b].decode() for a, b in zip(first[lone].tolist(), last[lone].tolist())])):
+            extra_at.append(young.put(ids))
+            extra_size.append(len(ids))
+            extra_of.append(k)
+        if end_id is not None:
+            extra_at += [young.put(np.array([end_id], "<u4"))] * n
+            extra_size += [1] * n
+            extra_of += range(n)
+        at, size = np.concatenate([at, np.array(extra_at, np.int64)]), np.concatenate([size, np.array(extra_size, np.int64)])
+        text_of = np.concatenate([text_of, np.array(extra_of, np.int64)])
+        order = np.argsort(text_of, kind="stable")
+        at, size, text_of = at[order], size[order], text_of[order]
+        place = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        ids, lengths = young.pool[place], np.bincount(text_of, weights=size, minlength=n).astype(np.int64)
+        if young.used > POOL_IDS:  # whole texts and end ids stay in the pool: begin anew now and then
+            self.old, self.young = self.young, _Generation()
+        return ids, lengths
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        out: list[bytes] = [b""] * len(texts)
-        rest = []
-        for i in range(0, len(texts), 256):
-            split, every = [], set()
-            for k in range(i, min(i + 256, len(texts))):
-                text = texts[k]
-                if _PLAIN_TEXT.fullmatch(text) and not any(s in text for s in self.special):
-                    units = _UNIT.findall(text)
-                    split.append((k, units))
-                    every.update(units)
-                else:
-                    rest.append(k)
-            self._know(every)
-            get = self.young.__getitem__
-            for k, units in split:
-                out[k] = b"".join(map(get, units))
-        for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
-            out[k] = ids
-        return out
+        ids, lengths = self.encode_column(pa.array(texts, pa.string()))
+        cuts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _chosen_pairs(seq: np.ndarray, n_symbols: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,26 +324,31 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        names, found, size, id_type = [], [], 0, None
+        encoder, part, shard, id_type = Encoder.shared(tokenizer), TaskContext.get().partitionId(), 0, None
+        names, ids, lengths, size = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            ids, lengths = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+            content = to_file(np.concatenate(ids), np.concatenate(lengths), **options)
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([names], pa.list_(id_type)),
-                pa.array([len(ids)], pa.int64()), pa.array([to_file(ids, lengths, **options)], pa.binary())],
-                names=["part", "shard", "doc_ids", "n_ids", "content"])
+                pa.array([size], pa.int64()), pa.array([content], pa.binary())], names=["part", "shard", "doc_ids", "n_ids", "content"])
 
         for batch in batches:
-            id_type = batch.column(0).type
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                names.append(name)
-                found.append(ids + end)
-                size += len(ids) // 4 + 1
-                if size >= shard_ids:
-                    yield closed()
-                    names, found, size, shard = [], [], 0, shard + 1
+            id_type, offsets = batch.column(0).type, utf8(batch.column(1))[1]
+            for i, j in spans_of(offsets, TEXT_BYTES):
+                found, each = encoder.encode_column(batch.column(1)[i:j], end_id)
+                ends, begin = np.cumsum(each), 0
+                while begin < j - i:  # up to the document with which the shard is full
+                    before = int(ends[begin - 1]) if begin else 0
+                    stop = min(j - i, int(np.searchsorted(ends, before + shard_ids - size)) + 1)
+                    names += batch.column(0)[i + begin:i + stop].to_pylist()
+                    ids.append(found[before:int(ends[stop - 1])])
+                    lengths.append(each[begin:stop])
+                    size += len(ids[-1])
+                    begin = stop
+                    if size >= shard_ids:
+                        yield closed()
+                        names, ids, lengths, size, shard = [], [], [], 0, shard + 1
         if names:
             yield closed()
 
