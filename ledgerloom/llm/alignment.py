@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import small_batches, written, written_kinds
+from ledgerloom.llm.common import small_batches, spans_of, utf8, written, written_kinds
 from ledgerloom.llm.vocabulary import Encoders
 
 BLOCK_BYTES = 24 << 20  # text of one block
-PIECE_BYTES = 4 << 20  # text aligned at once
+PIECE_BYTES, PIECE_TEXTS = 2 << 20, 1 << 16  # aligned at once
 
 
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +78,10 @@ def _digits(n: int) -> np.ndarray:
 class _Piece:
     """Some texts with their tokens, aligned."""
 
-    def __init__(self, encoders: Encoders, texts: list[str]):
-        found = encoders.encode(texts)
-        ids = [[x[side] if x and t else b"" for x, t in zip(found, texts)] for side in (0, 1)]
-        self.ids = [np.frombuffer(b"".join(x), "<u4") for x in ids]
-        self.first = [np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]) for part in ids]
+    def __init__(self, encoders: Encoders, texts: pa.Array):
+        found = encoders.encode_column(texts)
+        self.ids = [ids for ids, _ in found]
+        self.first = [np.concatenate([[0], np.cumsum(lengths)]) for _, lengths in found]
         self.ends = [np.cumsum(codec.sizes[x]) for codec, x in zip(encoders.codecs, self.ids)]
         self.cut = aligned(*self.ends, *self.first)
 
@@ -150,7 +149,7 @@ class _Block:
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, ids: list, encoders: Encoders, texts: list[str]) -> None:
+    def add(self, ids: list, encoders: Encoders, texts: pa.Array) -> None:
         piece = _Piece(encoders, texts)
         n_a, n_b, n_groups = np.diff(piece.first[0]), np.diff(piece.first[1]), piece.n_groups()
         spelt = piece.spelt([_digits_of(len(c.sizes)) for c in encoders.codecs])
@@ -185,14 +184,6 @@ def blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders, name, block, id_type = Encoders.shared(tokenizer_a, tokenizer_b), TaskContext.get().partitionId() << 32, _Block(), None
-        ids, texts, size = [], [], 0
-
-        def added() -> None:
-            nonlocal ids, texts, size
-            block.add(ids, encoders, texts)
-            block.size += size
-            ids, texts, size = [], [], 0
-
         def closed() -> Iterator[pa.RecordBatch]:
             nonlocal name, block
             row, pairs, held = block.closed()
@@ -208,13 +199,21 @@ def blocks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, id_col: str, tex
                      *[pa.nulls(len(part), t) for t in types]], names=["block", "pair", "n", *names])
             name, block = name + 1, _Block()
 
+        ids, texts, size = [], [], 0
+
+        def added() -> None:
+            nonlocal ids, texts, size
+            block.add(ids, encoders, pa.concat_arrays(texts))
+            block.size += size
+            ids, texts, size = [], [], 0
+
         for batch in batches:
-            id_type = batch.column(0).type
-            for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(one)
-                texts.append(text)
-                size += len(text) + 1
-                if size >= PIECE_BYTES:
+            id_type, offsets = batch.column(0).type, utf8(batch.column(1))[1]
+            for i, j in spans_of(offsets, PIECE_BYTES):
+                ids += batch.column(0)[i:j].to_pylist()
+                texts.append(batch.column(1)[i:j])
+                size += int(offsets[j] - offsets[i])
+                if size >= PIECE_BYTES or len(ids) >= PIECE_TEXTS:
                     added()
                     if block.size >= block_bytes:
                         yield from closed()

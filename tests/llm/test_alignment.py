@@ -3,10 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import alignment
+from ledgerloom.llm import alignment, vocabulary
 from ledgerloom.llm.parameters import byte_tokenizer, piece_tokenizer
 from ledgerloom.llm.vocabulary import ByteLevel, Encoders, SentencePiece
 
@@ -79,9 +81,17 @@ def test_diagonal_runs():
         assert cut_a.tolist() == np.isin(a, b).tolist() and cut_b.tolist() == np.isin(b, a).tolist()
 
 
-def test_cached_units_equal_whole_texts(prose):
+@pytest.mark.parametrize("cached", [50, 1 << 20])
+def test_cached_units_equal_whole_texts(prose, monkeypatch, cached):
+    monkeypatch.setattr(vocabulary, "CACHED_UNITS", cached)
     encoders = Encoders(byte_tokenizer(), piece_tokenizer())
-    texts = [prose(k, 80).replace("on ", "on.\n", 3).replace("re ", "re  ", 2) for k in range(50)] + ["x ", "\n", " lead", "Ünïcode ɏ word's they'll 12,5"]
+    texts = [prose(k, 80).replace("on ", "on.\n", 3).replace("re ", "re  ", 2) for k in range(50)] + [
+        "", "x ", "\n", " lead", "Ünïcode ɏ word's they'll 12,5", "日本語", "a ▁ mark", "", "tab\tand \r", "ɐ", "<|endoftext|> </s>", "last"]
     whole = [c.encode(texts) for c in encoders.codecs]
-    for found, a, b in zip(encoders.encode(texts), *whole):
-        assert found == (a.tobytes(), b.tobytes())
+    for _ in range(2):
+        found = encoders.encode_column(pa.array(texts, pa.string()))
+        for codec, want, (ids, lengths) in zip(encoders.codecs, whole, found):
+            cuts = np.concatenate([[0], np.cumsum(lengths)])
+            for k, text in enumerate(texts):
+                own = [] if text in ("", "a ▁ mark") else want[k].tolist()
+                assert ids[cuts[k]:cuts[k + 1]].tolist() == own, text
