@@ -195,21 +195,27 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _pair_keys(seq: np.ndarray, n_symbols: int) -> tuple[np.ndarray, int]:
+    """Each pair of neighbours as one number, as narrow as the symbols allow, and the bits of its right end."""
+    bits, kind = (16, np.uint32) if n_symbols <= 1 << 16 else (32, np.uint64)
+    return seq[:-1].astype(kind) << kind(bits) | seq[1:].astype(kind), bits
+
+
 def _chosen_pairs(seq: np.ndarray, n_symbols: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs to replace in a round, most frequent first: keys in order, and which symbols are left and right ends."""
     left, right = np.zeros(n_symbols, bool), np.zeros(n_symbols, bool)
-    bins = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
-    often = np.bincount(bins, minlength=1 << 20) >= min_count  # no pair that occurs often enough is missed
-    at = np.flatnonzero(often[bins])
-    keys, counts = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
-    keys, counts = keys[counts >= min_count], counts[counts >= min_count]
+    every, bits = _pair_keys(seq, n_symbols)
+    ordered = np.sort(every)
+    keys = np.unique(ordered[min_count - 1:][ordered[min_count - 1:] == ordered[:len(ordered) - min_count + 1]]) if len(ordered) >= min_count else ordered[:0]
+    counts = np.searchsorted(ordered, keys, "right") - np.searchsorted(ordered, keys)
+    mask = (1 << bits) - 1
     kept = []
     for key in keys[np.argsort(-counts, kind="stable")].tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+        a, b = key >> bits, key & mask
         if a != b and not right[a] and not left[b] or a == b and not left[a] and not right[a]:
             left[a] = right[b] = True
             kept.append(key)
-    return np.array(sorted(kept), np.uint64), left, right
+    return np.array(sorted(kept), every.dtype), left, right
 
 
 def _apart(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -231,7 +237,8 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarr
         if not len(keys):
             break
         at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        every, bits = _pair_keys(seq, n)
+        pair = every[at]
         rule = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
         hit = keys[rule] == pair
         at, rule = at[hit], rule[hit]
@@ -241,7 +248,7 @@ def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[int, np.ndarr
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"))
+        rules.append(np.stack([keys >> keys.dtype.type(bits), keys & keys.dtype.type((1 << bits) - 1)], axis=1).astype("<u4"))
         n += len(keys)
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), "<u4"), seq
 
