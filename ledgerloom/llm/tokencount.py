@@ -9,17 +9,18 @@ cut again with chunks and overlaps WIDER times as long, at last as one chunk.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.common import small_batches, written, written_kinds
+from ledgerloom.llm.common import small_batches, spans_of, utf8, written, written_kinds
+from ledgerloom.llm.tokens import range_hashes
 from ledgerloom.llm.vocabulary import SentencePiece
 
 CHUNK_CHARS = 16_384
@@ -27,15 +28,22 @@ OVERLAP_CHARS = 512
 WIDER = 8
 GUARD = 64  # characters at both ends of an overlap in which no place counts: names of special tokens and lookaheads are shorter
 JOINED_UNITS = 2048
-CACHED_UNITS = 400_000
+CACHED_UNITS = 2_000_000  # units of one cache generation; two are kept
 LIBRARY_BATCH = 64
+TEXT_BYTES = 4 << 20
 
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
-_PLAIN_TEXT = re.compile("[\n\x20-\x7e\xa1-ɏ]*")
+# Bytes that texts of plain Latin characters and spaces do not have; those of two bytes begin with 0xC2 (from U+00A1 on) to 0xC9 (to U+024F).
+_ODD = np.ones(256, bool)
+_ODD[[0x0A, 0x20]] = False
+_ODD[0x21:0x7F] = _ODD[0x80:0xC0] = _ODD[0xC2:0xCA] = False
 
 
 class JsonCounter:
-    """Counts with a file of the tokenizers library; units of plain text seen before come from a cache."""
+    """Counts with a file of the tokenizers library; units of plain text seen before come from a cache.
+
+    A unit is white space and what follows it up to the next: pieces never go on from a letter into white space. Units are told apart by
+    64-bit hashes: two of ten million are mistaken for each other in one of 400,000 runs.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,65 +52,83 @@ class JsonCounter:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.longest = max([len(t.content) for t in added], default=0)
         self.cuttable = not any(t.lstrip or t.rstrip or any(c in t.content for c in " \n") for t in added)
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
+        self.young, self.old = _Counts(), _Counts()
 
-    def _learn(self, units: list[str]) -> None:
-        alone = [u for u in units if u[0] not in " \n" or u[-1] in " \n"]  # would run into the unit beside it
-        self.young.update(zip(alone, self._whole(alone)))
-        joined = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]
+    def _whole(self, texts: list[str]) -> list[int]:
+        out = []
+        for k in range(0, len(texts), LIBRARY_BATCH):
+            out += map(len, self.tokenizer.encode_batch_fast(texts[k:k + LIBRARY_BATCH], add_special_tokens=False))
+        return out
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Tokens of each unit."""
+        out = np.zeros(len(units), np.int64)
+        alone = np.array([u[0] not in " \n" or u[-1] in " \n" for u in units], bool)  # would run into the unit beside it
+        out[alone] = self._whole([units[k] for k in np.flatnonzero(alone).tolist()])
+        joined = np.flatnonzero(~alone)
         for k in range(0, len(joined), JOINED_UNITS):
-            part = joined[k:k + JOINED_UNITS]
+            part = [units[i] for i in joined[k:k + JOINED_UNITS].tolist()]
             starts = np.cumsum([0, *map(len, part)])
             found = self.tokenizer.encode("".join(part), add_special_tokens=False)
             # A token may begin before or behind the space of its word; it ends in its unit in any case.
             ends = np.array([end for _, end in found.offsets], np.int64)
-            self.young.update(zip(part, np.diff(np.searchsorted(ends, starts, "right")).tolist()))
-
-    def _whole(self, texts: list[str]) -> list[int]:
-        out = []
-        for k in range(0, len(texts), LIBRARY_BATCH):
-            out += map(len, self.tokenizer.encode_batch_fast(texts[k:k + LIBRARY_BATCH], add_special_tokens=False))
+            out[joined[k:k + JOINED_UNITS]] = np.diff(np.searchsorted(ends, starts, "right"))
         return out
 
-    def _know(self, units: set[str]) -> None:
-        missing = units.difference(self.young)
-        if missing:
-            if len(self.young) > CACHED_UNITS:
-                self.old, self.young, missing = self.young, {}, units
-            kept = [u for u in missing if u in self.old]
-            self.young.update(zip(kept, map(self.old.__getitem__, kept)))
-            self._learn(list(missing.difference(kept)))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        out, whole = [0] * len(texts), []
-        for i in range(0, len(texts), 256):
-            split, every = [], set()
-            for k in range(i, min(i + 256, len(texts))):
-                if self.cuttable and _PLAIN_TEXT.fullmatch(texts[k]):
-                    units = _UNIT.findall(texts[k])
-                    split.append((k, units))
-                    every.update(units)
-                else:
-                    whole.append(k)
-            self._know(every)
-            get = self.young.__getitem__
-            for k, units in split:
-                out[k] = sum(map(get, units))
-        for k, n in zip(whole, self._whole([texts[k] for k in whole])):
-            out[k] = n
+    def _tokens(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of the units from begin to end - 1."""
+        hashes, where, unit = np.unique(range_hashes(data, begin, end), return_index=True, return_inverse=True)
+        missing = np.flatnonzero(~self.young.find(hashes)[1])
+        if len(missing) and len(self.young.keys) + len(missing) > CACHED_UNITS:
+            self.old, self.young, missing = self.young, _Counts(), np.arange(len(hashes))
+        at, kept = self.old.find(hashes[missing])
+        self.young.add(hashes[missing[kept]], self.old.counts[at[kept]])
+        missing = missing[~kept]
+        if len(missing):
+            raw = data.tobytes()
+            units = [raw[a:b].decode() for a, b in zip(begin[where[missing]].tolist(), end[where[missing]].tolist())]
+            self.young.add(hashes[missing], self._learn(units))
+        return self.young.counts[self.young.find(hashes)[0]][unit]
+
+    @staticmethod
+    def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and text of each unit; which texts are plain."""
+        first, last = offsets[:-1], offsets[1:]
+        after = np.append(data[1:], np.uint8(0))
+        odd = _ODD[data] | ((data == 0xC2) & (after < 0xA1)) | ((data == 0xC9) & (after > 0x8F))
+        counts = np.concatenate([[0], np.cumsum(odd)])
+        blank = (data == 32) | (data == 10)
+        starts = np.zeros(len(data), bool)
+        starts[1:] = blank[1:] & ~blank[:-1]
+        starts[first[first < last]] = True
+        begin = np.flatnonzero(starts)
+        return begin, np.append(begin[1:], len(data)), np.searchsorted(last, begin, side="right"), counts[last] == counts[first]
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        out = np.zeros(len(column), np.int64)
+        data, offsets = utf8(column)
+        for i, j in spans_of(offsets, TEXT_BYTES):
+            part, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+            begin, end, text_of, plain = self._units(part, cuts)
+            plain &= self.cuttable
+            kept = plain[text_of]
+            n = self._tokens(part, begin[kept], end[kept])
+            out[i:j] = np.bincount(text_of[kept], weights=n, minlength=j - i)
+            whole = np.flatnonzero(~plain)
+            out[i + whole] = self._whole([part[cuts[k]:cuts[k + 1]].tobytes().decode() for k in whole.tolist()])
         return out
 
     def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of tokens; places in the text where a piece ends, and how many tokens lie before each.
 
-        Of plain text these are the ends of its units, as pieces never go on from a letter into white space.
+        Of plain text these are the ends of its units.
         """
-        if self.cuttable and _PLAIN_TEXT.fullmatch(text):
-            units = _UNIT.findall(text)
-            self._know(set(units))
-            before = np.cumsum([0, *map(self.young.__getitem__, units)])
-            return int(before[-1]), np.cumsum([0, *map(len, units)])[1:-1], before[1:-1]
+        data = np.frombuffer(text.encode(), np.uint8)
+        begin, end, _, plain = self._units(data, np.array([0, len(data)]))
+        if self.cuttable and plain[0]:
+            before = np.concatenate([[0], np.cumsum(self._tokens(data, begin, end))])
+            characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            return int(before[-1]), characters[end[:-1]], before[1:-1]
         found = self.tokenizer.encode(text, add_special_tokens=False)
         end = np.array([e for _, e in found.offsets], np.int64)
         word = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
@@ -110,6 +136,24 @@ class JsonCounter:
         return len(end), end[new - 1], new
 
 
+class _Counts:
+    """Tokens of units, by sorted hashes."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Hashes that are not there yet, ascending."""
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.counts = np.insert(self.keys, at, hashes), np.insert(self.counts, at, counts)
+
+
 class PieceCounter:
     """Counts with a file of the sentencepiece library whose pieces have spaces only in front."""
 
@@ -118,8 +162,8 @@ class PieceCounter:
     def __init__(self, path: str):
         self.codec = SentencePiece(path)
 
-    def counts(self, texts: list[str]) -> list[int]:
-        return [len(ids) for ids in self.codec.model.encode(texts, num_threads=1)]
+    def counts(self, column: pa.Array) -> np.ndarray:
+        return np.array([len(ids) for ids in self.codec.model.encode(column.to_pylist(), num_threads=1)], np.int64)
 
     def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """As in JsonCounter; a piece ends before a run of spaces, as no token goes on from another character into one."""
@@ -165,18 +209,19 @@ def _first_pass(docs: DataFrame, tokenizer: str, chunk: int, overlap: int) -> tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key = counter(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            long = [len(t) > chunk + overlap for t in texts]
-            found = iter(own.counts([t for t, x in zip(texts, long) if not x]))
-            n = len(texts)
+            long = pc.greater(pc.utf8_length(batch.column(1)), chunk + overlap)
+            n, is_long = batch.num_rows, long.to_numpy(zero_copy_only=False)
+            found = np.zeros(n, np.int64)
+            found[~is_long] = own.counts(batch.column(1).filter(pc.invert(long)))
             keys = list(range(key, key + n))
             key += n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column(0), batch.column(2), pa.array([None if x else next(found) for x in long], pa.int64()),
+                [pa.array(keys, pa.int64()), batch.column(0), batch.column(2), pa.array(found, mask=is_long),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_())],
                 names=["key", "doc_id", "n_bytes", "n_tokens", "k", "begin", "part", "last"])
-            for name, text in ((i, t) for i, t, x in zip(keys, texts, long) if x):
-                for k, begin, part, last in _cut(text, chunk, overlap):
+            for at in np.flatnonzero(is_long).tolist():
+                name = keys[at]
+                for k, begin, part, last in _cut(batch.column(1)[at].as_py(), chunk, overlap):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name], pa.int64()), pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                          pa.array([k], pa.int32()), pa.array([begin], pa.int64()), pa.array([part], pa.string()), pa.array([last])],
