@@ -29,10 +29,10 @@ MIN_COUNT = 30
 TOP = 2000
 SCALE = 2_000_000
 SHARE = (80, 100)  # a phrase goes if a longer one has this share of its occurrences
-BLOCK_BYTES = 24 << 20  # text of one block
+BLOCK_BYTES = 16 << 20  # text of one block
 PIECE_BYTES = 1 << 20
 PART_ENTRIES = 1 << 16  # occurrences of a word whose successors are counted in one place
-GROUP_WORDS, LEAST_GROUPS = 32, 1024  # first words whose pairs a block sends as one row
+GROUP_WORDS, LEAST_GROUPS = 64, 1024  # first words whose pairs a block sends as one row
 NUMBER_BITS = 31  # of a frequent word's number, so that two of them are one long
 ROWS = 1 << 15
 NO_LANGUAGE = "und"
