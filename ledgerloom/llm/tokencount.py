@@ -118,17 +118,28 @@ class JsonCounter:
             out[i + whole] = self._whole([part[cuts[k]:cuts[k + 1]].tobytes().decode() for k in whole.tolist()])
         return out
 
-    def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """Number of tokens; places in the text where a piece ends, and how many tokens lie before each.
+    def pieces(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each text its number of tokens; places in it where a piece ends, and how many tokens lie before each.
 
         Of plain text these are the ends of its units.
         """
-        data = np.frombuffer(text.encode(), np.uint8)
-        begin, end, _, plain = self._units(data, np.array([0, len(data)]))
-        if self.cuttable and plain[0]:
-            before = np.concatenate([[0], np.cumsum(self._tokens(data, begin, end))])
-            characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            return int(before[-1]), characters[end[:-1]], before[1:-1]
+        data, offsets = utf8(column)
+        for i, j in spans_of(offsets, TEXT_BYTES):
+            part, cuts = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
+            begin, end, text_of, plain = self._units(part, cuts)
+            plain &= self.cuttable
+            kept = plain[text_of]
+            end, text_of, n = end[kept], text_of[kept], self._tokens(part, begin[kept], end[kept])
+            own = np.searchsorted(text_of, np.arange(j - i + 1))
+            characters = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            for k in range(j - i):
+                if plain[k]:
+                    before = np.concatenate([[0], np.cumsum(n[own[k]:own[k + 1]])])
+                    yield int(before[-1]), characters[end[own[k]:own[k + 1]][:-1]] - characters[cuts[k]], before[1:-1]
+                else:
+                    yield self._pieces(part[cuts[k]:cuts[k + 1]].tobytes().decode())
+
+    def _pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         found = self.tokenizer.encode(text, add_special_tokens=False)
         end = np.array([e for _, e in found.offsets], np.int64)
         word = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
@@ -165,7 +176,10 @@ class PieceCounter:
     def counts(self, column: pa.Array) -> np.ndarray:
         return np.array([len(ids) for ids in self.codec.model.encode(column.to_pylist(), num_threads=1)], np.int64)
 
-    def pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    def pieces(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        return map(self._pieces, column.to_pylist())
+
+    def _pieces(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
         """As in JsonCounter; a piece ends before a run of spaces, as no token goes on from another character into one."""
         ids, spelt = self.codec.encode([text])[0], (" " + text).encode()
         none = np.zeros(0, np.int64)
@@ -240,8 +254,8 @@ def _encoded(chunks: DataFrame, tokenizer: str, chunk: int, overlap: int) -> Dat
         kind = pa.list_(pa.struct([("at", pa.int64()), ("before", pa.int64())]))
         for batch in batches:
             rows = []
-            for key, k, begin, part, last in zip(*(c.to_pylist() for c in batch.columns)):
-                n, places, before = own.pieces(part)
+            names = (batch.column(c).to_pylist() for c in (0, 1, 2, 4))
+            for key, k, begin, last, (n, places, before) in zip(*names, own.pieces(batch.column(3))):
 
                 def inside(left: int) -> list[dict]:
                     i, j = np.searchsorted(places, [left + guard, left + overlap - guard])
