@@ -53,3 +53,30 @@ def test_five_thousand_rules(spark):
     docs = df.selectExpr("id", "text")
     read = {r.id: (r.reading.category, r.reading.matcher) for r in read_texts(docs, rules).where("reading.vendor IS NOT NULL").collect()}
     assert read and all(read[n] == got[n] for n in read)
+
+
+def test_whole_words_of_patterns():
+    assert manyrules.words(r"\bINN\b") == ["inn"] and manyrules.words(r"^a1\b.*") == ["a1"] and manyrules.words(r"x+ \bmill$") == ["mill"]
+    assert manyrules.words(r"\bab\b|\bcd\b") == ["ab", "cd"] and manyrules.words(r"(?:\bab\b)+") == ["ab"]
+    assert manyrules.words(r"\b(?:inn|mill)\b") == ["inn", "mill"] and manyrules.words(r"\b(?:inn)+\b") is None and manyrules.words(r"(x|\b)inn\b") is None
+    assert all(manyrules.words(p) is None for p in ("inn", r"\binn", r"\binn\B", r"\bin+\b", r"\ba b\b", r"(\bab\b)?", r"\bab\b|cd", "\\bé\\b"))
+
+
+def test_words_at_their_edges(spark):
+    """A word next to other letters, marks and folded characters is met as the pattern itself would be."""
+    rules = Rules(matchers=tuple(Matcher(w, w, any=(Condition(text_re=rf"\b{w}\b"),)) for w in ("kiosk", "the", "a_1", "is")))
+    texts = ["KIOSK", "ſthe", "éthe the", "the\u0301", "\u212aıoſk", "x a_1.", "a_12", "İs", "this", "-is-", None, "the\u200dre", "1is is"]
+    rows = [(n, None, text) for n, text in enumerate(texts)]
+    got, df = verdicts(spark, rows, rules)
+    assert got == {r.id: tuple(r.v) for r in df.selectExpr("id", f"{extract.categorize('vendor', 'text', rules)} AS v").collect()}
+
+
+def test_a_text_is_not_repeated_for_the_rules_it_may_meet(spark):
+    """One row of a text leaves each join, whatever the number of rules whose words it holds."""
+    rules = Rules(matchers=tuple(Matcher(f"m{n}", "c", any=(Condition(text_re=rf"\bw{n}\b"),)) for n in range(400)))
+    df = spark.createDataFrame([(1, "v", " ".join(f"w{n}" for n in range(399, -1, -1)))], "id int, vendor string, text string")
+    found = manyrules.with_category(df, "vendor", "text", "v", rules)
+    assert [tuple(r.v) for r in found.collect()] == [("c", "m0")]
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in shown.splitlines() if "Generate" in line]
+    assert generated and all("__text" not in line and "text#" not in line for line in generated)
