@@ -39,3 +39,20 @@ def test_scans(spark, tmp_path, monkeypatch):
     assert [c[:2] for c in again] == [("a.jpg", "same"), ("b.jpg", "same"), ("d.jpg", "same")]
     (folder / "c.jpg").write_text("back")
     assert ("c.jpg", "new", digest("back")) in changes(documents.scan_changes(spark, [str(folder)], seen, "5"))
+
+
+def test_many_fresh_files_are_hashed_without_a_list_of_their_paths(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(12):
+        (folder / f"{n:02d}.jpg").write_text(f"text {n}")
+    os.utime(folder / "03.jpg", (5, 5))
+    monkeypatch.setattr(documents, "MAX_PATHS", 4, raising=False)
+    monkeypatch.setattr(documents, "_read_content", lambda spark, paths: 1 / 0)
+    seen = documents.manifest(spark, str(tmp_path / "state"))
+    assert changes(documents.scan_changes(spark, [str(folder)], seen, "1")) == [(f"{n:02d}.jpg", "new", digest(f"text {n}")) for n in range(12)]
+    for n in range(6):
+        (folder / f"{n:02d}.jpg").write_text(f"new text {n}")
+    os.remove(folder / "11.jpg")
+    want = [(f"{n:02d}.jpg", "changed" if n < 6 else "gone" if n == 11 else "same", digest(f"new text {n}" if n < 6 else f"text {n}")) for n in range(12)]
+    assert changes(documents.scan_changes(spark, [str(folder)], seen, "2")) == want
