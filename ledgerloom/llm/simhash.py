@@ -10,10 +10,10 @@ branch is left out if the triangle bound rules it out, the overlap at its bounda
 
 A fingerprint may have several 64-bit words; partners within the radius over all words are so over the first alone.
 
-`drop_near_duplicates` decides by the texts themselves: rows are linked if the sets of their shingles have a Jaccard
-similarity of 0.8 or more, counted exactly. No fingerprint of fixed size keeps to that limit, so bits are not compared:
-pairs to be counted are those that agree on bands of minima of the set (`minima_of`), whose chance to meet
-depends on nothing but their similarity and is below 1 by 2.7 in a million at 0.8.
+`drop_near_duplicates` links rows by their fingerprints in the same way, and an exact check of the texts follows: rows are linked if
+the sets of their shingles have a Jaccard similarity of 0.8 or more. No fingerprint of fixed size keeps to that limit, so what the
+radius does not find is found by bands of minima of the set (`minima_of`): pairs that agree on one band are counted, and their chance to meet
+depends on nothing but their similarity and is below 1 by 1.3 in ten million at 0.8.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ TEXT_BYTES = 1 << 20
 SIMILARITY = (4, 5)  # near copies share at least this part of all their distinct shingles
 # Sets of similarity s agree on one band with probability s^5, so 40 bands miss a pair at 0.8 with (1 - 0.8^5)^40 = 1.3e-7.
 BANDS, BAND_MINIMA = 40, 5
-SURE_BANDS = 2  # inside a bucket pairs that agree on one band alone are not counted: at 0.8 that misses a pair with a chance of 2.7e-6
+NEAR_RADIUS = 4  # bits in which fingerprints of pairs to be counted may differ
 PIECE_KEYS, PIECE_SHINGLES = 1024, 1 << 21  # of a bucket, compared in one task with as many others
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -70,6 +70,13 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle_words: int, n
     hashes, full, start = shingles_of(data, offsets, shingle_words)
     if not len(full):
         return out
+    out[full] = _fingerprints_of_sets(hashes, start, n_words)
+    return out
+
+
+def _fingerprints_of_sets(hashes: np.ndarray, start: np.ndarray, n_words: int = 1) -> np.ndarray:
+    """SimHash of each run of hashes, n_words x 64 bits."""
+    out = np.zeros((len(start) - 1, n_words), np.uint64)
     n_full = np.diff(start)
     # Bits are counted in runs of at most 255 shingles, eight one-byte counters in each 64-bit word.
     runs = -(-n_full // 255)
@@ -79,7 +86,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle_words: int, n
         lanes = (hashes if k == 0 else mix(hashes + np.uint64(k))).view(np.uint8).reshape(-1, 8)
         counts = np.stack([np.add.reduceat(_SPREAD[lanes[:, j]], cut) for j in range(8)], axis=1)
         counts = np.add.reduceat(counts.view(np.uint8).reshape(-1, BITS).astype(np.int64), run_start[:-1], axis=0)
-        out[full, k] = np.packbits(counts * 2 > n_full[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+        out[:, k] = np.packbits(counts * 2 > n_full[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
@@ -289,7 +296,7 @@ def _with_shingles(rows: DataFrame, shingle_words: int, schema: str, run_set) ->
                 keys = pa.Array.from_buffers(pa.binary(), j - i, [
                     None, pa.py_buffer(np.arange(0, 16 * (j - i) + 1, 16, dtype=np.int32)), pa.py_buffer(key)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], batch.column(1)[i:j], keys, run_set(hashes, full, start, j - i)], names=["doc_id", "h", *names])
+                    [batch.column(0)[i:j], batch.column(1)[i:j], keys, *run_set(hashes, full, start, j - i)], names=["doc_id", "h", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, h long, key binary, {schema}")
@@ -302,14 +309,25 @@ def _lists(values: np.ndarray, full: np.ndarray, sizes: np.ndarray, n: int) -> p
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
 
 
-def _bands(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> pa.Array:
+def _bands(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> list[pa.Array]:
     found = minima_of(hashes, start) if len(full) else np.zeros((0, BANDS), np.uint64)
-    return _lists(found, full, np.full(len(full), BANDS), n)
+    fp = np.zeros(n, np.uint64)
+    if len(full):
+        fp[full] = _fingerprints_of_sets(hashes, start)[:, 0]
+    return [_lists(found, full, np.full(len(full), BANDS), n), pa.array(fp.view(np.int64))]
 
 
-def _sets(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> pa.Array:
+def _sets(hashes: np.ndarray, full: np.ndarray, start: np.ndarray, n: int) -> list[pa.Array]:
     sets = [np.unique(hashes[a:b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist())]
-    return _lists(np.concatenate([np.zeros(0, np.uint64), *sets]), full, np.array([len(x) for x in sets], np.int64), n)
+    return [_lists(np.concatenate([np.zeros(0, np.uint64), *sets]), full, np.array([len(x) for x in sets], np.int64), n)]
+
+
+def _within_radius(nodes: DataFrame) -> DataFrame:
+    """a, b (a > b): pairs of keys whose fingerprints lead to each other, each fingerprint's keys by its smallest one."""
+    same = nodes.groupBy("fp0").agg(F.min("key").alias("rep"))
+    same = written(same, "near-fingerprints")
+    equal = nodes.join(same, "fp0").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    return equal.unionByName(links(same, NEAR_RADIUS))
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -330,7 +348,7 @@ def _like_sizes(n: Column, m: Column) -> Column:
 def links_of_sets(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Links that join all similar pairs between two lists of sorted sets into the right classes, fewer than there are sets.
 
-    Counted are pairs of unlike labels that agree on two bands, have like sizes, and could share enough if they shared all
+    Counted are pairs of unlike labels that agree on a band, have like sizes, and could share enough if they shared all
     that is in more than one of the sets here. Labels are merged as links are found.
     """
     share, of = SIMILARITY
@@ -341,7 +359,7 @@ def links_of_sets(sets: list[np.ndarray], bands: np.ndarray, label: np.ndarray,
     found = []
     for i in left.tolist():
         others = right[right > i] if left is right else right
-        others = others[(label[others] != label[i]) & ((bands[others] == bands[i]).sum(axis=1) >= SURE_BANDS)]
+        others = others[(label[others] != label[i]) & ((bands[others] == bands[i]).sum(axis=1) >= 1)]
         n = size[others] + size[i]
         others = others[(np.minimum(size[others], size[i]) * of >= np.maximum(size[others], size[i]) * share)
                         & (np.minimum(common[others], common[i]) * (of + share) >= n * share)]
@@ -388,18 +406,20 @@ def _several_classes(met: DataFrame, links_: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
     """doc_id, h (xxhash64 of the text), component_id of every row with an id: the smallest id that links of similarity 0.8 or more lead to.
 
-    Texts with equal shingles, also those without words, are linked. Each key is compared with the first key of one of its buckets,
-    the one it shares most bands with; then with the firsts of its other buckets that are of another class still. Buckets
-    with several classes after that are compared inside, in tasks that hold each set once. So a group of near copies costs
-    about one pair for each of them, and no pair that met is left out.
+    Texts with equal shingles, also those without words, are linked. Keys whose fingerprints lie within the radius are counted first. Then each
+    key is compared with the first key of one of its buckets, the one it shares most bands with; then with the firsts of its other buckets
+    that are of another class still. Buckets with several classes after that are compared inside, in tasks that hold each set once.
+    So a group of near copies costs about two pairs for each of them, and no pair that met is left out.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    points = written(_with_shingles(texts.where("doc_id IS NOT NULL"), shingle_words, "bands array<bigint>", _bands), "near-points")
-    nodes = written(points.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands")), "near-nodes")
+    points = written(_with_shingles(texts.where("doc_id IS NOT NULL"), shingle_words, "bands array<bigint>, fp0 long", _bands), "near-points")
+    nodes = written(points.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("fp0").alias("fp0")), "near-nodes")
+    near = written(_within_radius(nodes.select("key", "fp0")), "near-radius")
     met = nodes.select(F.explode("bands").alias("bucket"), "key")
     first = met.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
     met = written(met.join(first, "bucket").select("bucket", "key", "b", "members"), "near-met")
-    wanted = nodes.join(met.select("key").distinct(), "key", "left_semi")
+    asked = met.select("key").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = nodes.join(asked, "key", "left_semi")
     rows = wanted.select("rep.doc_id", "rep.h").distinct()
     sets = (_with_shingles(texts.join(rows, ["doc_id", "h"], "left_semi"), shingle_words, "shingles array<bigint>", _sets)
             .select("key", "shingles").dropDuplicates(["key"]))
@@ -411,7 +431,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .join(sizes.select(F.col("key").alias("b"), F.col("n").alias("m")), "b").where(_like_sizes(F.col("n"), F.col("m"))))
     agreeing = written(agreeing.select("a", "b", "bands"), "near-agreeing")
     best = agreeing.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
-    found = written(_similar_pairs(best, sets), "near-links")
+    found = written(_similar_pairs(near, sets).unionByName(_similar_pairs(best, sets)).distinct(), "near-links")
     label = stars(found)
     a_class, b_class = (label.select(F.col("a").alias(c), F.col("b").alias(f"{c}_class")) for c in ("a", "b"))
     unlike = (agreeing.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left").where("done IS NULL").select("a", "b")

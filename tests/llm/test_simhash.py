@@ -125,3 +125,19 @@ def test_near_copies_that_only_one_partner_links(spark, documents, prose):
                 want = {r: want[i] if v == want[j] else v for r, v in want.items()}
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept) == sorted(
         (i is None, i or 0, t) for i, t in [c for c in chain if want[c[0]] == c[0]] + other)
+
+
+def test_pairs_that_agree_on_one_band_are_counted():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(10, 100, dtype=np.uint64)]
+    both = np.arange(2)
+    assert simhash.links_of_sets(sets, np.array([[1, 2, 3], [1, 4, 5]], np.uint64), both.copy(), both, both) == [(0, 1)]
+
+
+def test_keys_of_fingerprints_within_the_radius_are_counted(spark):
+    nodes = spark.createDataFrame([(bytearray([k]), fp) for k, fp in ((1, 0), (2, 0), (3, 15), (4, -1), (5, 31 << 20))], "key binary, fp0 long")
+    assert sorted((r.a[0], r.b[0]) for r in simhash._within_radius(nodes).collect()) == [(2, 1), (3, 1)]
+    data = np.frombuffer(b"a b c d e f ga b c", np.uint8)
+    offsets = np.array([0, 13, 18])
+    hashes, full, start = simhash.shingles_of(data, offsets, 5)
+    fp = simhash._bands(hashes, full, start, 2)[1].to_numpy().view(np.uint64)
+    assert fp.tolist() == simhash.fingerprints_of(data, offsets, 5)[:, 0].tolist()
