@@ -379,6 +379,27 @@ def test_targets_are_unique_for_adversarial_names(spark, rows_per_task):
     assert dict(found)["000"] == "a.jpg" and dict(found)["012"] == "b" and {dict(found)["013"], dict(found)["014"]} == {"b_abcdef01", "b_abcdef01_3"}
 
 
+_FILES = "week_id string, file_name string, category string, sha1 string, origin string, folder string, seq string"
+
+
+def test_a_routing_plan_reads_its_files_twice_at_most(spark, tmp_path):
+    """Once for the plan, once for numbers in use; and a file is in the plan also without a category."""
+    rows = [("w", "a.jpg", c, "abcdef0123", "incoming", None, s) for c, s in (("X", "1"), ("X", "2"), ("X", "3"), (None, "4"))]
+    spark.createDataFrame(rows, _FILES).write.parquet(str(tmp_path / "files"))
+    plan = routing.routing_plan(spark.read.parquet(str(tmp_path / "files")))
+    assert rows_of(plan, "seq", "target_name") == [("1", "a.jpg"), ("2", "a_abcdef01.jpg"), ("3", "a_abcdef01_2.jpg"), ("4", "a.jpg")]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+
+
+def test_numbers_past_long_runs_of_taken_ones(spark):
+    files = spark.createDataFrame([("w", "d.", "X", "abcdef0123", "incoming", None, f"{i:03d}") for i in range(40)], _FILES)
+    used = {2, 3, 4, 7, 11, 12, 13, 30}
+    taken = spark.createDataFrame([("w", "x", f"d._abcdef01_{n}") for n in used], "week_id string, category_slug string, file_name string")
+    free = [n for n in range(2, 60) if n not in used][:38]
+    assert [t for _, t in rows_of(routing.routing_plan(files, taken), "seq", "target_name")] == [
+        "d.", "d._abcdef01", *[f"d._abcdef01_{n}" for n in free]]
+
+
 def test_equal_names_in_two_weeks_have_an_order(spark, tmp_path):
     exports = tables.export_table(spark, str(tmp_path / "s"))
     columns = [f.strip() for f in tables.EXPORT_SCHEMA.split(",")]
