@@ -8,7 +8,7 @@ from ledgerloom.functions.text import extension, slug, source_file
 from ledgerloom.operators import routing, totals
 from ledgerloom.sources import documents
 from workload import tables as T
-from workload.scratch import new_folder
+from workload.scratch import new_folder, write_files
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +23,10 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as one file each, scanned, then scanned again after every tenth one has come and every seventh has gone from another folder."""
     root = new_folder(spark, "files")
-    docs = T.load(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
+    docs = T.load_spread(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
 
     def put(part: DataFrame, folder: str) -> None:
-        part.repartition("doc_id").write.mode("append").option("lineSep", "\x00").partitionBy("doc_id").text(f"{root}/{folder}")
+        write_files(part, "doc_id", "text", "\x00", f"{root}/{folder}")
 
     put(docs.filter("doc_id % 10 <> 0"), "stay")
     put(docs.filter("doc_id % 7 = 0"), "go")
