@@ -3,6 +3,8 @@
 import hashlib
 import os
 
+from pyspark.sql.readwriter import DataFrameReader
+
 from ledgerloom.sources import documents
 from workload import files, scratch
 
@@ -79,6 +81,37 @@ def test_many_folders_are_listed_and_opened_by_few_tasks(spark, tmp_path):
     assert [spark.conf.get(s) for s in settings] == before
 
 
+def test_folders_are_listed_in_parts(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    for n in range(60):
+        (folder / f"f{n % 20}").mkdir(parents=True, exist_ok=True)
+        (folder / f"f{n % 20}" / f"{n:02d}.jpg").write_text(f"text {n}")
+    (folder / "_hidden").mkdir()
+    (folder / "_hidden" / "no.jpg").write_text("not listed")
+    held, load = [], DataFrameReader.load
+
+    def loaded(self, *args, **options):
+        found = load(self, *args, **options)
+        held.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(DataFrameReader, "load", loaded)
+    monkeypatch.setattr(documents, "MAX_PATHS", 2)
+    for name, value in (("PART_FILES", 12), ("PART_FOLDERS", 2)):
+        monkeypatch.setattr(documents, name, value, raising=False)
+    seen = documents.manifest(spark, str(tmp_path / "state"))
+    assert changes(documents.scan_changes(spark, [str(folder)], seen, "1", recursive=True)) == [(f"{n:02d}.jpg", "new", digest(f"text {n}")) for n in range(60)]
+    assert max(held) <= 12 and sum(held) == 60  # hashed by the scan that lists them
+
+    held.clear()
+    for n in (3, 23, 43):
+        (folder / "f3" / f"{n:02d}.jpg").write_text(f"new text {n}")
+    os.remove(folder / "f5" / "05.jpg")
+    want = [(f"{n:02d}.jpg", "changed" if n % 20 == 3 else "gone" if n == 5 else "same", digest(f"{'new ' if n % 20 == 3 else ''}text {n}")) for n in range(60)]
+    assert changes(documents.scan_changes(spark, [str(folder)], seen, "2", recursive=True)) == want
+    assert max(held) <= 12 and sum(held) <= 59 + 12  # of one part alone, files are opened
+
+
 def test_documents_become_files_in_few_folders(spark, tmp_path, monkeypatch):
     texts = {n: None if n == 21 else "" if n == 70 else f"text {n} \u00e9\n" for n in range(200)}
     rows = [*texts.items(), (50, "another text of the same id"), (None, "no id")]
